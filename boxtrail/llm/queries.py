@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import block_naming, chat, warc
+from boxtrail.llm import block_naming, chat, language_id, packing, toxicity, warc
 from boxtrail.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary file of the host."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_block_naming(spark, sf_dir):
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_warc_revisits(spark, sf_dir):
     return warc.revisit_table(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op8_rank_order_language(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = chat.text_turns(rows.unionByName(chat.probe(spark)))
     return chat.digest(chat.format_turns(turns))
 
 
+def op10_counterfactual_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_block_naming, op6_warc_revisits, op9_chat_format)}
+    return {f.__name__: f for f in (op2_block_naming, op5_vector_packing, op6_warc_revisits, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity)}
 
 
 def oracle_sql():
