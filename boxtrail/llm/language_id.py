@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import remainder, text_of
+from boxtrail.llm.common import remainder
 
 #: Length of a profile.
 RANKS = 400
@@ -95,8 +95,8 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, list[int]]:
     return profiles
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
-    """``docs`` (any columns, text last used) with lang_pred and score.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS, keep_text: bool = True) -> DataFrame:
+    """``docs`` (text and any other columns) with lang_pred and score; columns of these names are replaced.
 
     A document's most frequent n-grams, by falling count and then code, are compared with each profile:
     an n-gram is out of place by the difference of its ranks, or by ``ranks`` if the profile lacks it. The
@@ -127,18 +127,18 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(t.as_py()) for t in batch.column("_text")]
-            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
+            found = [one(t.as_py()) for t in batch.column("text")]
+            rest = [batch.column(n) for n in names[:-2]]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
-    kept = [f for f in docs.schema.fields if f.name not in ("_text", "lang_pred", "score")]
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != "text")]
     names = [*(f.name for f in kept), "lang_pred", "score"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string").alias("_text")).mapInArrow(scored, schema)
+    return docs.mapInArrow(scored, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row, learning from rows whose crc32(doc_id) mod 5 is not 0."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string").alias("lang"), (remainder(5) == 0).alias("held_out"))
     profiles = learn(rows.filter("not held_out"))
-    return predict(rows.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows.select("doc_id", "held_out", F.col("text").cast("string")), profiles, keep_text=False)

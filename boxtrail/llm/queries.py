@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import block_naming, chat, language_id, packing, toxicity, warc
+from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, packing, toxicity, warc
 from boxtrail.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_block_naming(spark, sf_dir):
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_setsketch_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -25,6 +29,10 @@ def op6_warc_revisits(spark, sf_dir):
     return warc.revisit_table(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op7_edit_decontamination(spark, sf_dir):
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_rank_order_language(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,10 @@ def op10_counterfactual_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_block_naming, op5_vector_packing, op6_warc_revisits, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity)}
+    every = (
+        op2_block_naming, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
