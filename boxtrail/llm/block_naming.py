@@ -75,7 +75,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFra
     # One sort names all blocks. A mark (64-bit hash) only finds a block's name again; two blocks with
     # one mark are told apart by content below.
     blocks = (
-        split.select(F.explode("blocks").alias("block"))
+        split.select("bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))  # bytes are made once a text
+        .select(F.substring(F.col("bytes"), F.col("i") * block_bytes + 1, F.lit(block_bytes)).alias("block"))
         .select(F.xxhash64("block").alias("mark"), "block")
         .mapInArrow(_once, "mark long, block binary")
     )
