@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, packing, toxicity, warc
+from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, packing, suffix_dedup, toxicity, warc
 from boxtrail.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op2_block_naming(spark, sf_dir):
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_doubling(spark, sf_dir):
+    spans = suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_setsketch_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_counterfactual_toxicity(spark, sf_dir):
 
 def queries():
     every = (
-        op2_block_naming, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
+        op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
     )
     return {f.__name__: f for f in every}
 
