@@ -10,13 +10,15 @@ position leaves as soon as its rank is unique or its fate is known:
    then Spark sorts (rank of the owner, rank of the run, document, position): of equal runs all but the
    first are repeats as a whole, and a run whose owner's rank is unique repeats nothing.
 2. The runs left are opened: ranks of their positions at GRAM bytes are paired at growing offsets,
-   rank(p, 2h) = (rank(p, h), rank(p + h, h)), up to the threshold.
-3. Spark sorts (rank at ``length``, document, position); all but the first of each rank are repeats.
-
-Ranks are 64-bit content hashes instead of dense numbers: they need no second pass to be handed out.
-Round 1 compares a run's hash only among runs with one owner's hash. Hot strings: a string occurs once
-per task and batch in what is sorted, and an owner that many different runs of a batch share is dealt out
-by the run instead. Texts are shuffled once; both joins with them use the same exchange.
+   rank(p, 2h) = (rank(p, h), rank(p + h, h)), up to the threshold. Runs travel with their bytes to their
+   owner's place, where Spark sorts them by (owner, document, position) and repeats are settled.
+3. Owners with more than GROUP open runs, or that one batch finds hot, don't meet in one place: their
+   positions are dealt out and sorted by (rank at ``length``, document, position) instead.
+
+Ranks are 64-bit content hashes instead of dense numbers: they need no second pass to be handed out, and
+except in round 3 are compared only under one owner's hash. A string that occurs often in a batch is sent
+once, the rest being settled there, and runs of a hot owner are dealt out by the run. Texts are shuffled
+once; both joins with them use the same exchange.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ GRAM = 25
 PIECE = 1 << 18
 #: An owner shared by more runs of one batch than this is dealt out by run.
 HOT = 64
+#: Open runs of one owner that are settled in one place.
+GROUP = 2048
 _POW, _INV = powers(BASE, PIECE + 1), powers(INVERSE, PIECE + 1)
 
 
@@ -107,80 +111,92 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-_RUN = ["key", "owner", "run", "id", "at", "n"]
+def _packed(at: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return at << 16 | n << 2 | kind
+
+
+#: Kinds of sampled rows: a first run, a run under a hot owner, a repeat that its batch has settled, a mark of a hot owner.
+RUN, HOT_RUN, SETTLED, MARK = range(4)
+_RUN = ["owner", "run", "id", "place"]
 
 
 def _sampled(length: int):
-    """Runs that are first in their batch, and repeats (owner null) that the batch settles itself."""
+    """Runs (owner, run, id, place) that are first in their batch, repeats that the batch settles, marks of hot owners."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             text, at, n, owner, run = runs(*text_bytes(batch.column(1)), length)
-            if not len(text):
-                continue
-            order = np.lexsort((at, ids[text], run, owner))
-            text, at, n, owner, run = (x[order] for x in (text, at, n, owner, run))
-            first = np.r_[True, (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])]
-            begins = np.r_[True, owner[1:] != owner[:-1]]
+            ids = batch.column(0).to_numpy()[text]
+            order = np.lexsort((at, ids, run, owner))
+            ids, at, n, owner, run = (x[order] for x in (ids, at, n, owner, run))
+            begins = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+            first = begins | np.r_[True, run[1:] != run[:-1]][: len(owner)]
             group = np.cumsum(begins) - 1
-            many = np.bincount(group, first)[group] > HOT
-            key = np.where(many & first, mix(run ^ owner), owner)
-            # a hot owner's first run also goes to the owner's own place, so that others see it is shared
+            many = np.bincount(group, first)[group] > HOT if len(owner) else begins
+            kind = np.where(first, np.where(many, HOT_RUN, RUN), SETTLED)
             mark = np.flatnonzero(begins & many)
-            ids = ids[text]
-            cols = (key.view(np.int64), owner.view(np.int64), run.view(np.int64), ids, at, n)
-            kind = np.where(first, np.where(many, 1, 0), 2).astype(np.int8)
-            yield _rows([*_RUN, "kind"], *cols, kind)
-            if len(mark):
-                yield _rows([*_RUN, "kind"], owner[mark].view(np.int64), *(c[mark] for c in cols[1:]), np.full(len(mark), 3, np.int8))
+            take = np.r_[np.arange(len(owner)), mark]
+            place = np.r_[_packed(at, n, kind), _packed(at[mark], n[mark], np.full(len(mark), MARK))]
+            yield _rows(_RUN, owner[take].view(np.int64), run[take].view(np.int64), ids[take], place)
 
     return sampled
 
 
+_SPAN = ["id", "a", "b", "owner", "kind"]
+_SPAN_TYPE = "id long, a long, b long, owner long, kind tinyint"
+
+
+def _spans(kind: int, ids, a, b, owner=None) -> pa.RecordBatch:
+    """kind 0: bytes a..b repeat; 1: b windows from a on are open; 2: they are open under a hot owner."""
+    return _rows(_SPAN, ids, a, b, np.zeros(len(ids), np.int64) if owner is None else owner, np.full(len(ids), kind, np.int8))
+
+
 def _ranked(length: int):
-    """From rows sorted by (key, owner, run, id, at, kind): kind 0 repeats (id, from, to), kind 1 runs to be opened (id, from, windows)."""
+    """From runs sorted by (owner, marks first, run, id, place): repeats as a whole, and runs that stay open."""
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None  # owner, run of the row before
-        held = None  # the only run of the current owner so far: id, at, n
+        is_hot = False  # whether the owner of the row before is marked
+        held = None  # the only run of the current owner so far, if it is not marked
         for batch in batches:
-            key, owner, run, ids, at, n, kind = (c.to_numpy() for c in batch.columns)
-            settled = kind == 2
-            if settled.any():
-                yield _rows(_SPAN, np.zeros(settled.sum(), np.int8), ids[settled], at[settled], (at + n + length - 1)[settled])
-                keep = ~settled
-                owner, run, ids, at, n, kind = (x[keep] for x in (owner, run, ids, at, n, kind))
+            owner, run, ids, place = (c.to_numpy() for c in batch.columns)
+            at, n, kind = place >> 16, place >> 2 & 0x3FFF, place & 3
+            settled = kind == SETTLED
+            yield _spans(0, ids[settled], at[settled], (at + n + length - 1)[settled])
+            owner, run, ids, at, n, kind = (x[~settled] for x in (owner, run, ids, at, n, kind))
+            if not len(owner):
+                continue
+            new_owner = np.r_[prev is None or owner[0] != prev[0], owner[1:] != owner[:-1]]
+            group = np.cumsum(new_owner)
+            begins = np.flatnonzero(new_owner)
+            hot = np.r_[is_hot, kind[begins] == MARK][group] | (kind == HOT_RUN)
+            is_hot = bool(np.r_[is_hot, kind[begins] == MARK][group[-1]])
+            real = kind != MARK
+            owner, run, ids, at, n, hot = (x[real] for x in (owner, run, ids, at, n, hot))
             if not len(owner):
                 continue
             new_owner = np.r_[prev is None or owner[0] != prev[0], owner[1:] != owner[:-1]]
             new_run = new_owner | np.r_[prev is None or run[0] != prev[1], run[1:] != run[:-1]]
-            repeat = ~new_run & (kind != 3)
-            yield _rows(_SPAN, np.zeros(repeat.sum(), np.int8), ids[repeat], at[repeat], (at + n + length - 1)[repeat])
-            lead = np.flatnonzero(new_run)
-            if len(lead):
-                fresh = new_owner[lead]
-                shared = ~fresh | np.r_[~fresh[1:], False]
-                hot = (kind[lead] == 1) | (kind[lead] == 3)
-                if held is not None and not fresh[0]:
-                    yield _rows(_SPAN, np.ones(1, np.int8), *(np.array([x]) for x in held))
-                held = None
-                last = lead[-1]
-                if fresh[-1] and not hot[-1]:
-                    held = (ids[last], at[last], n[last])
-                go = lead[(shared | hot) & (kind[lead] != 3)]
-                yield _rows(_SPAN, np.ones(len(go), np.int8), ids[go], at[go], n[go])
             prev = owner[-1], run[-1]
+            yield _spans(0, ids[~new_run], at[~new_run], (at + n + length - 1)[~new_run])
+            lead = np.flatnonzero(new_run)
+            if not len(lead):
+                continue
+            fresh = new_owner[lead]
+            shared = ~fresh | np.r_[~fresh[1:], False]
+            if held is not None and not fresh[0]:
+                yield _spans(1, *(np.array([x]) for x in held))
+            last = lead[-1]
+            held = (ids[last], at[last], n[last], owner[last]) if fresh[-1] and not hot[last] else None
+            go, far = lead[shared & ~hot[lead]], lead[hot[lead]]
+            yield _spans(1, ids[go], at[go], n[go], owner[go])
+            yield _spans(2, ids[far], at[far], n[far], owner[far])
 
     return ranked
 
 
-_SPAN = ["kind", "id", "a", "b"]
-_SPAN_TYPE = "kind tinyint, id long, a long, b long"
-
-
 def _doubled(raw: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
-    """Ranks of all ``length``-byte prefixes of one piece of text, by doubling from ``gram`` bytes."""
+    """Ranks of all ``length``-byte prefixes of at most PIECE bytes, by doubling from ``gram`` bytes."""
     total = _prefix(raw)
     rank, have = mix((total[gram:] - total[:-gram]) * _INV[: len(raw) - gram + 1]), gram
     while have < length:
@@ -190,52 +206,134 @@ def _doubled(raw: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
     return rank
 
 
+def _windows(raw: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, run, place in the run) of the n windows from each start on; runs are laid out one after the other."""
+    ranks, which, places = [], [], []
+    k = 0
+    while k < len(starts):
+        m = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE - 0x3FFF - length, "right")))
+        end = starts[m - 1] + n[m - 1] + length - 1
+        rank = _doubled(raw[starts[k] : end], length)
+        run = np.repeat(np.arange(k, m), n[k:m])
+        place = np.arange(len(run)) - np.repeat(np.cumsum(n[k:m]) - n[k:m], n[k:m])
+        ranks.append(rank[starts[run] - starts[k] + place])
+        which.append(run)
+        places.append(place)
+        k = m
+    return np.concatenate(ranks), np.concatenate(which), np.concatenate(places)
+
+
 def _opened(length: int):
-    """Ranks at full length of the positions of opened runs: (rank, id, at, repeat); repeat: the batch settles it."""
+    """Open runs with their bytes: (owner, id, at, n, bytes, hot)."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                raw, offsets = text_bytes(batch.column("text"))
-                ranks, ids, places = [], [], []
-                lists = batch.column("spans")
-                flat, cuts = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-                a, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                for k, one in enumerate(batch.column("id").to_numpy()):
-                    for p, m in zip(a[cuts[k] : cuts[k + 1]].tolist(), n[cuts[k] : cuts[k + 1]].tolist(), strict=True):
-                        begin = offsets[k] + p
-                        for at in range(0, m, PIECE // 2):
-                            some = min(m - at, PIECE // 2)
-                            ranks.append(_doubled(raw[begin + at : begin + at + some + length - 1], length))
-                            places.append(np.arange(p + at, p + at + some))
-                            ids.append(np.full(some, one))
-                if not ranks:
-                    continue
-                rank, ids, at = np.concatenate(ranks), np.concatenate(ids), np.concatenate(places)
-                order = np.lexsort((at, ids, rank))
-                rank, ids, at = rank[order], ids[order], at[order]
-                yield _rows(["rank", "id", "at", "repeat"], rank.view(np.int64), ids, at, np.r_[False, rank[1:] == rank[:-1]])
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("text"))
+            lists = batch.column("open")
+            flat, count = lists.flatten(), lists.value_lengths().to_numpy()
+            a, n, owner, kind = (flat.field(k).to_numpy() for k in range(4))
+            row = np.repeat(np.arange(batch.num_rows), count)
+            begin, size = offsets[row] + a, n + length - 1
+            ends = np.cumsum(size)
+            for lo in range(0, len(row), 20000):
+                some = slice(lo, lo + 20000)
+                first = (ends[some][0] - size[some][0]) if len(row) else 0
+                at = np.repeat(begin[some] - (ends[some] - size[some] - first), size[some]) + np.arange(ends[some][-1] - first)
+                cuts = np.r_[0, ends[some] - first].astype(np.int64)
+                texts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw[at]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x) for x in (owner[some], batch.column("id").to_numpy()[row[some]], a[some], n[some])), texts, pa.array(kind[some] == 2)],
+                    ["owner", "id", "at", "n", "bytes", "hot"],
+                )
 
     return opened
 
 
+_POSITION = ["rank", "id", "a", "b"]
+
+
+def _joined(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (id, from, to) of repeated windows, joined where they meet."""
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + length)][: len(ids)])
+    last = np.r_[first[1:], len(ids)][: len(first)] - 1
+    return ids[first], at[first], at[last] + length
+
+
+def _settled(length: int):
+    """From open runs sorted by (owner, id, at): repeats (rank null), and positions (b null) of groups too large or hot."""
+
+    def windows(t: pa.Table) -> tuple[np.ndarray, ...]:
+        raw, offsets = text_bytes(t.column("bytes").combine_chunks())
+        n = t.column("n").to_numpy()
+        rank, run, place = _windows(raw, offsets[:-1], n, length)
+        return t.column("owner").to_numpy()[run], rank, t.column("id").to_numpy()[run], t.column("at").to_numpy()[run] + place
+
+    def apart(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, rank, ids, at = windows(t)
+        order = np.lexsort((at, ids, rank))
+        rank, ids, at = rank[order], ids[order], at[order]
+        again = np.r_[False, rank[1:] == rank[:-1]]
+        yield from spans(ids[again], at[again])
+        yield pa.RecordBatch.from_arrays([pa.array(rank[~again].view(np.int64)), pa.array(ids[~again]), pa.array(at[~again]), pa.nulls(int((~again).sum()), pa.int64())], _POSITION)
+
+    def spans(ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, a, b = _joined(ids, at, length)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), *(pa.array(x) for x in (ids, a, b))], _POSITION)
+
+    def together(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        owner, rank, ids, at = windows(t)
+        order = np.lexsort((at, ids, rank, owner))
+        owner, rank, ids, at = owner[order], rank[order], ids[order], at[order]
+        again = np.r_[False, (owner[1:] == owner[:-1]) & (rank[1:] == rank[:-1])]
+        yield from spans(ids[again], at[again])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # runs of the last owner
+        large = None  # an owner with too many runs
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            hot = t.column("hot").to_numpy()
+            if hot.any():
+                yield from apart(t.filter(pa.array(hot)))
+                t = t.filter(pa.array(~hot))
+            if not len(t):
+                continue
+            t = pa.concat_tables([held, t]) if held is not None else t
+            owner = t.column("owner").to_numpy()
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[begins, len(owner)])
+            wide = np.repeat((sizes > GROUP) | (owner[begins] == large if large is not None else False), sizes)
+            ended = np.arange(len(owner)) < begins[-1]
+            if wide.any():
+                yield from apart(t.filter(pa.array(wide)))
+                large = owner[-1] if wide[-1] else large
+            if (whole := ended & ~wide).any():
+                yield from together(t.filter(pa.array(whole)))
+            rest = ~ended & ~wide
+            held = t.filter(pa.array(rest)) if rest.any() else None
+        if held is not None:
+            yield from together(held)
+
+    return settled
+
+
 def _repeats(length: int):
-    """Spans of repeats (id, from, to) from positions sorted by (rank, id, at); neighbours in one text are joined where they meet."""
+    """Spans of repeats from positions sorted by (rank, id, at)."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None
         for batch in batches:
-            rank, ids, at, repeat = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            again = repeat | np.r_[prev is not None and rank[0] == prev, rank[1:] == rank[:-1]]
+            done = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids, at, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            yield _rows(["id", "a", "b"], ids[done], at[done], b[done].astype(np.int64))
+            rank, ids, at = batch.column(0).drop_null().to_numpy(), ids[~done], at[~done]
+            if not len(rank):
+                continue
+            again = np.r_[prev is not None and rank[0] == prev, rank[1:] == rank[:-1]]
             prev = rank[-1]
-            ids, at = ids[again], at[again]
-            order = np.lexsort((at, ids))
-            ids, at = ids[order], at[order]
-            new = np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + length)][: len(ids)]
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(ids)] - 1
-            yield _rows(["id", "a", "b"], ids[first], at[first], at[np.maximum(last, 0)][: len(first)] + length)
+            yield _rows(["id", "a", "b"], *_joined(ids[again], at[again], length))
 
     return repeats
 
@@ -288,20 +386,27 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     rows, shown = _told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
-    run_type = "key long, owner long, run long, id long, at long, n long, kind tinyint"
-    sampled = rows.mapInArrow(_sampled(length), run_type).repartition("key").sortWithinPartitions("key", "owner", "run", "id", "at", "kind")
-    ranked = sampled.mapInArrow(_ranked(length), _SPAN_TYPE)
+    sampled = rows.mapInArrow(_sampled(length), "owner long, run long, id long, place long")
+    kind = F.col("place").bitwiseAND(3)
+    dealt = F.when(kind == HOT_RUN, F.col("run")).when(kind == SETTLED, F.col("id")).otherwise(0)
+    ranked = (
+        sampled.repartition("owner", dealt)
+        .sortWithinPartitions("owner", kind != MARK, "run", "id", "place")
+        .mapInArrow(_ranked(length), _SPAN_TYPE)
+    )
     spans = ranked.groupBy("id").agg(
-        F.collect_set(F.when(F.col("kind") == 0, F.struct("a", "b"))).alias("done"),
-        F.collect_set(F.when(F.col("kind") == 1, F.struct("a", "b"))).alias("open"),
+        F.collect_list(F.when(F.col("kind") == 0, F.struct("a", "b"))).alias("done"),
+        F.collect_list(F.when(F.col("kind") > 0, F.struct("a", "b", "owner", "kind"))).alias("open"),
     )
-    texts = rows.join(spans, "id", "left")
-    opened = texts.filter(F.size("open") > 0).select("id", "text", F.col("open").alias("spans"))
-    positions = opened.mapInArrow(_opened(length), "rank long, id long, at long, repeat boolean")
-    found = positions.repartition("rank").sortWithinPartitions("rank", "id", "at").mapInArrow(_repeats(length), "id long, a long, b long")
-    late = found.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("late"))
+    opened = rows.join(spans.filter(F.size("open") > 0).select("id", "open"), "id").select("id", "text", "open")
+    opened = opened.mapInArrow(_opened(length), "owner long, id long, at long, n long, bytes binary, hot boolean")
+    met = opened.repartition("owner", F.when(F.col("hot"), F.xxhash64("id", "at")).otherwise(0)).sortWithinPartitions("owner", "id", "at")
+    met = met.mapInArrow(_settled(length), "rank long, id long, a long, b long")
+    # positions and repeats are told apart after one exchange: a repeat goes by its id
+    far = met.repartition(F.coalesce("rank", "id"), F.col("rank").isNull()).sortWithinPartitions("rank", "id", "a")
+    late = far.mapInArrow(_repeats(length), "id long, a long, b long").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("late"))
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    all_spans = spans.select("id", "done").join(late, "id", "full").select("id", F.concat(F.coalesce("done", none), F.coalesce("late", none)).alias("spans"))
+    all_spans = spans.select("id", "done").join(late, "id", "left").select("id", F.concat(F.coalesce("done", none), F.coalesce("late", none)).alias("spans"))
     out = rows.join(all_spans, "id", "left").select("id", "text", "spans").mapInArrow(
         _trimmed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:bigint,b:bigint>>"
     )
