@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, packing, suffix_dedup, toxicity, warc
+from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, ngram_trie, packing, suffix_dedup, toxicity, warc
 from boxtrail.llm.common import table
 
 
@@ -13,6 +13,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_elias_fano_lm(spark, sf_dir):
+    return ngram_trie.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_block_naming(spark, sf_dir):
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_counterfactual_toxicity(spark, sf_dir):
 
 def queries():
     every = (
-        op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
+        op1_elias_fano_lm, op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
     )
     return {f.__name__: f for f in every}
 
