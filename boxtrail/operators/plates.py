@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtrail.functions.text import inner_dash, plate_label, plate_text
-from boxtrail.operators.tracking import overlap
+from boxtrail.operators.machines import PlateState
 from boxtrail.settings import DEFAULT, Settings
 
 TRACK = ["video_id", "track_id"]
@@ -67,32 +67,14 @@ def read_cadence(readings: DataFrame, s: Settings = DEFAULT, key: tuple[str, ...
     too early; keep: locked and in the same place, so the text stays and the box moves; read) and text, confidence,
     locked after the sample. Each choice depends on the one before, so a track is one group.
     """
-    stride, lock_stride, lock, least = s.plate_stride, s.plate_lock_stride, s.lock_confidence, s.text_confidence
     box = ["g_x1", "g_y1", "g_x2", "g_y2"]
 
-    def near(a: tuple, b: tuple) -> bool:
-        if overlap(a, b) >= 0.15:
-            return True
-        most = 0.75 * max(8.0, a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1])
-        return all(abs((a[k] + a[k + 2]) - (b[k] + b[k + 2])) / 2 <= most for k in (0, 1))
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx", kind="stable")
-        text, conf, locked, place, last, out = "", 0.0, False, None, None, []
+        state, out = PlateState(), []
         for frame, score, said, dashed, b in zip(pdf.frame_idx, pdf.score, pdf.norm, pdf.dashed, pdf[box].itertuples(index=False, name=None), strict=True):
-            if last is not None and frame - last < (lock_stride if locked else stride):
-                out.append(("skip", text, conf, locked))
-                continue
-            last = frame
-            if locked and text and conf >= lock and place is not None and near(place, b):
-                place = b
-                out.append(("keep", text, conf, locked))
-                continue
-            if said and score >= least and score >= conf:
-                text, conf, dash = said, float(score), bool(dashed)
-                locked = locked or (conf >= lock and dash)
-            place = b
-            out.append(("read", text, conf, locked))
+            action = state.see(int(frame), said, bool(dashed), score, b, s)
+            out.append((action, state.text, state.confidence, state.locked))
         done = pdf[[*key, "frame_idx"]].copy()
         done["action"], done["text"], done["text_confidence"], done["locked"] = ([r[k] for r in out] for k in range(4))
         return done
