@@ -14,12 +14,15 @@ from boxtrail.functions import geometry as g
 from boxtrail.settings import DEFAULT, Settings
 
 TRACK = ["video_id", "track_id"]
-_BY_FRAME = Window.partitionBy(*TRACK).orderBy("frame_idx")
+
+
+def _by_frame():
+    return Window.partitionBy(*TRACK).orderBy("frame_idx")
 
 
 def box_motion(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds first and moved: a sample moved when it is not the first and fails the stillness test against the one before."""
-    before = {f"b_{c}": F.lag(c).over(_BY_FRAME) for c in g.Box._fields}
+    before = {f"b_{c}": F.lag(c).over(_by_frame()) for c in g.Box._fields}
     rows = samples.withColumns(before).withColumn("first", F.col("b_x1").isNull())
     still = g.is_still(g.box("b_"), g.box(), s.still_iou, s.still_motion, s.still_size)
     return rows.withColumn("moved", ~F.col("first") & ~F.coalesce(still, F.lit(False))).drop(*before)
@@ -28,8 +31,8 @@ def box_motion(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 def still_time(moved: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
     """Adds run, still_frames and ready: a run starts at a first or moved sample and is ready after still_seconds."""
     breaks = (F.col("first") | F.col("moved")).cast("int")
-    rows = moved.withColumn("run", F.sum(breaks).over(_BY_FRAME))
-    start = F.max(F.when(F.col("first") | F.col("moved"), F.col("frame_idx"))).over(_BY_FRAME)
+    rows = moved.withColumn("run", F.sum(breaks).over(_by_frame()))
+    start = F.max(F.when(F.col("first") | F.col("moved"), F.col("frame_idx"))).over(_by_frame())
     rows = rows.withColumn("still_frames", F.col("frame_idx") - start)
     return rows.withColumn("ready", (breaks == 0) & (F.col("still_frames") >= s.still_seconds * fps))
 
@@ -39,8 +42,8 @@ def gated_hits(ready: DataFrame, fps: float) -> DataFrame:
     return (
         ready.withColumn("sec", F.floor(F.col("frame_idx") / fps + 1e-9))
         .withColumn("counted", F.col("hit") & F.col("ready"))
-        .withColumn("next_frame", F.lead("frame_idx").over(_BY_FRAME))
-        .withColumn("next_moved", F.lead("moved").over(_BY_FRAME))
+        .withColumn("next_frame", F.lead("frame_idx").over(_by_frame()))
+        .withColumn("next_moved", F.lead("moved").over(_by_frame()))
     )
 
 
@@ -134,7 +137,7 @@ def edges(active: DataFrame) -> DataFrame:
 
 def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> DataFrame:
     """The box of every confirmed track on every frame while it is active: that of its last sample by then."""
-    last = samples.select(*TRACK, "frame_idx", *g.Box._fields).withColumn("until", F.lead("frame_idx").over(_BY_FRAME))
+    last = samples.select(*TRACK, "frame_idx", *g.Box._fields).withColumn("until", F.lead("frame_idx").over(_by_frame()))
     held = last.join(ranges, TRACK).select(
         *TRACK, F.greatest("frame_idx", "confirm_frame").alias("from"), F.least(F.coalesce("until", "expiry_frame"), "expiry_frame").alias("to"), *g.Box._fields
     ).filter(F.col("from") < F.col("to"))

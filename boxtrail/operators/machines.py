@@ -60,6 +60,7 @@ class IncidentState:
     def frame(self, frame: int, rows: list[tuple[int, tuple, bool]], s: Settings = DEFAULT) -> list[tuple[str, int]]:
         """Events up to a sampled frame with its (track, box, hit) rows."""
         out = self.settle(frame)
+        self.tracks = {k: t for k, t in self.tracks.items() if frame - t.frame <= s.max_missed * self.fps}
         for track, box, hit in rows:
             t = self.tracks.get(track)
             if t is None:
@@ -71,9 +72,6 @@ class IncidentState:
                     self.since = frame
                     out.append(("enter", frame))
                 self.until = max(self.until, frame + int(s.max_missed * self.fps) + 1)
-        gone = [k for k, t in self.tracks.items() if frame - t.frame > s.max_missed * self.fps]
-        for k in gone:
-            del self.tracks[k]
         return out
 
     def settle(self, frame: int) -> list[tuple[str, int]]:

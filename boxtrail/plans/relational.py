@@ -189,11 +189,10 @@ def _(d):
     return sm.overlap_pairs(d["detections"], 2, S.person_iou).withColumn("iou", F.round("iou", 9))
 
 
-PLATE_BOX = [F.col("px"), F.col("py"), F.col("px") + 40, F.col("py") + 14]
-
-
 def framed_plates(d):
-    rows = d["plates"].withColumns({f"p_{c}": e for c, e in zip(g.Box._fields, PLATE_BOX, strict=True)})
+    """Plates of 40 x 14 pixels inside their vehicles, in frame pixels."""
+    b = g.Box(F.col("px"), F.col("py"), F.col("px") + 40, F.col("py") + 14)
+    rows = d["plates"].withColumns({f"p_{c}": e for c, e in zip(g.Box._fields, b, strict=True)})
     return sm.plate_to_frame(rows, d["clips"])
 
 
