@@ -10,6 +10,7 @@ per task is short.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -53,13 +54,24 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last:
             start[k] += whole[k]
     left = tokens - start
     alive = left > 0
+    need = np.stack([left, np.ones(len(left)), left * rate], 1)
+    need[~alive] = np.inf
+    share = np.where(alive[:, None], need / cap, 0.0)
+
+    def take(k: int, n: int) -> None:
+        start[k], left[k] = start[k] + n, left[k] - n
+        alive[k] = left[k] > 0
+        need[k] = (left[k], 1, left[k] * rate[k]) if alive[k] else np.inf
+        share[k] = need[k] / cap if alive[k] else 0.0
+
     while alive.any():
         room, row = cap.copy(), []
         while True:
-            need = np.stack([left, np.ones(len(left)), left * rate], 1)
-            fits = alive & (need <= room + 1e-9).all(1)
-            if fits.any():
-                k = int(np.argmax(np.where(fits, (need / cap) @ (room / cap), -1.0)))
+            fits = (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2] + 1e-9)
+            worth = share @ (room / cap)
+            worth[~fits] = -1.0
+            k = int(worth.argmax())
+            if worth[k] >= 0:
                 n = int(left[k])
             elif cut and alive.any() and room[1] >= 1 and room[0] >= 1:
                 k = int(np.argmax(np.where(alive, left, -1)))
@@ -70,8 +82,7 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last:
                 break
             row.append((k, int(start[k]), n))
             room -= (n, 1, n * rate[k])
-            start[k], left[k] = start[k] + n, left[k] - n
-            alive[k] = left[k] > 0
+            take(k, n)
         if not alive.any() and room[0] > 0 and not last:  # short: let the next window fill it up
             for k, at, n in row:
                 start[k], left[k], alive[k] = min(at, start[k]), left[k] + n, True
@@ -80,14 +91,45 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last:
     return done, []
 
 
+def _letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones stand for themselves, the rest follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+#: Fixed value: how a byte-level vocabulary of this kind splits a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_bpe(path: str, end: int) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encodes texts with a tokenizers file, ``end`` after each."""
+    """Encodes texts with the byte-level BPE of a tokenizers file, ``end`` after each.
+
+    The ids are those of the tokenizers library with special strings as ordinary text; the merging runs in tiktoken
+    on the file's vocabulary, where ids are merge ranks, at a quarter of the time. A file of another kind is read
+    by the tokenizers library itself.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters, vocabulary = _letters(), spec["model"].get("vocab", {})
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    plain = {t: i for t, i in vocabulary.items() if t not in special} if isinstance(vocabulary, dict) else {}
+    ranked = sorted(plain.values()) == list(range(len(plain))) and all(
+        plain.get("".join(m if isinstance(m, list) else m.split(" "))) == 256 + k for k, m in enumerate(spec["model"].get("merges", ()))
+    )
+    usual = spec.get("pre_tokenizer") or {}
+    if ranked and usual.get("type") == "ByteLevel" and not usual.get("add_prefix_space") and not spec.get("normalizer"):
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in t): i for t, i in plain.items()}
+        model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [np.append(np.asarray(model.encode_ordinary(t), np.uint32), np.uint32(end)) for t in texts]
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda texts: [np.array([*e.ids, end], np.uint32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda texts: [np.array([*e.ids, end], np.uint32) for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(), cut: bool = True, window: int = WINDOW) -> DataFrame:
