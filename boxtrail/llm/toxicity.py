@@ -1,7 +1,7 @@
 """Toxicity by logistic regression with a counterfactual penalty.
 
-Features are the distinct lower-cased words of a text. The model is fitted on at most SAMPLE labelled
-rows (the first by a hash of doc_id) and VOCABULARY words; for each training text that holds an identity
+Features are the distinct lower-cased words of a text that say something about the label. The model is fitted
+on at most SAMPLE labelled rows (the first by a hash of doc_id) and VOCABULARY words; for each training text that holds an identity
 term, the text with the term swapped for every other one of its group is scored too, and the squared
 change of the logit is penalised, so a neutral mention of a group can't move the score much. Fitting is
 one task on rows of a bounded number; scoring reads all texts.
@@ -21,6 +21,8 @@ from boxtrail.llm.common import cut, remainder
 
 #: Bounds of the fit.
 SAMPLE, VOCABULARY, LEAST_DOCS = 8192, 4096, 3
+#: A word is a feature if its chi-squared with the label is at least this (one in 10,000 by chance).
+LEAST_CHI = 15.0
 #: Identity terms by group; a parameter of fit().
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans"),
@@ -49,7 +51,7 @@ def swaps(words: set[str], identity: tuple[tuple[str, ...], ...] = IDENTITY) ->
     return [(words - {w}) | {o} for group in identity for w in group if w in words for o in group if o != w]
 
 
-def solve(rows: list[tuple[int, set[str]]], vocabulary: list[str], penalty: float, identity=IDENTITY, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def solve(rows: list[tuple[int, set[str]]], vocabulary: list[str], penalty: float, identity=IDENTITY, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise mean log loss + ridge |w|^2 + penalty * mean (logit change by a swap)^2."""
     at = {w: k for k, w in enumerate(vocabulary)}
     y = np.array([r[0] for r in rows], float)
@@ -92,8 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         return {}, -np.inf
     # words that say most about the label: n times the squared gap to the base rate; identity terms always
     terms = [w for group in identity for w in group]
-    weight = F.col("n") * F.pow(F.col("bad") / F.col("n") - all_bad / all_n, 2)
-    chosen = [x.word for x in by_word.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc(weight), "word").limit(vocabulary).collect()]
+    share = all_bad / all_n
+    weight = F.col("n") * F.pow(F.col("bad") / F.col("n") - share, 2) / max(share * (1 - share), 1e-9)
+    chosen = [x.word for x in by_word.filter((F.col("n") >= LEAST_DOCS) & (weight >= LEAST_CHI)).orderBy(F.desc(weight), "word").limit(vocabulary).collect()]
     chosen = sorted({*chosen, *terms})
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
