@@ -253,3 +253,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         shown_id("component").alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS g FROM t),
+s AS (SELECT doc_id, unnest(g) AS g FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM g UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.doc_id)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, min(o) AS component_id, g.doc_id = min(o) AS kept FROM g JOIN r USING (doc_id) GROUP BY g.doc_id, g.g
+"""

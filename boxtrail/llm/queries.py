@@ -64,4 +64,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_block_naming": block_naming.ORACLE, "op6_warc_revisits": warc.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {"op2_block_naming": block_naming.ORACLE, "op3_prefix_doubling": suffix_dedup.ORACLE, "op4_setsketch_near_dedup": near_dedup.ORACLE, "op6_warc_revisits": warc.ORACLE, "op9_chat_format": chat.ORACLE}

@@ -413,3 +413,18 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if shown is not None:
         out = out.join(shown, "id").drop("id").withColumnRenamed("shown", "id")
     return out.select(shown_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS pos, unnest(list_transform(range(0, n - 99), lambda x: substr(h, CAST(2 * x + 1 AS BIGINT), 200))) AS word FROM d),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) AS r FROM w),
+k AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE r > 1),
+i AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS i FROM k),
+s AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM i GROUP BY doc_id, i),
+e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, n, n FROM d),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS before FROM e),
+o AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a, b) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans, sha256(unhex(any_value(kept))) AS kept_sha256
+FROM d JOIN o USING (doc_id) LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, n
+"""
