@@ -101,6 +101,20 @@ class EliasFano:
         high = word * 64 + _in_word(self.high[word], i - self.ones[word]) - i
         return high.astype(U) << U(self.bits) | self._low(i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1: the next value's bit is mostly in the same word."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        bits = self.high[word]
+        place = _in_word(bits, i - self.ones[word])
+        high = word * 64 + place - i
+        rest = np.where(place == 63, U(0), bits >> (np.minimum(place + 1, 63)).astype(U))
+        step = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)  # zeros before the next bit
+        second = (high + step).astype(U) << U(self.bits) | self._low(i + 1)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            second[far] = self[i[far] + 1]
+        return high.astype(U) << U(self.bits) | self._low(i), second
+
     def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most k."""
         word = np.minimum(np.searchsorted(self.zeros, k, "right") - 1, len(self.high) - 1)
@@ -137,6 +151,32 @@ def _successor(at, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
     return found
 
 
+def _groups(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys 0..n-1 in their order, and where each key begins."""
+    small = keys.astype(np.uint16) if n <= 1 << 16 else keys  # sorted by digits
+    order = np.argsort(small, kind="stable")
+    return order, np.r_[0, np.cumsum(np.bincount(keys, minlength=n))]
+
+
+def _find_children(child: np.ndarray, lo: np.ndarray, hi: np.ndarray, parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of x among child[lo:hi] of its parent, or -1; lo and hi are per parent. Busy parents are searched at once."""
+    busy = np.flatnonzero((np.bincount(parent, minlength=len(lo)) >= 8) & (hi - lo >= 32))
+    found = np.full(len(x), -1)
+    left = np.ones(len(x), bool)
+    if len(busy):
+        order, cuts = _groups(parent, len(lo))
+        for p in busy.tolist():
+            k = order[cuts[p] : cuts[p + 1]]
+            own = child[lo[p] : hi[p]]
+            at = np.minimum(np.searchsorted(own, x[k]), len(own) - 1)
+            found[k] = np.where(own[at] == x[k], at + lo[p], -1)
+            left[k] = False
+    k = np.flatnonzero(left)
+    if len(k):
+        found[k] = _successor(lambda m, _: child[m], lo[parent[k]], hi[parent[k]], x[k])
+    return found
+
+
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file of named arrays; written under another name and moved, so that a repeated task does no harm."""
     fs, path = pa.fs.FileSystem.from_uri(uri)
@@ -159,6 +199,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file: mapped from a local or mounted file system, read from any other."""
     fs, path = pa.fs.FileSystem.from_uri(uri)
     raw = np.memmap(path, np.uint8, "r") if isinstance(fs, pa.fs.LocalFileSystem) else np.frombuffer(fs.open_input_file(path).read(), np.uint8)
+    raw = raw.view(np.ndarray)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(d).itemsize].view(d) for k, (d, n, at) in head.items()}
@@ -329,6 +370,7 @@ def _write_longer(folder: str, hot: np.ndarray, seen: np.ndarray):
                 "second": s2.astype(np.uint32),
                 "share2": quantised(c2 / (c1[ctx] + PRIOR)),
                 "rest2": quantised(PRIOR / (c2 + PRIOR)),
+                "goes_on": np.packbits(per > 0, bitorder="little"),
                 "third": (p3 & _FP).astype(np.uint32),
                 "share3": quantised(c3 / (c2[parent] + PRIOR)),
             },
@@ -357,8 +399,7 @@ class Model:
         return self.files[name] or None
 
     def _grouped(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        order, cuts = _groups(shard, self.shards)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             yield s, order[cuts[s] : cuts[s + 1]]
 
@@ -388,10 +429,9 @@ class Model:
                 i = two[k]
                 first, where = np.unique(at[i - 1], return_inverse=True)
                 parent = f["first"].find(word[first])
-                lo, hi = (f["to2"][np.maximum(parent, 0) + d].astype(np.int64) for d in (0, 1))
-                lo, hi = np.where(parent < 0, 0, lo)[where], np.where(parent < 0, 0, hi)[where]
-                child = f["second"]
-                got = _successor(lambda m, _, child=child: child[m], lo, hi, (t[i] & _FP).astype(np.uint32))
+                lo, hi = (x.astype(np.int64) for x in f["to2"].pair(np.maximum(parent, 0)))
+                lo, hi = np.where(parent < 0, 0, lo), np.where(parent < 0, 0, hi)
+                got = _find_children(f["second"], lo, hi, where, (t[i] & _FP).astype(np.uint32))
                 there = got >= 0
                 p[i[there]] += restored(f["share2"][got[there]])
                 node[i] = got
@@ -400,7 +440,9 @@ class Model:
             f, i = self._file("more", s), three[k]
             pair = node[i - 1]
             p[i] *= restored(f["rest2"][pair])
-            lo, hi = (f["to3"][pair + d].astype(np.int64) for d in (0, 1))
+            on = np.flatnonzero(f["goes_on"][pair >> 3] >> (pair & 7).astype(np.uint8) & 1)
+            i, pair = i[on], pair[on]
+            lo, hi = (x.astype(np.int64) for x in f["to3"].pair(pair))
             child = f["third"]
             got = _successor(lambda m, _, child=child: child[m], lo, hi, (t[i] & _FP).astype(np.uint32))
             there = got >= 0
@@ -435,8 +477,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
                 t, offsets = tokens(batch.column(2))
                 before = np.arange(len(t)) - np.repeat(offsets[:-1], np.diff(offsets))
                 total = np.zeros((3, len(offsets) - 1))
