@@ -8,6 +8,7 @@ system Spark reaches. HTML is UTF-8, so a record is text; lengths in headers cou
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from boxtrail.llm.common import id_of, scratch, shown_id, text_of
 #: RFC 4648 base32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload an archive holds, about.
-ARCHIVE_BYTES = 8 << 20
+#: Records an archive holds at most.
+ARCHIVE_RECORDS = 1024
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -71,18 +72,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     original are all written as responses.
     """
     records = pages.select(id_of("page_id").alias("id"), text_of("url").alias("uri"), text_of("html").alias("payload"))
-    total = records.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    resolved = resolve(records, least_bytes)
-    # a record in turn to each archive: archives of one size, whatever the digests
-    out = resolved.select(record_text(date).alias("value")).repartition(max(1, -(-total // ARCHIVE_BYTES)))
-    out.write.option("lineSep", "\r\n").text(path)
+    out = resolve(records, least_bytes).select(record_text(date).alias("value"))
+    out.write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=ARCHIVE_RECORDS).text(path)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("id", "type", "uri", "digest", "bytes", "refers", "payload", "whole")
     for batch in batches:
         for content in batch.column(0):
-            data, at = content.as_py(), 0
+            data, at = gzip.decompress(content.as_py()), 0
             rows: dict[str, list] = {n: [] for n in names}
             while at < len(data):
                 end = data.index(b"\r\n\r\n", at)
@@ -145,9 +143,9 @@ def revisit_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS o FROM p),
-q AS (SELECT *, list_transform(range(8), k -> CAST('0x' || substr(h, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS v FROM d)
+q AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(h, CAST(5 * k + 1 AS INT), 5) AS BIGINT)) AS v FROM d)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(v, x -> array_to_string(list_transform([15, 10, 5, 0], s -> substr('{BASE32}', CAST(((x >> s) & 31) + 1 AS INT), 1)), '')), '') AS payload_digest,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('{BASE32}', CAST(((x >> s) & 31) + 1 AS INT), 1)), '')), '') AS payload_digest,
        CASE WHEN o = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN o <> page_id THEN o END AS refers_to
 FROM q
