@@ -98,11 +98,12 @@ def _(d):
     return laid_out(d).select("video_id", "nw", "nh", "pad_x", "pad_y", *[(F.round(c, 6) + (0.0 if c[0] == "o" else 0)).alias(c) for c in ("ox", "oy", "gain_x", "gain_y")])
 
 
-@query("unletterbox", LB + "SELECT actor_id, frame_idx, round(x1 / 1920 * gain_x + ox, 6) AS x1, round(y1 / 1080 * gain_y + oy, 6) AS y1, round(x2 / 1920 * gain_x + ox, 6) AS x2, round(y2 / 1080 * gain_y + oy, 6) AS y2 FROM detections JOIN lb USING (video_id)")
+@query("unletterbox", LB + "SELECT actor_id, frame_idx, x1 / 1920 * gain_x + ox AS x1, y1 / 1080 * gain_y + oy AS y1, x2 / 1920 * gain_x + ox AS x2, y2 / 1080 * gain_y + oy AS y2 FROM detections JOIN lb USING (video_id)")
 def _(d):
     rows = d["detections"].join(laid_out(d), "video_id")
     b = g.Box(F.col("x1") / 1920, F.col("y1") / 1080, F.col("x2") / 1920, F.col("y2") / 1080)
-    return rows.select(*KEY, *boxes(g.unletterbox(b, *[F.col(c) for c in ("ox", "oy", "gain_x", "gain_y")])))
+    out = g.unletterbox(b, *[F.col(c) for c in ("ox", "oy", "gain_x", "gain_y")])
+    return rows.select(*KEY, *[e.alias(c) for c, e in zip(g.Box._fields, out, strict=True)])
 
 
 @query("keypoints_to_frame", "SELECT vec_id, list_transform(kp, lambda q: round(100 + vec_id % 50 + q.x * 120, 6)) AS xs, list_transform(kp, lambda q: round(50 + q.y * 1, 6)) AS ys FROM poses")
