@@ -12,8 +12,8 @@ with a Dirichlet prior,
 
     P(w | context) = (c(context w) + PRIOR * P(w | shorter context)) / (c(context) + PRIOR),
 
-down to (c(w) + 1) / (N + V + 1), and the first share is kept as a 16-bit logarithm. Trigrams seen fewer than
-LEAST times only give their share to the shorter context; unigrams and bigrams are all kept.
+down to (c(w) + 1) / (N + V + 1), and the first share is kept as a 16-bit logarithm. All n-grams are kept, so the
+probabilities of a context sum to 1 over the known words and one unknown.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from boxtrail.llm.common import remainder, scratch, text_of
 from boxtrail.llm.kernels import U, mix, words
 
-PRIOR, LEAST = 4.0, 2
+#: A trigram seen LEAST times is kept: all of them.
+PRIOR, LEAST = 4.0, 1
 #: Tokens a task counts together, and tokens scored together.
 CHUNK, SCORED = 1 << 20, 1 << 19
 #: Words of a unigram shard that may be hot; missing one would only make a shard larger.
@@ -347,8 +348,6 @@ def _write_longer(folder: str, hot: np.ndarray, seen: np.ndarray):
         first2 = sec2 = n2 = None
         pair3 = np.concatenate(sec3).astype(U) << U(32) | np.concatenate(third)
         (f3, p3), (c3,), _ = _summed([np.concatenate(first3), pair3], np.concatenate(n3).astype(np.int64))
-        keep = c3 >= LEAST
-        f3, p3, c3 = f3[keep], p3[keep], c3[keep]
         begins = np.flatnonzero(np.r_[True, f2[1:] != f2[:-1]])
         f1, size = f2[begins], np.diff(np.r_[begins, len(f2)])
         c1 = np.add.reduceat(c2, begins)

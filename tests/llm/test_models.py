@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +71,20 @@ def test_scores_hot_words(spark):
     check_scores(rows, ngram_trie.lm_scores(df))
 
 
+def test_scores_sum_to_one(spark):
+    """Over the known words and one unknown, after pairs with many, few and no repeated continuations."""
+    rng = random.Random(8)
+    rows = [(f"a b {rng.choice(['c', f'x{k}'])} rare{k} d",) for k in range(60)]
+    model = ngram_trie.train(spark.createDataFrame(rows, "text string"))
+    t, _ = ngram_trie.tokens(pa.array([t for t, in rows] + ["never"]))
+    vocabulary = np.unique(t)
+    pairs = np.unique(np.stack([t[:-1], t[1:]], 1)[t[:-1] != ngram_trie.END], axis=0)
+    for pair in pairs[pairs[:, 1] != ngram_trie.END][:80]:
+        three = np.stack([np.full(len(vocabulary), pair[0]), np.full(len(vocabulary), pair[1]), vocabulary], 1).ravel()
+        _, _, p = model.score(three, np.tile(np.arange(3), len(vocabulary)))
+        assert (10.0 ** p[2::3]).sum() == pytest.approx(1, abs=2e-3)
+
+
 def test_scores_empty(none, odd):
     assert ngram_trie.lm_scores(none).count() == 0
     r = ngram_trie.score(odd.filter("doc_id = 1"), ngram_trie.train(none)).first()
