@@ -156,6 +156,7 @@ def _ranked(length: int):
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None  # owner, run of the row before
+        seen = None  # owner of the row before, which may be a mark
         is_hot = False  # whether the owner of the row before is marked
         held = None  # the only run of the current owner so far, if it is not marked
         for batch in batches:
@@ -166,7 +167,8 @@ def _ranked(length: int):
             owner, run, ids, at, n, kind = (x[~settled] for x in (owner, run, ids, at, n, kind))
             if not len(owner):
                 continue
-            new_owner = np.r_[prev is None or owner[0] != prev[0], owner[1:] != owner[:-1]]
+            new_owner = np.r_[seen is None or owner[0] != seen, owner[1:] != owner[:-1]]
+            seen = owner[-1]
             group = np.cumsum(new_owner)
             begins = np.flatnonzero(new_owner)
             hot = np.r_[is_hot, kind[begins] == MARK][group] | (kind == HOT_RUN)

@@ -167,6 +167,18 @@ def test_spans_small_alphabet(spark, monkeypatch, hot, group):
     check_spans(df, suffix_dedup.removed_spans(df))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_ranked_batches(size):
+    """An owner's mark holds for all its rows, wherever a batch ends."""
+    run, mark = suffix_dedup.RUN, suffix_dedup.MARK
+    rows = [(4, 1, 1, run), (5, 1, 2, mark), (5, 2, 3, mark), (5, 1, 2, run), (5, 2, 3, run), (5, 2, 4, run), (6, 1, 5, run), (6, 2, 6, run), (7, 1, 7, mark), (7, 1, 7, run)]
+    owner, runs, ids, kind = (np.array(c, np.int64) for c in zip(*rows))
+    place = suffix_dedup._packed(np.full(len(rows), 10), np.full(len(rows), 3), kind)
+    batches = [suffix_dedup._rows(suffix_dedup._RUN, *(c[k : k + size] for c in (owner, runs, ids, place))) for k in range(0, len(rows), size)]
+    got = sorted((r["kind"], r["id"]) for b in suffix_dedup._ranked(100)(iter(batches)) for r in b.to_pylist())
+    assert got == [(0, 4), (1, 5), (1, 6), (2, 2), (2, 3), (2, 7)]
+
+
 def test_spans_repeated_id(spark):
     """Two texts of one id are two documents: the shared passage stays in one of them."""
     passage = "".join(random.Random(4).choices("abcdefg", k=150))
