@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import cut, id_of, shown_id, text_of
+from boxtrail.llm.common import cut, id_of, shown_id, text_of, told_apart
 from boxtrail.llm.kernels import U, mix, shingles, words
 
 #: Sketch parameters of the published scheme: base, rate, largest level.
@@ -207,10 +207,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set is its distinct
     ``size``-word shingles, or its whole sequence if shorter. Two documents are linked when 100 * intersection
     >= percent * union. A null, empty or blank text has no shingles and is linked with nothing. component_id is
-    the smallest doc_id reachable. A null doc_id sorts last and is returned as null; rows that repeat a doc_id
-    count as one document with the links of all its rows, and keep their own n_shingles.
+    the smallest doc_id reachable. A null doc_id sorts last and is returned as null. Rows that repeat a doc_id, null
+    too, with another text are documents of their own, in an order fixed by their texts' hashes, of which a component
+    keeps one; rows that repeat both are one document, returned as often as it occurs.
     """
-    rows = docs.select(id_of().alias("id"), text_of().alias("text"))
+    rows, shown, again = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
     base = cut(rows.mapInArrow(_described(size), "id long, n long, twin_a long, twin_b long, sketch binary"))
     full = base.filter("n > 0")
     firsts = full.groupBy("twin_a", "twin_b").agg(F.min("id").alias("rep"))
@@ -224,7 +225,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     centres = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1").select("bucket", "centre")
     cluster = cut(keyed.join(centres, "bucket").select("centre", "id").distinct())
     sizes = cluster.groupBy("centre").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    told = reps.join(cluster.select("id").distinct(), "id", "left_semi").join(rows, "id")
+    texts = rows.dropDuplicates(["id"]) if again else rows
+    told = reps.join(cluster.select("id").distinct(), "id", "left_semi").join(texts, "id")
     placed = cluster.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a member meets the members of every part: itself in (part, part), the others in ordered pairs of parts
     placed = placed.select(
@@ -247,12 +249,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     near = groups.groupBy("centre", "i", "j").applyInPandas(compared, "a long, b long")
     found = components(near.unionByName(same))
     every = base.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return every.select(
-        shown_id("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        shown_id("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
-    )
+    every = every.withColumn("kept", F.col("id") == F.col("component"))
+    if shown is not None:
+        every = every.join(shown, "id").drop("id").withColumnRenamed("shown", "id")
+        every = every.join(shown.withColumnRenamed("id", "component"), "component").drop("component").withColumnRenamed("shown", "component")
+    return every.select(shown_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown_id("component").alias("component_id"), "kept")
 
 
 ORACLE = r"""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import id_of, shown_id, text_of
+from boxtrail.llm.common import id_of, shown_id, text_of, told_apart
 from boxtrail.llm.kernels import BASE, INVERSE, U, mix, powers, text_bytes
 
 GRAM = 25
@@ -366,17 +366,6 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (id, text) with ids that stand for one text each, and (id, shown) where ids had to be replaced."""
-    marks = rows.select("id", F.xxhash64("text").alias("mark"))
-    if marks.groupBy("id").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).filter("x <> y").isEmpty():
-        return rows, None
-    pairs = marks.distinct().orderBy("id", "mark").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1]))
-    pairs = rows.sparkSession.createDataFrame(pairs, "new long, id long, mark long")
-    told = rows.withColumn("mark", F.xxhash64("text")).join(pairs, ["id", "mark"]).select(F.col("new").alias("id"), "text")
-    return told, pairs.select(F.col("new").alias("id"), F.col("id").alias("shown"))
-
-
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of byte spans) for every row of ``docs``.
 
@@ -387,7 +376,7 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    rows, shown = _told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
+    rows, shown, _ = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
     sampled = rows.mapInArrow(_sampled(length), "owner long, run long, id long, place long")
     kind = F.col("place").bitwiseAND(3)
     dealt = F.when(kind == HOT_RUN, F.col("run")).when(kind == SETTLED, F.col("id")).otherwise(0)

@@ -6,11 +6,13 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtrail.llm import block_naming, decontamination, language_id, near_dedup, packing
-from boxtrail.llm.common import id_of, remainder, scratch, table
+from boxtrail.llm.common import id_of, remainder, scratch, table, told_apart
 from boxtrail.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,20 +28,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is kept in ``decisions`` (doc_id, kept)."""
-    ids = decisions.filter("kept").select(id_of().alias("_id")).distinct()
-    return docs.select(*COLUMNS).withColumn("_id", id_of()).join(ids, "_id", "left_semi").select(*COLUMNS)
+def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``decide`` keeps (doc_id, kept). It sees an id for each (doc_id, text), so rows without a
+    doc_id or with a repeated one are decided each by itself; of rows that repeat both, one stays.
+    """
+    rows, _, again = told_apart(docs.select(*COLUMNS).withColumn("id", id_of()))
+    ids = decide(rows.select(F.col("id").alias("doc_id"), "text")).filter("kept").select(id_of().alias("id")).distinct()
+    kept = rows.join(ids, "id", "left_semi")
+    return (kept.dropDuplicates(["id"]) if again else kept).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of equal texts."""
-    return _kept(docs, block_naming.exact_dedup(docs))
+    return _kept(docs, block_naming.exact_dedup)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return _kept(docs, near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT))
+    return _kept(docs, lambda rows: near_dedup.near_duplicates(rows, NEAR_WORDS, NEAR_PERCENT))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

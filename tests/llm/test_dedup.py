@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from boxtrail.llm import block_naming, kernels, near_dedup, suffix_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -95,6 +96,23 @@ def test_near_groups(spark, monkeypatch):
     check_near(df, near_dedup.near_duplicates(df))
 
 
+def test_near_repeated_ids(spark):
+    """Rows without an id, or with one id and different texts, are documents of their own, in the operator and the stages."""
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{k}" for k in range(900)], k=60))
+    rows = [(1, text(1)), (2, text(2)), (None, text(1) + " end"), (None, text(2) + " end"), (None, text(3)), (None, text(3) + " end"), (None, text(4)), (None, text(4)), (7, text(5)), (7, text(6)), (8, text(5) + " end"), (None, "  " + text(1))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = near_dedup.near_duplicates(df)
+    assert got.count() == len(rows)
+    told = Counter((r.doc_id, r.component_id, r.kept) for r in got.collect())
+    assert told == Counter({(1, 1, True): 1, (2, 2, True): 1, (None, 1, False): 2, (None, 2, False): 1, (None, None, True): 3, (None, None, False): 1, (7, 7, True): 2, (8, 7, False): 1})
+    exact = corpus_pipeline.exact_stage(spark, df, "")
+    assert exact.count() == len(rows) - 1  # one of text 4; "  " + text 1 differs by its leading space
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, exact, "").collect()]
+    assert len(kept) == 6 and {(1, text(1)), (2, text(2)), (None, text(4)), (7, text(5)), (7, text(6))} < set(kept)
+    blank = spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "a  b", "en", "s", 4)], df.schema)
+    assert corpus_pipeline.exact_stage(spark, blank, "").count() == 1
+
+
 def test_near_empty(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
