@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -102,6 +103,24 @@ def _letters() -> dict[str, int]:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space longer than this overflows the stack of the split's backtracking; blanks as the split knows them.
+LONG_SPACE = 1 << 16
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
+
+
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text that are split apart anyway, and whether a part is one piece by itself: long white space, which
+    leaves its last blank to a following word.
+    """
+    at = 0
+    for m in _LONG_SPACE.finditer(text) if len(text) >= LONG_SPACE else ():
+        end = m.end() - (m.end() < len(text))
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def byte_bpe(path: str, end: int) -> Callable[[list[str]], list[np.ndarray]]:
     """Encodes texts with the byte-level BPE of a tokenizers file, ``end`` after each.
 
@@ -123,7 +142,14 @@ def byte_bpe(path: str, end: int) -> Callable[[list[str]], list[np.ndarray]]:
 
         ranks = {bytes(letters[c] for c in t): i for t, i in plain.items()}
         model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [np.append(np.asarray(model.encode_ordinary(t), np.uint32), np.uint32(end)) for t in texts]
+
+        def encoded(text: str) -> np.ndarray:
+            if len(text) < LONG_SPACE:
+                return np.append(np.asarray(model.encode_ordinary(text), np.uint32), np.uint32(end))
+            parts = (model._encode_single_piece(t) if whole else model.encode_ordinary(t) for t, whole in _pieces(text))
+            return np.concatenate([*(np.asarray(p, np.uint32) for p in parts), np.array([end], np.uint32)])
+
+        return lambda texts: [encoded(t) for t in texts]
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

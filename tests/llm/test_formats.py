@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -25,6 +26,25 @@ def test_ids_equal_the_library():
         assert got.tolist() == [*model.encode(text, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("run", [" " * 3_000_000, "\n" * 3_000_000, " \n\u3000" * 50_000, "\x1c" * 70_000, "x" * 3_000_000])
+def test_long_runs(run):
+    model = Tokenizer.from_file(PATH)
+    encode = packing.byte_bpe(PATH, 1)
+    for text in (run, f"a {run}bc 1"):
+        assert encode([text])[0].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9])
+def test_long_space_edges(n, monkeypatch):
+    """The parts of short runs, as if they were long."""
+    monkeypatch.setattr(packing, "LONG_SPACE", 2)
+    monkeypatch.setattr(packing, "_LONG_SPACE", re.compile(packing._LONG_SPACE.pattern.replace("65536", "2")))
+    model = Tokenizer.from_file(PATH)
+    for blank in " \n\t\x85\xa0\u2003\u2028":
+        for text in (blank * n, f"a{blank * n}", f"{blank * n}b", f"a {blank * n} b's{blank * n}1{blank * n}!?{blank * n}\x1c", f"a{blank * n}\nb"):
+            assert packing.byte_bpe(PATH, 1)([text])[0].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def check_packed(df, rows):
     model = Tokenizer.from_file(PATH)
     model.encode_special_tokens = True
