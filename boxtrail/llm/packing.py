@@ -121,40 +121,50 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
     yield text[at:], False
 
 
-def byte_bpe(path: str, end: int) -> Callable[[list[str]], list[np.ndarray]]:
+def byte_bpe(path: str, end: int, special: bool = False) -> Callable[[list[str]], list[np.ndarray]]:
     """Encodes texts with the byte-level BPE of a tokenizers file, ``end`` after each.
 
-    The ids are those of the tokenizers library with special strings as ordinary text; the merging runs in tiktoken
+    The ids are those of the tokenizers library, with the file's added tokens as ordinary text unless ``special``, and
+    by their own ids, as the library has it by default, if so; the merging runs in tiktoken
     on the file's vocabulary, where ids are merge ranks, at a quarter of the time. A file of another kind is read
     by the tokenizers library itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters, vocabulary = _letters(), spec["model"].get("vocab", {})
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    plain = {t: i for t, i in vocabulary.items() if t not in special} if isinstance(vocabulary, dict) else {}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    alone = not any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip"))
+    plain = {t: i for t, i in vocabulary.items() if t not in added} if isinstance(vocabulary, dict) else {}
     ranked = sorted(plain.values()) == list(range(len(plain))) and all(
         plain.get("".join(m if isinstance(m, list) else m.split(" "))) == 256 + k for k, m in enumerate(spec["model"].get("merges", ()))
     )
     usual = spec.get("pre_tokenizer") or {}
-    if ranked and usual.get("type") == "ByteLevel" and not usual.get("add_prefix_space") and not spec.get("normalizer"):
+    if ranked and (alone or not special) and usual.get("type") == "ByteLevel" and not usual.get("add_prefix_space") and not spec.get("normalizer"):
         import tiktoken
 
         ranks = {bytes(letters[c] for c in t): i for t, i in plain.items()}
         model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-        def encoded(text: str) -> np.ndarray:
+        strings = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+        def ordinary(text: str) -> np.ndarray:
             if len(text) < LONG_SPACE:
-                return np.append(np.asarray(model.encode_ordinary(text), np.uint32), np.uint32(end))
+                return np.asarray(model.encode_ordinary(text), np.uint32)
             parts = (model._encode_single_piece(t) if whole else model.encode_ordinary(t) for t, whole in _pieces(text))
-            return np.concatenate([*(np.asarray(p, np.uint32) for p in parts), np.array([end], np.uint32)])
+            return np.concatenate([np.asarray(p, np.uint32) for p in parts])
+
+        def encoded(text: str) -> np.ndarray:
+            if not special or not any(t in text for t in added):
+                return np.append(ordinary(text), np.uint32(end))
+            parts = enumerate(strings.split(text))  # every second one is an added token
+            return np.concatenate([*(np.array([added[t]], np.uint32) if k % 2 else ordinary(t) for k, t in parts), np.array([end], np.uint32)])
 
         return lambda texts: [encoded(t) for t in texts]
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True  # their strings in a text are ordinary text
+    slow.encode_special_tokens = not special
     return lambda texts: [np.array([*e.ids, end], np.uint32) for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -166,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer, end)
+        encode = byte_bpe(tokenizer, end, special=True)
         ids: list = []
         tokens: list[np.ndarray] = []
         begun: list[int] = []  # tokens of each document that are packed already

@@ -26,11 +26,11 @@ def test_ids_equal_the_library():
         assert got.tolist() == [*model.encode(text, add_special_tokens=False).ids, 1]
 
 
-@pytest.mark.parametrize("run", [" " * 3_000_000, "\n" * 3_000_000, " \n\u3000" * 50_000, "\x1c" * 70_000, "x" * 3_000_000])
+@pytest.mark.parametrize("run", [" " * 3_000_000, "\n" * 3_000_000, " \n\u3000" * 50_000, "\x1c" * 70_000, "x" * 200_000])
 def test_long_runs(run):
     model = Tokenizer.from_file(PATH)
     encode = packing.byte_bpe(PATH, 1)
-    for text in (run, f"a {run}bc 1"):
+    for text in (f"a {run}bc 1", run[:100_000]):
         assert encode([text])[0].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1]
 
 
@@ -45,6 +45,16 @@ def test_long_space_edges(n, monkeypatch):
             assert packing.byte_bpe(PATH, 1)([text])[0].tolist() == [*model.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_added_tokens(spark):
+    """As an unmodified tokenizer has them, in pack() too."""
+    model = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  \n y <|endoftext", "<|endoftext|> " + " " * 70_000 + "<|endoftext|>"]
+    want = [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 50256 in want[0] and [x.tolist() for x in packing.byte_bpe(PATH, 1, special=True)(texts)] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {k: zlib.crc32(np.array(w, "<u4").tobytes()) for k, w in enumerate(want[:3])}
+
+
 def check_packed(df, rows):
     model = Tokenizer.from_file(PATH)
     model.encode_special_tokens = True
