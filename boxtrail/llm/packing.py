@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boxtrail.llm.common import text_of
 
@@ -168,11 +169,13 @@ def byte_bpe(path: str, end: int, special: bool = False) -> Callable[[list[str]]
     return lambda texts: [np.array([*e.ids, end], np.uint32) for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(), cut: bool = True, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(), cut: bool = True, window: int = WINDOW, loss: str | None = None) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end token alone; rows that repeat a doc_id are packed one by one; a null
-    doc_id stays null. An empty table gives no rows. All tokens bear loss.
+    doc_id stays null. An empty table gives no rows. ``loss`` names a column with the number of loss-bearing tokens
+    of each row, spread evenly over its tokens; without one, or where it is null, all tokens bear loss, and a number
+    beyond the row's tokens counts as all.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +183,13 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
         ids: list = []
         tokens: list[np.ndarray] = []
         begun: list[int] = []  # tokens of each document that are packed already
+        rate: list[float] = []  # loss-bearing share of each document's tokens
         number = TaskContext.get().partitionId() * TASK_IDS
 
         def rows(last: bool) -> pa.RecordBatch:
-            nonlocal ids, tokens, begun, number
+            nonlocal ids, tokens, begun, rate, number
             sizes = np.array([len(t) - b for t, b in zip(tokens, begun, strict=True)], np.int64)
-            done, rest = fill(sizes, sizes, limits, cut, last)
+            done, rest = fill(sizes, sizes * np.array(rate), limits, cut, last)
             out = []
             for row in done:
                 offset = 0
@@ -194,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
                     out.append((ids[k], at, n, zlib.crc32(tokens[k][at : at + n].astype("<u4").tobytes()), len(tokens[k]), number, offset))
                     offset += n
                 number += 1
-            ids, tokens, begun = [ids[k] for k, _ in rest], [tokens[k] for k, _ in rest], [begun[k] + s for k, s in rest]
+            ids, tokens, begun, rate = [ids[k] for k, _ in rest], [tokens[k] for k, _ in rest], [begun[k] + s for k, s in rest], [rate[k] for k, _ in rest]
             columns = zip(*out, strict=True) if out else [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
@@ -205,12 +209,15 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
                 new = encode(part.column(1).to_pylist())
                 tokens += new
                 begun += [0] * len(new)
+                bears = part.column(2).to_pylist()
+                rate += [1.0 if n is None else min(max(n / len(t), 0.0), 1.0) for n, t in zip(bears, new, strict=True)]
                 if len(ids) >= window:
                     yield rows(False)
         if ids:
             yield rows(True)
 
-    return docs.select(docs["doc_id"].cast("long"), text_of().alias("text")).mapInArrow(packed, ", ".join(f"{n} long" for n in NAMES))
+    bears = F.col(loss).cast("long") if loss else F.lit(None).cast("long")
+    return docs.select(docs["doc_id"].cast("long"), text_of().alias("text"), bears.alias("loss")).mapInArrow(packed, ", ".join(f"{n} long" for n in NAMES))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -91,6 +91,26 @@ def test_packing(odd, documents):
     assert sum(n < 2048 for n in used.values()) <= 1
 
 
+def test_packing_loss(spark):
+    """A loss limit below the token limit binds, over windows too; a null counts all tokens."""
+    rng = random.Random(9)
+    share = {k: rng.choice([0.0, 0.3, 1.0, None]) for k in range(200)}
+    texts = {k: "the cat " * rng.randrange(1, 150) for k in share}
+    size = {k: len(t) for k, t in zip(texts, packing.byte_bpe(PATH, 1)(list(texts.values())))}
+    bears = {k: None if share[k] is None else int(share[k] * size[k]) for k in share}
+    df = spark.createDataFrame([(k, texts[k], bears[k]) for k in share], "doc_id long, text string, n long").coalesce(1)
+    rows = packing.pack(df, PATH, limits=packing.Limits(tokens=400, segments=8, loss=150), window=50, loss="n").collect()
+    sequences, done = defaultdict(list), Counter()
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+        done[r.doc_id] += r.length
+    assert done == Counter(size)
+    for s in sequences.values():
+        assert sum(r.length for r in s) <= 400 and len(s) <= 8
+        assert sum(r.length * (size[r.doc_id] if bears[r.doc_id] is None else bears[r.doc_id]) / size[r.doc_id] for r in s) <= 150 + 1e-6
+    assert max(sum(r.length for r in s) for s in sequences.values()) > 150
+
+
 def test_packing_empty(none):
     assert packing.pack(none, PATH).count() == 0
 
