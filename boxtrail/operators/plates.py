@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,27 +62,41 @@ def label_carry(readings: DataFrame, frames: DataFrame, s: Settings = DEFAULT) -
     return rows.withColumn("label", F.last("label", ignorenulls=True).over(by))
 
 
+def _cadence(key: list[str], s: Settings):
+    def cadence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = PlateState(), None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("frame_idx", "norm", "dashed", "score")), zip(*(batch.column(c).to_pylist() for c in PLATE_BOX), strict=True), strict=True)
+            out = []
+            for now, row in zip(keys, rows, strict=True):
+                if now != last:
+                    state, last = PlateState(), now
+                out.append((state.see(*row, s), state.text, state.confidence, state.locked))
+            done = zip(*out, strict=True) if out else [[]] * 4
+            types = (pa.string(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in (*key, "frame_idx")), *(pa.array(c, t) for c, t in zip(done, types, strict=True))],
+                [*key, "frame_idx", "action", "text", "text_confidence", "locked"],
+            )
+
+    return cadence
+
+
+PLATE_BOX = ["g_x1", "g_y1", "g_x2", "g_y2"]
+
+
 def read_cadence(readings: DataFrame, s: Settings = DEFAULT, key: tuple[str, ...] = ("video_id", "track_id")) -> DataFrame:
     """What is read of each track, one sample after the other.
 
     Rows need track keys, frame_idx, raw_text, score, plate_confidence and the plate box g_x1..g_y2. Adds action (skip:
     too early; keep: locked and in the same place, so the text stays and the box moves; read) and text, confidence,
-    locked after the sample. Each choice depends on the one before, so a track is one group.
+    locked after the sample. Each choice depends on the one before, so a track's rows meet in one partition in frame
+    order; what is held of it is its state.
     """
-    box = ["g_x1", "g_y1", "g_x2", "g_y2"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx", kind="stable")
-        state, out = PlateState(), []
-        for frame, score, said, dashed, b in zip(pdf.frame_idx, pdf.score, pdf.norm, pdf.dashed, pdf[box].itertuples(index=False, name=None), strict=True):
-            action = state.see(int(frame), said, bool(dashed), score, b, s)
-            out.append((action, state.text, state.confidence, state.locked))
-        done = pdf[[*key, "frame_idx"]].copy()
-        done["action"], done["text"], done["text_confidence"], done["locked"] = ([r[k] for r in out] for k in range(4))
-        return done
-
     rows = readings.withColumn("norm", plate_text(F.col("raw_text"))).withColumn("dashed", inner_dash(F.col("norm")))
-    rows = rows.select(*key, "frame_idx", "score", "norm", "dashed", *[F.col(c).cast("double").alias(c) for c in box])
+    rows = rows.select(*key, "frame_idx", "score", "norm", "dashed", *[F.col(c).cast("double").alias(c) for c in PLATE_BOX])
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in (*key, "frame_idx")) + ", action string, text string, text_confidence double, locked boolean"
-    return rows.groupBy(*key).applyInPandas(one, schema)
+    met = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx")
+    return met.mapInArrow(_cadence(list(key), s), schema)

@@ -1,19 +1,21 @@
 """Greedy box association, the one step that is order-dependent within a video.
 
 Wherever a tracker must be empty a video splits into segments that are associated apart: where persons
-are unseen for longer than max_missed, or at a sampled frame without vehicles. Segments are groups of
-independent pandas functions; track ids are unique within a segment.
+are unseen for longer than max_missed, or at a sampled frame without vehicles. A segment's rows meet in one
+partition in frame order and are walked there frame by frame; the state is the boxes of the live tracks, and
+it starts anew with the next segment. Track ids are unique within a segment.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Any
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxtrail.operators.spread import previous_frame, running_sum
 from boxtrail.settings import DEFAULT, Settings
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -28,90 +30,133 @@ def overlap(a: tuple, b: tuple) -> float:
     return w * h / union if union > 0 else 0.0
 
 
-@dataclass
-class Track:
-    id: int
-    box: tuple
-    frame: int
-    extra: dict[str, Any] = field(default_factory=dict)
-
-
-def match(tracks: list[Track], box: tuple, least: float, used: set[int]) -> Track | None:
-    """The free track that overlaps most; the older one in a tie."""
-    best, most = None, 0.0
-    for t in tracks:
-        if t.id not in used and (o := overlap(t.box, box)) > most:
-            best, most = t, o
-    return best if most >= least else None
-
-
-def assign(tracks: list[Track], box: tuple, frame: int, least: float, used: set[int], number: int) -> tuple[Track, bool]:
-    """The matched track, moved to the box, or a new one; a new track stays free for the rest of the sample."""
-    t = match(tracks, box, least, used)
-    if t is not None:
-        used.add(t.id)
-        t.box, t.frame = box, frame
-        return t, False
-    tracks.append(t := Track(number, box, frame))
-    return t, True
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap over union of every box of a with every box of b."""
+    x = np.maximum(0.0, np.minimum(a[:, None, 2], b[:, 2]) - np.maximum(a[:, None, 0], b[:, 0]))
+    x *= np.maximum(0.0, np.minimum(a[:, None, 3], b[:, 3]) - np.maximum(a[:, None, 1], b[:, 1]))
+    size = lambda r: np.maximum(0.0, r[:, 2] - r[:, 0]) * np.maximum(0.0, r[:, 3] - r[:, 1])
+    union = size(a)[:, None] + size(b) - x
+    return np.divide(x, union, out=np.zeros_like(x), where=union > 0)
+
+
+def follow(live: np.ndarray, boxes: np.ndarray, least: float) -> list[int]:
+    """For each box in order the index of the live track it continues, or len(live) + i for a track that box i begins.
+
+    A box takes the free track that overlaps most, the older one in a tie, if it overlaps by ``least``. A track that
+    began in this sample stays free, so a later box of the sample may continue it.
+    """
+    old, taken = len(live), []
+    share = overlaps(boxes, np.concatenate([live, boxes]))
+    share[share < max(least, 1e-300)] = 0.0
+    free = np.zeros(share.shape[1])
+    free[:old] = 1.0
+    for i, row in enumerate(share):
+        k = int((row * free).argmax())
+        if row[k] * free[k] > 0:
+            free[k] = 0.0
+        else:
+            k = old + i
+            free[k] = 1.0
+        taken.append(k)
+    return taken
+
+
+class Tracks:
+    """The live tracks of one segment, oldest first."""
+
+    def __init__(self, number: int = 0, ids=(), boxes=(), frames=()) -> None:
+        self.number = number
+        self.ids, self.frames = np.array(ids, np.int64), np.array(frames, np.int64)
+        self.boxes = np.array(boxes, float).reshape(-1, 4)
+
+    def drop_before(self, frame: float) -> None:
+        keep = self.frames >= frame
+        if not keep.all():
+            self.ids, self.boxes, self.frames = self.ids[keep], self.boxes[keep], self.frames[keep]
+
+    def sample(self, boxes: np.ndarray, frame: int, least: float) -> np.ndarray:
+        """Track ids of a sample's boxes, in their order."""
+        taken = np.array(follow(self.boxes, boxes, least), np.int64)
+        old = len(self.ids)
+        begun = np.unique(taken[taken >= old])
+        place = np.where(taken >= old, old + np.searchsorted(begun, taken), taken)
+        self.ids = np.r_[self.ids, self.number + np.arange(len(begun))]
+        self.number += len(begun)
+        self.boxes = np.concatenate([self.boxes, np.empty((len(begun), 4))])
+        self.frames = np.r_[self.frames, np.full(len(begun), frame)]
+        self.boxes[place] = boxes  # the last box of a track counts
+        self.frames[place] = frame
+        return self.ids[place]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted batches cut so that no group of equal ``keys`` is split, with the rows where groups begin."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not t.num_rows:
+            continue
+        b = t.to_batches()[0]
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for c in (b.column(k).to_numpy(zero_copy_only=False) for k in keys):
+            new[1:] |= c[1:] != c[:-1]
+        begins = np.flatnonzero(new)
+        held = b.slice(begins[-1])
+        if begins[-1]:
+            yield b.slice(0, begins[-1]), begins[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def _walked(least: float, missed: float):
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracks, last = Tracks(), None
+        for batch, begins in whole_groups(batches, ["video_id", "segment", "frame_idx"]):
+            video, segment, frame = (batch.column(k).to_numpy() for k in ("video_id", "segment", "frame_idx"))
+            boxes = np.stack([batch.column(c).to_numpy() for c in BOX], 1)
+            out = np.empty(batch.num_rows, np.int64)
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
+                if (now := (video[a], segment[a])) != last:
+                    tracks, last = Tracks(), now
+                tracks.drop_before(frame[a] - missed)
+                out[a:b] = tracks.sample(boxes[a:b], frame[a], least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "track_id"])
+
+    return walked
+
+
+def _associate(rows: DataFrame, order: list[Column | str], least: float, missed: float) -> DataFrame:
+    key = ["video_id", "segment"]
+    met = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx", *order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return met.mapInArrow(_walked(least, missed), schema + ", track_id long")
+
+
+def _segments(rows: DataFrame, most: float) -> DataFrame:
+    """Adds segment: it grows where consecutive frames of a video are more than ``most`` apart."""
+    frames = previous_frame(rows.select("video_id", "frame_idx").distinct(), "_before")
+    gap = F.coalesce(F.col("frame_idx") - F.col("_before") > most, F.lit(False))
+    return rows.join(running_sum(frames, gap.cast("int"), "segment").drop("_before"), ["video_id", "frame_idx"])
 
 
 def person_segments(persons: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
     """Adds segment: it grows where consecutive samples of a video are more than max_missed apart."""
-    frames = persons.select("video_id", "frame_idx").distinct()
-    by = Window.partitionBy("video_id").orderBy("frame_idx")
-    gap = F.coalesce(F.col("frame_idx") - F.lag("frame_idx").over(by) > s.max_missed * fps, F.lit(False))
-    frames = frames.withColumn("segment", F.sum(gap.cast("int")).over(by))
-    return persons.join(frames, ["video_id", "frame_idx"])
+    return _segments(persons, s.max_missed * fps)
 
 
 def associate_persons(persons: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
     """Person rows (video_id, frame_idx, ord, confidence, box) with segment and track_id."""
-    least, missed = s.person_iou, s.max_missed * fps
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "confidence", "ord"], ascending=[True, False, True], kind="stable")
-        tracks: list[Track] = []
-        out, number = [], 0
-        for frame, rows in pdf.groupby("frame_idx", sort=False):
-            tracks = [t for t in tracks if frame - t.frame <= missed]
-            used: set[int] = set()
-            for box in rows[BOX].itertuples(index=False, name=None):
-                t, new = assign(tracks, box, frame, least, used, number)
-                number += new
-                out.append(t.id)
-        return pdf.assign(track_id=pd.Series(out, index=pdf.index, dtype="int64"))
-
     rows = person_segments(persons, fps, s).select("video_id", "segment", "frame_idx", "ord", "confidence", *BOX)
-    return rows.groupBy("video_id", "segment").applyInPandas(one, rows.schema.simpleString()[7:-1].replace(":", " ") + ", track_id long")
+    return _associate(rows, [F.desc("confidence"), "ord"], s.person_iou, s.max_missed * fps)
 
 
 def vehicle_segments(vehicles: DataFrame, step: int) -> DataFrame:
     """Adds segment: it grows after a sampled frame without vehicles."""
-    frames = vehicles.select("video_id", "frame_idx").distinct()
-    by = Window.partitionBy("video_id").orderBy("frame_idx")
-    gap = F.coalesce(F.col("frame_idx") - F.lag("frame_idx").over(by) > step, F.lit(False))
-    return vehicles.join(frames.withColumn("segment", F.sum(gap.cast("int")).over(by)), ["video_id", "frame_idx"])
+    return _segments(vehicles, step)
 
 
 def associate_vehicles(vehicles: DataFrame, step: int, s: Settings = DEFAULT) -> DataFrame:
     """Vehicle rows with segment and track_id; a track not seen in a sample is gone."""
-    least = s.vehicle_iou
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "ord"], kind="stable")
-        tracks: list[Track] = []
-        out, number = [], 0
-        for frame, rows in pdf.groupby("frame_idx", sort=False):
-            used: set[int] = set()
-            seen = set()
-            for box in rows[BOX].itertuples(index=False, name=None):
-                t, new = assign(tracks, box, frame, least, used, number)
-                number += new
-                seen.add(t.id)
-                out.append(t.id)
-            tracks = [t for t in tracks if t.id in seen]
-        return pdf.assign(track_id=pd.Series(out, index=pdf.index, dtype="int64"))
-
     rows = vehicle_segments(vehicles, step).select("video_id", "segment", "frame_idx", "ord", *BOX)
-    return rows.groupBy("video_id", "segment").applyInPandas(one, rows.schema.simpleString()[7:-1].replace(":", " ") + ", track_id long")
+    return _associate(rows, ["ord"], s.vehicle_iou, step)
