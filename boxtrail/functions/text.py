@@ -71,19 +71,25 @@ def outcome(truth: Column, predicted: Column) -> Column:
     return F.when(truth & predicted, "TP").when(truth, "FN").when(predicted, "FP").otherwise("TN")
 
 
+#: The sentence of an evaluation row by result and tag (empty: any other tag); {} is what a clip should give.
+NOTES = (
+    ("TP", "FN", "Prod miss ({}); model detected — fixed"),
+    ("TP", "TP", "Prod hit ({}); model detected — OK"),
+    ("TP", "", "{}; model detected — OK"),
+    ("FN", "FN", "Prod miss/hit ({}); model missed — still wrong"),
+    ("FN", "TP", "Prod miss/hit ({}); model missed — still wrong"),
+    ("FN", "", "{}; model missed"),
+    ("FP", "", "{}; model fired — false alarm"),
+    ("TN", "", "{}; model silent — OK"),
+)
+SHOULD = {True: "should detect peeing", False: "should NOT detect peeing"}
+
+
 def outcome_note(result: Column, tag: Column, truth: Column) -> Column:
-    """A plain sentence for an evaluation row."""
-    should = F.when(truth, "should detect peeing").otherwise("should NOT detect peeing")
-    says = lambda before, after: F.concat(F.lit(before), should, F.lit(after))
-    return (
-        F.when((result == "TP") & (tag == "FN"), says("Prod miss (", "); model detected — fixed"))
-        .when((result == "TP") & (tag == "TP"), says("Prod hit (", "); model detected — OK"))
-        .when(result == "TP", says("", "; model detected — OK"))
-        .when((result == "FN") & tag.isin("FN", "TP"), says("Prod miss/hit (", "); model missed — still wrong"))
-        .when(result == "FN", says("", "; model missed"))
-        .when(result == "FP", says("", "; model fired — false alarm"))
-        .otherwise(says("", "; model silent — OK"))
-    )
+    """A plain sentence for an evaluation row, looked up by result and tag."""
+    known = F.create_map(*[F.lit(x) for r, t, said in NOTES for x in (f"{r}/{t}", said)])
+    said = F.coalesce(F.try_element_at(known, F.concat_ws("/", result, tag)), F.try_element_at(known, F.concat(result, F.lit("/"))))
+    return F.replace(said, F.lit("{}"), F.when(truth, SHOULD[True]).otherwise(SHOULD[False]))
 
 
 def near(a: Column, b: Column, eps: float = 1e-9) -> Column:

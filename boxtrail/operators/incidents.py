@@ -47,11 +47,14 @@ def gated_hits(ready: DataFrame, fps: float) -> DataFrame:
     )
 
 
-def hits_per_second(hits: DataFrame) -> DataFrame:
-    """Per track and second: samples, hits of the last run in it, any motion, and what the next sample does."""
+def hits_per_second(hits: DataFrame, count: Column | None = None) -> DataFrame:
+    """Per track and second: samples, hits of the last run in it, any motion, and what the next sample does.
+
+    ``count`` is what hits aggregates, by default the counted samples.
+    """
     by_run = hits.groupBy(*TRACK, "sec", "run").agg(
         F.count("*").alias("n"),
-        F.count_if("counted").alias("hits"),
+        (F.count_if("counted") if count is None else count).alias("hits"),
         F.max(F.col("moved").cast("int")).alias("m"),
         F.max(F.struct("frame_idx", "next_frame", "next_moved")).alias("last"),
     )
@@ -97,18 +100,22 @@ def active_ranges(confirmed: DataFrame, expiry: DataFrame) -> DataFrame:
     return confirmed.join(expiry, TRACK).select(*TRACK, "confirm_frame", "last_frame", "expiry_frame")
 
 
-def incident_intervals(ranges: DataFrame, clips: DataFrame) -> DataFrame:
-    """Per video the merged [confirm, expiry) ranges, touching ones joined; open at the end of the clip.
-
-    end_frame is the first inactive frame, or the clip's last frame when it ends first.
-    """
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Per video the merged [confirm, expiry) ranges, touching ones joined: video_id, event (from 1), start_frame, stop."""
     by = Window.partitionBy("video_id").orderBy("confirm_frame", "expiry_frame", "track_id")
     reach = F.max("expiry_frame").over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = ranges.withColumn("new", (reach.isNull() | (F.col("confirm_frame") > reach)).cast("int"))
-    merged = rows.withColumn("event", F.sum("new").over(by)).groupBy("video_id", "event").agg(
+    return rows.withColumn("event", F.sum("new").over(by)).groupBy("video_id", "event").agg(
         F.min("confirm_frame").alias("start_frame"), F.max("expiry_frame").alias("stop")
     )
-    out = merged.join(clips.select("video_id", "fps", "total_frames"), "video_id")
+
+
+def incident_intervals(ranges: DataFrame, clips: DataFrame) -> DataFrame:
+    """Merged ranges as intervals; open at the end of the clip.
+
+    end_frame is the first inactive frame, or the clip's last frame when it ends first.
+    """
+    out = merged_ranges(ranges).join(clips.select("video_id", "fps", "total_frames"), "video_id")
     is_open = F.col("stop") >= F.col("total_frames")
     end = F.when(is_open, F.col("total_frames") - 1).otherwise(F.col("stop"))
     return out.select(
@@ -122,17 +129,30 @@ def incident_intervals(ranges: DataFrame, clips: DataFrame) -> DataFrame:
     )
 
 
+#: Frames that a range join compares at once: both sides carry the frame's span as a join key.
+SPAN = 1024
+
+
+def in_ranges(frames: DataFrame, ranges: DataFrame, begin: str, end: str, how: str = "inner") -> DataFrame:
+    """frames joined with the ranges [begin, end) of their video that hold them, by video and span of frames first."""
+    rows = ranges.filter(F.col(begin) < F.col(end)).withColumnRenamed("video_id", "_video")
+    rows = rows.withColumn("_span", F.explode(F.sequence(F.expr(f"`{begin}` div {SPAN}"), F.expr(f"(`{end}` - 1) div {SPAN}"))))
+    at = frames.withColumn("_at", F.expr(f"frame_idx div {SPAN}"))
+    on = (F.col("video_id") == F.col("_video")) & (F.col("_at") == F.col("_span")) & (F.col("frame_idx") >= F.col(begin)) & (F.col("frame_idx") < F.col(end))
+    return at.join(rows, on, how).drop("_span", "_at")
+
+
 def frame_active(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    """frames with active: whether any confirmed track is alive, by an equi-first range join."""
-    on = (F.col("f.video_id") == F.col("r.video_id")) & (F.col("f.frame_idx") >= F.col("r.confirm_frame")) & (F.col("f.frame_idx") < F.col("r.expiry_frame"))
-    joined = frames.alias("f").join(ranges.alias("r"), on, "left")
-    return joined.groupBy("f.video_id", "f.frame_idx").agg(F.bool_or(F.col("r.track_id").isNotNull()).alias("active"))
+    """frames with active: whether any confirmed track is alive. Ranges are merged first, so a frame meets one at most."""
+    joined = in_ranges(frames.select("video_id", "frame_idx"), merged_ranges(ranges), "start_frame", "stop", "left")
+    return joined.select("video_id", "frame_idx", F.col("_video").isNotNull().alias("active"))
 
 
 def edges(active: DataFrame) -> DataFrame:
-    """Enter and exit flags of a video's frames in order."""
-    before = F.lag("active", 1, False).over(Window.partitionBy("video_id").orderBy("frame_idx"))
-    return active.withColumn("enter", F.col("active") & ~before).withColumn("exit", ~F.col("active") & before)
+    """Enter and exit flags of a video's frames; each frame meets the one before by number, so a video needs no single task."""
+    before = active.select("video_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("active").alias("_before"))
+    rows = active.join(before, ["video_id", "frame_idx"], "left").withColumn("_before", F.coalesce("_before", F.lit(False)))
+    return rows.withColumn("enter", F.col("active") & ~F.col("_before")).withColumn("exit", ~F.col("active") & F.col("_before")).drop("_before")
 
 
 def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -140,9 +160,8 @@ def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> Da
     last = samples.select(*TRACK, "frame_idx", *g.Box._fields).withColumn("until", F.lead("frame_idx").over(_by_frame()))
     held = last.join(ranges, TRACK).select(
         *TRACK, F.greatest("frame_idx", "confirm_frame").alias("from"), F.least(F.coalesce("until", "expiry_frame"), "expiry_frame").alias("to"), *g.Box._fields
-    ).filter(F.col("from") < F.col("to"))
-    on = (F.col("f.video_id") == F.col("h.video_id")) & (F.col("f.frame_idx") >= F.col("h.from")) & (F.col("f.frame_idx") < F.col("h.to"))
-    return frames.alias("f").join(held.alias("h"), on).select("f.video_id", "f.frame_idx", "h.track_id", *[f"h.{c}" for c in g.Box._fields])
+    )
+    return in_ranges(frames.select("video_id", "frame_idx"), held, "from", "to").select("video_id", "frame_idx", "track_id", *g.Box._fields)
 
 
 def sample_state(hits: DataFrame, streaks: DataFrame, ranges: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -176,3 +195,26 @@ def time_rule(samples: DataFrame, fps: float, s: Settings = DEFAULT) -> tuple[Da
     hits = gated_hits(still_time(box_motion(samples, s), fps, s), fps)
     streaks = good_streak(hits_per_second(hits), s)
     return hits, streaks, active_ranges(confirm_latch(streaks, s), track_expiry(samples, fps, s))
+
+
+def count_reasons(seen: DataFrame, gated: DataFrame, hits: DataFrame, width: int, height: int, s: Settings = DEFAULT, cap: int | None = None) -> DataFrame:
+    """Per video why persons and hits did not count.
+
+    ``seen`` are person rows, ``gated`` those who sit on no motorcycle, ``hits`` their samples after gated_hits.
+    rider: seen and not gated; over_cap: gated beyond the ``cap`` most confident of a frame; small_crop: crops that are
+    empty after clamping; motion_resets, not_still, hits_ignored (no stillness yet), hits_before_motion.
+    """
+    n = lambda rows, name: rows.groupBy("video_id").agg(F.count("*").alias(name))
+    over = F.greatest(F.count("*") - F.lit(cap if cap else 1 << 62), F.lit(0))
+    capped = gated.groupBy("video_id", "frame_idx").agg(over.alias("over")).groupBy("video_id").agg(F.sum("over").alias("over_cap"))
+    crop = g.padded_crop(g.box(), F.lit(width), F.lit(height), s.crop_margin)
+    small = gated.groupBy("video_id").agg(F.count_if(~g.not_empty(crop)).alias("small_crop"))
+    reset = hits.groupBy("video_id").agg(
+        F.count_if("moved").alias("motion_resets"),
+        F.count_if(~F.col("ready")).alias("not_still"),
+        F.count_if(F.col("hit") & ~F.col("ready")).alias("hits_ignored"),
+        F.count_if(F.col("counted") & F.col("next_moved")).alias("hits_before_motion"),
+    )
+    out = n(seen, "_seen").join(n(gated, "_gated"), "video_id", "left").join(capped, "video_id", "left").join(small, "video_id", "left").join(reset, "video_id", "left")
+    names = ("over_cap", "small_crop", "motion_resets", "not_still", "hits_ignored", "hits_before_motion")
+    return out.select("video_id", (F.col("_seen") - F.coalesce("_gated", F.lit(0))).alias("rider"), *[F.coalesce(c, F.lit(0)).alias(c) for c in names])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as g
+from boxtrail.operators.spread import carried, running_sum
 from boxtrail.settings import DEFAULT, MOTORCYCLES, PERSON, VEHICLES, Settings
 
 FRAME = ["video_id", "frame_idx"]
@@ -62,8 +63,8 @@ def gate(rows: DataFrame, scene: DataFrame, labels: tuple[str, ...], least: floa
 
 def every_nth_batch(frames: DataFrame, batch: int = DEFAULT.batch, n: int = DEFAULT.every_nth) -> DataFrame:
     """Of the gated frames of each video, in batches of ``batch``, those of every n-th batch; the count restarts per video."""
-    rn = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx"))
-    return frames.withColumn("batch_no", F.ceil(rn / batch)).filter(F.col("batch_no") % n == 0)
+    rows = running_sum(frames, F.lit(1), "rn")
+    return rows.withColumn("batch_no", F.ceil(F.col("rn") / batch)).filter(F.col("batch_no") % n == 0).drop("rn")
 
 
 def carry_forward(frames: DataFrame, samples: DataFrame, clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -112,12 +113,15 @@ def person_rank(persons: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def decode_topk(logits: DataFrame, classes: int, k: int, threshold: float, most: int, key: str = "vec_id") -> DataFrame:
-    """Sigmoid scores of a flat queries x classes list: the k best by score then place, over the threshold, ``most`` at most."""
-    flat = logits.select(key, F.posexplode("logits").alias("pos", "logit"))
-    flat = flat.withColumn("score", 1 / (1 + F.exp(-F.col("logit"))))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("logit"), "pos"))
-    top = flat.withColumn("rank", rank).filter(F.col("rank") <= min(k, most)).filter(F.col("score") >= threshold)
-    return top.select(key, "rank", F.expr(f"pos div {classes}").alias("query"), (F.col("pos") % classes).alias("class_id"), "score")
+    """Sigmoid scores of a flat queries x classes list: the k best by score then place, over the threshold, ``most`` at most.
+
+    A list is sorted in its row, so nothing is shuffled.
+    """
+    worst_first = F.transform("logits", lambda x, i: F.struct((-x).alias("neg"), i.alias("pos")))
+    best = F.slice(F.array_sort(worst_first), 1, min(k, most))
+    top = logits.select(key, F.posexplode(best).alias("place", "t")).withColumn("score", 1 / (1 + F.exp("t.neg")))
+    top = top.filter(F.col("score") >= threshold)
+    return top.select(key, (F.col("place") + 1).alias("rank"), F.expr(f"t.pos div {classes}").alias("query"), (F.col("t.pos") % classes).alias("class_id"), "score")
 
 
 def explode_arrays(frames: DataFrame, default_score: float = 1.0, label: str = "person") -> DataFrame:
@@ -127,3 +131,39 @@ def explode_arrays(frames: DataFrame, default_score: float = 1.0, label: str = "
     b = F.when(F.size("d.b") == 4, F.col("d.b")).otherwise(F.raise_error(F.lit("a box must have 4 numbers")).cast("array<double>"))
     rows = rows.withColumn("b", b)
     return rows.select(*FRAME, "ord", F.lit(label).alias("label"), F.coalesce("d.s", F.lit(default_score)).alias("confidence"), *[F.element_at("b", k + 1).alias(c) for k, c in enumerate(g.Box._fields)])
+
+
+def pose_join(persons: DataFrame, prefetched: DataFrame, direct: DataFrame) -> DataFrame:
+    """persons with pose: the hit of each one's crop.
+
+    ``prefetched`` (video_id, frame_idx, hits) lists hits by place in the frame, persons in order of ``rank``. Where the list
+    is missing, its length is not the number of persons, or an entry is null, the hit comes from ``direct`` (video_id,
+    frame_idx, ord, hit) by key; a crop without any hit is null.
+    """
+    counts = persons.groupBy(*FRAME).agg(F.count("*").alias("_n"))
+    fits = prefetched.join(counts, FRAME).filter(F.size("hits") == F.col("_n")).select(*FRAME, "hits")
+    rows = persons.join(fits, FRAME, "left").join(direct.select(*FRAME, "ord", F.col("hit").alias("_direct")), [*FRAME, "ord"], "left")
+    return rows.withColumn("pose", F.coalesce(F.get("hits", F.col("rank") - 1), "_direct")).drop("hits", "_direct")
+
+
+def pose_carry(frames: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, pose) from frames with persons (a count) and pose (null: none): the last pose stays.
+
+    A frame with persons and no pose clears it, a frame without persons keeps it.
+    """
+    value = F.when(F.col("pose").isNotNull(), F.struct("pose")).when(F.col("persons") > 0, F.struct(F.lit(None).cast(frames.schema["pose"].dataType).alias("pose")))
+    return carried(frames, value, "held").select(*FRAME, F.col("held.pose").alias("pose"))
+
+
+def union_heads(litter: DataFrame, cigarette: DataFrame) -> DataFrame:
+    """Boxes of both heads in one table with head and layer; litter comes first in a frame."""
+    named = lambda rows, head, layer: rows.withColumns({"head": F.lit(head), "layer": F.lit(layer)})
+    return named(litter, "litter", 0).unionByName(named(cigarette, "cigarette", 1))
+
+
+def union_person_bike(frames: DataFrame, label: str = "motorcycle") -> DataFrame:
+    """Detections from columns person_boxes, person_scores, bike_boxes, bike_scores: persons first, ``ord`` runs on over both."""
+    part = lambda kind, said: explode_arrays(frames.select(*FRAME, F.col(f"{kind}_boxes").alias("boxes"), F.col(f"{kind}_scores").alias("scores")), label=said)
+    before = frames.select(*FRAME, F.coalesce(F.size("person_boxes"), F.lit(0)).alias("_n"))
+    bikes = part("bike", label).join(before, FRAME).withColumn("ord", F.col("ord") + F.greatest("_n", F.lit(0))).drop("_n")
+    return part("person", "person").unionByName(bikes)

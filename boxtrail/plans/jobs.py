@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as g
-from boxtrail.functions.text import head_label, litter_class, plate_label
+from boxtrail.functions.pose import HIP, KNEE, WRIST, posture_cue
+from boxtrail.functions.text import head_label, litter_class
 from boxtrail.operators import evaluation as ev
 from boxtrail.operators import incidents as inc
 from boxtrail.operators import plates as pl
+from boxtrail.operators import results as rt
 from boxtrail.operators import sampling as sm
 from boxtrail.operators import tracking as tr
 from boxtrail.plans.registry import query
-from boxtrail.plans.relational import KEY, all_frames, framed_plates
-from boxtrail.plans.timerule import MARKED, RULE, ranges, samples
+from boxtrail.plans.relational import FRAMED, KEY, POSE_CARRY, RIDER, all_frames, framed_plates, held_poses
+from boxtrail.plans.timerule import CARRIED, INCIDENT_TABLE, MARKED, PLATE, RULE, SAMPLE, TEXT, cadence_sql, incident_table, overlap_sql, ranges, readings, samples
 from boxtrail.settings import DEFAULT as S
-from boxtrail.settings import MOTORCYCLES, VEHICLES
+from boxtrail.settings import MOTORCYCLES, PERSON, VEHICLES
 from boxtrail.sources import clips as src
 from boxtrail.sources.fixtures import FPS
 
@@ -28,48 +30,107 @@ def persons(d):
     return sm.rider_exclusion(seen, sm.confidence_filter(det, MOTORCYCLES, S.scene_confidence))
 
 
-@query("associate_persons")
+def associated_sql(rows, order, least, missed):
+    """Greedy association in DuckDB, one sample after the other: tk has video_id, segment, frame_idx, ord, track_id."""
+    box = "'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'f': f.frame_idx"
+    same = "'x1': t.x1, 'y1': t.y1, 'x2': t.x2, 'y2': t.y2, 'f': t.f"
+    said = "CAST([] AS STRUCT(ord INT, id BIGINT)[])"
+    return f""", fr AS MATERIALIZED (SELECT video_id, segment, frame_idx, row_number() OVER (PARTITION BY video_id, segment ORDER BY frame_idx) AS k, list({{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {order}) AS boxes FROM ({rows}) q GROUP BY video_id, segment, frame_idx),
+rec1 AS (SELECT video_id, segment, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS frame_idx, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, f BIGINT, u BOOLEAN)[]) AS tracks, {said} AS said FROM fr WHERE fr.k = 1
+ UNION ALL SELECT r.video_id, r.segment, r.k, r.frame_idx, r.s.n, r.s.tracks, r.s.said FROM (SELECT p.video_id, p.segment, f.k, f.frame_idx, list_reduce(f.boxes, lambda acc, b:
+   list_transform([list_max(list_filter(list_transform(acc.tracks, lambda t: {{'o': CASE WHEN t.u THEN -1.0 ELSE {overlap_sql('t.', 'b.')} END, 'neg': -t.id}}), lambda c: c.o >= {least}))], lambda m:
+     CASE WHEN m IS NULL THEN {{'n': acc.n + 1, 'tracks': list_append(acc.tracks, {{'id': acc.n, {box}, 'u': false}}), 'said': list_append(acc.said, {{'ord': b.ord, 'id': acc.n}})}}
+     ELSE {{'n': acc.n, 'tracks': list_transform(acc.tracks, lambda t: CASE WHEN t.id = -m.neg THEN {{'id': t.id, {box}, 'u': true}} ELSE t END), 'said': list_append(acc.said, {{'ord': b.ord, 'id': -m.neg}})}} END)[1],
+   {{'n': p.n, 'tracks': list_transform(list_filter(p.tracks, lambda t: f.frame_idx - t.f <= {missed}), lambda t: {{'id': t.id, {same}, 'u': false}}), 'said': {said}}}) AS s FROM rec1 p JOIN fr f ON f.video_id = p.video_id AND f.segment = p.segment AND f.k = p.k + 1) r),
+tk AS MATERIALIZED (SELECT video_id, segment, frame_idx, u.ord AS ord, u.id AS track_id FROM (SELECT video_id, segment, frame_idx, unnest(said) AS u FROM rec1) z)
+"""
+
+
+def segments_sql(rows, most):
+    """The rows with a segment that grows where consecutive frames are more than ``most`` apart."""
+    return f"""SELECT q.*, segment FROM ({rows}) q JOIN (SELECT video_id, frame_idx, CAST(sum(g) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM
+  (SELECT video_id, frame_idx, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) > {most} THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT video_id, frame_idx FROM ({rows}) d1) d2) d3) d4 USING (video_id, frame_idx)"""
+
+
+BOXED = "SELECT video_id, frame_idx, ord, confidence, x1, y1, x2, y2 FROM detections"
+GATED_PERSONS = f", gp AS MATERIALIZED ({RIDER})"
+PERSON_ROWS = f"{BOXED} SEMI JOIN gp USING (video_id, frame_idx, ord) WHERE confidence >= 0.4"
+PERSON_TRACKS = GATED_PERSONS + associated_sql(segments_sql(PERSON_ROWS, 24), "confidence DESC, ord", S.person_iou, 24)
+VEHICLE_TRACKS = associated_sql(segments_sql(f"{BOXED} WHERE label <> 'person' AND confidence >= 0.4", STEP), "ord", S.vehicle_iou, STEP)
+
+
+@query("associate_persons", PERSON_TRACKS + "SELECT * FROM tk")
 def _(d):
     return tr.associate_persons(persons(d), FPS).select(*KEY, "segment", "track_id")
 
 
-@query("associate_vehicles")
+@query("associate_vehicles", VEHICLE_TRACKS + "SELECT * FROM tk")
 def _(d):
     return tr.associate_vehicles(sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence), STEP).select(*KEY, "segment", "track_id")
 
 
+def keypoints(hit):
+    """Keypoints of a standing person with a hand near the hips, or far from them."""
+    at = lambda y: F.struct(F.lit(0.5).alias("x"), y.alias("y"), F.lit(0.9).alias("c"))
+    y = {WRIST["L"]: F.when(hit, 0.53).otherwise(0.2), HIP["L"]: F.lit(0.5), HIP["R"]: F.lit(0.52), KNEE["L"]: F.lit(0.8)}
+    unseen = F.struct(F.lit(0.5).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("c"))
+    return F.array(*[at(y[k]) if k in y else unseen for k in range(1, 18)])
+
+
 def tracked_samples(d):
-    """Associated persons as samples: track_id is segment and number in one; the posture cue comes by key."""
+    """Associated persons as samples: track_id is segment and number in one; the posture cue comes from keypoints by key."""
     rows = tr.associate_persons(persons(d), FPS)
-    cue = d["detections"].select(*KEY, F.col("pose_hit").alias("hit"))
+    cue = d["detections"].filter("label = 'person'").select(*KEY, posture_cue(keypoints(F.col("pose_hit")), S.visibility, S.wrist_limit).alias("hit"))
     unique = F.col("segment") * 1000000000 + F.col("track_id")
     return rows.join(cue, KEY).select("video_id", unique.alias("track_id"), "frame_idx", *g.Box._fields, "hit")
 
 
-@query("incident_job_tracked")
-def _(d):
-    return inc.incident_intervals(inc.time_rule(tracked_samples(d), FPS)[2], d["clips"])
+TRACKED = PERSON_TRACKS + RULE.replace("smp AS (SELECT video_id, actor_id AS track_id, frame_idx, x1, y1, x2, y2, confidence, pose_hit AS hit FROM detections WHERE label = 'person' AND confidence >= 0.4)", "smp AS MATERIALIZED (SELECT video_id, segment * 1000000000 + track_id AS track_id, frame_idx, x1, y1, x2, y2, confidence, pose_hit AS hit FROM tk JOIN detections USING (video_id, frame_idx, ord))")
 
 
-LITTER = """, lt AS (SELECT vec_id, pos, logit, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, pos) AS INT) AS rank FROM (SELECT vec_id, unnest(logits) AS logit, unnest(range(64)) AS pos FROM logits) q)
-SELECT vec_id, rank, pos // 4 AS query, CASE WHEN pos % 4 = 1 THEN 'cigarette' ELSE 'litter' END AS label, CASE WHEN pos % 4 = 1 THEN 1 ELSE 0 END AS class_id, round(1 / (1 + exp(-logit)), 9) AS score,
-  round((CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 - 0.05) * 1920, 6) AS x1, round((CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 + 0.05) * 1920, 6) AS x2
-FROM lt WHERE rank <= 50 AND 1 / (1 + exp(-logit)) >= 0.5 AND (pos % 4 <> 1 OR (vec_id // 8) % 2 = 1)"""
+@query("incident_job_tracked", TRACKED + INCIDENT_TABLE)
+def _(d):
+    """From raw boxes: gate, riders, association, posture from keypoints, the time rule, the interval table."""
+    rows = tracked_samples(d)
+    return incident_table(d, rows, inc.time_rule(rows, FPS)[2])
+
+
+# Litter: frame numbers and videos of the score lists; only frames with activity count, the cigarette head runs on every second batch.
+LITTER = """, fv AS (SELECT vec_id, vec_id % 10 AS video_id, (vec_id // 10) * 2 + 40 AS frame_idx, logits FROM logits),
+ga AS (SELECT fv.*, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM fv SEMI JOIN (SELECT DISTINCT video_id, frame_idx FROM detections WHERE confidence >= 0.4) q USING (video_id, frame_idx)),
+lt AS (SELECT video_id, frame_idx, vec_id, rn, pos, logit, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, pos) AS INT) AS rank FROM (SELECT video_id, frame_idx, vec_id, rn, unnest(logits) AS logit, unnest(range(64)) AS pos FROM ga) q),
+lb AS (SELECT video_id, frame_idx, rank, pos // 4 AS query, CASE WHEN pos % 4 = 1 THEN 'cigarette' ELSE 'litter' END AS label, CASE WHEN pos % 4 = 1 THEN 1 ELSE 0 END AS class_id, 1 / (1 + exp(-logit)) AS score,
+  (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 - 0.05) * 1920 AS x1, (0.5 - 0.05) * 1920 - 420 AS y1, (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 + 0.05) * 1920 AS x2, (0.5 + 0.05) * 1920 - 420 AS y2
+  FROM lt WHERE rank <= 50 AND 1 / (1 + exp(-logit)) >= 0.5 AND (pos % 4 <> 1 OR CAST(ceil(rn / 8.0) AS BIGINT) % 2 = 0))"""
+
+
+def litter_boxes(d):
+    """Heads of one flat list, decoded from a letterboxed input: class 1 is the cigarette head."""
+    lists = d["logits"].withColumns({"video_id": F.col("vec_id") % 10, "frame_idx": F.expr("(vec_id div 10) * 2 + 40")})
+    gated = sm.gate(lists, d["detections"], PERSON + VEHICLES, S.scene_confidence)
+    runs_on = sm.every_nth_batch(gated.select("video_id", "frame_idx")).select("video_id", "frame_idx")
+    top = sm.decode_topk(gated, 4, 300, 0.5, 50).join(gated.select("vec_id", "video_id", "frame_idx"), "vec_id")
+    is_cigarette = F.col("class_id") == 1
+    both = sm.union_heads(top.filter(~is_cigarette), top.filter(is_cigarette).join(runs_on, ["video_id", "frame_idx"], "left_semi"))
+    cx = (F.col("vec_id") % 10).cast("double") / 20 + F.col("query") / 40.0
+    box = g.letterbox(F.lit(1920), F.lit(1080), 640, 640)
+    b = g.unletterbox(g.from_centre(cx, F.lit(0.5), F.lit(0.1), F.lit(0.1)), *[box[k] for k in ("ox", "oy", "gain_x", "gain_y")])
+    label = head_label(F.when(is_cigarette, "cigarette"), F.lit(None).cast("string"), "litter")
+    return both.withColumn("label", label).select(
+        "video_id", "frame_idx", "rank", "query", "label", litter_class(F.col("label")).alias("class_id"), "score", b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")
+    )
 
 
-@query("litter_job", LITTER)
+@query("litter_job", LITTER + "SELECT video_id, frame_idx, rank, query, label, class_id, round(score, 9) AS score, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM lb")
 def _(d):
-    """Heads of one flat list: class 1 is the cigarette head, which runs on every second batch of 8 frames."""
-    top = sm.decode_topk(d["logits"], 4, 300, 0.5, 50)
-    cx = (F.col("vec_id") % 10).cast("double") / 20 + F.col("query") / 40.0
-    b = g.unletterbox(g.from_centre(cx, F.lit(0.5), F.lit(0.1), F.lit(0.1)), F.lit(0.0), F.lit(0.0), F.lit(1920.0), F.lit(1080.0))
-    is_cigarette = F.col("class_id") == 1
-    named = top.withColumn("label", head_label(F.when(is_cigarette, "cigarette"), F.lit(None).cast("string"), "litter"))
-    kept = named.filter(~is_cigarette | (F.expr("vec_id div 8") % 2 == 1))
-    return kept.select("vec_id", "rank", "query", "label", litter_class(F.col("label")).alias("class_id"), F.round("score", 9).alias("score"), F.round(b.x1, 6).alias("x1"), F.round(b.x2, 6).alias("x2"))
+    rounded = {"score": F.round("score", 9)} | {c: F.round(c, 6) for c in g.Box._fields}
+    return litter_boxes(d).withColumns(rounded)
 
 
-@query("plate_job")
+PLATE_ROWS = f"SELECT f.video_id, segment, track_id, frame_idx, {TEXT}, score, g_x1, g_y1, g_x2, g_y2 FROM framed f JOIN plates p USING (video_id, frame_idx, ord) JOIN tk USING (video_id, frame_idx, ord) WHERE plate_confidence >= 0.25"
+
+
+@query("plate_job", FRAMED + VEHICLE_TRACKS + cadence_sql(PLATE_ROWS, ("video_id", "segment", "track_id")) + "SELECT * FROM cd")
 def _(d):
     """Vehicle tracks by association, plates in frame pixels, cadence, lock and reuse: the text after every sample."""
     tracks = tr.associate_vehicles(sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence), STEP).select(*KEY, "segment", "track_id")
@@ -87,13 +148,16 @@ def _distance():
 
 
 def sweep_streaks(d):
-    """Streaks per threshold. Motion and still time are computed once; only counted hits are redone for each threshold."""
+    """Streaks per threshold. Samples are passed once: a second's hits are an array with a count for each threshold, and only
+    seconds are multiplied by the grid.
+    """
     base = inc.still_time(inc.box_motion(samples(d).withColumn("distance", _distance())), FPS)
     hits = inc.gated_hits(base, FPS)
-    grid = d.spark.createDataFrame([(x,) for x in GRID], "threshold double")
-    per = hits.crossJoin(F.broadcast(grid))  # a fixed grid of parameters
-    per = per.withColumn("counted", F.col("ready") & (F.col("distance") < F.col("threshold"))).withColumn("track_id", F.struct("track_id", "threshold"))
-    streaks = inc.good_streak(inc.hits_per_second(per))
+    counts = F.array(*[F.count_if(F.col("ready") & (F.col("distance") < t)) for t in GRID])
+    grid = F.array(*[F.lit(t) for t in GRID])
+    per = inc.hits_per_second(hits, counts)
+    per = per.select("*", F.posexplode("hits").alias("at", "n")).withColumns({"hits": F.col("n"), "track_id": F.struct("track_id", F.element_at(grid, F.col("at") + 1).alias("threshold"))}).drop("at", "n")
+    streaks = inc.good_streak(per)
     return streaks.select("video_id", F.col("track_id.track_id").alias("track_id"), F.col("track_id.threshold").alias("threshold"), "sec", "streak", "next_frame")
 
 
@@ -114,7 +178,7 @@ def sweep_rows(d):
 
 SWEEP = (
     RULE.replace("confidence, pose_hit AS hit FROM", "confidence, 0 AS hit, (actor_id * 31 + frame_idx // 2 * 7) % 25 / 100.0 AS distance FROM").replace("mv AS (SELECT video_id, track_id, frame_idx, hit,", "mv AS (SELECT video_id, track_id, frame_idx, hit, distance,").replace("hit AND still_frames >= 8 AS counted", "false AS counted").split("lr AS (")[0].rstrip().rstrip(",")
-    + """, gr AS (SELECT unnest([0.05, 0.08, 0.11, 0.14, 0.17, 0.20]) AS threshold), dr AS (SELECT unnest([3, 5, 8, 10]) AS seconds),
+    + """, gr AS (SELECT unnest(CAST([0.05, 0.08, 0.11, 0.14, 0.17, 0.20] AS DOUBLE[])) AS threshold), dr AS (SELECT unnest([3, 5, 8, 10]) AS seconds),
 tl AS (SELECT *, max(run) OVER (PARTITION BY video_id, track_id, sec) AS last_run, max(frame_idx) OVER (PARTITION BY video_id, track_id, sec) AS last_frame FROM ht),
 tp AS (SELECT threshold, video_id, track_id, sec, count(*) FILTER (ready AND distance < threshold AND run = last_run) AS hits, bool_or(moved) AS has_motion, max(next_frame) FILTER (frame_idx = last_frame) AS next_frame,
    coalesce(bool_or(next_moved) FILTER (frame_idx = last_frame), false) AS next_moved FROM tl, gr GROUP BY ALL),
@@ -132,7 +196,7 @@ tr AS (SELECT *, CASE WHEN truth AND events > 0 THEN 'TP' WHEN truth THEN 'FN' W
 )
 
 
-@query("sweep_grid", "SELECT video_id, threshold, seconds FROM clips, (SELECT unnest([0.05, 0.08, 0.11, 0.14, 0.17, 0.20]) AS threshold) g, (SELECT unnest([3, 5, 8, 10]) AS seconds) d")
+@query("sweep_grid", "SELECT video_id, threshold, seconds FROM clips, (SELECT unnest(CAST([0.05, 0.08, 0.11, 0.14, 0.17, 0.20] AS DOUBLE[])) AS threshold) g, (SELECT unnest([3, 5, 8, 10]) AS seconds) d")
 def _(d):
     return d["clips"].select("video_id").crossJoin(F.broadcast(ev.grid(d.spark, GRID, SECONDS)))
 
@@ -150,12 +214,20 @@ def _(d):
     return sweep_rows(d).select("video", "path", "threshold", "seconds", "truth", "predicted", "result", "clip_tag", "events")
 
 
-@query("write_eval", SWEEP_ROWS)
+NOTED = "CASE WHEN truth THEN 'should detect peeing' ELSE 'should NOT detect peeing' END"
+EVALUATION = SWEEP + f"""SELECT video, clip_tag, path AS video_path, threshold AS hand_groin_y_threshold, seconds AS seconds_required, CASE WHEN truth THEN 'yes' ELSE 'no' END AS should_detect_peeing, CASE WHEN truth THEN 'yes' ELSE 'no' END AS ground_truth_peeing,
+  CASE WHEN events > 0 THEN 'yes' ELSE 'no' END AS predicted_peeing, result, CASE WHEN result IN ('TP', 'TN') THEN 'yes' ELSE 'no' END AS is_correct, CASE WHEN result = 'TP' THEN 'yes' ELSE 'no' END AS is_tp, events AS peeing_event_count, video_id / 4.0 AS wall_sec,
+  CASE result WHEN 'TP' THEN CASE clip_tag WHEN 'FN' THEN 'Prod miss (' || {NOTED} || '); model detected — fixed' WHEN 'TP' THEN 'Prod hit (' || {NOTED} || '); model detected — OK' ELSE {NOTED} || '; model detected — OK' END
+   WHEN 'FN' THEN CASE WHEN clip_tag IN ('FN', 'TP') THEN 'Prod miss/hit (' || {NOTED} || '); model missed — still wrong' ELSE {NOTED} || '; model missed' END WHEN 'FP' THEN {NOTED} || '; model fired — false alarm' ELSE {NOTED} || '; model silent — OK' END AS notes FROM tr"""
+
+
+@query("write_eval", EVALUATION)
 def _(d):
     path = src.scratch(d.spark, "eval")
-    rows = sweep_rows(d).select("video", "path", "threshold", "seconds", "truth", "predicted", "result", "clip_tag", "events")
+    wall = d["clips"].select("path", (F.col("video_id") / 4).alias("wall_sec"))
+    rows = rt.evaluation_table(sweep_rows(d).join(wall, "path"))
     src.overwrite_csv(rows, path)
-    return d.spark.read.schema(rows.schema).csv(path, header=True)
+    return d.spark.read.schema(rows.schema).csv(path, header=True).withColumn("clip_tag", F.coalesce("clip_tag", F.lit("")))
 
 
 COUNTS = ", tq AS (SELECT threshold, seconds, count(*) FILTER (result = 'TP') AS tp, count(*) FILTER (result = 'FN') AS fn, count(*) FILTER (result = 'FP') AS fp, count(*) FILTER (result = 'TN') AS tn, count(*) FILTER (result IN ('TP', 'TN')) AS correct, count(*) AS clips FROM tr GROUP BY ALL)"
@@ -181,25 +253,56 @@ def _(d):
     return ev.by_tag(sweep_rows(d))
 
 
-ANNOTATION = RULE + MARKED + """SELECT video_id, frame_idx, 1 AS layer, label || format(' {:.2f}', confidence) AS said, CAST(x1 AS BIGINT) AS x1 FROM detections
-UNION ALL SELECT video_id, frame_idx, 2, format('LP {:.2f}', plate_confidence), CAST(x1 AS BIGINT) FROM plates WHERE score < 0.5
-UNION ALL SELECT video_id, frame_idx, 3, 'CONFIRMED', CAST(x1 AS BIGINT) FROM mk"""
+CLAMPED = ", ".join(f"CAST(greatest(0, least({side} - 1, CAST(trunc({c}) AS BIGINT))) AS INT) AS {c}" for c, side in (("x1", 1920), ("y1", 1080), ("x2", 1920), ("y2", 1080)))
+LAYERS = f""", an AS (SELECT * FROM (SELECT video_id, frame_idx, 0 AS layer, label || format(' {{:.2f}}', score) AS said, class_id, {CLAMPED} FROM lb) q WHERE x2 > x1 AND y2 > y1
+UNION ALL SELECT * FROM (SELECT video_id, frame_idx, 1, label || format(' {{:.2f}}', confidence), 0, {CLAMPED} FROM detections) q WHERE x2 > x1 AND y2 > y1
+UNION ALL SELECT video_id, frame_idx, 2, label, 0, g_x1, g_y1, g_x2, g_y2 FROM framed JOIN (SELECT video_id, frame_idx, actor_id AS track_id, ord FROM plates) p USING (video_id, frame_idx, ord) JOIN lc USING (video_id, track_id, frame_idx) WHERE label IS NOT NULL)"""
+MARKS = "SELECT video_id, frame_idx, 3 AS layer, 'CONFIRMED' AS said, 0 AS class_id, CAST(round_even(x1, 0) AS INT) AS x1, CAST(round_even(y1, 0) AS INT) AS y1, CAST(round_even(x2, 0) AS INT) AS x2, CAST(round_even(y2, 0) AS INT) AS y2 FROM mk"
+ANNOTATION = RULE + MARKED + LITTER + FRAMED + CARRIED + LAYERS
+POSES = f", ps1 AS ({POSE_CARRY})"
+
+
+def annotation_layers(d):
+    """The rows of sampled frames: litter, scene boxes, plate labels. Boxes are cut to the frame."""
+    whole = ["video_id", "frame_idx", "layer", "said", "class_id", *g.Box._fields]
+    cut = lambda rows, layer, said, kind: sm.with_box(rows.select("video_id", "frame_idx", F.lit(layer).alias("layer"), said.alias("said"), kind.cast("int").alias("class_id"), *g.Box._fields), g.clamp_box(g.box(), F.lit(1920), F.lit(1080)))
+    litter = cut(litter_boxes(d), 0, F.format_string("%s %.2f", "label", F.bround("score", 2)), F.col("class_id"))
+    scene = cut(sm.scene_filter(d["detections"]), 1, F.format_string("%s %.2f", "label", F.bround("confidence", 2)), F.lit(0))
+    rows = readings(d)
+    labels = pl.label_carry(rows.filter("frame_idx % 6 = 0"), rows.select(*SAMPLE)).filter("label is not null").select(*SAMPLE, "label")
+    plates = framed_plates(d).withColumnRenamed("actor_id", "track_id").join(labels, SAMPLE)
+    plates = plates.select("video_id", "frame_idx", F.lit(2).alias("layer"), F.col("label").alias("said"), F.lit(0).alias("class_id"), *[F.col(f"g_{c}").alias(c) for c in g.Box._fields])
+    return litter.select(*whole).unionByName(scene.select(*whole)).unionByName(plates)
 
 
-def annotation_rows(d):
-    row = lambda rows, layer, said: rows.select("video_id", "frame_idx", F.lit(layer).alias("layer"), said.alias("said"), F.col("x1").cast("long").alias("x1"))
-    scene = row(sm.scene_filter(d["detections"]), 1, F.format_string("%s %.2f", "label", "confidence"))
-    unread = d["plates"].filter(F.col("score") < S.text_confidence)
-    plates = row(unread, 2, plate_label(F.lit(""), F.lit(0.0), F.col("score"), F.col("plate_confidence"), S.text_confidence))
-    marks = row(inc.marked_boxes(all_frames(d), samples(d), ranges(d)), 3, F.lit("CONFIRMED"))
-    return scene.unionByName(plates).unionByName(marks)
+def marks(d):
+    whole = [F.bround(c).cast("int").alias(c) for c in g.Box._fields]
+    rows = inc.marked_boxes(all_frames(d), samples(d), ranges(d))
+    return rows.select("video_id", "frame_idx", F.lit(3).alias("layer"), F.lit("CONFIRMED").alias("said"), F.lit(0).alias("class_id"), *whole)
+
+
+@query("annotation_rows", ANNOTATION + "SELECT * FROM an UNION ALL " + MARKS)
+def _(d):
+    return annotation_layers(d).unionByName(marks(d))
 
 
-@query("annotation_rows", ANNOTATION)
+@query("annotation_job", ANNOTATION + POSES + """, ah AS (SELECT f.video_id, f.frame_idx, layer, said, class_id, x1, y1, x2, y2 FROM frames f JOIN an ON an.video_id = f.video_id AND an.frame_idx = f.frame_idx - f.frame_idx % 2
+  UNION ALL SELECT f.video_id, f.frame_idx, 4, CAST(pose AS VARCHAR), 0, NULL, NULL, NULL, NULL FROM frames f JOIN ps1 p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx - f.frame_idx % 2 WHERE pose IS NOT NULL
+  UNION ALL """ + MARKS + ") SELECT * FROM ah")
 def _(d):
-    return annotation_rows(d)
+    """Every decoded frame: the layers and the held pose of its last sampled frame, and the boxes of confirmed tracks."""
+    none = {c: F.lit(None).cast("int") for c in g.Box._fields}
+    poses = held_poses(d).filter("pose is not null").select("video_id", "frame_idx", F.lit(4).alias("layer"), F.col("pose").cast("string").alias("said"), F.lit(0).alias("class_id")).withColumns(none)
+    held = sm.carry_forward(all_frames(d), annotation_layers(d).unionByName(poses), d["clips"]).drop("sample_frame")
+    return held.unionByName(marks(d))
 
 
-@query("annotation_job", ANNOTATION.replace("SELECT video_id, frame_idx, 1 AS layer", "SELECT video_id, frame_idx, count(*) AS rows, max(layer) AS top FROM (SELECT video_id, frame_idx, 1 AS layer") + ") q GROUP BY video_id, frame_idx")
+@query("event_log", RULE + LITTER + PLATE + f"""SELECT video_id, start_sec AS ts, 'urination' AS event_type, NULL AS x1, NULL AS y1, NULL AS x2, NULL AS y2, 1.0 AS confidence, NULL AS extra FROM incidents
+UNION ALL SELECT v.video_id, ts, 'vehicle', x1, y1, x2, y2, v.confidence, text FROM (SELECT video_id, actor_id AS track_id, min(frame_idx) / 8.0 AS ts, arg_min(x1, frame_idx) AS x1, arg_min(y1, frame_idx) AS y1, arg_min(x2, frame_idx) AS x2, arg_min(y2, frame_idx) AS y2, max(confidence) AS confidence
+   FROM detections WHERE label <> 'person' AND confidence >= 0.4 GROUP BY ALL) v LEFT JOIN (SELECT video_id, track_id, arg_max(best_text, frame_idx) AS text FROM rb GROUP BY ALL HAVING arg_max(best_text, frame_idx) <> '') t USING (video_id, track_id)
+UNION ALL SELECT video_id, frame_idx / 8.0, 'litter', round(x1, 6), round(y1, 6), round(x2, 6), round(y2, 6), round(score, 9), label FROM lb""")
 def _(d):
-    return annotation_rows(d).groupBy("video_id", "frame_idx").agg(F.count("*").alias("rows"), F.max("layer").alias("top"))
+    seen = sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence).withColumns({"track_id": F.col("actor_id"), "ts": F.col("frame_idx") / FPS})
+    last = pl.running_best_text(readings(d)).groupBy("video_id", "track_id").agg(F.max_by("best_text", "frame_idx").alias("text")).filter("text <> ''")
+    rounded = {c: F.round(c, 6) for c in g.Box._fields} | {"ts": F.col("frame_idx") / FPS, "confidence": F.round("score", 9)}
+    return rt.event_log(inc.incident_intervals(ranges(d), d["clips"]), seen, last, litter_boxes(d).withColumns(rounded))

@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtrail.sources.fixtures import duck, tables
+from boxtrail.sources.clips import scratch
+from boxtrail.sources.fixtures import duck, rows, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Where a session has written its detection rows, by application and data folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 class Tables(dict):
-    """The fixture tables of one scale, with the session and its folder."""
+    """The fixture tables of one scale, with the session and its folder. Detections are derived once a session and written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        super().__init__(tables(spark, sf_dir))
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _WRITTEN:
+            path = scratch(spark, "fixture")
+            rows(spark, sf_dir).write.parquet(path)
+            _WRITTEN[key] = path
+        super().__init__(tables(spark, sf_dir, spark.read.parquet(_WRITTEN[key])))
         self.spark, self.sf_dir = spark, sf_dir
 
 

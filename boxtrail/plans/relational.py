@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as g
@@ -20,10 +21,30 @@ DETS = ", ".join(DET)
 KEY = ["video_id", "frame_idx", "ord"]
 
 
-@query("scan_clips")
+# a file of as many bytes as its clip has frames, and one of another kind beside every third clip
+FILES = ", files AS (SELECT path, total_frames AS length FROM clips UNION ALL SELECT path || '.txt', 1 FROM clips WHERE video_id % 3 = 0)"
+
+
+def _make_files(root):
+    def make(batches):
+        fs, top = pa.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs.create_dir((top + path).rsplit("/", 1)[0])
+                with fs.open_output_stream(top + path) as out:
+                    out.write(b"0" * size)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    return make
+
+
+@query("scan_clips", FILES + "SELECT path, length FROM files WHERE regexp_matches(lower(path), '\\.(mp4|mov|avi|mkv|webm|m4v)$')")
 def _(d):
-    found = src.scan_clips(d.spark, d.sf_dir, (".parquet",))
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length").orderBy("name")
+    c = d["clips"]
+    files = c.select("path", F.col("total_frames").alias("size")).unionByName(c.filter("video_id % 3 = 0").select(F.concat("path", F.lit(".txt")).alias("path"), F.lit(1).cast("long").alias("size")))
+    root = src.scratch(d.spark, "clips")
+    files.mapInArrow(_make_files(root), "files long").agg(F.sum("files")).collect()
+    return src.scan_clips(d.spark, root).select(F.regexp_extract("path", r"(/clips/[^/]*/[^/]*)$", 1).alias("path"), "length")
 
 
 @query("scan_eval_clips", "SELECT DISTINCT path FROM clips WHERE regexp_matches(path, '/(FN|FP|TP)[^/]*\\.(mp4|avi|mov)$')")
@@ -33,9 +54,7 @@ def _(d):
 
 @query("ordered_clips", "SELECT path, row_number() OVER (ORDER BY path) AS place FROM clips")
 def _(d):
-    # one row per clip; ranks come from a range-partitioned sort, not from one task
-    ranked = src.ordered_clips(d["clips"].select("path")).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
-    return d.spark.createDataFrame(ranked, "path string, place long")
+    return src.numbered_clips(d["clips"])
 
 
 @query("read_manifest", "SELECT regexp_extract(path, '([^/]*)$', 1) AS video, (video_id + 1) % 3 = 0 AS truth FROM clips")
@@ -129,10 +148,15 @@ def _(d):
     return sm.with_box(d["detections"].select(*KEY, *g.Box._fields), g.padded_crop(g.box(), F.lit(1500), F.lit(700), S.crop_margin))
 
 
-@query("crop_quality")
+LAPLACE = """, px AS (SELECT vec_id, p // 8 AS r, p % 8 AS c, logits[p + 1] * 400 AS g FROM (SELECT vec_id, logits, unnest(range(64)) AS p FROM logits) q),
+lp AS (SELECT o.vec_id, n.g AS up, s.g AS down, w.g AS lt, e.g AS rt, o.g FROM px o JOIN px n ON n.vec_id = o.vec_id AND n.c = o.c AND n.r = abs(o.r - 1) JOIN px s ON s.vec_id = o.vec_id AND s.c = o.c AND s.r = 7 - abs(7 - o.r - 1)
+   JOIN px w ON w.vec_id = o.vec_id AND w.r = o.r AND w.c = abs(o.c - 1) JOIN px e ON e.vec_id = o.vec_id AND e.r = o.r AND e.c = 7 - abs(7 - o.c - 1))"""
+
+
+@query("crop_quality", LAPLACE + "SELECT vec_id FROM lp GROUP BY vec_id HAVING var_pop(up + down + lt + rt - 4 * g) >= 30000")
 def _(d):
     crops = d["logits"].select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("logits", lambda x: x * 400).alias("gray"))
-    return sharp_crops(crops, least_side=8).select("vec_id")
+    return sharp_crops(crops, least_side=8, least=30000.0).select("vec_id")
 
 
 GATED = "(SELECT DISTINCT video_id, frame_idx FROM detections WHERE {})"
@@ -184,7 +208,7 @@ def _(d):
 OVER = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
 
-@query("overlap_pairs", f"SELECT * FROM (SELECT b.video_id, b.frame_idx, a.ord AS prev_ord, b.ord, round({OVER} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {OVER}), 9) AS iou FROM detections a JOIN detections b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx + 2) q WHERE iou >= 0.35")
+@query("overlap_pairs", f", boxes AS MATERIALIZED (SELECT video_id, frame_idx, ord, x1, y1, x2, y2 FROM detections) SELECT * FROM (SELECT b.video_id, b.frame_idx, a.ord AS prev_ord, b.ord, round({OVER} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {OVER}), 9) AS iou FROM boxes a JOIN boxes b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx + 2 AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) q WHERE iou >= 0.35")
 def _(d):
     return sm.overlap_pairs(d["detections"], 2, S.person_iou).withColumn("iou", F.round("iou", 9))
 
@@ -196,19 +220,28 @@ def framed_plates(d):
     return sm.plate_to_frame(rows, d["clips"])
 
 
-@query("plate_to_frame", """SELECT video_id, frame_idx, ord, least(1919, vx1 + least(vx2 - vx1 - 1, CAST(px AS INT))) AS g_x1, least(1079, vy1 + least(vy2 - vy1 - 1, CAST(py AS INT))) AS g_y1, least(1919, vx1 + least(vx2 - vx1 - 1, CAST(px AS INT) + 40)) AS g_x2, least(1079, vy1 + least(vy2 - vy1 - 1, CAST(py AS INT) + 14)) AS g_y2
+FRAMED = """, framed AS (SELECT video_id, frame_idx, ord, least(1919, vx1 + least(vx2 - vx1 - 1, CAST(px AS INT))) AS g_x1, least(1079, vy1 + least(vy2 - vy1 - 1, CAST(py AS INT))) AS g_y1, least(1919, vx1 + least(vx2 - vx1 - 1, CAST(px AS INT) + 40)) AS g_x2, least(1079, vy1 + least(vy2 - vy1 - 1, CAST(py AS INT) + 14)) AS g_y2
   FROM (SELECT *, CAST(greatest(0, least(1919, trunc(x1))) AS INT) AS vx1, CAST(greatest(0, least(1079, trunc(y1))) AS INT) AS vy1, CAST(greatest(0, least(1919, trunc(x2))) AS INT) AS vx2, CAST(greatest(0, least(1079, trunc(y2))) AS INT) AS vy2 FROM plates) q
-  WHERE vx2 > vx1 AND vy2 > vy1 AND least(vx2 - vx1 - 1, CAST(px AS INT) + 40) > least(vx2 - vx1 - 1, CAST(px AS INT)) AND least(vy2 - vy1 - 1, CAST(py AS INT) + 14) > least(vy2 - vy1 - 1, CAST(py AS INT))""")
+  WHERE vx2 > vx1 AND vy2 > vy1 AND least(vx2 - vx1 - 1, CAST(px AS INT) + 40) > least(vx2 - vx1 - 1, CAST(px AS INT)) AND least(vy2 - vy1 - 1, CAST(py AS INT) + 14) > least(vy2 - vy1 - 1, CAST(py AS INT)))
+"""
+
+
+@query("plate_to_frame", FRAMED + "SELECT * FROM framed")
 def _(d):
     return framed_plates(d).select(*KEY, *[f"g_{c}" for c in g.Box._fields])
 
 
-# pose rows of a frame meet its persons by key; half of them have none
-@query("pose_join", "SELECT d.video_id, d.frame_idx, d.ord, CASE WHEN (d.frame_idx + d.ord) % 2 = 0 THEN (actor_id + i) % 9 <> 0 END AS pose FROM detections d WHERE label = 'person'")
+# hits come as a list for each frame; every third frame's list is one short, so its hits come by key, where odd crops have none
+@query("pose_join", """, pp AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY confidence DESC, ord) AS rank FROM detections WHERE label = 'person')
+SELECT video_id, frame_idx, ord, CASE WHEN frame_idx % 3 <> 0 AND rank % 4 <> 0 THEN pose_hit WHEN ord % 2 = 0 THEN NOT pose_hit END AS pose FROM pp""")
 def _(d):
-    persons = d["detections"].filter("label = 'person'")
-    poses = persons.filter((F.col("frame_idx") + F.col("ord")) % 2 == 0).select(*KEY, F.col("pose_hit").alias("pose"))
-    return persons.select(*KEY).join(poses, KEY, "left")
+    persons = sm.person_rank(d["detections"].filter("label = 'person'"))
+    hit = F.when(F.col("rank") % 4 != 0, F.col("pose_hit"))
+    lists = persons.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("rank", hit.alias("hit")))).alias("l"))
+    hits = F.transform("l", lambda x: x["hit"])
+    lists = lists.select("video_id", "frame_idx", F.when(F.col("frame_idx") % 3 == 0, F.slice(hits, 1, F.size("l") - 1)).otherwise(hits).alias("hits"))
+    direct = persons.filter("ord % 2 = 0").select(*KEY, (~F.col("pose_hit")).alias("hit"))
+    return sm.pose_join(persons, lists, direct).select(*KEY, "pose")
 
 
 @query("person_rank", "SELECT video_id, frame_idx, ord, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY confidence DESC, ord) AS INT) AS rank FROM detections WHERE label = 'person') q WHERE rank <= 3")
@@ -272,36 +305,18 @@ def _(d):
 
 @query("union_heads", "SELECT vec_id, 'litter' AS head, 0 AS layer, rank FROM top WHERE rank <= 5 UNION ALL SELECT vec_id, 'cigarette', 1, rank FROM top WHERE rank <= 3 AND pos % 4 = 1".join([TOP, ""]))
 def _(d):
-    top = sm.decode_topk(d["logits"], 4, 300, 0.0, 5)
-    litter = top.select("vec_id", F.lit("litter").alias("head"), F.lit(0).alias("layer"), "rank")
-    return litter.unionByName(top.filter("rank <= 3 and class_id = 1").select("vec_id", F.lit("cigarette").alias("head"), F.lit(1).alias("layer"), "rank"))
+    top = sm.decode_topk(d["logits"], 4, 300, 0.0, 5).select("vec_id", "rank", "class_id")
+    return sm.union_heads(top, top.filter("rank <= 3 and class_id = 1")).drop("class_id")
 
 
-@query("union_person_bike", f"SELECT {DETS} FROM detections WHERE label = 'person' UNION ALL SELECT {DETS.replace('label', "'motorcycle' AS label")} FROM detections WHERE label = 'motorcycle'")
+@query("union_person_bike", """, n AS (SELECT video_id, frame_idx, label, row_number() OVER (PARTITION BY video_id, frame_idx, label ORDER BY ord) - 1 AS k, count(*) FILTER (label = 'person') OVER (PARTITION BY video_id, frame_idx) AS persons, confidence, x1, y1, x2, y2 FROM detections WHERE label IN ('person', 'motorcycle'))
+SELECT video_id, frame_idx, CAST(CASE WHEN label = 'person' THEN k ELSE k + persons END AS INT) AS ord, label, confidence, x1, y1, x2, y2 FROM n""")
 def _(d):
-    det = d["detections"].select(*DET)
-    return det.filter("label = 'person'").unionByName(det.filter(F.col("label").isin(*MOTORCYCLES)).withColumn("label", F.lit("motorcycle")))
-
-
-def _written(d, write, rows, read):
-    path = src.scratch(d.spark, "results")
-    write(rows, path)
-    return read(path)
-
-
-def _csv(d, schema):
-    return lambda path: d.spark.read.schema(schema).csv(path, header=True)
-
-
-@query("write_summary", "SELECT path AS input_path, true AS success, format('{:.6f}', total_frames / 8.0) AS duration FROM clips")
-def _(d):
-    rows = runs.clip_metadata(d["clips"]).select(F.col("path").alias("input_path"), F.col("valid").alias("success"), "duration")
-    return _written(d, src.append_csv, rows, _csv(d, "input_path string, success boolean, duration string"))
-
-
-@query("write_manifest", "SELECT path AS input_path, format('{:.6f}', fps) AS fps, width, height, total_frames FROM clips")
-def _(d):
-    return _written(d, src.append_csv, d["clips"].select(F.col("path").alias("input_path"), "fps", "width", "height", "total_frames"), _csv(d, "input_path string, fps string, width int, height int, total_frames long"))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("label") == kind, F.struct("ord", F.array("x1", "y1", "x2", "y2").alias("b"), "confidence"))))
+    f = d["detections"].groupBy("video_id", "frame_idx").agg(listed("person").alias("p"), listed("motorcycle").alias("m"))
+    column = lambda a, k, name: F.transform(a, lambda x: x[k]).alias(name)
+    frames = f.select("video_id", "frame_idx", column("p", "b", "person_boxes"), column("p", "confidence", "person_scores"), column("m", "b", "bike_boxes"), column("m", "confidence", "bike_scores"))
+    return sm.union_person_bike(frames)
 
 
 @query("discard_sink", "SELECT count(*) AS rows FROM detections")
@@ -328,19 +343,17 @@ def _(d):
     return sm.normalise_scene(called.withColumn("label", F.col("said")), 0.6).select(*DET)
 
 
-@query("event_log", "SELECT video_id, frame_idx / 8.0 AS ts, CASE WHEN label = 'person' THEN 'urination' ELSE 'vehicle' END AS event_type, CASE WHEN label = 'person' THEN NULL ELSE label END AS extra, confidence FROM detections WHERE confidence >= 0.95")
-def _(d):
-    sure = d["detections"].filter("confidence >= 0.95")
-    row = lambda rows, kind, extra: rows.select("video_id", (F.col("frame_idx") / 8.0).alias("ts"), F.lit(kind).alias("event_type"), extra.alias("extra"), "confidence")
-    return row(sure.filter("label <> 'person'"), "vehicle", F.col("label")).unionByName(row(sure.filter("label = 'person'"), "urination", F.lit(None).cast("string")))
+POSE_CARRY = """WITH q AS (SELECT video_id, frame_idx, count(*) FILTER (label = 'person') AS persons, count(*) FILTER (label = 'person' AND pose_hit) AS posed, max(ord) FILTER (label = 'person' AND pose_hit) AS last FROM detections GROUP BY video_id, frame_idx),
+  c AS (SELECT *, CASE WHEN posed > 0 THEN last WHEN persons > 0 THEN -1 END AS v FROM q)
+  SELECT video_id, frame_idx, nullif(last_value(v IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), -1) AS pose FROM c"""
 
 
-@query("pose_carry", """, q AS (SELECT video_id, frame_idx, count(*) FILTER (label = 'person') AS persons, count(*) FILTER (label = 'person' AND pose_hit) AS posed, max(ord) FILTER (label = 'person' AND pose_hit) AS last FROM detections GROUP BY video_id, frame_idx),
-  c AS (SELECT *, CASE WHEN posed > 0 THEN last WHEN persons > 0 THEN -1 END AS v FROM q)
-  SELECT video_id, frame_idx, nullif(last_value(v IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), -1) AS pose FROM c""")
-def _(d):
+def held_poses(d):
     person = F.col("label") == "person"
-    f = d["detections"].groupBy("video_id", "frame_idx").agg(F.count_if(person).alias("persons"), F.max(F.when(person & F.col("pose_hit"), F.col("ord"))).alias("last"))
-    value = F.when(F.col("last").isNotNull(), F.col("last")).when(F.col("persons") > 0, -1)  # -1: cleared
-    by = Window.partitionBy("video_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return f.select("video_id", "frame_idx", F.nullif(F.last(value, ignorenulls=True).over(by), F.lit(-1)).alias("pose"))
+    f = d["detections"].groupBy("video_id", "frame_idx").agg(F.count_if(person).alias("persons"), F.max(F.when(person & F.col("pose_hit"), F.col("ord"))).alias("pose"))
+    return sm.pose_carry(f)
+
+
+@query("pose_carry", f", ps1 AS ({POSE_CARRY}) SELECT * FROM ps1")
+def _(d):
+    return held_poses(d)

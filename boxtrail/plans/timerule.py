@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxtrail.functions.text import clock_text, display_status, video_time
+from boxtrail.functions.text import display_status, output_path
 from boxtrail.operators import incidents as inc
 from boxtrail.operators import plates as pl
+from boxtrail.operators import results as rt
 from boxtrail.operators import runs
 from boxtrail.operators import sampling as sm
 from boxtrail.plans.registry import query
-from boxtrail.plans.relational import all_frames, framed_plates
+from boxtrail.plans.relational import FRAMED, RIDER, all_frames, framed_plates
 from boxtrail.settings import DEFAULT as S
+from boxtrail.settings import MOTORCYCLES
 from boxtrail.sources import clips as src
 from boxtrail.sources.fixtures import FPS
 
@@ -155,15 +157,19 @@ def _(d):
     return inc.progress_score(states(d))
 
 
-@query("count_reasons", RULE + """SELECT video_id, count(*) FILTER (moved) AS motion_resets, count(*) FILTER (NOT ready) AS not_still, count(*) FILTER (hit AND NOT ready) AS hits_ignored, count(*) FILTER (hit AND ready AND next_moved) AS hits_before_motion FROM ht GROUP BY video_id""")
+@query("count_reasons", RULE + f""", gp AS ({RIDER}),
+gd2 AS (SELECT d.* FROM detections d SEMI JOIN gp USING (video_id, frame_idx, ord)),
+a AS (SELECT video_id, count(*) AS seen FROM detections WHERE label = 'person' GROUP BY video_id), b AS (SELECT video_id, count(*) AS n, count(*) FILTER (
+   least(1500, ceil(x2 + (x2 - x1) * 0.12)) <= greatest(0, floor(x1 - (x2 - x1) * 0.12)) OR least(700, ceil(y2 + (y2 - y1) * 0.12)) <= greatest(0, floor(y1 - (y2 - y1) * 0.12))) AS small_crop FROM gd2 GROUP BY video_id),
+o AS (SELECT video_id, CAST(sum(greatest(n - 3, 0)) AS BIGINT) AS over_cap FROM (SELECT video_id, frame_idx, count(*) AS n FROM gd2 GROUP BY ALL) q GROUP BY video_id),
+m AS (SELECT video_id, count(*) FILTER (moved) AS motion_resets, count(*) FILTER (NOT ready) AS not_still, count(*) FILTER (hit AND NOT ready) AS hits_ignored, count(*) FILTER (hit AND ready AND next_moved) AS hits_before_motion FROM ht GROUP BY video_id)
+SELECT video_id, seen - coalesce(n, 0) AS rider, coalesce(over_cap, 0) AS over_cap, coalesce(small_crop, 0) AS small_crop, coalesce(motion_resets, 0) AS motion_resets, coalesce(not_still, 0) AS not_still, coalesce(hits_ignored, 0) AS hits_ignored, coalesce(hits_before_motion, 0) AS hits_before_motion
+FROM a LEFT JOIN b USING (video_id) LEFT JOIN o USING (video_id) LEFT JOIN m USING (video_id)""")
 def _(d):
     hits, _, _ = inc.time_rule(samples(d), FPS)
-    return hits.groupBy("video_id").agg(
-        F.count_if("moved").alias("motion_resets"),
-        F.count_if(~F.col("ready")).alias("not_still"),
-        F.count_if(F.col("hit") & ~F.col("ready")).alias("hits_ignored"),
-        F.count_if(F.col("counted") & F.col("next_moved")).alias("hits_before_motion"),
-    )
+    seen = d["detections"].filter("label = 'person'")
+    gated = sm.rider_exclusion(seen, d["detections"].filter(F.col("label").isin(*MOTORCYCLES)))
+    return inc.count_reasons(seen, gated, hits, 1500, 700, cap=3)
 
 
 @query("incidents_per_clip", RULE + "SELECT video_id, count(event_index) AS events, count(event_index) > 0 AS detected FROM clips LEFT JOIN incidents USING (video_id) GROUP BY video_id")
@@ -173,37 +179,91 @@ def _(d):
 
 CLOCK = "CASE WHEN {0} < 60 THEN format('{{:.2f}}s', {0}) ELSE format('{{}}m {{:.2f}}s', CAST(floor({0} / 60) AS INT), {0} % 60) END"
 TIME = "format('{{}}:{{:06.3f}}', CAST(floor({0} / 60) AS INT), {0} % 60)"
+SIX = "format('{{:.6f}}', {0})"
+
+# Runs: every seventh clip has no frame rate and fails; step seconds and counters are shares of a clip's frames and boxes.
+RUNS = """, cn AS (SELECT video_id, count(DISTINCT frame_idx) AS f, count(*) FILTER (label = 'person') AS p FROM detections GROUP BY video_id),
+tm AS (SELECT video_id, f / 8.0 AS other_sec, f / 32.0 AS yolo_sec, p / 64.0 AS peeing_sec, f / 64.0 AS annotate_draw_sec, f / 16.0 AS video_write_sec, f AS yolo_input_frames, CAST(ceil(f / 8.0) AS BIGINT) AS yolo_batch_launches,
+   0 AS yolo_padded_slots, CAST(ceil(f / 8.0) AS BIGINT) * 8 - f AS yolo_max_batch_slack, p AS peeing_pose_input_crops, CAST(ceil(p / 16.0) AS BIGINT) AS peeing_pose_batch_launches, 0 AS peeing_pose_padded_slots,
+   CAST(ceil(p / 16.0) AS BIGINT) * 16 - p AS peeing_pose_max_batch_slack, CAST(ceil(f / 8.0) AS BIGINT) AS peeing_pose_prefetch_windows, f AS peeing_pose_prefetch_frames, p AS peeing_pose_prefetch_crops, p % 7 AS peeing_pose_prefetch_unused_hits FROM cn),
+rs AS (SELECT c.video_id, path AS input_path, regexp_replace(regexp_replace(path, '^/clips/', '/out/'), '(\\.[^./]*)$', '_marked\\1') AS output_path, video_id % 7 <> 3 AS success, CASE WHEN video_id % 7 = 3 THEN 'invalid frame rate' ELSE '' END AS error,
+   width, height, CASE WHEN video_id % 7 = 3 THEN 0.0 ELSE fps END AS fps, total_frames, CASE WHEN video_id % 7 = 3 THEN 0.0 ELSE total_frames / fps END AS duration, (f + 8) / 4.0 AS wall_sec, 16.5 AS models_init_sec FROM clips c JOIN cn USING (video_id))"""
+
+
+def run_tables(d):
+    """(runs, times) of all clips."""
+    n = d["detections"].groupBy("video_id").agg(F.count_distinct("frame_idx").alias("f"), F.count_if(F.col("label") == "person").alias("p"))
+    f, p = F.col("f"), F.col("p")
+    times = n.select(
+        "video_id", (f / 8).alias("other_sec"), (f / 32).alias("yolo_sec"), (p / 64).alias("peeing_sec"), (f / 64).alias("annotate_draw_sec"), (f / 16).alias("video_write_sec"),
+        f.alias("yolo_input_frames"), F.ceil(f / 8).alias("yolo_batch_launches"), F.lit(0).alias("yolo_padded_slots"), (F.ceil(f / 8) * 8 - f).alias("yolo_max_batch_slack"),
+        p.alias("peeing_pose_input_crops"), F.ceil(p / 16).alias("peeing_pose_batch_launches"), F.lit(0).alias("peeing_pose_padded_slots"), (F.ceil(p / 16) * 16 - p).alias("peeing_pose_max_batch_slack"),
+        F.ceil(f / 8).alias("peeing_pose_prefetch_windows"), f.alias("peeing_pose_prefetch_frames"), p.alias("peeing_pose_prefetch_crops"), (p % 7).alias("peeing_pose_prefetch_unused_hits"),
+    )
+    meta = runs.clip_metadata(d["clips"].withColumn("fps", F.when(F.col("video_id") % 7 == 3, 0.0).otherwise(F.col("fps"))))
+    told = runs.error_rows(meta).drop("path").join(meta.select("video_id", "path", "fps", "width", "height", "total_frames"), "video_id").join(n.select("video_id", ((f + 8) / 4).alias("wall_sec")), "video_id")
+    told = told.withColumns({"output_path": output_path(F.col("path"), "/clips", "/out", "_marked"), "models_init_sec": F.lit(16.5)}).withColumnRenamed("path", "input_path")
+    return told, times
+
+
+OK = "CASE WHEN success THEN {0} END"
+SUMMARY = RUNS + f""" SELECT input_path, output_path, success, error, width, height, {OK.format(SIX.format("fps"))} AS fps, {OK.format("total_frames")} AS total_frames, {OK.format(SIX.format("duration"))} AS duration_sec,
+  {OK.format(CLOCK.format("duration"))} AS video_duration_str, {SIX.format("wall_sec")} AS wall_sec, {CLOCK.format("wall_sec")} AS wall_duration_str, {CLOCK.format("wall_sec")} AS completed_in_min_sec, {SIX.format("models_init_sec")} AS models_init_sec,
+  {", ".join(f"{SIX.format(c)} AS {c}" for c in rt.SECONDS)}, {OK.format(SIX.format("(yolo_sec + peeing_sec + annotate_draw_sec)"))} AS inference_sec, {OK.format(SIX.format("(video_write_sec + other_sec)"))} AS encode_io_sec,
+  {", ".join(rt.COUNTERS)}, count(event_index) > 0 AS peeing_detected, count(event_index) AS peeing_event_count FROM rs JOIN tm USING (video_id) LEFT JOIN incidents i ON i.video_id = rs.video_id AND success GROUP BY ALL"""
+
+
+def summary(d):
+    told, times = run_tables(d)
+    good = told.filter("success").select("video_id")
+    return rt.summary_table(told, times, runs.incidents_per_clip(good, intervals(d)).drop("detected"))
+
+
+def through_csv(d, rows, write):
+    """The rows, written and read back; empty fields of text columns that are never null come back as text."""
+    path = src.scratch(d.spark, "results")
+    write(rows, path)
+    back = d.spark.read.schema(rows.schema).csv(path, header=True)
+    return back.withColumn("error", F.coalesce("error", F.lit(""))) if "error" in back.columns else back
+
 
+@query("batch_job", RULE + SUMMARY)
+def _(d):
+    return summary(d)
+
+
+@query("write_summary", RULE + SUMMARY)
+def _(d):
+    return through_csv(d, summary(d), src.append_csv)
+
+
+@query("write_manifest", RUNS + f"""SELECT input_path, output_path, success, error, {SIX.format("duration")} AS duration_sec, {SIX.format("fps")} AS fps, width, height, total_frames, {SIX.format("wall_sec")} AS wall_sec,
+  {SIX.format("(yolo_sec + peeing_sec + annotate_draw_sec)")} AS inference_sec, {SIX.format("(video_write_sec + other_sec)")} AS encode_io_sec, {SIX.format("models_init_sec")} AS models_init_sec FROM rs JOIN tm USING (video_id)""")
+def _(d):
+    return through_csv(d, rt.manifest_table(*run_tables(d)), src.append_csv)
 
-def incident_table(d):
-    """The interval table with times as text and the boxes of the last active frame."""
-    iv = intervals(d)
+
+def incident_table(d, rows, rg):
+    """The interval table in full of tracked samples and their confirmed ranges."""
+    iv = inc.incident_intervals(rg, d["clips"])
     last = F.when(F.col("open_interval"), F.col("end_frame")).otherwise(F.col("end_frame") - 1)
-    boxes = inc.marked_boxes(iv.select("video_id", last.alias("frame_idx")), samples(d), ranges(d))
-    n = boxes.groupBy("video_id", "frame_idx").agg(F.count("*").alias("boxes"))
-    rows = iv.withColumn("frame_idx", last).join(n, ["video_id", "frame_idx"], "left")
-    took = F.col("end_sec") - F.col("start_sec")
-    return rows.select(
-        "video_id", "event_index", "start_frame", "end_frame", video_time(F.col("start_sec")).alias("start_time"), video_time(F.col("end_sec")).alias("end_time"),
-        clock_text(took).alias("duration"), F.coalesce("boxes", F.lit(0)).alias("boxes"), "open_interval",
-    )
+    return rt.interval_table(iv, inc.marked_boxes(iv.select("video_id", last.alias("frame_idx")), rows, rg), run_tables(d)[0])
 
 
-INCIDENT_TABLE = MARKED + f""" SELECT i.video_id, event_index, start_frame, end_frame, {TIME.format("start_sec")} AS start_time, {TIME.format("end_sec")} AS end_time, {CLOCK.format("(end_sec - start_sec)")} AS duration,
-  (SELECT count(*) FROM mk WHERE mk.video_id = i.video_id AND mk.frame_idx = CASE WHEN open_interval THEN end_frame ELSE end_frame - 1 END) AS boxes, open_interval FROM incidents i"""
+INCIDENT_TABLE = MARKED + RUNS + f""", bx AS (SELECT video_id, frame_idx, count(*) AS n, CAST(to_json(list([x1, y1, x2, y2] ORDER BY track_id)) AS VARCHAR) AS j FROM mk GROUP BY ALL)
+  SELECT input_path, output_path, event_index, start_frame, end_frame, {SIX.format("start_sec")} AS start_sec, {SIX.format("end_sec")} AS end_sec, {SIX.format("(end_sec - start_sec)")} AS duration_sec, {TIME.format("start_sec")} AS start_time_str,
+  {TIME.format("end_sec")} AS end_time_str, {CLOCK.format("(end_sec - start_sec)")} AS duration_str, coalesce(n, 0) AS n_confirmed_bboxes, coalesce(j, '[]') AS bboxes_json, open_interval
+  FROM incidents i JOIN rs ON rs.video_id = i.video_id AND success LEFT JOIN bx ON bx.video_id = i.video_id AND bx.frame_idx = CASE WHEN open_interval THEN end_frame ELSE end_frame - 1 END"""
 
 
 @query("incident_job", RULE + INCIDENT_TABLE)
 def _(d):
-    return incident_table(d)
+    return incident_table(d, samples(d), ranges(d))
 
 
 @query("write_incidents", RULE + INCIDENT_TABLE)
 def _(d):
-    path = src.scratch(d.spark, "incidents")
-    rows = incident_table(d)
-    src.append_csv(rows, path)
-    return d.spark.read.schema(rows.schema).csv(path, header=True)
+    return through_csv(d, incident_table(d, samples(d), ranges(d)), src.append_csv)
 
 
 @query("display_job", RULE + "SELECT video_id, track_id, frame_idx, CASE WHEN confirmed THEN 'CONFIRMED' WHEN good_seconds > 0 AND ready THEN format('suspect {}s', good_seconds) ELSE 'person' END AS status FROM ss")
@@ -211,17 +271,6 @@ def _(d):
     return states(d).select(*SAMPLE, display_status(F.col("confirmed"), F.col("good_seconds"), F.col("ready")).alias("status"))
 
 
-@query("batch_job", RULE + "SELECT path AS input_path, regexp_replace(regexp_replace(path, '^/clips/', '/out/'), '(\\.[^./]*)$', '_marked\\1') AS output_path, format('{:.6f}', total_frames / fps) AS duration, count(event_index) AS events, count(event_index) > 0 AS detected FROM clips LEFT JOIN incidents USING (video_id) GROUP BY ALL")
-def _(d):
-    from boxtrail.functions.text import output_path
-
-    runs_table = runs.error_rows(runs.clip_metadata(d["clips"])).join(runs.incidents_per_clip(d["clips"], intervals(d)), "video_id")
-    rows = runs_table.select(F.col("path").alias("input_path"), output_path(F.col("path"), "/clips", "/out", "_marked").alias("output_path"), "duration", "events", "detected")
-    path = src.scratch(d.spark, "batch")
-    src.append_csv(rows, path)
-    return d.spark.read.schema("input_path string, output_path string, duration string, events long, detected boolean").csv(path, header=True)
-
-
 # Plate texts over given vehicle tracks.
 PLATE = """, pr AS (SELECT video_id, actor_id AS track_id, frame_idx, score, plate_confidence, regexp_replace(regexp_replace(raw_text, '[^0-9A-Za-z]+', '-', 'g'), '^-|-$', '', 'g') AS t FROM plates),
 pb AS (SELECT *, max(CASE WHEN t <> '' AND score >= 0.5 THEN struct_pack(s := score, f := frame_idx, t := t) END) OVER w AS b FROM pr WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)),
@@ -244,8 +293,15 @@ def _(d):
     return pl.text_lock(readings(d)).select(*SAMPLE, "locked")
 
 
-@query("label_carry", PLATE + """, lb AS (SELECT *, CASE WHEN best_text <> '' THEN format('{} {:.2f}', best_text, best_score) WHEN score >= 0.5 THEN format('{:.2f}', score) ELSE format('LP {:.2f}', plate_confidence) END AS label FROM rb WHERE frame_idx % 6 = 0)
-  SELECT v.video_id, v.track_id, v.frame_idx, last_value(label IGNORE NULLS) OVER (PARTITION BY v.video_id, v.track_id ORDER BY v.frame_idx ROWS UNBOUNDED PRECEDING) AS label FROM pr v LEFT JOIN (SELECT * FROM lb) q USING (video_id, track_id, frame_idx)""".replace("FROM rb WHERE frame_idx % 6 = 0", "FROM rs WHERE true").replace(", lb AS", ", p6 AS (SELECT *, max(CASE WHEN t <> '' AND score >= 0.5 THEN struct_pack(s := score, f := frame_idx, t := t) END) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS b FROM pr WHERE frame_idx % 6 = 0), rs AS (SELECT *, coalesce(b.t, '') AS best_text, coalesce(b.s, 0.0) AS best_score FROM p6), lb AS"))
+# every third sample is read, and its label stays for the samples after it
+CARRIED = PLATE + """, p6 AS (SELECT *, max(CASE WHEN t <> '' AND score >= 0.5 THEN struct_pack(s := score, f := frame_idx, t := t) END) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS b FROM pr WHERE frame_idx % 6 = 0),
+r6 AS (SELECT *, coalesce(b.t, '') AS best_text, coalesce(b.s, 0.0) AS best_score FROM p6),
+l6 AS (SELECT video_id, track_id, frame_idx, CASE WHEN best_text <> '' THEN format('{} {:.2f}', best_text, best_score) WHEN score >= 0.5 THEN format('{:.2f}', score) ELSE format('LP {:.2f}', plate_confidence) END AS label FROM r6),
+lc AS (SELECT v.video_id, v.track_id, v.frame_idx, last_value(label IGNORE NULLS) OVER (PARTITION BY v.video_id, v.track_id ORDER BY v.frame_idx ROWS UNBOUNDED PRECEDING) AS label FROM pr v LEFT JOIN l6 USING (video_id, track_id, frame_idx))
+"""
+
+
+@query("label_carry", CARRIED + "SELECT * FROM lc")
 def _(d):
     rows = readings(d)  # every third sample is read
     return pl.label_carry(rows.filter("frame_idx % 6 = 0"), rows.select(*SAMPLE)).select(*SAMPLE, "label")
@@ -255,11 +311,39 @@ def cadence(d):
     return pl.read_cadence(framed_plates(d).withColumnRenamed("actor_id", "track_id"))
 
 
-@query("plate_cadence")
+def overlap_sql(a, b):
+    """Overlap over union of boxes with area, in DuckDB."""
+    o = f"greatest(0.0, least({a}x2, {b}x2) - greatest({a}x1, {b}x1)) * greatest(0.0, least({a}y2, {b}y2) - greatest({a}y1, {b}y1))"
+    return f"({o}) / (({a}x2 - {a}x1) * ({a}y2 - {a}y1) + ({b}x2 - {b}x1) * ({b}y2 - {b}y1) - {o})"
+
+
+def cadence_sql(readings, key):
+    """The reading of each track in DuckDB: one sample after the other. ``readings`` has the key, frame_idx, t, score and the plate box."""
+    of = ", ".join(key)
+    apart = lambda c: f"abs((p_{c}1 + p_{c}2) - (q.{c}1 + q.{c}2)) / 2 <= 0.75 * greatest(8.0, p_x2 - p_x1, p_y2 - p_y1, q.x2 - q.x1, q.y2 - q.y1)"
+    near = f"({overlap_sql('p_', 'q.')} >= 0.15 OR ({apart('x')} AND {apart('y')}))"
+    better = "action = 'read' AND t <> '' AND score >= 0.5 AND score >= conf"
+    box = ", ".join(f"CASE WHEN action = 'skip' THEN p_{c} ELSE {c} END AS p_{c}" for c in ("x1", "y1", "x2", "y2"))
+    return f""", rd AS MATERIALIZED (SELECT {of}, frame_idx, t, length(t) >= 3 AND contains(substr(t, 2, length(t) - 2), '-') AS dashed, score, CAST(g_x1 AS DOUBLE) AS x1, CAST(g_y1 AS DOUBLE) AS y1, CAST(g_x2 AS DOUBLE) AS x2, CAST(g_y2 AS DOUBLE) AS y2,
+   row_number() OVER (PARTITION BY {of} ORDER BY frame_idx) AS k FROM ({readings}) q),
+rec AS (SELECT {of}, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_idx, '' AS action, '' AS text, CAST(0 AS DOUBLE) AS conf, false AS locked, CAST(NULL AS BIGINT) AS last, CAST(NULL AS DOUBLE) AS p_x1, CAST(NULL AS DOUBLE) AS p_y1, CAST(NULL AS DOUBLE) AS p_x2, CAST(NULL AS DOUBLE) AS p_y2 FROM rd WHERE rd.k = 1
+ UNION ALL SELECT r.* FROM (SELECT {of}, k, frame_idx, action, CASE WHEN {better} THEN t ELSE text END AS text, CASE WHEN {better} THEN score ELSE conf END AS conf, locked OR ({better} AND score >= 0.9 AND dashed) AS locked, CASE WHEN action = 'skip' THEN last ELSE frame_idx END AS last, {box}
+   FROM (SELECT q.*, r.text, r.conf, r.locked, r.last, r.p_x1, r.p_y1, r.p_x2, r.p_y2, CASE WHEN q.frame_idx - r.last < CASE WHEN r.locked THEN 20 ELSE 5 END THEN 'skip' WHEN r.locked AND r.text <> '' AND r.conf >= 0.9 AND coalesce({near}, false) THEN 'keep' ELSE 'read' END AS action
+     FROM rec r JOIN rd q ON {" AND ".join(f"q.{c} = r.{c}" for c in key)} AND q.k = r.k + 1) z) r),
+cd AS (SELECT {of}, frame_idx, action, text, conf AS text_confidence, locked FROM rec WHERE k > 0)
+"""
+
+
+TEXT = "regexp_replace(regexp_replace(raw_text, '[^0-9A-Za-z]+', '-', 'g'), '^-|-$', '', 'g') AS t"
+READINGS = f"SELECT f.video_id, actor_id AS track_id, frame_idx, {TEXT}, score, plate_confidence, g_x1, g_y1, g_x2, g_y2 FROM framed f JOIN plates USING (video_id, frame_idx, ord)"
+CADENCE = FRAMED + cadence_sql(READINGS, ("video_id", "track_id"))
+
+
+@query("plate_cadence", CADENCE + "SELECT video_id, track_id, frame_idx, action FROM cd")
 def _(d):
     return cadence(d).select(*SAMPLE, "action")
 
 
-@query("reuse_locked_text")
+@query("reuse_locked_text", CADENCE + "SELECT video_id, track_id, frame_idx, text, text_confidence FROM cd WHERE action = 'keep'")
 def _(d):
     return cadence(d).filter("action = 'keep'").select(*SAMPLE, "text", "text_confidence")

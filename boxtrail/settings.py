@@ -5,7 +5,7 @@ from dataclasses import dataclass
 PERSON = ("person",)
 VEHICLES = ("car", "truck", "bus", "motorcycle", "motorbike", "vehicle")
 MOTORCYCLES = ("motorcycle", "motorbike")
-CLIP_EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".webm", ".m4v")
+CLIP_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 
 
 @dataclass(frozen=True)

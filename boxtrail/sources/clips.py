@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +21,11 @@ DETECTIONS = T.StructType(
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the folder all executors share; one of the machine only where none is named (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path below the folder all executors share; where none is named, one of the machine if that is all there is (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -40,6 +44,18 @@ def ordered_clips(paths: DataFrame) -> DataFrame:
     return paths.orderBy("path")
 
 
+def numbered_clips(paths: DataFrame) -> DataFrame:
+    """(path, place) from 1 on in name order: sorted ranges are written once, numbered within, and moved by the ranges before."""
+    spark = paths.sparkSession
+    at = scratch(spark, "ordered")
+    paths.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()).write.parquet(at)
+    rows = spark.read.schema("path string, part int").parquet(at)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    return rows.withColumn("inside", inside).join(sizes, "part").select("path", (F.col("inside") + F.col("before")).alias("place"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(video, truth) of a CSV with a header."""
     return parse_manifest(spark.read.csv(path, header=True).withColumn("line_no", F.monotonically_increasing_id()))

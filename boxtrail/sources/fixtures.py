@@ -39,13 +39,18 @@ SELECT video_id, frame_idx, actor_id, i, x1, y1, x2, y2, ord,
 FROM detections WHERE label <> 'person'"""
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """clips, detections, plates, poses, logits; lazily, each a plan over the given tables."""
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection rows; lazily, a plan over the given orders."""
     q = lambda sql, **views: spark.sql(sql, **views)
     actors = q(_ACTORS.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    rows = q(_ROWS.replace("{unnest}", "explode(sequence(0L, n - 1))").replace("FROM actors", "FROM {actors}"), actors=actors)
-    detections = q(_DETECTIONS.replace("rows_", "{rows}"), rows=rows)
-    clips = q(_CLIPS.replace("rows_", "{rows}"), rows=rows)
+    made = q(_ROWS.replace("{unnest}", "explode(sequence(0L, n - 1))").replace("FROM actors", "FROM {actors}"), actors=actors)
+    return q(_DETECTIONS.replace("rows_", "{rows}"), rows=made)
+
+
+def tables(spark: SparkSession, sf_dir: str, detections: DataFrame) -> dict[str, DataFrame]:
+    """clips, detections, plates, poses, logits; lazily, each a plan over the detection rows or the given tables."""
+    q = lambda sql, **views: spark.sql(sql, **views)
+    clips = q(_CLIPS.replace("rows_", "{rows}"), rows=detections)
     plates = q(_PLATES.replace("FROM detections", "FROM {d}"), d=detections)
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     at = lambda j, k: F.element_at("embedding", j * 3 + k).cast("double")
@@ -57,8 +62,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def duck(select: str) -> str:
     """A DuckDB query over actors, rows_, detections, clips, plates, poses, logits."""
+    recursive = "RECURSIVE " if " UNION ALL SELECT r." in select else ""
     return f"""
-WITH actors AS ({_ACTORS}), rows_ AS ({_ROWS.replace("{unnest}", "unnest(range(0, n))")}), detections AS ({_DETECTIONS}), clips AS ({_CLIPS}), plates AS ({_PLATES}),
+WITH {recursive}actors AS ({_ACTORS}), rows_ AS ({_ROWS.replace("{unnest}", "unnest(range(0, n))")}), detections AS ({_DETECTIONS}), clips AS ({_CLIPS}), plates AS ({_PLATES}),
 poses AS (SELECT vec_id, list_transform(range(17), lambda j: {{'x': abs(CAST(embedding[CAST(3 * j + 1 AS INT)] AS DOUBLE)) * 4, 'y': abs(CAST(embedding[CAST(3 * j + 2 AS INT)] AS DOUBLE)) * 4, 'c': abs(CAST(embedding[CAST(3 * j + 3 AS INT)] AS DOUBLE)) * 8}}) AS kp,
           abs(CAST(embedding[64] AS DOUBLE)) AS box_conf FROM embeddings),
 logits AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS logits FROM embeddings)

@@ -108,22 +108,37 @@ def test_time_rule_restated(spark, s):
     assert found > 5
 
 
+def shared(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
+
+
 def one_pass(rows, vehicles):
-    """Association without segments."""
+    """Association without segments, restated box by box: tracks are [number, box, frame], oldest first."""
     tracks, number, out = [], 0, {}
     for frame in sorted({r[1] for r in rows}):
         now = [r for r in rows if r[1] == frame]
         now.sort(key=(lambda r: r[2]) if vehicles else (lambda r: (-r[3], r[2])))
         if not vehicles:
-            tracks = [t for t in tracks if frame - t.frame <= 24]
+            tracks = [t for t in tracks if frame - t[2] <= 24]
         used, seen = set(), set()
         for r in now:
-            tr, new = tracking.assign(tracks, r[4:8], frame, 0.3 if vehicles else 0.35, used, number)
-            number += new
-            seen.add(tr.id)
-            out[r[0], frame, r[2]] = tr.id
+            best = None
+            for t in tracks:
+                o = shared(t[1], r[4:8])
+                if t[0] not in used and o > 0 and (best is None or o > best[0]):
+                    best = o, t
+            if best and best[0] >= (0.3 if vehicles else 0.35):
+                t = best[1]
+                used.add(t[0])
+                t[1:] = [r[4:8], frame]
+            else:
+                tracks.append(t := [number, r[4:8], frame])
+                number += 1
+            seen.add(t[0])
+            out[r[0], frame, r[2]] = t[0]
         if vehicles:
-            tracks = [t for t in tracks if t.id in seen]
+            tracks = [t for t in tracks if t[0] in seen]
     return out
 
 
@@ -184,6 +199,74 @@ def test_stream_plates_equal_batch(spark):
     assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
 
 
+def test_exit_without_a_following_row(spark):
+    """A camera that goes quiet gets its exit from the timer, once other cameras move the watermark on; a row past frame 511 counts."""
+    from boxtrail.streaming import detections as st
+
+    rows = [(1, 7, f, 0.0, 0.0, 60.0, 150.0, True, "person") for f in range(0, 240, 2)] + [(2, 1, f, 9.0, 9.0, 69.0, 159.0, False, "person") for f in range(0, 900, 2)]
+    df = spark.createDataFrame(rows, "video_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, hit boolean, label string")
+    path = src.scratch(spark, "quiet")
+    st.write_windows(df, path, 128)
+    assert spark.read.parquet(path).count() == len(rows)
+    got = st.run_to_end(st.stream_alerts(st.stream_rows(spark, path, df.schema, FPS), FPS)).collect()
+    assert sorted((r.video_id, r.event, r.frame_idx) for r in got) == [(1, "enter", 88), (1, "exit", 238 + 25)]
+
+
+def test_state_is_forgotten():
+    """What a processor keeps of a quiet key: nothing, or a video's count of tracks."""
+    import pandas as pd
+
+    from boxtrail.streaming import detections as st
+
+    plates, persons, alerts = st.Plates(FPS), st.TrackPersons(FPS), st.Alerts(FPS)
+    assert plates.expire((1, 2), {"seen": 0, "plate": {}}, 10**9) == ([], None)
+    row = pd.DataFrame([(4, 0.9, 0, "person", 0.0, 0.0, 9.0, 9.0)], columns=["frame_idx", "confidence", "ord", "label", "x1", "y1", "x2", "y2"])
+    out, state = persons.step((1,), row, None)
+    assert out == [(1, 4, 0, 0)] and persons.due(state) == st.ORIGIN + 3501
+    assert persons.expire((1,), state, persons.due(state)) == ([], {"number": 1, "ids": [], "boxes": [], "frames": []})
+    _, state = alerts.step((1,), row.assign(track_id=3, hit=True), None)
+    assert alerts.expire((1,), state, alerts.due(state)) == ([], None)
+
+
+def test_long_clip(spark):
+    """Range joins, edges and carried values over many spans and buckets of frames."""
+    from boxtrail.operators import spread
+
+    n = 40_000
+    frames = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame_idx"))
+    ranges = spark.createDataFrame([(1, 0, 10, 2000), (1, 1, 1500, 30_000), (1, 2, 30_001, 30_010), (2, 0, 0, 99)], "video_id long, track_id long, confirm_frame long, expiry_frame long")
+    active = incidents.frame_active(frames, ranges)
+    assert active.count() == n and active.filter("active").count() == 30_000 - 10 + 9
+    plan = active._jdf.queryExecution().toString()
+    assert "_span" in plan.split("== Physical Plan ==")[1]
+    found = [(r.frame_idx, r.enter) for r in incidents.edges(active).filter("enter or exit").orderBy("frame_idx").collect()]
+    assert found == [(10, True), (30_000, False), (30_001, True), (30_010, False)]
+    marks = frames.filter("frame_idx % 2 = 0")
+    rows = spread.previous_frame(spread.running_sum(spread.carried(marks, F.when(F.col("frame_idx") % 20_000 == 6, F.col("frame_idx")), "held"), F.lit(1), "k"), "before")
+    for r in rows.collect():
+        assert r.k == r.frame_idx // 2 + 1 and r.before == (r.frame_idx - 2 if r.frame_idx else None)
+        assert r.held == (None if r.frame_idx < 6 else 6 if r.frame_idx < 20_006 else 20_006)
+
+
+def test_pose_and_unions(spark):
+    p = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 2), (1, 2, 0, 1)], "video_id long, frame_idx long, ord int, rank int")
+    lists = spark.createDataFrame([(1, 0, [True, None]), (1, 2, [True, True])], "video_id long, frame_idx long, hits array<boolean>")
+    direct = spark.createDataFrame([(1, 0, 0, False), (1, 0, 1, False), (1, 2, 0, None)], "video_id long, frame_idx long, ord int, hit boolean")
+    got = {(r.frame_idx, r.ord): r.pose for r in sampling.pose_join(p, lists, direct).collect()}
+    assert got == {(0, 0): True, (0, 1): False, (2, 0): None}
+    f = spark.createDataFrame([(1, 0, [[0.0, 0.0, 1.0, 1.0]], None, [[1.0, 1.0, 2.0, 2.0]], [0.5]), (1, 2, None, None, [[1.0, 1.0, 2.0, 2.0]], [0.7])], "video_id long, frame_idx long, person_boxes array<array<double>>, person_scores array<double>, bike_boxes array<array<double>>, bike_scores array<double>")
+    assert sorted((r.frame_idx, r.ord, r.label, r.confidence) for r in sampling.union_person_bike(f).collect()) == [(0, 0, "person", 1.0), (0, 1, "motorcycle", 0.5), (2, 0, "motorcycle", 0.7)]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Far:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://far:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        src.scratch(Far(), "x")
+
+
 def test_plate_states(spark):
     b = (0.0, 0.0, 40.0, 14.0)
     far = (500.0, 500.0, 540.0, 514.0)
