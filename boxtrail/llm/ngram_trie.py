@@ -1,19 +1,23 @@
-"""A language model in memory-mapped Elias-Fano tries.
-
-Counting is two Spark jobs: unigrams, then bigrams and trigrams. Tasks send tries of their own counts, not
-rows, to shards, each shard's task merges them and writes one file to the shared folder, and scoring tasks map
-all files. A shard holds the n-grams of some first words; a first word with more than half a shard's share of
-all tokens is spread over shards by its second word.
-
-In a file, hashes of first words are one Elias-Fano sequence, found by successor search. Pointers from a node
-to its children are a second and third Elias-Fano sequence; children are 32-bit word hashes relative to their
-context, sorted within its range, where a word is found by successor search again. Probabilities are smoothed
-with a Dirichlet prior,
+"""A language model in memory-mapped Elias-Fano tries, a file for each shard of n-grams.
+
+1. Texts become chunks of about CHUNK tokens, written once: the chunk's distinct words (64-bit hashes) and each token's
+   place among them.
+2. One small job sums word counts: the number of tokens and types, and the words and word pairs that are so frequent
+   that their n-grams are dealt out further, by the next word. Both lists hold two entries for each shard at most.
+3. A chunk sends each shard the distinct n-grams it has for it, with their training counts. A shard holds the n-grams of
+   some first words, about SHARD tokens, whatever the size of the corpus. Its task sums the counts, writes the trie file
+   and answers, from the mapped file, what the chunks asked for.
+4. Answers return to their chunks, where tokens take their probabilities from them. No task opens another shard's file.
+
+In a file, words are one Elias-Fano sequence of 64-bit hashes, found by successor search. A node's children are ranks
+in that sequence, relative to their context: level k holds parent * words + rank, a monotone sequence in Elias-Fano form,
+and monotone pointers bound each context's range, in which a child is found by successor search. Probabilities are
+smoothed with a Dirichlet prior,
 
     P(w | context) = (c(context w) + PRIOR * P(w | shorter context)) / (c(context) + PRIOR),
 
-down to (c(w) + 1) / (N + V + 1), and the first share is kept as a 16-bit logarithm. All n-grams are kept, so the
-probabilities of a context sum to 1 over the known words and one unknown.
+down to (c(w) + 1) / (N + V + 1); both shares are kept as 16-bit logarithms. All n-grams are kept, so the probabilities
+of a context sum to 1 over the known words and one unknown.
 """
 
 from __future__ import annotations
@@ -25,31 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.llm.common import remainder, scratch, text_of
 from boxtrail.llm.kernels import U, mix, words
 
-#: A trigram seen LEAST times is kept: all of them.
-PRIOR, LEAST = 4.0, 1
-#: Tokens a task counts together, and tokens scored together.
-CHUNK, SCORED = 1 << 20, 1 << 19
-#: Words of a unigram shard that may be hot; missing one would only make a shard larger.
-TOP = 8
+PRIOR = 4.0
+#: Tokens of a chunk, and about how many a shard gets; both fit in a task's memory many times.
+CHUNK, SHARD = 1 << 20, 1 << 20
 #: The token after the last word of a text; no word hashes to it but by chance.
 END = U(0xE5D0F7EE7D0C5EED)
-#: 16-bit logarithms cover 10^-12 to 1.
-STEPS = 65535 / 12.0
-_FP = U(0xFFFFFFFF)
+#: 16-bit logarithms cover 10^-12 to 1; the last one stands for 0.
+STEPS = 65534 / 12.0
+NONE = 65535
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, 65535).astype(np.uint16)
+    return np.clip(np.round(-np.log10(np.maximum(p, 1e-12)) * STEPS), 0, NONE - 1).astype(np.uint16)
 
 
 def restored(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-q.astype(np.float64) / STEPS)
+    return np.where(q == NONE, 0.0, 10.0 ** (-q.astype(np.float64) / STEPS))
 
 
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -124,13 +126,15 @@ class EliasFano:
         got = word * 64 + _in_word(~self.high[word], np.where(past, 0, inside)) - k
         return np.where(past, self.n, got)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the successor of x among the values with its high part."""
+    def find(self, x: np.ndarray, least: np.ndarray | int = 0, most: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x among the values [least, most), or -1: the successor of x among those with its high part."""
         if not self.n:
             return np.full(len(x), -1)
+        x = x.astype(U)
         high = np.minimum(x >> U(self.bits), U(1 << 62)).astype(np.int64)
         lo = np.where(high > 0, self._ones_before_zero(np.maximum(high - 1, 0)), 0)
         hi = self._ones_before_zero(high)
+        lo, hi = np.maximum(lo, least), hi if most is None else np.minimum(hi, most)
         return _successor(lambda i, _: self._low(i), lo, hi, x & U((1 << self.bits) - 1))
 
 
@@ -152,32 +156,6 @@ def _successor(at, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
     return found
 
 
-def _groups(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys 0..n-1 in their order, and where each key begins."""
-    small = keys.astype(np.uint16) if n <= 1 << 16 else keys  # sorted by digits
-    order = np.argsort(small, kind="stable")
-    return order, np.r_[0, np.cumsum(np.bincount(keys, minlength=n))]
-
-
-def _find_children(child: np.ndarray, lo: np.ndarray, hi: np.ndarray, parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of x among child[lo:hi] of its parent, or -1; lo and hi are per parent. Busy parents are searched at once."""
-    busy = np.flatnonzero((np.bincount(parent, minlength=len(lo)) >= 8) & (hi - lo >= 32))
-    found = np.full(len(x), -1)
-    left = np.ones(len(x), bool)
-    if len(busy):
-        order, cuts = _groups(parent, len(lo))
-        for p in busy.tolist():
-            k = order[cuts[p] : cuts[p + 1]]
-            own = child[lo[p] : hi[p]]
-            at = np.minimum(np.searchsorted(own, x[k]), len(own) - 1)
-            found[k] = np.where(own[at] == x[k], at + lo[p], -1)
-            left[k] = False
-    k = np.flatnonzero(left)
-    if len(k):
-        found[k] = _successor(lambda m, _: child[m], lo[parent[k]], hi[parent[k]], x[k])
-    return found
-
-
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file of named arrays; written under another name and moved, so that a repeated task does no harm."""
     fs, path = pa.fs.FileSystem.from_uri(uri)
@@ -226,277 +204,410 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets + np.arange(n + 1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens of about ``limit`` at a time with, for each, how many of its text follow."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            t, offsets = tokens(batch.column(0).slice(at, min(512, batch.num_rows - at)))
-            held.append((t, np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(t)) - 1))
-            if sum(len(x) for x, _ in held) >= limit:
-                yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                held = []
-    if held:
-        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of unsigned numbers in one blob, each in the least width that holds it; 64-bit ones stay so."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        top = int(a.max()) if len(a) else 0
+        width = 8 if a.dtype == U else next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        head += [width, len(a)]
+        body.append(a.astype(f"<u{width}").tobytes())
+    return np.array(head, np.int64).tobytes() + b"".join(body)
+
 
+def _parsed(blob: bytes) -> list[np.ndarray]:
+    k = int(np.frombuffer(blob, np.int64, 1)[0])
+    head, at, out = np.frombuffer(blob, np.int64, 2 * k, 8), 8 + 16 * k, []
+    for width, n in head.reshape(k, 2).tolist():
+        out.append(np.frombuffer(blob, f"<u{width}", n, at))
+        at += width * n
+    return out
 
-def _summed(keys: list[np.ndarray], *weights: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Distinct keys in order (first key first), sums of the weights, and the rows' order."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    sums = [np.add.reduceat(w[order], at) if len(at) else w[:0] for w in weights]
-    return [k[at] for k in keys], sums, order
 
+CHUNKS = "chunk long, n long, words binary, seen binary, ids binary, row array<long>, doc_id array<long>, held array<boolean>, train array<boolean>, size array<long>, early array<long>"
 
-_BLOB = "shard int, blob binary"
 
+def _chunked(limit: int):
+    """From (doc_id, held_out, train, text): chunks of whole texts, or of parts of a text with the two tokens before them."""
 
-def _blob(shard: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
-    head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([head + b"".join(a.tobytes() for a in arrays)], pa.binary())], ["shard", "blob"])
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, row = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[tuple] = []
 
+        def chunk() -> pa.RecordBatch:
+            nonlocal held, number
+            size = np.array([len(h[4]) for h in held])
+            t = np.concatenate([h[4] for h in held])
+            word, ids = np.unique(t, return_inverse=True)
+            early = np.array([h[5] for h in held])
+            begins = np.cumsum(size) - size
+            place = np.arange(len(t)) - np.repeat(begins, size)
+            scored = place >= np.repeat(early, size)
+            taught = scored & np.repeat([h[3] for h in held], size)
+            seen = [np.bincount(ids[taught], minlength=len(word)), np.bincount(ids[scored], minlength=len(word))]
+            out = {
+                "chunk": [part | number], "n": [int(scored.sum())], "words": [word.tobytes()], "seen": [_packed(seen)], "ids": [_packed([ids])],
+                "row": [[h[0] for h in held]], "doc_id": [[h[1] for h in held]], "held": [[h[2] for h in held]], "train": [[h[3] for h in held]], "size": [size.tolist()], "early": [early.tolist()],
+            }
+            held, number = [], number + 1
+            return pa.RecordBatch.from_pydict(out, schema=_CHUNK_SCHEMA)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                t, offsets = tokens(some.column(3))
+                for k, (i, is_held, train) in enumerate(zip(*(some.column(c).to_pylist() for c in range(3)), strict=True)):
+                    for a in range(offsets[k], offsets[k + 1], limit):
+                        begin = max(offsets[k], a - 2)
+                        held.append((part | row, i, is_held, train, t[begin : min(a + limit, offsets[k + 1])], int(a - begin)))
+                        if sum(len(h[4]) for h in held[-1:]) >= limit:
+                            yield chunk()
+                    row += 1
+                if sum(len(h[4]) for h in held) >= limit:
+                    yield chunk()
+        if held:
+            yield chunk()
+
+    return chunked
+
+
+_LONGS = pa.list_(pa.int64())
+_CHUNK_SCHEMA = pa.schema(
+    [("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("seen", pa.binary()), ("ids", pa.binary()), ("row", _LONGS), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("size", _LONGS), ("early", _LONGS)]
+)
+
+
+def chunks(docs: DataFrame, train: F.Column) -> DataFrame:
+    """The texts of ``docs`` as a written table of chunks; ``train`` says which rows teach the model."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), (remainder(7) == 2).alias("held_out"), train.alias("train"), text_of().alias("text"))
+    path = scratch(spark, "chunks")
+    rows.mapInArrow(_chunked(CHUNK), CHUNKS).write.parquet(path)
+    return spark.read.schema(CHUNKS).parquet(path)
+
+
+class Hot:
+    """Frequent words and word pairs (sorted hashes) with their training counts: their n-grams are dealt out by the next word."""
+
+    def __init__(self, words: list[tuple[int, int]] = (), pairs: list[tuple[int, int]] = ()) -> None:
+        self.words, self.word_seen = (np.array(x, t) for x, t in zip(zip(*sorted(words)) if words else ((), ()), (U, np.int64), strict=True))
+        self.pairs, self.pair_seen = (np.array(x, t) for x, t in zip(zip(*sorted(pairs)) if pairs else ((), ()), (U, np.int64), strict=True))
+
+
+def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Index of each x in the sorted ``known``, or -1."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first ^ mix(second + U(1)))
+
+
+def _shard(x: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(x) >> U(33)).astype(np.int64) % shards
 
-def _parsed(blob: bytes, kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        dtype = np.dtype({"Q": np.uint64, "I": np.uint32}[kind])
-        out.append(np.frombuffer(blob, dtype, n, at))
-        at += n * dtype.itemsize
-    return out
 
+_BITS, _MASK = U(21), U((1 << 21) - 1)
 
-def shard_of(first: np.ndarray, second: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each n-gram, by its first word, or first and second if the first is in ``hot`` (sorted)."""
-    at = np.minimum(np.searchsorted(hot, first), max(0, len(hot) - 1))
-    is_hot = hot[at] == first if len(hot) else np.zeros(len(first), bool)
-    return (np.where(is_hot, mix(first ^ mix(second)), mix(first)) >> U(33)).astype(np.int64) % shards
-
-
-def _unigrams(shards: int):
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in _chunks(batches, CHUNK):
-            w, n = np.unique(t, return_counts=True)
-            shard = shard_of(w, w, w[:0], shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                k = order[cuts[s] : cuts[s + 1]]
-                yield _blob(s, [w[k], n[k].astype(np.uint32)])
-
-    return unigrams
-
-
-def _write_unigrams(folder: str):
-    """Merges a shard's unigrams into a file; returns its tokens, types and most frequent words with counts."""
-
-    def write(blobs: pa.Table) -> pa.Table:
-        parts = [_parsed(b.as_py(), "QI") for b in blobs.column("blob")]
-        (w,), (n,), _ = _summed([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]).astype(np.int64))
-        shard = blobs.column("shard")[0].as_py()
-        write_arrays(f"{folder}/uni-{shard}", _sequence("word", w) | {"count": n})
-        top = np.argsort(-n, kind="stable")[:TOP]
-        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (w[top].view(np.int64), n[top])]
-        return pa.table([pa.array([int(n.sum())]), pa.array([len(w)]), *lists], ["tokens", "types", "top", "seen"])
-
-    return write
-
-
-def _longer(shards: int, hot: np.ndarray):
-    """Tries of bigrams and trigrams, a blob for each shard."""
-
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, rest in _chunks(batches, CHUNK):
-            i = np.flatnonzero(rest >= 1)
-            first, second = t[i], t[i + 1]
-            three = rest[i] >= 2
-            third = np.where(three, t[np.minimum(i + 2, len(t) - 1)] & _FP, U(0))
-            shard = shard_of(first, second, hot, shards)
-            pair = (second & _FP) << U(32) | third
-            (shard, first, pair), (n, n3), _ = _summed([shard, first, pair], np.ones(len(i), np.int64), three.astype(np.int64))
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                k = slice(cuts[s], cuts[s + 1])
-                f, p, c, c3 = first[k], pair[k], n[k], n3[k]
-                sec = (p >> U(32)).astype(np.uint32)
-                new1 = np.r_[True, f[1:] != f[:-1]]
-                new2 = new1 | np.r_[True, sec[1:] != sec[:-1]]
-                at2 = np.flatnonzero(new2)
-                deg2 = np.add.reduceat(new2, np.flatnonzero(new1)).astype(np.uint32)
-                has3 = c3 > 0
-                deg3 = np.add.reduceat(has3, at2, dtype=np.uint32)
-                yield _blob(s, [f[new1], deg2, sec[new2], np.add.reduceat(c, at2).astype(np.uint32), deg3, (p[has3] & _FP).astype(np.uint32), c3[has3].astype(np.uint32)])
-
-    return longer
-
-
-def _write_longer(folder: str, hot: np.ndarray, seen: np.ndarray):
-    """Merges a shard's tries and writes its file."""
-
-    def write(blobs: pa.Table) -> pa.Table:
-        first2, sec2, n2, first3, sec3, third, n3 = ([] for _ in range(7))
-        for b in blobs.column("blob"):
-            f, d2, s, c2, d3, t, c3 = _parsed(b.as_py(), "QIIIIII")
-            f2 = np.repeat(f, d2)
-            for into, x in ((first2, f2), (sec2, s), (n2, c2), (first3, np.repeat(f2, d3)), (sec3, np.repeat(s, d3)), (third, t), (n3, c3)):
-                into.append(x)
-        (f2, s2), (c2,), _ = _summed([np.concatenate(first2), np.concatenate(sec2)], np.concatenate(n2).astype(np.int64))
-        first2 = sec2 = n2 = None
-        pair3 = np.concatenate(sec3).astype(U) << U(32) | np.concatenate(third)
-        (f3, p3), (c3,), _ = _summed([np.concatenate(first3), pair3], np.concatenate(n3).astype(np.int64))
-        begins = np.flatnonzero(np.r_[True, f2[1:] != f2[:-1]])
-        f1, size = f2[begins], np.diff(np.r_[begins, len(f2)])
-        c1 = np.add.reduceat(c2, begins)
-        at = np.minimum(np.searchsorted(hot, f1), max(0, len(hot) - 1))
-        if len(hot):
-            c1 = np.where(hot[at] == f1, seen[at], c1)
-        ctx = np.repeat(np.arange(len(f1)), size)
-        # parent of each trigram among the bigrams, both sorted alike
-        node = np.searchsorted(f1, f3).astype(U) << U(32) | p3 >> U(32)
-        parent = np.searchsorted(ctx.astype(U) << U(32) | s2, node)
-        per = np.bincount(parent, minlength=len(s2))
-        shard = blobs.column("shard")[0].as_py()
+
+class Layout:
+    """A chunk's distinct n-grams, the shard of each, and where each token's are.
+
+    Entries are (shard, pair): every pair at its own shard, and a hot one also where its trigrams are.
+    """
+
+    def __init__(self, row: dict, hot: Hot, shards: int) -> None:
+        self.words = np.frombuffer(row["words"], U)
+        self.t = _parsed(row["ids"])[0].astype(np.int64)
+        size, early = np.array(row["size"]), np.array(row["early"])
+        place = np.arange(len(self.t)) - np.repeat(np.cumsum(size) - size, size)
+        self.doc = np.repeat(np.arange(len(size)), size)
+        self.scored = place >= early[self.doc]
+        self.taught = self.scored & np.array(row["train"], bool)[self.doc]
+        self.two = np.flatnonzero(place >= 1)
+        t = self.t.astype(U)
+        pairs, at2 = np.unique(t[self.two - 1] << _BITS | t[self.two], return_inverse=True)
+        self.pair = np.full(len(t), -1)
+        self.pair[self.two] = at2
+        self.three = np.flatnonzero((place >= 2) & self.scored)
+        self.tris, self.at3 = np.unique(self.pair[self.three - 1].astype(U) << _BITS | t[self.three], return_inverse=True)
+        self.first, self.second = (pairs >> _BITS).astype(np.int64), (pairs & _MASK).astype(np.int64)
+        self.owner, self.third = (self.tris >> _BITS).astype(np.int64), (self.tris & _MASK).astype(np.int64)
+        named = _pair(self.words[self.first], self.words[self.second])
+        is_hot = _in(self.words, hot.words)[self.first] >= 0
+        self.home = np.where(is_hot, _shard(named, shards), _shard(self.words, shards)[self.first])
+        far = _in(named, hot.pairs) >= 0
+        to = np.where(far[self.owner], _shard(named[self.owner] ^ self.words[self.third], shards), self.home[self.owner])
+        key = lambda shard, pair: shard.astype(U) << U(32) | pair.astype(U)
+        entries = np.unique(np.r_[key(self.home, np.arange(len(pairs))), key(to, self.owner)])
+        self.entry_shard, self.entry_pair = (entries >> U(32)).astype(np.int64), (entries & U(0xFFFFFFFF)).astype(np.int64)
+        under = np.searchsorted(entries, key(to, self.owner))
+        self.order3 = np.argsort(under, kind="stable")  # trigrams by entry, then third word
+        self.degree = np.bincount(under, minlength=len(entries))
+        root = _shard(self.words, shards)
+        self.order1 = np.argsort(root, kind="stable")
+        every = np.arange(shards + 1)
+        self.cuts1, self.cuts2 = np.searchsorted(root[self.order1], every), np.searchsorted(self.entry_shard, every)
+        self.cuts3 = np.r_[0, np.cumsum(self.degree)][self.cuts2]
+
+    def asked(self) -> list[int]:
+        return np.flatnonzero((np.diff(self.cuts1) > 0) | (np.diff(self.cuts2) > 0)).tolist()
+
+    def parts(self, shard: int) -> tuple[slice, slice, slice]:
+        return tuple(slice(c[shard], c[shard + 1]) for c in (self.cuts1, self.cuts2, self.cuts3))
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob): words, then by their places roots with counts, entries with counts and degrees, third words with counts."""
+        n1 = np.bincount(self.t[self.taught], minlength=len(self.words))
+        n2 = np.bincount(self.pair[self.two], self.taught[self.two], len(self.home)).astype(np.int64)
+        n3 = np.bincount(self.at3, self.taught[self.three], len(self.tris)).astype(np.int64)
+        at = np.zeros(len(self.words), np.int64)
+        for shard in self.asked():
+            one, two, three = self.parts(shard)
+            root, pair, tri = self.order1[one], self.entry_pair[two], self.order3[three]
+            f, s, t = self.first[pair], self.second[pair], self.third[tri]
+            used = np.unique(np.concatenate([root, f, s, t]))
+            at[used] = np.arange(len(used))
+            counted = np.where(self.home[pair] == shard, n2[pair], 0)
+            yield shard, _packed([self.words[used], at[root], n1[root], at[f], at[s], counted, self.degree[two], at[t], n3[tri]])
+
+
+def _asked(hot: Hot, shards: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for shard, blob in Layout(row, hot, shards).requests():
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row["chunk"]]), pa.array([blob], pa.binary())], ["shard", "chunk", "blob"])
+
+    return asked
+
+
+def _counts(shards: int):
+    """Words of a chunk with counts, a blob for each shard."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                w, (seen, load) = np.frombuffer(row["words"], U), _parsed(row["seen"])
+                shard = _shard(w, shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    some = order[cuts[k] : cuts[k + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed([w[some], seen[some], load[some]])], pa.binary())], ["shard", "blob"])
+
+    return counts
+
+
+def _summed(least: int):
+    """Of a shard's words: tokens, types, and those that occur ``least`` times."""
+
+    def summed(blobs: pa.Table) -> pa.Table:
+        parts = [_parsed(b.as_py()) for b in blobs.column("blob")]
+        w, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        seen, load = (np.bincount(at, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
+        often = load >= least
+        lists = [pa.array([x.tolist()], _LONGS) for x in (w[often].view(np.int64), seen[often])]
+        return pa.table([pa.array([int(seen.sum())]), pa.array([int((seen > 0).sum())]), *lists], ["tokens", "types", "hot", "seen"])
+
+    return summed
+
+
+def _hot_pairs(hot: Hot):
+    """Pairs of hot words with their counts in a chunk."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a = Layout(row, Hot(), 1)
+                is_hot = _in(a.words, hot.words) >= 0
+                k = np.flatnonzero(is_hot[a.first] & is_hot[a.second])
+                load = np.bincount(a.pair[a.two], a.scored[a.two], len(a.home)).astype(np.int64)
+                seen = np.bincount(a.pair[a.two], a.taught[a.two], len(a.home)).astype(np.int64)
+                named = _pair(a.words[a.first[k]], a.words[a.second[k]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(seen[k]), pa.array(load[k])], ["pair", "seen", "load"])
+
+    return pairs
+
+
+class Trie:
+    """A shard's file: words, pairs, trigrams, in Elias-Fano form with quantised shares."""
+
+    def __init__(self, uri: str) -> None:
+        a = map_arrays(uri)
+        self.word, self.to2, self.child2, self.to3, self.child3 = (_mapped(a, n) for n in ("word", "to2", "child2", "to3", "child3"))
+        self.count, self.share2, self.rest2, self.share3 = (a[n] for n in ("count", "share2", "rest2", "share3"))
+
+    @staticmethod
+    def write(uri: str, words: np.ndarray, c1: np.ndarray, f: np.ndarray, s: np.ndarray, total1: np.ndarray, c2: np.ndarray, owner: np.ndarray, third: np.ndarray, c3: np.ndarray) -> None:
+        """words are sorted; pairs (f, s) and trigrams (owner, third) are sorted places; total1 is each pair's first word's count."""
+        n = U(max(1, len(words)))
         write_arrays(
-            f"{folder}/more-{shard}",
-            _sequence("first", f1)
-            | _sequence("to2", np.r_[0, np.cumsum(size)])
-            | _sequence("to3", np.r_[0, np.cumsum(per)])
-            | {
-                "second": s2.astype(np.uint32),
-                "share2": quantised(c2 / (c1[ctx] + PRIOR)),
-                "rest2": quantised(PRIOR / (c2 + PRIOR)),
-                "goes_on": np.packbits(per > 0, bitorder="little"),
-                "third": (p3 & _FP).astype(np.uint32),
-                "share3": quantised(c3 / (c2[parent] + PRIOR)),
-            },
+            uri,
+            _sequence("word", words)
+            | _sequence("to2", np.r_[0, np.cumsum(np.bincount(f, minlength=len(words)))])
+            | _sequence("child2", f.astype(U) * n + s.astype(U))
+            | _sequence("to3", np.r_[0, np.cumsum(np.bincount(owner, minlength=len(f)))])
+            | _sequence("child3", owner.astype(U) * n + third.astype(U))
+            | {"count": c1.astype(np.int64), "share2": quantised(c2 / (total1 + PRIOR)), "rest2": quantised(PRIOR / (c2 + PRIOR)), "share3": quantised(c3 / (c2[owner] + PRIOR))},
         )
-        return pa.table({"shard": pa.array([shard], pa.int32()), "bigrams": [len(s2)], "trigrams": [len(p3)]})
 
-    return write
+    @staticmethod
+    def _under(parent: np.ndarray, pointers: EliasFano, children: EliasFano, rank: np.ndarray, n: int) -> np.ndarray:
+        """Place of each child, by its rank, in its parent's range, or -1; parent and rank may be -1."""
+        found = np.full(len(parent), -1)
+        k = np.flatnonzero((parent >= 0) & (rank >= 0))
+        p = parent[k]
+        lo, hi = (x.astype(np.int64) for x in pointers.pair(p)) if len(k) else (p, p)
+        found[k] = children.find(p * n + rank[k], lo, hi)
+        return found
+
+    def ask(self, words: np.ndarray, f: np.ndarray, s: np.ndarray, owner: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(count of each word, share2 and rest2 of each pair, share3 of each trigram); unknown ones have counts and shares of 0."""
+        rank = self.word.find(words)
+        count = np.where(rank >= 0, self.count[np.maximum(rank, 0)] if self.word.n else 0, 0)
+        pair = self._under(rank[f], self.to2, self.child2, rank[s], self.word.n)
+        tri = self._under(pair[owner], self.to3, self.child3, rank[third], self.word.n)
+        pick = lambda a, at, other: np.where(at >= 0, a[np.maximum(at, 0)], other).astype(np.uint16) if len(a) else np.full(len(at), other, np.uint16)
+        return count, pick(self.share2, pair, NONE), pick(self.rest2, pair, 0), pick(self.share3, tri, NONE)
+
+
+def _answered(folder: str, hot: Hot, build: bool):
+    """A shard's task: sums the counts into its file if it is to be built, and answers every chunk from the file."""
+
+    def answered(blobs: pa.Table) -> pa.Table:
+        parts = [_parsed(b.as_py()) for b in blobs.column("blob")]
+        uri = f"{folder}/shard-{blobs.column('shard')[0].as_py()}"
+        sizes = [len(p[0]) for p in parts]
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        own = np.split(at, np.cumsum(sizes)[:-1])  # each part's words among all
+        put = lambda k: np.concatenate([o[p[k]] for o, p in zip(own, parts, strict=True)])
+        put_n = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int64)
+        root, n1, n2, degree, n3 = put(1), put_n(2), put_n(5), put_n(6), put_n(8)
+        pairs, at2 = np.unique(put(3).astype(U) << U(32) | put(4).astype(U), return_inverse=True)
+        tris, at3 = np.unique(np.repeat(at2, degree).astype(U) << U(32) | put(7).astype(U), return_inverse=True)
+        low = U(0xFFFFFFFF)
+        f, s, owner, third = (x.astype(np.int64) for x in (pairs >> U(32), pairs & low, tris >> U(32), tris & low))
+        if build:
+            c1, c2, c3 = (np.bincount(a, n, m).astype(np.int64) for a, n, m in ((root, n1, len(words)), (at2, n2, len(pairs)), (at3, n3, len(tris))))
+            k = _in(_pair(words[f], words[s]), hot.pairs)
+            c2 = np.where(k >= 0, hot.pair_seen[k] if len(hot.pairs) else 0, c2)
+            k = _in(words[f], hot.words)
+            total1 = np.where(k >= 0, hot.word_seen[k] if len(hot.words) else 0, c1[f])
+            kept2, kept3 = np.flatnonzero(c2), np.flatnonzero(c3)
+            there = np.zeros(len(words), bool)
+            for x in (np.flatnonzero(c1), f[kept2], s[kept2], third[kept3]):
+                there[x] = True
+            rank, place = np.cumsum(there) - 1, np.zeros(len(pairs), np.int64)
+            place[kept2] = np.arange(len(kept2))
+            Trie.write(uri, words[there], c1[there], rank[f[kept2]], rank[s[kept2]], total1[kept2], c2[kept2], place[owner[kept3]], rank[third[kept3]], c3[kept3])
+        try:
+            told = Trie(uri).ask(words, f, s, owner, third)
+        except FileNotFoundError:  # nothing of this shard was taught
+            told = np.zeros(len(words), np.int64), np.full(len(pairs), NONE, np.uint16), np.zeros(len(pairs), np.uint16), np.full(len(tris), NONE, np.uint16)
+        out, a, b, c = [], 0, 0, 0
+        for p in parts:
+            n_1, n_2, n_3 = len(p[1]), len(p[3]), len(p[7])
+            two = at2[b : b + n_2]
+            out.append(_packed([told[0][root[a : a + n_1]], told[1][two], told[2][two], told[3][at3[c : c + n_3]]]))
+            a, b, c = a + n_1, b + n_2, c + n_3
+        return pa.table([blobs.column("shard"), blobs.column("chunk"), pa.chunked_array([pa.array(out, pa.binary())])], ["shard", "chunk", "blob"])
+
+    return answered
+
+
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _combined(hot: Hot, shards: int, n: int, v: int):
+    """A chunk with its answers: what each of its texts, or parts of texts, adds to the scores."""
+
+    def combined(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        a = Layout(row, hot, shards)
+        count = np.zeros(len(a.words), np.int64)
+        share2, rest2, share3 = np.full(len(a.home), NONE, np.uint16), np.zeros(len(a.home), np.uint16), np.full(len(a.tris), NONE, np.uint16)
+        for shard, blob in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True):
+            one, two, three = a.parts(shard)
+            c1, s2, r2, s3 = _parsed(blob)
+            count[a.order1[one]] = c1
+            pair = a.entry_pair[two]
+            own = a.home[pair] == shard
+            share2[pair[own]], rest2[pair[own]] = s2[own], r2[own]
+            share3[a.order3[three]] = s3
+        c = count[a.t]
+        base = (c + 1) / (n + v + 1)
+        p = base.copy()
+        k = a.two[c[a.two - 1] > 0]  # the word before is known
+        p[k] = restored(share2)[a.pair[k]] + PRIOR / (c[k - 1] + PRIOR) * base[k]
+        p[a.three] = restored(share3)[a.at3] + restored(rest2)[a.pair[a.three - 1]] * p[a.three]
+        docs = len(row["row"])
+        total = lambda x: np.bincount(a.doc[a.scored], x[a.scored], docs)
+        columns = [row["row"], row["doc_id"], row["held"], np.bincount(a.doc[a.scored], minlength=docs), total(c > 0).astype(np.int64), total(np.log10(base)), total(np.log10(p))]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return combined
 
 
 class Model:
-    """The files of a folder, mapped on first use."""
+    """Where the files are, how n-grams are dealt to them, and the corpus' tokens and types."""
 
-    def __init__(self, folder: str, shards: int, n: int, v: int, hot: np.ndarray) -> None:
+    def __init__(self, folder: str, shards: int, n: int, v: int, hot: Hot) -> None:
         self.folder, self.shards, self.n, self.v, self.hot = folder, shards, n, v, hot
-        self.files: dict[str, dict] = {}
-
-    def _file(self, kind: str, shard: int) -> dict | None:
-        name = f"{kind}-{shard}"
-        if name not in self.files:
-            try:
-                a = map_arrays(f"{self.folder}/{name}")
-            except FileNotFoundError:
-                self.files[name] = {}
-                return None
-            self.files[name] = a | {s: _mapped(a, s) for s in ("word", "first", "to2", "to3") if f"{s}.size" in a}
-        return self.files[name] or None
-
-    def _grouped(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order, cuts = _groups(shard, self.shards)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            yield s, order[cuts[s] : cuts[s + 1]]
-
-    def counts(self, word: np.ndarray) -> np.ndarray:
-        """Training count of each (distinct, sorted) word."""
-        out = np.zeros(len(word), np.int64)
-        for s, k in self._grouped(shard_of(word, word, word[:0], self.shards)):
-            if f := self._file("uni", s):
-                at = f["word"].find(word[k])
-                out[k] = np.where(at >= 0, f["count"][np.maximum(at, 0)], 0)
-        return out
-
-    def score(self, t: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count, log10 base probability, log10 model probability) of each token; before: how many of its text precede."""
-        word, at = np.unique(t, return_inverse=True)
-        seen = self.counts(word)
-        count = seen[at]
-        base = (count + 1) / (self.n + self.v + 1)
-        p = base.copy()
-        two = np.flatnonzero((before >= 1) & (np.r_[0, count[:-1]] > 0))  # the word before is known
-        c1 = count[two - 1]
-        p[two] = PRIOR / (c1 + PRIOR) * base[two]
-        node, shard2 = np.full(len(t), -1), np.zeros(len(t), np.int64)  # of the pair that ends at each token
-        shard2[two] = shard_of(t[two - 1], t[two], self.hot, self.shards)
-        for s, k in self._grouped(shard2[two]):
-            if f := self._file("more", s):
-                i = two[k]
-                first, where = np.unique(at[i - 1], return_inverse=True)
-                parent = f["first"].find(word[first])
-                lo, hi = (x.astype(np.int64) for x in f["to2"].pair(np.maximum(parent, 0)))
-                lo, hi = np.where(parent < 0, 0, lo), np.where(parent < 0, 0, hi)
-                got = _find_children(f["second"], lo, hi, where, (t[i] & _FP).astype(np.uint32))
-                there = got >= 0
-                p[i[there]] += restored(f["share2"][got[there]])
-                node[i] = got
-        three = np.flatnonzero((before >= 2) & (np.r_[-1, node[:-1]] >= 0))  # the pair before is known
-        for s, k in self._grouped(shard2[three - 1]):
-            f, i = self._file("more", s), three[k]
-            pair = node[i - 1]
-            p[i] *= restored(f["rest2"][pair])
-            on = np.flatnonzero(f["goes_on"][pair >> 3] >> (pair & 7).astype(np.uint8) & 1)
-            i, pair = i[on], pair[on]
-            lo, hi = (x.astype(np.int64) for x in f["to3"].pair(pair))
-            child = f["third"]
-            got = _successor(lambda m, _, child=child: child[m], lo, hi, (t[i] & _FP).astype(np.uint32))
-            there = got >= 0
-            p[i[there]] += restored(f["share3"][got[there]])
-        return count, np.log10(base), np.log10(p)
-
-
-def train(docs: DataFrame, shards: int | None = None) -> Model:
-    """Counts the texts of ``docs`` and writes the model to the shared folder; a null text is empty.
-
-    What reaches the driver is a row for each shard. Without rows the model knows no word.
-    """
-    texts = docs.select(text_of().alias("text"))
-    shards = shards or 4 * max(1, texts.rdd.getNumPartitions())
-    folder = scratch(docs.sparkSession, "ngrams")
-    uni = texts.mapInArrow(_unigrams(shards), _BLOB).repartition(shards, "shard").groupBy("shard")
-    told = uni.applyInArrow(_write_unigrams(folder), "tokens long, types long, top array<long>, seen array<long>").collect()
+
+
+def _planned(table: DataFrame) -> Model:
+    """A model still without files: its size, and what is hot, from the word counts of the chunks."""
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD))
+    seen = table.select("words", "seen").mapInArrow(_counts(shards), "shard int, blob binary")
+    told = seen.groupBy("shard").applyInArrow(_summed(max(1, SHARD // 2)), "tokens long, types long, hot array<long>, seen array<long>").collect()
     n, v = sum(r.tokens for r in told), sum(r.types for r in told)
-    often = sorted((w & (1 << 64) - 1, c) for r in told for w, c in zip(r.top, r.seen, strict=True) if 2 * shards * c > n)
-    hot, seen = np.array([w for w, _ in often], U), np.array([c for _, c in often], np.int64)
-    more = texts.mapInArrow(_longer(shards, hot), _BLOB).repartition(shards, "shard").groupBy("shard")
-    more.applyInArrow(_write_longer(folder, hot, seen), "shard int, bigrams long, trigrams long").agg(F.sum("bigrams"), F.sum("trigrams")).collect()
-    return Model(folder, shards, n, v, hot)
+    hot = Hot([(w & (1 << 64) - 1, c) for r in told for w, c in zip(r.hot, r.seen, strict=True)])
+    if len(hot.words):
+        pairs = table.mapInArrow(_hot_pairs(hot), "pair long, seen long, load long").groupBy("pair").agg(F.sum("seen").alias("seen"), F.sum("load").alias("load"))
+        often = pairs.filter(F.col("load") >= max(1, SHARD // 2)).collect()
+        hot = Hot(list(zip(hot.words.tolist(), hot.word_seen.tolist(), strict=True)), [(r.pair & (1 << 64) - 1, r.seen) for r in often])
+    return Model(scratch(table.sparkSession, "ngrams"), shards, n, v, hot)
+
+
+def _answers(table: DataFrame, model: Model, build: bool) -> DataFrame:
+    requests = table.mapInArrow(_asked(model.hot, model.shards), "shard int, chunk long, blob binary")
+    return requests.groupBy("shard").applyInArrow(_answered(model.folder, model.hot, build), "shard int, chunk long, blob binary")
+
+
+def _scored(table: DataFrame, model: Model, build: bool) -> DataFrame:
+    told = _answers(table, model, build).groupBy("chunk")
+    parts = table.groupBy("chunk").cogroup(told).applyInArrow(_combined(model.hot, model.shards, model.n, model.v), _SCORES)
+    sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train(docs: DataFrame) -> Model:
+    """Counts the texts of ``docs`` (doc_id, text) and writes the model to the shared folder; a null text is empty.
+
+    What reaches the driver is a row for each shard and the hot words and pairs. Without rows the model knows no word.
+    """
+    table = chunks(docs, F.lit(True))
+    model = _planned(table)
+    _answers(table, model, True).agg(F.count("*")).collect()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
-    A null or empty text is its END token alone; a null doc_id stays null. Without training tokens every probability
-    is that of an unknown word.
+    A null or empty text is its END token alone; a null doc_id stays null; rows that repeat a doc_id are scored one by
+    one. Without training tokens every probability is that of an unknown word. An empty table gives no rows.
     """
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                t, offsets = tokens(batch.column(2))
-                before = np.arange(len(t)) - np.repeat(offsets[:-1], np.diff(offsets))
-                total = np.zeros((3, len(offsets) - 1))
-                for at in range(0, len(t), SCORED):  # a piece of a long text starts two tokens early
-                    early = min(2, at, int(before[at]))
-                    got = model.score(t[at - early : at + SCORED], np.minimum(before[at - early : at + SCORED], np.arange(early + min(SCORED, len(t) - at))))
-                    text = np.searchsorted(offsets, np.arange(at, min(at + SCORED, len(t))), "right") - 1
-                    for row, x in zip(total, (got[0] > 0, got[1], got[2]), strict=True):
-                        row += np.bincount(text, x[early:], len(row))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(total[0].astype(np.int64)), pa.array(np.full(batch.num_rows, model.n)), pa.array(total[1]), pa.array(total[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _scored(chunks(docs, F.lit(False)), model, False)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """Scores of all rows under a model of those whose crc32(doc_id) mod 7 is not 2."""
-    return score(docs, train(docs.filter(remainder(7) != 2)))
-
+    """Scores of all rows under a model of those whose crc32(doc_id) mod 7 is not 2; counts and questions travel together."""
+    table = chunks(docs, remainder(7) != 2)
+    return _scored(table, _planned(table), True)

@@ -4,10 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from boxtrail.llm import decontamination, language_id, ngram_trie, toxicity
 
@@ -49,7 +49,7 @@ def check_scores(rows, got):
                 p = (bi[w[k - 1], x] + ngram_trie.PRIOR * p) / (uni[w[k - 1]] + ngram_trie.PRIOR)
                 if k > 1 and (c := bi[w[k - 2], w[k - 1]]):
                     three = tri[w[k - 2], w[k - 1], x]
-                    p = ((three if three >= ngram_trie.LEAST else 0) + ngram_trie.PRIOR * p) / (c + ngram_trie.PRIOR)
+                    p = (three + ngram_trie.PRIOR * p) / (c + ngram_trie.PRIOR)
             score += math.log10(p)
         want[i, is_held(i, 7, 2), len(w), sum(uni[x] > 0 for x in w), n, round(base, 4), round(score / len(w), 2)] += 1
     have = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score / r.n_tokens, 2)) for r in got.collect())
@@ -63,26 +63,62 @@ def test_scores(odd, documents):
         check_scores([(r.doc_id, r.text) for r in df.collect()], ngram_trie.lm_scores(df))
 
 
-def test_scores_hot_words(spark):
-    """Words so frequent that their pairs are spread over shards."""
+@pytest.mark.parametrize("chunk, shard", [(64, 100), (7, 40), (1 << 20, 30)])
+def test_scores_hot_words(spark, monkeypatch, chunk, shard):
+    """Words and pairs so frequent that their n-grams are dealt out further, and texts longer than a chunk."""
+    monkeypatch.setattr(ngram_trie, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_trie, "SHARD", shard)
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(30)}"]) for _ in range(40))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = ngram_trie.chunks(df, F.lit(True))
+    hot = ngram_trie._planned(table).hot
+    assert len(hot.words) >= 2 and len(hot.pairs) >= 1
     check_scores(rows, ngram_trie.lm_scores(df))
 
 
+def test_scores_of_other_texts(spark):
+    """A model of some texts asked for others, on its own."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(30))
+    taught = [(i, text()) for i in range(40) if not is_held(i, 7, 2)]
+    asked = [(i, text() + " new") for i in range(500) if is_held(i, 7, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    model = ngram_trie.train(frame(taught))
+    both = {r.doc_id: r for r in ngram_trie.lm_scores(frame(taught + asked)).collect()}
+    alone = ngram_trie.score(frame(asked), model).collect()
+    assert len(alone) == len(asked)
+    for r in alone:
+        assert r == both[r.doc_id]
+
+
 def test_scores_sum_to_one(spark):
     """Over the known words and one unknown, after pairs with many, few and no repeated continuations."""
     rng = random.Random(8)
-    rows = [(f"a b {rng.choice(['c', f'x{k}'])} rare{k} d",) for k in range(60)]
-    model = ngram_trie.train(spark.createDataFrame(rows, "text string"))
-    t, _ = ngram_trie.tokens(pa.array([t for t, in rows] + ["never"]))
-    vocabulary = np.unique(t)
-    pairs = np.unique(np.stack([t[:-1], t[1:]], 1)[t[:-1] != ngram_trie.END], axis=0)
-    for pair in pairs[pairs[:, 1] != ngram_trie.END][:80]:
-        three = np.stack([np.full(len(vocabulary), pair[0]), np.full(len(vocabulary), pair[1]), vocabulary], 1).ravel()
-        _, _, p = model.score(three, np.tile(np.arange(3), len(vocabulary)))
-        assert (10.0 ** p[2::3]).sum() == pytest.approx(1, abs=2e-3)
+    rows = [(3 * k, f"a b {rng.choice(['c', f'x{k}'])} rare{k} d") for k in range(60)]
+    model = ngram_trie.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocabulary = sorted({w for _, t in rows for w in t.split()}) + ["never"]
+    contexts = ["a b", "b c", "c rare1", "x2 rare2", "b x7"]
+    asked = [(k * 1000 + j, f"{c} {w}".strip()) for k, c in enumerate(contexts) for j, w in enumerate([*vocabulary, ""])]
+    got = {r.doc_id: r.score for r in ngram_trie.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    # P(w | c) is the gain of c w over c without what the end token adds; the end token follows from the shortest text
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for _, t in rows:
+        w = words(t)
+        uni.update(w), bi.update(zip(w, w[1:])), tri.update(zip(w, w[1:], w[2:]))
+    n, v, prior = sum(uni.values()), len(uni), ngram_trie.PRIOR
+
+    def p(x, u, w):
+        base = (uni[w] + 1) / (n + v + 1)
+        base = (bi[u, w] + prior * base) / (uni[u] + prior) if uni[u] else base
+        return (tri[x, u, w] + prior * base) / (bi[x, u] + prior) if x and bi[x, u] else base
+
+    for k, c in enumerate(contexts):
+        x, u = c.split()
+        first = math.log10((uni[x] + 1) / (n + v + 1)) + math.log10(p(None, x, u))
+        total = 10 ** (got[k * 1000 + len(vocabulary)] - first)  # the end token
+        total += sum(10 ** (got[k * 1000 + j] - first - math.log10(p(u, w, None))) for j, w in enumerate(vocabulary))
+        assert total == pytest.approx(1, abs=3e-3), c
 
 
 def test_scores_empty(none, odd):
