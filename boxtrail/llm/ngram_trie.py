@@ -1,7 +1,7 @@
 """A language model in memory-mapped Elias-Fano tries, a file for each shard of n-grams.
 
-1. Texts become chunks of about CHUNK tokens, written once: the chunk's distinct words (64-bit hashes) and each token's
-   place among them.
+1. Texts become chunks of about CHUNK tokens, a file each: the chunk's distinct words (64-bit hashes) with their counts,
+   and each token's place among them. The table of chunks tells whose texts they hold.
 2. One small job sums word counts: the number of tokens and types, and the words and word pairs that are so frequent
    that their n-grams are dealt out further, by the next word. Both lists hold two entries for each shard at most.
 3. A chunk sends each shard the distinct n-grams it has for it, with their training counts. A shard holds the n-grams of
@@ -17,7 +17,8 @@ smoothed with a Dirichlet prior,
     P(w | context) = (c(context w) + PRIOR * P(w | shorter context)) / (c(context) + PRIOR),
 
 down to (c(w) + 1) / (N + V + 1); both shares are kept as 16-bit logarithms. All n-grams are kept, so the probabilities
-of a context sum to 1 over the known words and one unknown.
+of a context sum to 1 over the known words and one unknown. A file keeps a share in 8 bits: one of 255 values chosen for
+that file, the frequent ones exactly.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from boxtrail.llm.kernels import U, mix, words
 
 PRIOR = 4.0
 #: Tokens of a chunk, and about how many a shard gets; both fit in a task's memory many times.
-CHUNK, SHARD = 1 << 20, 1 << 20
+CHUNK, SHARD = 1 << 20, 1 << 21
 #: The token after the last word of a text; no word hashes to it but by chance.
 END = U(0xE5D0F7EE7D0C5EED)
 #: 16-bit logarithms cover 10^-12 to 1; the last one stands for 0.
@@ -54,6 +55,48 @@ def restored(q: np.ndarray) -> np.ndarray:
     return np.where(q == NONE, 0.0, 10.0 ** (-q.astype(np.float64) / STEPS))
 
 
+def coded(q: np.ndarray, absent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a code of 8 bits for each 16-bit value, the values of the codes); code 0 is ``absent``.
+
+    The 127 most frequent values are kept; the others, in order, share 128 codes of about equally many, by their mean.
+    """
+    seen = np.bincount(q, minlength=1 << 16)
+    values = np.flatnonzero(seen)
+    to = np.zeros(1 << 16, np.uint8)
+    if len(values) <= 255:
+        book = values
+        to[values] = np.arange(1, len(values) + 1)
+    else:
+        often = np.sort(values[np.argsort(-seen[values], kind="stable")[:127]])
+        rest = np.setdiff1d(values, often)
+        before = np.cumsum(seen[rest]) - seen[rest]
+        group = np.unique(before * 128 // max(1, seen[rest].sum()), return_inverse=True)[1]
+        mean = np.round(np.bincount(group, rest * seen[rest]) / np.bincount(group, seen[rest])).astype(np.int64)
+        book = np.r_[often, mean]
+        to[often], to[rest] = np.arange(1, 128), 128 + group
+    return to[q], np.r_[absent, book].astype(np.uint16)
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each one's place among them: np.unique by one sort of keys and places in 64 bits."""
+    n = len(keys)
+    width = max(1, n - 1).bit_length()
+    if not n:
+        return keys.astype(U), np.zeros(0, np.int64)
+    cut = max(0, int(keys.max()).bit_length() + width - 64)  # low bits of the keys that find no room
+    x = np.sort(keys >> U(cut) << U(width) | np.arange(n, dtype=U))
+    place = (x & U((1 << width) - 1)).astype(np.int64)
+    x = keys[place]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    if cut and (x[1:] < x[:-1]).any():  # keys that differ in their low bits only
+        return np.unique(keys, return_inverse=True)
+    at = np.empty(n, np.int64)
+    at[place] = np.cumsum(new) - 1
+    return x[new], at
+
+
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the r-th set bit of each word."""
     place = np.zeros(len(word), np.int64)
@@ -224,10 +267,14 @@ def _parsed(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-CHUNKS = "chunk long, n long, words binary, seen binary, ids binary, row array<long>, doc_id array<long>, held array<boolean>, train array<boolean>, size array<long>, early array<long>"
+CHUNKS = "chunk long, n long, row array<long>, doc_id array<long>, held array<boolean>, train array<boolean>, size array<long>, early array<long>"
+_LONGS = pa.list_(pa.int64())
+_CHUNK_SCHEMA = pa.schema(
+    [("chunk", pa.int64()), ("n", pa.int64()), ("row", _LONGS), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("size", _LONGS), ("early", _LONGS)]
+)
 
 
-def _chunked(limit: int):
+def _chunked(folder: str, limit: int):
     """From (doc_id, held_out, train, text): chunks of whole texts, or of parts of a text with the two tokens before them."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +284,18 @@ def _chunked(limit: int):
         def chunk() -> pa.RecordBatch:
             nonlocal held, number
             size = np.array([len(h[4]) for h in held])
-            t = np.concatenate([h[4] for h in held])
-            word, ids = np.unique(t, return_inverse=True)
+            word, ids = ranked(np.concatenate([h[4] for h in held]))
             early = np.array([h[5] for h in held])
-            begins = np.cumsum(size) - size
-            place = np.arange(len(t)) - np.repeat(begins, size)
-            scored = place >= np.repeat(early, size)
+            scored = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size) >= np.repeat(early, size)
             taught = scored & np.repeat([h[3] for h in held], size)
-            seen = [np.bincount(ids[taught], minlength=len(word)), np.bincount(ids[scored], minlength=len(word))]
+            counts = {"seen": np.bincount(ids[taught], minlength=len(word)), "load": np.bincount(ids[scored], minlength=len(word))}
+            thin = {"low": (ids & 0xFFFF).astype("<u2"), "high": (ids >> 16).astype(np.uint8)}
+            arrays = {"words": word} | {k: np.frombuffer(_packed([x]), np.uint8) for k, x in counts.items()}
+            arrays |= {k: np.frombuffer(pa.compress(x.tobytes(), "zstd", asbytes=True), np.uint8) for k, x in thin.items()}
+            write_arrays(f"{folder}/{part | number}", arrays)
             out = {
-                "chunk": [part | number], "n": [int(scored.sum())], "words": [word.tobytes()], "seen": [_packed(seen)], "ids": [_packed([ids])],
-                "row": [[h[0] for h in held]], "doc_id": [[h[1] for h in held]], "held": [[h[2] for h in held]], "train": [[h[3] for h in held]], "size": [size.tolist()], "early": [early.tolist()],
+                "chunk": [part | number], "n": [int(scored.sum())], "row": [[h[0] for h in held]], "doc_id": [[h[1] for h in held]],
+                "held": [[h[2] for h in held]], "train": [[h[3] for h in held]], "size": [size.tolist()], "early": [early.tolist()],
             }
             held, number = [], number + 1
             return pa.RecordBatch.from_pydict(out, schema=_CHUNK_SCHEMA)
@@ -260,7 +308,7 @@ def _chunked(limit: int):
                     for a in range(offsets[k], offsets[k + 1], limit):
                         begin = max(offsets[k], a - 2)
                         held.append((part | row, i, is_held, train, t[begin : min(a + limit, offsets[k + 1])], int(a - begin)))
-                        if sum(len(h[4]) for h in held[-1:]) >= limit:
+                        if len(held[-1][4]) >= limit:
                             yield chunk()
                     row += 1
                 if sum(len(h[4]) for h in held) >= limit:
@@ -271,19 +319,17 @@ def _chunked(limit: int):
     return chunked
 
 
-_LONGS = pa.list_(pa.int64())
-_CHUNK_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("seen", pa.binary()), ("ids", pa.binary()), ("row", _LONGS), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("size", _LONGS), ("early", _LONGS)]
-)
+class Chunks:
+    """The texts of a frame as chunk files in ``folder``, and ``table``, whose rows tell what is in each."""
 
-
-def chunks(docs: DataFrame, train: F.Column) -> DataFrame:
-    """The texts of ``docs`` as a written table of chunks; ``train`` says which rows teach the model."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), (remainder(7) == 2).alias("held_out"), train.alias("train"), text_of().alias("text"))
-    path = scratch(spark, "chunks")
-    rows.mapInArrow(_chunked(CHUNK), CHUNKS).write.parquet(path)
-    return spark.read.schema(CHUNKS).parquet(path)
+    def __init__(self, docs: DataFrame, train: F.Column) -> None:
+        """``train`` says which rows teach the model."""
+        spark = docs.sparkSession
+        rows = docs.select(F.col("doc_id").cast("long"), (remainder(7) == 2).alias("held_out"), train.alias("train"), text_of().alias("text"))
+        path = scratch(spark, "chunks")
+        self.folder = f"{path}/files"
+        rows.mapInArrow(_chunked(self.folder, CHUNK), CHUNKS).write.parquet(f"{path}/table")
+        self.table = spark.read.schema(CHUNKS).parquet(f"{path}/table")
 
 
 class Hot:
@@ -310,39 +356,42 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return (mix(x) >> U(33)).astype(np.int64) % shards
 
 
-_BITS, _MASK = U(21), U((1 << 21) - 1)
-
-
 class Layout:
     """A chunk's distinct n-grams, the shard of each, and where each token's are.
 
     Entries are (shard, pair): every pair at its own shard, and a hot one also where its trigrams are.
     """
 
-    def __init__(self, row: dict, hot: Hot, shards: int) -> None:
-        self.words = np.frombuffer(row["words"], U)
-        self.t = _parsed(row["ids"])[0].astype(np.int64)
+    def __init__(self, folder: str, row: dict, hot: Hot, shards: int) -> None:
+        file = map_arrays(f"{folder}/{row['chunk']}")
+        self.words = file["words"]
         size, early = np.array(row["size"]), np.array(row["early"])
+        wide = lambda name, kind: np.frombuffer(pa.decompress(file[name].tobytes(), int(size.sum()) * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
+        self.t = wide("low", "<u2") | wide("high", np.uint8) << 16
         place = np.arange(len(self.t)) - np.repeat(np.cumsum(size) - size, size)
         self.doc = np.repeat(np.arange(len(size)), size)
         self.scored = place >= early[self.doc]
         self.taught = self.scored & np.array(row["train"], bool)[self.doc]
         self.two = np.flatnonzero(place >= 1)
-        t = self.t.astype(U)
-        pairs, at2 = np.unique(t[self.two - 1] << _BITS | t[self.two], return_inverse=True)
+        self.three = np.flatnonzero((place >= 2) & self.scored)
+        if not shards:
+            return
+        bits, t = U(max(1, len(self.words)).bit_length()), self.t.astype(U)
+        pairs, at2 = ranked(t[self.two - 1] << bits | t[self.two])
         self.pair = np.full(len(t), -1)
         self.pair[self.two] = at2
-        self.three = np.flatnonzero((place >= 2) & self.scored)
-        self.tris, self.at3 = np.unique(self.pair[self.three - 1].astype(U) << _BITS | t[self.three], return_inverse=True)
-        self.first, self.second = (pairs >> _BITS).astype(np.int64), (pairs & _MASK).astype(np.int64)
-        self.owner, self.third = (self.tris >> _BITS).astype(np.int64), (self.tris & _MASK).astype(np.int64)
+        self.tris, self.at3 = ranked(self.pair[self.three - 1].astype(U) << bits | t[self.three])
+        mask = (U(1) << bits) - U(1)
+        self.first, self.second = (pairs >> bits).astype(np.int64), (pairs & mask).astype(np.int64)
+        self.owner, self.third = (self.tris >> bits).astype(np.int64), (self.tris & mask).astype(np.int64)
         named = _pair(self.words[self.first], self.words[self.second])
         is_hot = _in(self.words, hot.words)[self.first] >= 0
         self.home = np.where(is_hot, _shard(named, shards), _shard(self.words, shards)[self.first])
         far = _in(named, hot.pairs) >= 0
         to = np.where(far[self.owner], _shard(named[self.owner] ^ self.words[self.third], shards), self.home[self.owner])
         key = lambda shard, pair: shard.astype(U) << U(32) | pair.astype(U)
-        entries = np.unique(np.r_[key(self.home, np.arange(len(pairs))), key(to, self.owner)])
+        entries = key(self.home, np.arange(len(pairs)))
+        entries = np.sort(np.r_[entries, np.unique(key(to, self.owner)[to != self.home[self.owner]])])
         self.entry_shard, self.entry_pair = (entries >> U(32)).astype(np.int64), (entries & U(0xFFFFFFFF)).astype(np.int64)
         under = np.searchsorted(entries, key(to, self.owner))
         self.order3 = np.argsort(under, kind="stable")  # trigrams by entry, then third word
@@ -375,23 +424,24 @@ class Layout:
             yield shard, _packed([self.words[used], at[root], n1[root], at[f], at[s], counted, self.degree[two], at[t], n3[tri]])
 
 
-def _asked(hot: Hot, shards: int):
+def _asked(folder: str, hot: Hot, shards: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for shard, blob in Layout(row, hot, shards).requests():
+                for shard, blob in Layout(folder, row, hot, shards).requests():
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row["chunk"]]), pa.array([blob], pa.binary())], ["shard", "chunk", "blob"])
 
     return asked
 
 
-def _counts(shards: int):
+def _counts(folder: str, shards: int):
     """Words of a chunk with counts, a blob for each shard."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                w, (seen, load) = np.frombuffer(row["words"], U), _parsed(row["seen"])
+            for chunk in batch.column("chunk").to_pylist():
+                file = map_arrays(f"{folder}/{chunk}")
+                w, (seen,), (load,) = file["words"], _parsed(file["seen"].tobytes()), _parsed(file["load"].tobytes())
                 shard = _shard(w, shards)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -416,19 +466,18 @@ def _summed(least: int):
     return summed
 
 
-def _hot_pairs(hot: Hot):
+def _hot_pairs(folder: str, hot: Hot):
     """Pairs of hot words with their counts in a chunk."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a = Layout(row, Hot(), 1)
-                is_hot = _in(a.words, hot.words) >= 0
-                k = np.flatnonzero(is_hot[a.first] & is_hot[a.second])
-                load = np.bincount(a.pair[a.two], a.scored[a.two], len(a.home)).astype(np.int64)
-                seen = np.bincount(a.pair[a.two], a.taught[a.two], len(a.home)).astype(np.int64)
-                named = _pair(a.words[a.first[k]], a.words[a.second[k]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(seen[k]), pa.array(load[k])], ["pair", "seen", "load"])
+                a = Layout(folder, row, Hot(), 0)
+                is_hot = (_in(a.words, hot.words) >= 0)[a.t]
+                k = a.two[is_hot[a.two] & is_hot[a.two - 1]]
+                named, at = np.unique(_pair(a.words[a.t[k - 1]], a.words[a.t[k]]), return_inverse=True)
+                seen, load = (np.bincount(at, x[k], len(named)).astype(np.int64) for x in (a.taught, a.scored))
+                yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(seen), pa.array(load)], ["pair", "seen", "load"])
 
     return pairs
 
@@ -439,12 +488,14 @@ class Trie:
     def __init__(self, uri: str) -> None:
         a = map_arrays(uri)
         self.word, self.to2, self.child2, self.to3, self.child3 = (_mapped(a, n) for n in ("word", "to2", "child2", "to3", "child3"))
-        self.count, self.share2, self.rest2, self.share3 = (a[n] for n in ("count", "share2", "rest2", "share3"))
+        self.count = a["count"]
+        self.codes = {n: (a[n], a[f"{n}.book"]) for n in ("share2", "rest2", "share3")}
 
     @staticmethod
     def write(uri: str, words: np.ndarray, c1: np.ndarray, f: np.ndarray, s: np.ndarray, total1: np.ndarray, c2: np.ndarray, owner: np.ndarray, third: np.ndarray, c3: np.ndarray) -> None:
         """words are sorted; pairs (f, s) and trigrams (owner, third) are sorted places; total1 is each pair's first word's count."""
         n = U(max(1, len(words)))
+        shares = (("share2", c2 / (total1 + PRIOR), NONE), ("rest2", PRIOR / (c2 + PRIOR), 0), ("share3", c3 / (c2[owner] + PRIOR), NONE))
         write_arrays(
             uri,
             _sequence("word", words)
@@ -452,7 +503,8 @@ class Trie:
             | _sequence("child2", f.astype(U) * n + s.astype(U))
             | _sequence("to3", np.r_[0, np.cumsum(np.bincount(owner, minlength=len(f)))])
             | _sequence("child3", owner.astype(U) * n + third.astype(U))
-            | {"count": c1.astype(np.int64), "share2": quantised(c2 / (total1 + PRIOR)), "rest2": quantised(PRIOR / (c2 + PRIOR)), "share3": quantised(c3 / (c2[owner] + PRIOR))},
+            | {"count": c1.astype(np.int64)}
+            | {k: x for name, p, absent in shares for k, x in zip((name, f"{name}.book"), coded(quantised(p), absent), strict=True)},
         )
 
     @staticmethod
@@ -466,13 +518,22 @@ class Trie:
         return found
 
     def ask(self, words: np.ndarray, f: np.ndarray, s: np.ndarray, owner: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(count of each word, share2 and rest2 of each pair, share3 of each trigram); unknown ones have counts and shares of 0."""
+        """(count of each word, codes of share2 and rest2 of each pair, codes of share3 of each trigram), 0 for unknown ones."""
         rank = self.word.find(words)
         count = np.where(rank >= 0, self.count[np.maximum(rank, 0)] if self.word.n else 0, 0)
         pair = self._under(rank[f], self.to2, self.child2, rank[s], self.word.n)
         tri = self._under(pair[owner], self.to3, self.child3, rank[third], self.word.n)
-        pick = lambda a, at, other: np.where(at >= 0, a[np.maximum(at, 0)], other).astype(np.uint16) if len(a) else np.full(len(at), other, np.uint16)
-        return count, pick(self.share2, pair, NONE), pick(self.rest2, pair, 0), pick(self.share3, tri, NONE)
+
+        def code(name: str, at: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(at), np.uint8)
+            there = at >= 0
+            out[there] = self.codes[name][0][at[there]]
+            return out
+
+        return count, code("share2", pair), code("rest2", pair), code("share3", tri)
+
+    def books(self) -> list[np.ndarray]:
+        return [self.codes[n][1] for n in ("share2", "rest2", "share3")]
 
 
 def _answered(folder: str, hot: Hot, build: bool):
@@ -482,15 +543,16 @@ def _answered(folder: str, hot: Hot, build: bool):
         parts = [_parsed(b.as_py()) for b in blobs.column("blob")]
         uri = f"{folder}/shard-{blobs.column('shard')[0].as_py()}"
         sizes = [len(p[0]) for p in parts]
-        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        words, at = ranked(np.concatenate([p[0] for p in parts]))
         own = np.split(at, np.cumsum(sizes)[:-1])  # each part's words among all
         put = lambda k: np.concatenate([o[p[k]] for o, p in zip(own, parts, strict=True)])
         put_n = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int64)
         root, n1, n2, degree, n3 = put(1), put_n(2), put_n(5), put_n(6), put_n(8)
-        pairs, at2 = np.unique(put(3).astype(U) << U(32) | put(4).astype(U), return_inverse=True)
-        tris, at3 = np.unique(np.repeat(at2, degree).astype(U) << U(32) | put(7).astype(U), return_inverse=True)
-        low = U(0xFFFFFFFF)
-        f, s, owner, third = (x.astype(np.int64) for x in (pairs >> U(32), pairs & low, tris >> U(32), tris & low))
+        bits = U(len(words).bit_length())
+        low = (U(1) << bits) - U(1)
+        pairs, at2 = ranked(put(3).astype(U) << bits | put(4).astype(U))
+        tris, at3 = ranked(np.repeat(at2, degree).astype(U) << bits | put(7).astype(U))
+        f, s, owner, third = (x.astype(np.int64) for x in (pairs >> bits, pairs & low, tris >> bits, tris & low))
         if build:
             c1, c2, c3 = (np.bincount(a, n, m).astype(np.int64) for a, n, m in ((root, n1, len(words)), (at2, n2, len(pairs)), (at3, n3, len(tris))))
             k = _in(_pair(words[f], words[s]), hot.pairs)
@@ -505,14 +567,15 @@ def _answered(folder: str, hot: Hot, build: bool):
             place[kept2] = np.arange(len(kept2))
             Trie.write(uri, words[there], c1[there], rank[f[kept2]], rank[s[kept2]], total1[kept2], c2[kept2], place[owner[kept3]], rank[third[kept3]], c3[kept3])
         try:
-            told = Trie(uri).ask(words, f, s, owner, third)
+            trie = Trie(uri)
+            told, books = trie.ask(words, f, s, owner, third), trie.books()
         except FileNotFoundError:  # nothing of this shard was taught
-            told = np.zeros(len(words), np.int64), np.full(len(pairs), NONE, np.uint16), np.zeros(len(pairs), np.uint16), np.full(len(tris), NONE, np.uint16)
+            told, books = [np.zeros(n, np.int64) for n in (len(words), len(pairs), len(pairs), len(tris))], [np.array([x], np.uint16) for x in (NONE, 0, NONE)]
         out, a, b, c = [], 0, 0, 0
         for p in parts:
             n_1, n_2, n_3 = len(p[1]), len(p[3]), len(p[7])
             two = at2[b : b + n_2]
-            out.append(_packed([told[0][root[a : a + n_1]], told[1][two], told[2][two], told[3][at3[c : c + n_3]]]))
+            out.append(_packed([told[0][root[a : a + n_1]], told[1][two], told[2][two], told[3][at3[c : c + n_3]], *books]))
             a, b, c = a + n_1, b + n_2, c + n_3
         return pa.table([blobs.column("shard"), blobs.column("chunk"), pa.chunked_array([pa.array(out, pa.binary())])], ["shard", "chunk", "blob"])
 
@@ -522,17 +585,18 @@ def _answered(folder: str, hot: Hot, build: bool):
 _SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _combined(hot: Hot, shards: int, n: int, v: int):
+def _combined(folder: str, hot: Hot, shards: int, n: int, v: int):
     """A chunk with its answers: what each of its texts, or parts of texts, adds to the scores."""
 
     def combined(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        a = Layout(row, hot, shards)
+        a = Layout(folder, row, hot, shards)
         count = np.zeros(len(a.words), np.int64)
-        share2, rest2, share3 = np.full(len(a.home), NONE, np.uint16), np.zeros(len(a.home), np.uint16), np.full(len(a.tris), NONE, np.uint16)
+        share2, rest2, share3 = np.zeros(len(a.home)), np.ones(len(a.home)), np.zeros(len(a.tris))
         for shard, blob in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True):
             one, two, three = a.parts(shard)
-            c1, s2, r2, s3 = _parsed(blob)
+            c1, s2, r2, s3, *books = _parsed(blob)
+            s2, r2, s3 = (restored(book)[code] for book, code in zip(books, (s2, r2, s3), strict=True))
             count[a.order1[one]] = c1
             pair = a.entry_pair[two]
             own = a.home[pair] == shard
@@ -542,8 +606,8 @@ def _combined(hot: Hot, shards: int, n: int, v: int):
         base = (c + 1) / (n + v + 1)
         p = base.copy()
         k = a.two[c[a.two - 1] > 0]  # the word before is known
-        p[k] = restored(share2)[a.pair[k]] + PRIOR / (c[k - 1] + PRIOR) * base[k]
-        p[a.three] = restored(share3)[a.at3] + restored(rest2)[a.pair[a.three - 1]] * p[a.three]
+        p[k] = share2[a.pair[k]] + PRIOR / (c[k - 1] + PRIOR) * base[k]
+        p[a.three] = share3[a.at3] + rest2[a.pair[a.three - 1]] * p[a.three]
         docs = len(row["row"])
         total = lambda x: np.bincount(a.doc[a.scored], x[a.scored], docs)
         columns = [row["row"], row["doc_id"], row["held"], np.bincount(a.doc[a.scored], minlength=docs), total(c > 0).astype(np.int64), total(np.log10(base)), total(np.log10(p))]
@@ -560,29 +624,31 @@ class Model:
         self.folder, self.shards, self.n, self.v, self.hot = folder, shards, n, v, hot
 
 
-def _planned(table: DataFrame) -> Model:
+def _planned(chunks: Chunks) -> Model:
     """A model still without files: its size, and what is hot, from the word counts of the chunks."""
+    table, folder = chunks.table, chunks.folder
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD))
-    seen = table.select("words", "seen").mapInArrow(_counts(shards), "shard int, blob binary")
+    seen = table.select("chunk").mapInArrow(_counts(folder, shards), "shard int, blob binary")
     told = seen.groupBy("shard").applyInArrow(_summed(max(1, SHARD // 2)), "tokens long, types long, hot array<long>, seen array<long>").collect()
     n, v = sum(r.tokens for r in told), sum(r.types for r in told)
     hot = Hot([(w & (1 << 64) - 1, c) for r in told for w, c in zip(r.hot, r.seen, strict=True)])
     if len(hot.words):
-        pairs = table.mapInArrow(_hot_pairs(hot), "pair long, seen long, load long").groupBy("pair").agg(F.sum("seen").alias("seen"), F.sum("load").alias("load"))
+        pairs = table.mapInArrow(_hot_pairs(folder, hot), "pair long, seen long, load long").groupBy("pair").agg(F.sum("seen").alias("seen"), F.sum("load").alias("load"))
         often = pairs.filter(F.col("load") >= max(1, SHARD // 2)).collect()
         hot = Hot(list(zip(hot.words.tolist(), hot.word_seen.tolist(), strict=True)), [(r.pair & (1 << 64) - 1, r.seen) for r in often])
     return Model(scratch(table.sparkSession, "ngrams"), shards, n, v, hot)
 
 
-def _answers(table: DataFrame, model: Model, build: bool) -> DataFrame:
-    requests = table.mapInArrow(_asked(model.hot, model.shards), "shard int, chunk long, blob binary")
+def _answers(chunks: Chunks, model: Model, build: bool) -> DataFrame:
+    requests = chunks.table.mapInArrow(_asked(chunks.folder, model.hot, model.shards), "shard int, chunk long, blob binary")
     return requests.groupBy("shard").applyInArrow(_answered(model.folder, model.hot, build), "shard int, chunk long, blob binary")
 
 
-def _scored(table: DataFrame, model: Model, build: bool) -> DataFrame:
-    told = _answers(table, model, build).groupBy("chunk")
-    parts = table.groupBy("chunk").cogroup(told).applyInArrow(_combined(model.hot, model.shards, model.n, model.v), _SCORES)
+def _scored(chunks: Chunks, model: Model, build: bool) -> DataFrame:
+    told = _answers(chunks, model, build).groupBy("chunk")
+    combined = _combined(chunks.folder, model.hot, model.shards, model.n, model.v)
+    parts = chunks.table.groupBy("chunk").cogroup(told).applyInArrow(combined, _SCORES)
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -592,9 +658,9 @@ def train(docs: DataFrame) -> Model:
 
     What reaches the driver is a row for each shard and the hot words and pairs. Without rows the model knows no word.
     """
-    table = chunks(docs, F.lit(True))
-    model = _planned(table)
-    _answers(table, model, True).agg(F.count("*")).collect()
+    chunks = Chunks(docs, F.lit(True))
+    model = _planned(chunks)
+    _answers(chunks, model, True).agg(F.count("*")).collect()
     return model
 
 
@@ -604,10 +670,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text is its END token alone; a null doc_id stays null; rows that repeat a doc_id are scored one by
     one. Without training tokens every probability is that of an unknown word. An empty table gives no rows.
     """
-    return _scored(chunks(docs, F.lit(False)), model, False)
+    return _scored(Chunks(docs, F.lit(False)), model, False)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Scores of all rows under a model of those whose crc32(doc_id) mod 7 is not 2; counts and questions travel together."""
-    table = chunks(docs, remainder(7) != 2)
-    return _scored(table, _planned(table), True)
+    chunks = Chunks(docs, remainder(7) != 2)
+    return _scored(chunks, _planned(chunks), True)

@@ -28,6 +28,24 @@ def test_elias_fano(values, others):
     assert e.find(x).tolist() == [at.get(int(a), -1) for a in x]
 
 
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=200), st.integers(0, 63))
+@settings(max_examples=60, deadline=None)
+def test_ranked(values, shift):
+    x = np.array([v >> shift for v in values] * 2, np.uint64)
+    for got, want in zip(ngram_trie.ranked(x), np.unique(x, return_inverse=True), strict=True):
+        assert got.tolist() == want.tolist()
+
+
+def test_codes():
+    """Frequent values are kept, the others stay near."""
+    rng = np.random.default_rng(0)
+    q = np.concatenate([np.full(5000, 77), rng.integers(0, 65000, 20000)]).astype(np.uint16)
+    code, book = ngram_trie.coded(q, 9)
+    assert book[0] == 9 and len(book) <= 256 and (code > 0).all() and (book[code[:5000]] == 77).all()
+    assert np.abs(book[code].astype(int) - q).max() < 65000 / 128 * 2
+    assert ngram_trie.coded(q[:0], 3)[1].tolist() == [3]
+
+
 def words(t):
     return [*(x for x in "".join(c if c not in "\t\n\v\f\r" else " " for c in (t or "")).translate({c: c + 32 for c in range(65, 91)}).split(" ") if x), None]
 
@@ -71,8 +89,7 @@ def test_scores_hot_words(spark, monkeypatch, chunk, shard):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(30)}"]) for _ in range(40))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    table = ngram_trie.chunks(df, F.lit(True))
-    hot = ngram_trie._planned(table).hot
+    hot = ngram_trie._planned(ngram_trie.Chunks(df, F.lit(True))).hot
     assert len(hot.words) >= 2 and len(hot.pairs) >= 1
     check_scores(rows, ngram_trie.lm_scores(df))
 
