@@ -4,14 +4,17 @@
    its word sequence, and a sketch: REGISTERS truncated maxima of exponentially spaced levels (sketches
    merge by the maximum of each register).
 2. Documents with the same word sequence become one class, with map-side combining; one representative
-   of each class goes on.
+   of each class goes on, and the others join its component at the end.
 3. Bands of registers are keys. The smallest member of a bucket is its centre, and all members of buckets
    with one centre form a cluster; a pair that shares any bucket shares a cluster.
-4. Clusters are compared in blocks of at most BLOCK members, each block pair a task's group: pairs whose
-   jointly estimated similarity (by likelihood over the registers that are larger, smaller and equal) could
-   reach the threshold are verified on their full shingle sets, unless they are connected already. What
-   leaves a task is a forest of true links, fewer than its members, never all pairs of a group.
-5. Connected components by alternating star contraction, on Spark.
+4. Stars: each member is compared with its centre. Sketches travel first: a pair goes on if its jointly
+   estimated similarity (by likelihood over the registers that are larger, smaller and equal) could reach the
+   threshold. Texts are fetched only for those, to parts of a cluster of a bounded size in members and bytes,
+   and verified on full shingle sets. This connects most copies with their centre in linear work.
+5. The rest: clusters whose members are still in several components are compared in blocks, sketches first
+   again. Only members with a possible partner in another component bring their texts, and only to the pairs of
+   blocks where that partner is. What leaves a task is a forest of true links, never all pairs of a group.
+6. Connected components by alternating star contraction, on Spark.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,8 @@ from boxtrail.llm.kernels import U, mix, shingles, words
 #: Sketch parameters of the published scheme: base, rate, largest level.
 B, RATE, LEVELS = 1.001, 20.0, 65534
 REGISTERS, ROWS = 128, 4
-#: Members of a cluster compared in one group.
-BLOCK = 512
+#: Members of a cluster compared in one group, and bytes of their texts.
+BLOCK, BYTES = 512, 16 << 20
 #: Pairs whose estimate lies further below the threshold than this are not verified: over five standard errors.
 SLACK = 0.2
 _RNG = np.random.default_rng(20)
@@ -108,8 +112,8 @@ def _described(size: int):
                     twin.append(mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(U)))
                 reg = sketches(h, begins)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(t.view(np.int64)) for t in twin), pa.array([r.tobytes() for r in reg], pa.binary())],
-                    ["id", "n", "twin_a", "twin_b", "sketch"],
+                    [batch.column(0), pa.array(n.astype(np.int64)), pc.binary_length(batch.column(1)).cast(pa.int64()), *(pa.array(t.view(np.int64)) for t in twin), pa.array([r.tobytes() for r in reg], pa.binary())],
+                    ["id", "n", "bytes", "twin_a", "twin_b", "sketch"],
                 )
 
     return described
@@ -137,7 +141,10 @@ class Forest:
 
 
 def links(left: list[tuple], right: list[tuple] | None, size: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the true links among left, or between left and right: members are (id, n, sketch, text)."""
+    """True links among left, or between left and right, that connect members not connected yet.
+
+    Members are (id, n, sketch, text, component); those of one component are connected already.
+    """
     both = left + (right or [])
     cross = len(left) if right is not None else 0
     ids = [m[0] for m in both]
@@ -151,6 +158,9 @@ def links(left: list[tuple], right: list[tuple] | None, size: int, percent: int)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     forest, out = Forest(len(both)), []
+    seen: dict[int, int] = {}
+    for k, m in enumerate(both):
+        forest.join(k, seen.setdefault(m[4], k))
     # the member with most registers in common with all comes first: it connects most of a group of copies
     mode = np.array([np.bincount(np.unique(c, return_inverse=True)[1]).argmax() for c in reg.T])
     common = (reg == np.array([np.unique(c)[m] for c, m in zip(reg.T, mode, strict=True)])).sum(1)
@@ -201,6 +211,53 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+def _possible(percent: int):
+    """Of pairs (.., n, sketch, other_n, other_sketch) those whose estimate could reach the threshold."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "other_n"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch", "other_sketch"))
+            keep = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            keep[keep] = estimate((a[keep] > b[keep]).sum(1), (a[keep] < b[keep]).sum(1), n[keep], m[keep]) >= percent / 100 - SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("centre", "part", "id")], ["centre", "part", "id"])
+
+    return possible
+
+
+def _starred(size: int, percent: int):
+    """True links of a part of a cluster between its centre (side 0) and its members."""
+
+    def starred(members: pa.Table) -> pa.Table:
+        t = members.sort_by([("side", "ascending"), ("id", "ascending")])
+        w, offsets = words(t.column("text").combine_chunks())
+        h, begins = shingles(w, offsets, size)
+        sets = [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        ids = t.column("id").to_numpy()
+        shared = np.array([len(np.intersect1d(sets[0], x, assume_unique=True)) for x in sets[1:]], np.int64)
+        both = len(sets[0]) + np.array([len(x) for x in sets[1:]], np.int64) - shared
+        true = ids[1:][100 * shared >= percent * both] if len(ids) else ids
+        return pa.table({"a": pa.array(true, pa.int64()), "b": pa.array(np.full(len(true), ids[0] if len(ids) else 0), pa.int64())})
+
+    return starred
+
+
+def _likely(key: tuple, members: pd.DataFrame, percent: int) -> np.ndarray:
+    """Members of a pair of blocks that could be linked with a member of another component."""
+    _, i, j = key
+    reg = np.frombuffer(b"".join(members["sketch"]), np.uint16).reshape(-1, REGISTERS)
+    n, of, part = members["n"].to_numpy(float), members["component"].to_numpy(), members["part"].to_numpy()
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    chosen = np.zeros(len(members), bool)
+    for k in left:
+        other = right[(of[right] != of[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
+        if len(other):
+            close = estimate((reg[k] > reg[other]).sum(1), (reg[k] < reg[other]).sum(1), np.full(len(other), n[k]), n[other]) >= percent / 100 - SLACK
+            chosen[other[close]] = True
+            chosen[k] |= close.any()
+    return chosen
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -212,43 +269,62 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     keeps one; rows that repeat both are one document, returned as often as it occurs.
     """
     rows, shown, again = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
-    base = cut(rows.mapInArrow(_described(size), "id long, n long, twin_a long, twin_b long, sketch binary"))
+    base = cut(rows.mapInArrow(_described(size), "id long, n long, bytes long, twin_a long, twin_b long, sketch binary"))
     full = base.filter("n > 0")
     firsts = full.groupBy("twin_a", "twin_b").agg(F.min("id").alias("rep"))
     member = full.join(firsts, ["twin_a", "twin_b"])
-    same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = cut(member.filter("id = rep").select("id", "n", "sketch").dropDuplicates(["id", "n", "sketch"]))
+    reps = cut(member.filter("id = rep").select("id", "n", "bytes", "sketch").dropDuplicates(["id"]))
 
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width))))
-    keyed = reps.select("id", F.explode(bands).alias("bucket"))
+    keyed = reps.select("id", "bytes", F.explode(bands).alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1").select("bucket", "centre")
-    cluster = cut(keyed.join(centres, "bucket").select("centre", "id").distinct())
-    sizes = cluster.groupBy("centre").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    texts = rows.dropDuplicates(["id"]) if again else rows
-    told = reps.join(cluster.select("id").distinct(), "id", "left_semi").join(texts, "id")
-    placed = cluster.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cluster = cut(keyed.join(centres, "bucket").groupBy("centre", "id").agg(F.first("bytes").alias("bytes")))
+    sizes = cluster.groupBy("centre").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    sizes = cut(sizes.select("centre", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BYTES)).cast("int").alias("parts")))
+    texts = (rows.dropDuplicates(["id"]) if again else rows).select("id", "text")
+    sketches_of = reps.select("id", "n", "sketch")
+
+    # stars: a centre's sketch and text go to each part of its cluster, so a hot centre is spread over them
+    heads = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    spread = cluster.filter("id <> centre").select("centre", "id").join(sizes, "centre").select("centre", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    centre_rows = heads.join(sketches_of.withColumnsRenamed({"id": "centre", "n": "other_n", "sketch": "other_sketch"}), "centre").select("centre", "part", "other_n", "other_sketch")
+    pairs = spread.join(sketches_of, "id").join(centre_rows, ["centre", "part"])
+    pairs = cut(pairs.select("centre", "part", "id", "n", "sketch", "other_n", "other_sketch").mapInArrow(_possible(percent), "centre long, part int, id long"))
+    wanted = pairs.select("centre", "part", "id", F.lit(1).alias("side")).unionByName(pairs.select("centre", "part", F.col("centre").alias("id"), F.lit(0).alias("side")).distinct())
+    stars = wanted.join(texts, "id").select("centre", "part", "side", "id", "text").groupBy("centre", "part").applyInArrow(_starred(size, percent), "a long, b long")
+    stars = cut(stars)
+
+    # the rest: what several components share a cluster
+    first = components(stars)
+    of = cut(cluster.select("centre", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = of.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("centre")
+    placed = of.join(mixed, "centre").join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a member meets the members of every part: itself in (part, part), the others in ordered pairs of parts
     placed = placed.select(
-        "centre", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    ).select("centre", "id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    groups = placed.join(told, "id")
+        "centre", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    ).select("centre", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def likely(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        return members.loc[_likely(key, members, percent), ["centre", "i", "j", "id", "component", "part", "n", "sketch"]]
+
+    kind = "centre long, i int, j int, id long, component long, part int, n long, sketch binary"
+    groups = cut(placed.join(sketches_of, "id").groupBy("centre", "i", "j").applyInPandas(likely, kind))
 
     def compared(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        rows = list(zip(members["id"], members["n"], members["sketch"], members["text"], strict=True))
+        rows = list(zip(members["id"], members["n"], members["sketch"], members["text"], members["component"], strict=True))
         side = members["part"].to_numpy() == i
         if i == j:
             found = links(rows, None, size, percent)
-        elif side.all() or not side.any():
-            found = []
         else:
             found = links([r for r, s in zip(rows, side, strict=True) if s], [r for r, s in zip(rows, side, strict=True) if not s], size, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    near = groups.groupBy("centre", "i", "j").applyInPandas(compared, "a long, b long")
-    found = components(near.unionByName(same))
-    every = base.select("id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    near = groups.join(texts, "id").groupBy("centre", "i", "j").applyInPandas(compared, "a long, b long")
+    found = components(near.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    every = base.select("id", "n", "twin_a", "twin_b").join(firsts, ["twin_a", "twin_b"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    every = every.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     every = every.withColumn("kept", F.col("id") == F.col("component"))
     if shown is not None:
         every = every.join(shown, "id").drop("id").withColumnRenamed("shown", "id")
