@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from boxtrail.llm.common import cut, id_of, shown_id, text_of, told_apart
 from boxtrail.llm.kernels import U, mix, shingles, words
+from boxtrail.operators.tracking import whole_groups
 
 #: Sketch parameters of the published scheme: base, rate, largest level.
 B, RATE, LEVELS = 1.001, 20.0, 65534
@@ -78,18 +78,41 @@ def estimate(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     With u = n_a / (n_a + n_b), v = 1 - u: P(larger) = p(u - v J), P(smaller) = p(v - u J), and equal
     otherwise, with p(x) = -log_B(1 - x (B - 1) / B). The likelihood is concave in J, so bisection finds it.
     """
+    lo, hi = np.zeros(len(n_a)), _largest(n_a, n_b)
+    for _ in range(30):
+        j = (lo + hi) / 2
+        up = _gain(above, below, n_a, n_b, j) > 0
+        lo, hi = np.where(up, j, lo), np.where(up, hi, j)
+    return (lo + hi) / 2
+
+
+def _largest(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The largest similarity that sets of these sizes can have."""
+    return np.minimum(n_a, n_b) / np.maximum(np.maximum(n_a, n_b), 1)
+
+
+def _gain(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, j: np.ndarray | float) -> np.ndarray:
+    """Slope of the log likelihood at similarity j."""
     u = n_a / np.maximum(n_a + n_b, 1)
     v = 1 - u
     same = REGISTERS - above - below
     p = lambda x: -np.log1p(-x * (B - 1) / B) / np.log(B)
     slope = lambda x: (B - 1) / B / (1 - x * (B - 1) / B) / np.log(B)
-    lo, hi = np.zeros(len(u)), np.minimum(u / np.maximum(v, 1e-12), v / np.maximum(u, 1e-12))
-    for _ in range(30):
-        j = (lo + hi) / 2
-        x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
-        gain = -above * v * slope(x) / p(x) - below * u * slope(y) / p(y) + same * (v * slope(x) + u * slope(y)) / np.maximum(1 - p(x) - p(y), 1e-12)
-        lo, hi = np.where(gain > 0, j, lo), np.where(gain > 0, hi, j)
-    return (lo + hi) / 2
+    x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    return -above * v * slope(x) / p(x) - below * u * slope(y) / p(y) + same * (v * slope(x) + u * slope(y)) / np.maximum(1 - p(x) - p(y), 1e-12)
+
+
+def could_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the estimate for sketches a and b (rows of registers) lies above the threshold less SLACK.
+
+    The likelihood is concave, so its slope there tells, without finding the estimate.
+    """
+    keep = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    k, least = np.flatnonzero(keep), percent / 100 - SLACK
+    for at in range(0, len(k), 1 << 14):
+        some = k[at : at + (1 << 14)]
+        keep[some] = _gain((a[some] > b[some]).sum(1), (a[some] < b[some]).sum(1), n_a[some], n_b[some], least) >= 0
+    return keep
 
 
 def _described(size: int):
@@ -171,8 +194,7 @@ def links(left: list[tuple], right: list[tuple] | None, size: int, percent: int)
         other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
         if not len(other):
             continue
-        above, below = (reg[k] > reg[other]).sum(1), (reg[k] < reg[other]).sum(1)
-        other = other[estimate(above, below, np.full(len(other), n[k]), n[other]) >= percent / 100 - SLACK]
+        other = other[could_reach(np.broadcast_to(reg[k], (len(other), REGISTERS)), reg[other], np.full(len(other), n[k]), n[other], percent)]
         if not len(other):
             continue
         if len(other) > 8:
@@ -218,8 +240,7 @@ def _possible(percent: int):
         for batch in batches:
             n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "other_n"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch", "other_sketch"))
-            keep = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            keep[keep] = estimate((a[keep] > b[keep]).sum(1), (a[keep] < b[keep]).sum(1), n[keep], m[keep]) >= percent / 100 - SLACK
+            keep = could_reach(a, b, n, m, percent)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("centre", "part", "id")], ["centre", "part", "id"])
 
     return possible
@@ -242,20 +263,93 @@ def _starred(size: int, percent: int):
     return starred
 
 
-def _likely(key: tuple, members: pd.DataFrame, percent: int) -> np.ndarray:
-    """Members of a pair of blocks that could be linked with a member of another component."""
-    _, i, j = key
-    reg = np.frombuffer(b"".join(members["sketch"]), np.uint16).reshape(-1, REGISTERS)
-    n, of, part = members["n"].to_numpy(float), members["component"].to_numpy(), members["part"].to_numpy()
-    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    chosen = np.zeros(len(members), bool)
-    for k in left:
-        other = right[(of[right] != of[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-        if len(other):
-            close = estimate((reg[k] > reg[other]).sum(1), (reg[k] < reg[other]).sum(1), np.full(len(other), n[k]), n[other]) >= percent / 100 - SLACK
-            chosen[other[close]] = True
-            chosen[k] |= close.any()
-    return chosen
+#: Groups of up to so many members are compared all at once, pair by pair.
+SMALL = 48
+
+
+def _apart(batch: pa.RecordBatch, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Pairs of rows of the small groups that could be linked and are in two components, and the large groups' (from, to).
+
+    Rows are members with centre, i, j (the blocks that meet), part, n, sketch, component.
+    """
+    sizes = np.diff(np.r_[begins, batch.num_rows])
+    small = sizes <= SMALL
+    m = np.repeat(np.where(small, sizes, 0), sizes)  # partners of each row
+    a = np.repeat(np.arange(batch.num_rows), m)
+    b = np.repeat(np.repeat(begins, sizes), m) + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+    part, i, j, of = (batch.column(c).to_numpy() for c in ("part", "i", "j", "component"))
+    keep = np.where(i[a] == j[a], a < b, (part[a] == i[a]) & (part[b] == j[a])) & (of[a] != of[b])
+    a, b = a[keep], b[keep]
+    n = batch.column("n").to_numpy().astype(np.float64)
+    reg = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    close = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        close[at : at + len(x)] = could_reach(reg[x], reg[y], n[x], n[y], percent)
+    large = [(int(x), int(x + k)) for x, k in zip(begins[~small], sizes[~small], strict=True)]
+    return a[close], b[close], large
+
+
+_GROUP = ["centre", "i", "j"]
+
+
+def _likely(percent: int):
+    """Of pairs of blocks the members that could be linked with a member of another component."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begins in whole_groups(batches, _GROUP):
+            a, b, large = _apart(batch, begins, percent)
+            chosen = np.zeros(batch.num_rows, bool)
+            chosen[a] = chosen[b] = True
+            for lo, hi in large:
+                some = batch.slice(lo, hi - lo)
+                reg = np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                n, part, of = (some.column(c).to_numpy() for c in ("n", "part", "component"))
+                n = n.astype(np.float64)
+                left, right = (np.flatnonzero(part == some.column(c)[0].as_py()) for c in ("i", "j"))
+                for k in left.tolist():
+                    other = right[of[right] != of[k]]
+                    other = other[could_reach(np.broadcast_to(reg[k], (len(other), REGISTERS)), reg[other], np.full(len(other), n[k]), n[other], percent)]
+                    chosen[lo + other] = True
+                    chosen[lo + k] |= len(other) > 0
+            yield batch.filter(pa.array(chosen))
+
+    return likely
+
+
+def _compared(size: int, percent: int):
+    """True links of the members of pairs of blocks (with texts) that connect different components."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begins in whole_groups(batches, _GROUP):
+            a, b, large = _apart(batch, begins, percent)
+            ids, of = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            out: list[tuple[int, int]] = []
+            need = np.unique(np.r_[a, b])
+            w, offsets = words(batch.column("text").take(pa.array(need)))
+            h, cuts = shingles(w, offsets, size)
+            sets = {r: np.unique(h[x:y]) for r, x, y in zip(need.tolist(), cuts[:-1], cuts[1:], strict=True)}
+            names, name = np.unique(of, return_inverse=True)
+            forest = Forest(len(names))  # of components; a link found in one group holds for all
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if forest.find(name[x]) != forest.find(name[y]):
+                    p, q = sets[x], sets[y]
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * shared >= percent * (len(p) + len(q) - shared):
+                        forest.join(name[x], name[y])
+                        out.append((ids[x], ids[y]))
+            for lo, hi in large:
+                some = batch.slice(lo, hi - lo)
+                members = list(zip(*(some.column(c).to_pylist() for c in ("id", "n", "sketch", "text", "component")), strict=True))
+                i, j, part = some.column("i")[0].as_py(), some.column("j")[0].as_py(), some.column("part").to_pylist()
+                if i == j:
+                    out += links(members, None, size, percent)
+                elif i in part and j in part:
+                    out += links([r for r, p in zip(members, part, strict=True) if p == i], [r for r, p in zip(members, part, strict=True) if p == j], size, percent)
+            x, y = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return compared
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -305,23 +399,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         "centre", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     ).select("centre", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
-    def likely(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        return members.loc[_likely(key, members, percent), ["centre", "i", "j", "id", "component", "part", "n", "sketch"]]
-
+    met = lambda rows: rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "id")
     kind = "centre long, i int, j int, id long, component long, part int, n long, sketch binary"
-    groups = cut(placed.join(sketches_of, "id").groupBy("centre", "i", "j").applyInPandas(likely, kind))
-
-    def compared(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = list(zip(members["id"], members["n"], members["sketch"], members["text"], members["component"], strict=True))
-        side = members["part"].to_numpy() == i
-        if i == j:
-            found = links(rows, None, size, percent)
-        else:
-            found = links([r for r, s in zip(rows, side, strict=True) if s], [r for r, s in zip(rows, side, strict=True) if not s], size, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    near = groups.join(texts, "id").groupBy("centre", "i", "j").applyInPandas(compared, "a long, b long")
+    columns = [c.split()[0] for c in kind.split(", ")]
+    groups = cut(met(placed.join(sketches_of, "id").select(*columns)).mapInArrow(_likely(percent), kind))
+    near = met(groups.join(texts, "id").select(*columns, "text")).mapInArrow(_compared(size, percent), "a long, b long")
     found = components(near.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     every = base.select("id", "n", "twin_a", "twin_b").join(firsts, ["twin_a", "twin_b"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     every = every.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
