@@ -1,113 +1,119 @@
 """WARC writing with revisit resolution, and reading the archives back.
 
-Headers (payload digest, id) are pre-aggregated and shuffled by digest; every record joins the
-original of its digest and becomes a response (the original) or a revisit that refers to it.
-Archives are plain WARC/1.1 streams, written by Spark's text writer, so they go to any file
-system Spark reaches. HTML is UTF-8, so a record is text; lengths in headers count bytes.
+Headers (id, payload digest, length) are shuffled by digest, without payloads: the smallest id of a digest is the
+original, and the other records join it as revisits, which are written from their headers alone. Payloads move once,
+by id, to meet the list of originals, so that a payload which a third of all pages share stays spread.
+Archives are WARC/1.1 with a gzip member for each record, so a record can be read by itself: the index
+(a row for each record: file, offset, length) is the only list of what was written, and a repeated task
+leaves at most a file that no index names.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.llm.common import id_of, scratch, shown_id, text_of
 
-#: RFC 4648 base32 alphabet.
+#: RFC 4648 base32 alphabet, and the profile of a revisit.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records an archive holds at most.
-ARCHIVE_RECORDS = 1024
+#: Records and bytes after which an archive is closed.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1024, 64 << 20
 
 
-def base32_of_hex(digest: Column) -> Column:
-    """Base32 of a digest given as hex, 40 digits for SHA-1: five hex digits are four letters."""
-
-    def letters(k: Column) -> Column:
-        v = F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        pick = lambda shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1))
-        return F.concat(*[pick(s) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
-
-
-def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds bytes, digest, original to (id, uri, payload): original is the smallest id with the same payload.
+def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Adds original to (id, uri, sha1, bytes): the smallest id with the same digest, null for a response that stands alone.
 
     Payloads of fewer than ``least_bytes`` bytes have no original, so they are never revisits.
     """
-    headed = records.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    firsts = headed.filter(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("original"))
-    return headed.join(firsts, "sha1", "left").withColumn("digest", base32_of_hex(F.col("sha1"))).drop("sha1")
+    firsts = headers.filter(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("original"))
+    return headers.join(firsts, "sha1", "left")
 
 
-def record_text(date: str) -> Column:
-    """One record without its last line end: header block, empty line, block, line end."""
-    revisit = F.col("original") != F.col("id")
-    block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+def record(date: str, id: int, uri: str, sha1: str, size: int, original: int | None, payload: bytes) -> bytes:
+    """One record: header block, empty line, block, two line ends."""
     lines = [
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("id"), F.lit(">")),
-        F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("uri", r"[\r\n]", "")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.concat(F.lit("X-Payload-Length: "), F.col("bytes")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("original"), F.lit(">"))),
-        F.when(revisit, F.lit(f"WARC-Profile: {REVISIT}")),
-        F.lit("Content-Type: text/html"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block)),
+        "WARC/1.1",
+        f"WARC-Type: {'response' if original is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {uri.replace(chr(13), '').replace(chr(10), '')}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+        *([f"WARC-Refers-To: <urn:page:{original}>", f"WARC-Profile: {REVISIT}"] if original is not None else []),
+        "Content-Type: text/html",
+        f"Content-Length: {len(payload)}",
     ]
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block, F.lit("\r\n"))
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+_INDEX = "id long, file string, offset long, length long"
+
+
+def _written(folder: str, date: str):
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        rows: list[tuple] = []
+        members: list[bytes] = []
+
+        def archive() -> pa.RecordBatch:
+            nonlocal rows, members
+            name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, []
+            with fs.open_output_stream(f"{path}/{name}", compression=None) as sink:
+                for i, m in zip(rows, members, strict=True):
+                    sink.write(m)
+                    out.append((i, f"{folder}/{name}", at, len(m)))
+                    at += len(m)
+            rows, members = [], []
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["id", "file", "offset", "length"])
+
+        size = 0
+        for batch in batches:
+            for id, *head, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(id)
+                members.append(gzip.compress(record(date, id, *head, (payload or "").encode()), 6, mtime=0))
+                size += len(members[-1])
+                if len(rows) == ARCHIVE_RECORDS or size > ARCHIVE_BYTES:
+                    yield archive()
+                    size = 0
+        if rows:
+            yield archive()
 
+    return written
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z") -> None:
-    """Writes a record for each row of (page_id, url, html) into archives below ``path``.
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
+    """Writes a record for each row of (page_id, url, html) into archives below ``path``; returns their index, a table there.
 
     A null html is empty, a null url too; a null page_id sorts last. Rows that repeat the page_id of an
-    original are all written as responses.
+    original with its payload are all written as responses.
     """
-    records = pages.select(id_of("page_id").alias("id"), text_of("url").alias("uri"), text_of("html").alias("payload"))
-    out = resolve(records, least_bytes).select(record_text(date).alias("value"))
-    out.write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=ARCHIVE_RECORDS).text(path)
+    spark = pages.sparkSession
+    payload = text_of("html")
+    rows = pages.select(id_of("page_id").alias("id"), text_of("url").alias("uri"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
+    told = resolve(rows, least_bytes)
+    revisits = told.filter("original <> id").select("id", "uri", "sha1", "bytes", "original", F.lit(None).cast("string").alias("payload"))
+    later = told.filter("original <> id").select("id", "sha1").distinct()
+    whole = pages.select(id_of("page_id").alias("id"), text_of("url").alias("uri"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"), payload.alias("payload"))
+    responses = whole.join(later, ["id", "sha1"], "left_anti").withColumn("original", F.lit(None).cast("long"))
+    columns = ["id", "uri", "sha1", "bytes", "original", "payload"]
+    index = responses.select(*columns).unionByName(revisits.select(*columns)).mapInArrow(_written(f"{path}/archives", date), _INDEX)
+    index.write.parquet(f"{path}/index")
+    return read_index(spark, path)
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("id", "type", "uri", "digest", "bytes", "refers", "payload", "whole")
-    for batch in batches:
-        for content in batch.column(0):
-            data, at = gzip.decompress(content.as_py()), 0
-            rows: dict[str, list] = {n: [] for n in names}
-            while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-                size = int(head["Content-Length"])
-                payload = data[end + 4 : end + 4 + size]
-                at = end + 8 + size
-                number = lambda key: int(head[key].rpartition(":")[2][:-1]) if key in head else None  # noqa: B023, E731
-                for n, v in zip(
-                    names,
-                    (
-                        number("WARC-Record-ID"),
-                        head["WARC-Type"],
-                        head["WARC-Target-URI"],
-                        head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                        int(head["X-Payload-Length"]),
-                        number("WARC-Refers-To"),
-                        payload.decode(),
-                        head["WARC-Type"] == "revisit" or size == int(head["X-Payload-Length"]),
-                    ),
-                    strict=True,
-                ):
-                    rows[n].append(v)
-                if sum(map(len, rows["payload"])) > 1 << 20:
-                    yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
-                    rows = {n: [] for n in names}
-            yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
+def read_index(spark, path: str) -> DataFrame:
+    """id, file, offset, length of every record below ``path``."""
+    return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
 
 _SCHEMA = pa.schema(
@@ -115,23 +121,56 @@ _SCHEMA = pa.schema(
 )
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """id, type, uri, digest, bytes, refers, payload, whole (the lengths agree) of every record below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(
-        _records, "id long, type string, uri string, digest string, bytes long, refers long, payload string, whole boolean"
-    )
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records by their index rows; digest and bytes of a response are those of the payload that was read."""
+    held, name = None, None
+    for batch in batches:
+        rows: dict[str, list] = {f.name: [] for f in _SCHEMA}
+        for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+            if file != name:
+                fs, path = pa.fs.FileSystem.from_uri(file)
+                held, name = fs.open_input_file(path), file
+            held.seek(offset)
+            data = gzip.decompress(held.read(length))
+            end = data.index(b"\r\n\r\n")
+            head = dict(x.split(": ", 1) for x in data[:end].decode().split("\r\n")[1:])
+            payload = data[end + 4 : end + 4 + int(head["Content-Length"])]
+            number = lambda key: int(head[key].rpartition(":")[2][:-1]) if key in head else None  # noqa: B023, E731
+            said, is_revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
+            digest = said if is_revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            values = number("WARC-Record-ID"), head["WARC-Type"], head["WARC-Target-URI"], digest, None if is_revisit else len(payload), number("WARC-Refers-To"), payload.decode(), digest == said
+            for column, v in zip(rows.values(), values, strict=True):
+                column.append(v)
+            if sum(map(len, rows["payload"])) > 1 << 22:
+                yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
+                rows = {f.name: [] for f in _SCHEMA}
+        yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
+
+
+def read_archives(index: DataFrame) -> DataFrame:
+    """id, type, uri, digest, bytes, refers, payload, whole of every record of the index, or of a part of it.
+
+    digest and bytes of a response are computed from the payload read, and ``whole`` tells whether its header says the
+    same; those of a revisit are its header's digest and null, for its payload is in the record it refers to.
+    """
+    return index.mapInArrow(_records, "id long, type string, uri string, digest string, bytes long, refers long, payload string, whole boolean")
 
 
 def revisit_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes archives of ``pages`` to the shared folder, reads them back and returns a row per record.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to; an empty table gives no rows.
+    page_id, payload_bytes, payload_digest, record_type, refers_to; an empty table gives no rows. A revisit takes bytes and
+    digest from the response it refers to, as read; a record whose payload is not what its header says fails the job.
     """
-    spark = pages.sparkSession
-    path = scratch(spark, "warc")
-    write_archives(pages, path, least_bytes)
-    return read_archives(spark, path).select(
+    index = write_archives(pages, scratch(pages.sparkSession, "warc"), least_bytes)
+    fails = F.raise_error(F.concat(F.lit("payload and digest differ in record "), F.col("id"))).cast("string")
+    read = read_archives(index).withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(fails)).select("id", "type", "digest", "bytes", "refers")
+    # one response stands for all with its id and digest; they have equal payloads
+    told = read.filter("type = 'response'").groupBy("id", "digest").agg(F.first("bytes").alias("of_bytes")).withColumnsRenamed({"id": "of", "digest": "of_digest"})
+    revisits = read.filter("type = 'revisit'")
+    joined = revisits.join(told, (F.col("refers") == F.col("of")) & (F.col("digest") == F.col("of_digest"))).select("id", "type", F.col("of_digest").alias("digest"), F.col("of_bytes").alias("bytes"), "refers")
+    out = read.filter("type = 'response'").unionByName(joined)
+    return out.select(
         shown_id("id").alias("page_id"),
         F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),

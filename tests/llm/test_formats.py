@@ -155,14 +155,33 @@ def test_warc(spark):
 def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(k, f"http://x/{k}", "page\r\n\r\n" * (k % 3)) for k in range(9)], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
-    warc.write_archives(df, path, least_bytes=1)
-    back = {r.id: r for r in warc.read_archives(spark, path).collect()}
+    index = warc.write_archives(df, path, least_bytes=1)
+    back = {r.id: r for r in warc.read_archives(index).collect()}
     assert all(r.whole for r in back.values()) and [back[k].type for k in (0, 3, 6)] == ["response"] * 3  # empty payloads
     assert back[4].type == "revisit" and back[4].refers == 1 and back[1].payload == "page\r\n\r\n"
-    part = next(tmp_path.glob("w/part-*.gz"))
+    assert [r.uri for r in warc.read_archives(index.filter("id = 5")).collect()] == ["http://x/5"]  # one record by itself
+    part = next(tmp_path.glob("w/archives/*.warc.gz"))
     assert gzip.decompress(part.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+def test_warc_shuffles_headers(spark):
+    """What is dealt out by digest holds no payload."""
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    rows = df.select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.sha1("html").alias("sha1"), F.octet_length("html").alias("bytes"))
+    assert warc.resolve(rows).columns == ["sha1", "id", "uri", "bytes", "original"]
+
+
+def test_warc_changed_payload_fails(spark, tmp_path):
+    """A payload that is not what its header says is noticed."""
+    path = f"file://{tmp_path}/c"
+    index = warc.write_archives(spark.createDataFrame([(1, "u", "good")], "page_id long, url string, html string"), path)
+    row = index.first()
+    raw = gzip.decompress((tmp_path / "c/archives" / row.file.rsplit("/", 1)[1]).read_bytes()).replace(b"good", b"evil")
+    (tmp_path / "other.gz").write_bytes(packed := gzip.compress(raw))
+    other = spark.createDataFrame([(1, f"file://{tmp_path}/other.gz", 0, len(packed))], warc._INDEX)
+    assert [r.whole for r in warc.read_archives(other).collect()] == [False]
+
+
 def test_warc_empty(spark):
     assert warc.revisit_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
