@@ -160,11 +160,47 @@ def test_language_odd(odd, none, spark):
     assert language_id.identify(unlabelled).first().lang_pred == "und"
 
 
-def test_out_of_place():
-    """The distance by hand: ranks of 'aab' against a profile."""
-    codes, counts = language_id.gram_counts("Aab")
-    top = [int(c) for c in codes[np.lexsort((codes, -counts))]]
-    assert counts.sum() == 3 + 4 + 3 and top[0] == ord("a") % 1023 + 1
+def profile(text):
+    """n-grams of orders 1 to 3 inside marked words, counted by hand."""
+    grams = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        grams.update(w)
+        w = f"_{w}_"
+        grams.update(w[k : k + 2] for k in range(len(w) - 1))
+        grams.update(w[k : k + 3] for k in range(len(w) - 2))
+    return grams
+
+
+def test_out_of_place(spark):
+    """Every distance against dictionaries, in scripts whose letters lie far apart and close together."""
+    letter = {chr(c): k for k, c in enumerate((c for c in range(0x110000) if chr(c).isalpha()), 1)}
+    number = {"_": 0} | letter
+
+    def code(g):
+        n = 0
+        for c in g:
+            n = n << language_id.BITS | number[c]
+        return n | (len(g) - 1) << 3 * language_id.BITS
+
+    def ranks(grams):
+        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))][: language_id.RANKS]
+
+    rng = random.Random(12)
+    scripts = {"la": "abcdefghij", "ru": "абвгдежзик", "ja": "日本語漢字的中国人", "ko": "가나다라마바사아", "yi": "אבגדהוזח", "gu": "અઆઇઈઉઊ"}
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(1, 8))) for _ in range(60)) + " 1, " + rng.choice(s)
+    rows = [(i, text(scripts[lang]), lang) for i, lang in enumerate([*scripts] * 12)] + [(900, text("abcde") + text("абв"), None), (901, "Ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = {}
+    for i, t, lang in rows:
+        if lang and not is_held(i, 5, 0):
+            sums.setdefault(lang, Counter()).update(profile(t))
+    known = {lang: {g: k for k, g in enumerate(ranks(c))} for lang, c in sums.items()}
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    for i, t, _ in rows:
+        top = ranks(profile(t))
+        apart = {lang: sum(abs(p[g] - k) if g in p else language_id.RANKS for k, g in enumerate(top)) for lang, p in known.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert (got[i].lang_pred, got[i].score) == (best, pytest.approx(1 - apart[best] / (language_id.RANKS * len(top)))), i
 
 
 def test_toxicity(documents, spark):
