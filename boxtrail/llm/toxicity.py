@@ -1,10 +1,12 @@
 """Toxicity by logistic regression with a counterfactual penalty.
 
-Features are the distinct lower-cased words of a text that say something about the label. The model is fitted
-on at most SAMPLE labelled rows (the first by a hash of doc_id) and VOCABULARY words; for each training text that holds an identity
-term, the text with the term swapped for every other one of its group is scored too, and the squared
-change of the logit is penalised, so a neutral mention of a group can't move the score much. Fitting is
-one task on rows of a bounded number; scoring reads all texts.
+Features are the distinct lower-cased words of a text that say something about the label. The model is fitted on at
+most SAMPLE labelled rows (the first by a hash of doc_id). Every labelled row brings counterfactuals, pairs that differ
+by an identity term only: a text that holds a term is set against itself with the term swapped for each other one of
+its group; a text that holds none against itself with a term added, and with another term of that group added. The
+squared change of the logit over these pairs is penalised, so a neutral mention of a group can't move the score much,
+while words that mark toxicity keep their weight. Fitting is one task on rows of a bounded number; scoring reads all
+texts.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from boxtrail.llm.common import cut, remainder
 
-#: Bounds of the fit.
-SAMPLE, VOCABULARY, LEAST_DOCS = 8192, 4096, 3
+#: Labelled rows of the fit, and the evidence that a word needs to be a feature.
+SAMPLE, LEAST_DOCS = 8192, 3
 #: A word is a feature if its chi-squared with the label is at least this (one in 10,000 by chance).
 LEAST_CHI = 15.0
 #: Identity terms by group; a parameter of fit().
@@ -51,8 +53,21 @@ def swaps(words: set[str], identity: tuple[tuple[str, ...], ...] = IDENTITY) ->
     return [(words - {w}) | {o} for group in identity for w in group if w in words for o in group if o != w]
 
 
+def counterfactuals(rows: list[tuple[int, set[str]]], identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets that differ by an identity term only, at least two for each row; added terms go round by row."""
+    out = []
+    for k, (_, words) in enumerate(rows):
+        if moved := swaps(words, identity):
+            out += [(words, other) for other in moved]
+            continue
+        group = identity[k % len(identity)]
+        term, other = group[k // len(identity) % len(group)], group[(k // len(identity) + 1) % len(group)]
+        out += [(words, words | {term}), (words | {term}, words | {other})]
+    return out
+
+
 def solve(rows: list[tuple[int, set[str]]], vocabulary: list[str], penalty: float, identity=IDENTITY, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise mean log loss + ridge |w|^2 + penalty * mean (logit change by a swap)^2."""
+    """Weights and intercept that minimise mean log loss + ridge |w|^2 + penalty * mean (logit change of a counterfactual)^2."""
     at = {w: k for k, w in enumerate(vocabulary)}
     y = np.array([r[0] for r in rows], float)
     size = len(vocabulary)
@@ -61,7 +76,8 @@ def solve(rows: list[tuple[int, set[str]]], vocabulary: list[str], penalty: floa
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     pairs = [(i, at[w]) for i, (_, ws) in enumerate(rows) for w in ws if w in at]
     r, c = np.array(pairs, np.int64).reshape(-1, 2).T
-    moved = [(j, at[w], s) for j, (x, z) in enumerate((ws, z) for _, ws in rows for z in swaps(ws, identity)) for w, s in [*((w, 1.0) for w in z - x), *((w, -1.0) for w in x - z)] if w in at]
+    pairs_of = counterfactuals(rows, identity) if penalty else []
+    moved = [(j, at[w], s) for j, (x, z) in enumerate(pairs_of) for w, s in [*((w, 1.0) for w in z - x), *((w, -1.0) for w in x - z)] if w in at]
     m = np.array(moved, float).reshape(-1, 3)
     mr, mc, ms, n_moved = m[:, 0].astype(np.int64), m[:, 1].astype(np.int64), m[:, 2], max(1.0, m[:, 0].max() + 1 if len(m) else 1.0)
     w, b = np.zeros(size), float(np.log(share / (1 - share)))
@@ -79,10 +95,11 @@ def solve(rows: list[tuple[int, set[str]]], vocabulary: list[str], penalty: floa
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, penalty: float = 1.0, identity=IDENTITY) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 1.0, identity=IDENTITY) -> tuple[dict[str, float], float]:
     """Word weights and intercept from labels (doc_id, toxic) of docs (doc_id, text).
 
-    A doc_id labelled twice counts as toxic if any label says so; null labels, ids and texts teach nothing.
+    A doc_id labelled twice counts as toxic if any label says so; null labels, ids and texts teach nothing. Rows that
+    repeat a doc_id teach one by one. ``sample`` bounds the labelled rows, and with them the words that reach the driver.
     """
     taught = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most, hence the broadcast
@@ -96,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     terms = [w for group in identity for w in group]
     share = all_bad / all_n
     weight = F.col("n") * F.pow(F.col("bad") / F.col("n") - share, 2) / max(share * (1 - share), 1e-9)
-    chosen = [x.word for x in by_word.filter((F.col("n") >= LEAST_DOCS) & (weight >= LEAST_CHI)).orderBy(F.desc(weight), "word").limit(vocabulary).collect()]
+    chosen = [x.word for x in by_word.filter((F.col("n") >= LEAST_DOCS) & (weight >= LEAST_CHI)).collect()]
     chosen = sorted({*chosen, *terms})
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
 
 
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row; a null or empty text scores by the intercept alone."""
+    """doc_id, held_out, score, predicted of each row; a null or empty text scores by the intercept alone, rows that repeat a doc_id one by one."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
