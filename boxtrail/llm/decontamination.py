@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import SPACE, id_of, text_of
+from boxtrail.llm.common import SPACE, cut, id_of, text_of
 from boxtrail.llm.kernels import BASE
 
 #: One edit for so many characters of an item.
@@ -79,7 +79,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int) -> None:
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, plain(t)) for i, t in items) if t]
         found: dict[int, list] = {}
-        self.short = []  # items with a piece too short for a gram are looked for as they are
+        self.short = []  # items with a piece too short for a gram are looked for as they are, as whole words
         for k, (_, text, budget) in enumerate(self.items):
             cut = pieces(text, budget)
             if min(len(p.encode()) for _, p in cut) < GRAM:
@@ -95,7 +95,7 @@ class Items:
         self.filter[_slots(self.keys)] = True
 
     def search(self, text: str) -> list[tuple[int, int]]:
-        """(item_id, edits) of each item that ``text`` holds."""
+        """(item_id, edits) of each item that ``text`` holds; of items that share an id the one with least edits counts."""
         body = plain(text)
         raw = body.encode()
         spots: dict[int, set[int]] = {}  # item -> where it would begin, in characters
@@ -108,27 +108,36 @@ class Items:
                     if raw.startswith(piece, p):
                         char = p if ascii_only else len(raw[:p].decode())
                         spots.setdefault(k, set()).add(char - start)
-        hits = [(self.items[k][0], 0) for k in self.short if self.items[k][1] in body]
+        hits = [(self.items[k][0], 0) for k in self.short if f" {self.items[k][1]} " in f" {body} "]
         for k, begins in spots.items():
             item_id, item, budget = self.items[k]
-            best, seen = None, -1
-            for b in sorted(begins):  # begins that lie close share a window
-                if b <= seen and best is not None:
-                    continue
-                got = myers(item, body[max(0, b - budget) : b + len(item) + budget], budget)
+            best, order = None, sorted(begins)
+            while order and best != 0:  # begins that lie close share a window
+                n = 1
+                while n < len(order) and order[n] - order[n - 1] <= len(item):
+                    n += 1
+                got = myers(item, body[max(0, order[0] - budget) : order[n - 1] + len(item) + budget], budget)
                 best = got if best is None or (got is not None and got < best) else best
-                seen = b
-                if best == 0:
-                    break
+                order = order[n:]
             if best is not None:
                 hits.append((item_id, best))
-        return hits
+        least: dict[int, int] = {}
+        for item_id, edits in hits:
+            least[item_id] = min(edits, least.get(item_id, edits))
+        return sorted(least.items())
+
+
+def merged(had: dict[int, int], new: list[tuple[int, int]]) -> dict[int, int]:
+    """Least edits of each item."""
+    for item, edits in new:
+        had[item] = min(edits, had.get(item, edits))
+    return had
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items (item_id, text) in blocks of at most BLOCK_CHARS characters, through a local iterator."""
     held, size = [], 0
-    for r in items.select(id_of("item_id").alias("i"), text_of().alias("t")).orderBy("i", "t").toLocalIterator():
+    for r in items.select(id_of("item_id").alias("i"), text_of().alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         if held and size + len(r.t) > BLOCK_CHARS:
             yield held
             held, size = [], 0
@@ -141,16 +150,22 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """``docs`` with ``hits``: array of (item_id, edits) of the items each text holds, by item.
 
-    An item may differ by one edit for ``chars_per_edit`` characters; items shorter than that, or whose
-    pieces are shorter than GRAM bytes, must stand in the text unchanged. Null and empty texts and items
-    match nothing. A column named hits is replaced; other columns stay.
+    An item may differ by one edit for ``chars_per_edit`` characters; items whose pieces are shorter than GRAM bytes
+    must stand in the text unchanged, as whole words. Null and empty texts and items match nothing. Items that repeat an
+    id count as one, by the least edits; rows that repeat a document are searched one by one, and a very long text as a
+    whole. A column named hits is replaced; other columns stay. Further blocks of items go over a written table, so one
+    block is held at a time.
     """
     spark = docs.sparkSession
     kept = [f for f in docs.schema.fields if f.name not in ("hits", "_hits", "_text")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_text string", "hits array<struct<item_id:bigint,edits:bigint>>"])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     out = docs.select(*[f"`{f.name}`" for f in kept], text_of().alias("_text"), F.expr("cast(array() as array<struct<item_id:bigint,edits:bigint>>)").alias("hits"))
+    sent = None
     for block in blocks(items):
+        if sent is not None:
+            out = cut(out)
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -158,7 +173,7 @@ def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_E
             for batch in batches:
                 at = batch.schema.get_field_index("hits")
                 rows = [
-                    sorted([*((h["item_id"], h["edits"]) for h in had.as_py()), *found.search(t.as_py())])
+                    sorted(merged({h["item_id"]: h["edits"] for h in had.as_py()}, found.search(t.as_py())).items())
                     for t, had in zip(batch.column("_text"), batch.column(at), strict=True)
                 ]
                 hits = pa.array([[{"item_id": i, "edits": e} for i, e in r] for r in rows], kind)
@@ -169,7 +184,7 @@ def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_E
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """doc_id, contaminated, item_ids, edits (least over the items, null if none) of each row of ``docs``."""
+    """doc_id, contaminated, item_ids, edits (least over the items, null if none) of each row of ``docs``; see matches()."""
     found = matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, chars_per_edit)
     return found.select(
         "doc_id",

@@ -203,13 +203,45 @@ def test_out_of_place(spark):
         assert (got[i].lang_pred, got[i].score) == (best, pytest.approx(1 - apart[best] / (language_id.RANKS * len(top)))), i
 
 
-def test_toxicity(documents, spark):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_toxicity(spark):
+    """On rows the model has not seen: most toxic ones caught, few others marked."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
-    seen = [r for r in got if not r.held_out]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    assert sum(r.predicted == r.toxic for r in seen) >= 0.96 * len(seen)
+    held = [r for r in got if r.held_out]
+    bad, good = [r for r in held if r.toxic], [r for r in held if not r.toxic]
+    assert len(bad) > 20 and sum(r.predicted for r in bad) >= 0.85 * len(bad)
+    assert sum(r.predicted for r in good) <= 0.01 * len(good)
+
+
+def test_neutral_mentions(spark):
+    """A group named in toxic training texts more than in others: unseen neutral mentions stay neutral, toxicity is caught."""
+    rng = random.Random(13)
+    plain = [f"word{k}" for k in range(80)]
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=12), *more], 12 + len(more)))
+    rows = []
+    for i in range(1500):
+        toxic = rng.random() < 0.3
+        group = ["muslim"] if rng.random() < (0.6 if toxic else 0.02) else ["christian"] if rng.random() < 0.3 else []
+        rows.append((i, text(*group, *(["scum"] if toxic else [])), int(toxic)))
+    probes = [(10_000 + 5 * k, text("muslim"), None) for k in range(40)] + [(20_000 + 5 * k, text("muslim", "scum"), None) for k in range(40)] + [(30_000 + 5 * k, text(), None) for k in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows + probes], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    mean = lambda lo: sum(got[lo + 5 * k].score for k in range(40)) / 40
+    assert not any(got[10_000 + 5 * k].predicted for k in range(40)) and all(got[20_000 + 5 * k].predicted for k in range(40))
+    weights, intercept = toxicity.fit(docs, labels, penalty=0.0)
+    unfair = {r.doc_id: r.score for r in toxicity.score(docs, weights, intercept).collect()}
+    assert mean(10_000) - mean(30_000) < 0.5 * (sum(unfair[10_000 + 5 * k] - unfair[30_000 + 5 * k] for k in range(40)) / 40)
+
+
+def test_counterfactuals():
+    """Two pairs at least for each row, each differing by identity terms only."""
+    terms = {w for g in toxicity.IDENTITY for w in g}
+    rows = [(0, {f"w{k}", *(["gay"] if k % 3 == 0 else [])}) for k in range(60)]
+    pairs = toxicity.counterfactuals(rows)
+    assert len(pairs) >= 2 * len(rows) and all((a ^ b) and (a ^ b) <= terms for a, b in pairs)
 
 
 def test_toxicity_odd(odd, none, spark):
@@ -273,6 +305,21 @@ def test_decontamination(spark):
         assert set(got[i]) == set(want) and (not want or next(iter(got[i].values())) == min(want.values())), i
 
 
+def test_decontamination_short_and_repeated(odd, spark, monkeypatch):
+    """Short items are whole words; repeated items and ids count once; more blocks than one; occurrences that share a window."""
+    found = decontamination.Items([(1, "art"), (2, "start here")], 20)
+    assert found.search("we start here") == [(2, 0)] and found.search("fine art.") == [] and found.search("Fine  ART here") == [(1, 0)]
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 40)
+    item = "a passage that is long enough to be cut in pieces"
+    bench = spark.createDataFrame([(1, item), (1, item), (1, item + " x"), (2, item.upper()), (3, "sat on the mat and looked at the dog"), (None, "no id here")], "item_id long, text string")
+    text = f"{item.replace('long', 'lomg')} {item.replace('cut', 'cit')} and {item} end"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "nothing")], "doc_id long, text string")
+    got = [tuple(r) for r in decontamination.decontaminate(df, bench).orderBy("doc_id").collect()]
+    assert got == [(1, True, [1, 2], 0), (1, True, [1, 2], 0), (2, False, [], None)]
+    rows = {r.doc_id: r.item_ids for r in decontamination.decontaminate(odd, bench).collect()}
+    assert rows[1] == [3] and len(rows[None]) == 1
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "sat on the mat and looked at the dog")], "item_id long, text string")
     got = {(r.doc_id): r.contaminated for r in decontamination.decontaminate(odd, bench).collect()}
