@@ -9,14 +9,16 @@ position leaves as soon as its rank is unique or its fate is known:
    in forty). Consecutive windows with one owner are a run. A task settles equal runs among its own texts,
    then Spark sorts (rank of the owner, rank of the run, document, position): of equal runs all but the
    first are repeats as a whole, and a run whose owner's rank is unique repeats nothing.
-2. The runs left are opened: ranks of their positions at GRAM bytes are paired at growing offsets,
-   rank(p, 2h) = (rank(p, h), rank(p + h, h)), up to the threshold. Runs travel with their bytes to their
-   owner's place, where Spark sorts them by (owner, document, position) and repeats are settled.
+2. The runs left are opened. They travel with their bytes to their owner's place, where Spark sorts them by
+   (owner, document, position); there positions are ranked by (owner, GRAM bytes), then by pairs
+   (rank(p, h), name(p + h, h)) at growing offsets h up to the threshold, and after each step positions with a
+   unique rank leave. All steps of an owner run in its one partition, so none needs another exchange.
 3. Owners with more than GROUP open runs, or that one batch finds hot, don't meet in one place: their
-   positions are dealt out and sorted by (rank at ``length``, document, position) instead.
+   positions are dealt out, and the last two steps are rounds of Spark: sort by (owner, name of the first half),
+   rerank what is not unique, sort by (rank, name of the second half), settle.
 
-Ranks are 64-bit content hashes instead of dense numbers: they need no second pass to be handed out, and
-except in round 3 are compared only under one owner's hash. A string that occurs often in a batch is sent
+Names are 64-bit content hashes, ranks dense numbers of sorted pairs. Nothing is compared by one hash alone: a run by
+(owner, run), a position by (owner, its names), 128 bits at least. A string that occurs often in a batch is sent
 once, the rest being settled there, and runs of a hot owner are dealt out by the run. Texts are shuffled
 once; both joins with them use the same exchange.
 """
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,32 +200,51 @@ def _ranked(length: int):
     return ranked
 
 
-def _doubled(raw: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
-    """Ranks of all ``length``-byte prefixes of at most PIECE bytes, by doubling from ``gram`` bytes."""
+def _levels(raw: np.ndarray, length: int, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(h, step, names of all h-byte strings of at most PIECE bytes): pairs at ``step`` give the next h, up to ``length``."""
     total = _prefix(raw)
-    rank, have = mix((total[gram:] - total[:-gram]) * _INV[: len(raw) - gram + 1]), gram
+    name, have = mix((total[gram:] - total[:-gram]) * _INV[: len(raw) - gram + 1]), gram
     while have < length:
         step = min(have, length - have)
-        rank = mix(rank[: len(rank) - step] * U(3) + mix(rank[step:]) + U(have))
+        yield have, step, name
+        name = mix(name[: len(name) - step] * U(3) + mix(name[step:]) + U(have))
         have += step
-    return rank
 
 
-def _windows(raw: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rank, run, place in the run) of the n windows from each start on; runs are laid out one after the other."""
-    ranks, which, places = [], [], []
+def _pieces(starts: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(first run, run after the last, end) of stretches of at most PIECE bytes of runs laid out one after the other."""
     k = 0
     while k < len(starts):
         m = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE - 0x3FFF - length, "right")))
-        end = starts[m - 1] + n[m - 1] + length - 1
-        rank = _doubled(raw[starts[k] : end], length)
+        yield k, m, starts[m - 1] + n[m - 1] + length - 1
+        k = m
+
+
+def _pairs(raw: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For the windows of all runs: at each level (name at p, name at p + step); the run, and the place in it."""
+    levels: list[list] = []
+    which, places = [], []
+    for k, m, end in _pieces(starts, n, length):
         run = np.repeat(np.arange(k, m), n[k:m])
         place = np.arange(len(run)) - np.repeat(np.cumsum(n[k:m]) - n[k:m], n[k:m])
-        ranks.append(rank[starts[run] - starts[k] + place])
+        at = starts[run] - starts[k] + place
+        for level, (_, step, name) in enumerate(_levels(raw[starts[k] : end], length)):
+            if len(levels) == level:
+                levels.append([])
+            levels[level].append((name[at], name[at + step]))
         which.append(run)
         places.append(place)
-        k = m
-    return np.concatenate(ranks), np.concatenate(which), np.concatenate(places)
+    return [tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in levels], np.concatenate(which), np.concatenate(places)
+
+
+def _rerank(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dense rank of each pair, whether another has the same)."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, np.bincount(rank)[rank] > 1
 
 
 def _opened(length: int):
@@ -251,7 +273,7 @@ def _opened(length: int):
     return opened
 
 
-_POSITION = ["rank", "id", "a", "b"]
+_POSITION = ["owner", "first", "second", "id", "a", "b"]
 
 
 def _joined(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,32 +286,40 @@ def _joined(ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def _settled(length: int):
-    """From open runs sorted by (owner, id, at): repeats (rank null), and positions (b null) of groups too large or hot."""
+    """From open runs sorted by (owner, id, at): repeats (owner null), and positions (b null) of groups too large or hot."""
 
-    def windows(t: pa.Table) -> tuple[np.ndarray, ...]:
+    def windows(t: pa.Table) -> tuple:
         raw, offsets = text_bytes(t.column("bytes").combine_chunks())
-        n = t.column("n").to_numpy()
-        rank, run, place = _windows(raw, offsets[:-1], n, length)
-        return t.column("owner").to_numpy()[run], rank, t.column("id").to_numpy()[run], t.column("at").to_numpy()[run] + place
-
-    def apart(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        _, rank, ids, at = windows(t)
-        order = np.lexsort((at, ids, rank))
-        rank, ids, at = rank[order], ids[order], at[order]
-        again = np.r_[False, rank[1:] == rank[:-1]]
-        yield from spans(ids[again], at[again])
-        yield pa.RecordBatch.from_arrays([pa.array(rank[~again].view(np.int64)), pa.array(ids[~again]), pa.array(at[~again]), pa.nulls(int((~again).sum()), pa.int64())], _POSITION)
+        levels, run, place = _pairs(raw, offsets[:-1], t.column("n").to_numpy(), length)
+        return t.column("owner").to_numpy()[run], levels, t.column("id").to_numpy()[run], t.column("at").to_numpy()[run] + place
 
     def spans(ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, a, b = _joined(ids, at, length)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), *(pa.array(x) for x in (ids, a, b))], _POSITION)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), pa.int64()) for _ in range(3)), *(pa.array(x) for x in (ids, a, b))], _POSITION)
 
-    def together(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        owner, rank, ids, at = windows(t)
-        order = np.lexsort((at, ids, rank, owner))
-        owner, rank, ids, at = owner[order], rank[order], ids[order], at[order]
-        again = np.r_[False, (owner[1:] == owner[:-1]) & (rank[1:] == rank[:-1])]
+    def apart(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        owner, levels, ids, at = windows(t)
+        first, second = levels[-1]
+        order = np.lexsort((at, ids, second, first, owner))
+        owner, first, second, ids, at = (x[order] for x in (owner, first, second, ids, at))
+        again = np.zeros(len(ids), bool)
+        again[1:] = (owner[1:] == owner[:-1]) & (first[1:] == first[:-1]) & (second[1:] == second[:-1])
         yield from spans(ids[again], at[again])
+        rows = [x[~again] for x in (owner, first.view(np.int64), second.view(np.int64), ids, at)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.nulls(len(rows[0]), pa.int64())], _POSITION)
+
+    def together(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        owner, levels, ids, at = windows(t)
+        rank, left = _rerank(owner, levels[0][0].view(np.int64))  # at GRAM bytes
+        alive = np.flatnonzero(left)
+        rank = rank[alive]
+        for _, second in levels:  # pairs at growing offsets, until unique or past the threshold
+            rank, left = _rerank(rank, second.view(np.int64)[alive])
+            alive, rank = alive[left], rank[left]
+        ids, at = ids[alive], at[alive]
+        order = np.lexsort((at, ids, rank))
+        again = np.r_[False, rank[order][1:] == rank[order][:-1]][: len(order)]
+        yield from spans(ids[order][again], at[order][again])
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # runs of the last owner
@@ -321,20 +351,45 @@ def _settled(length: int):
     return settled
 
 
+def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions sorted by (owner, first): those whose pair is not unique, with a dense rank; repeats pass through."""
+    number, last, held = TaskContext.get().partitionId() << 40, None, None  # held: the first row of a pair, until another comes
+    names = ["rank", "second", "id", "a", "b"]
+    for batch in batches:
+        done = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        if done.any():
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(done)), *(batch.column(k).filter(pa.array(done)) for k in range(2, 6))], names)
+        rows = batch.filter(pa.array(~done))
+        if not rows.num_rows:
+            continue
+        owner, first, second, ids, at = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        new = np.r_[last is None or (owner[0], first[0]) != last, (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])]
+        last = owner[-1], first[-1]
+        rank = number + np.cumsum(new)
+        number = int(rank[-1])
+        if held is not None and not new[0]:
+            yield _rows(names[:4], *(np.array([x]) for x in held)).append_column("b", pa.nulls(1, pa.int64()))
+        again = ~new | np.r_[~new[1:], False]
+        held = (int(rank[-1]), int(second[-1]), int(ids[-1]), int(at[-1])) if new[-1] else None
+        out = _rows(names[:4], rank[again], second[again], ids[again], at[again])
+        yield out.append_column("b", pa.nulls(out.num_rows, pa.int64()))
+
+
 def _repeats(length: int):
-    """Spans of repeats from positions sorted by (rank, id, at)."""
+    """Spans of repeats from positions sorted by (rank, second, id, at)."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None
         for batch in batches:
             done = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids, at, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            ids, at, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
             yield _rows(["id", "a", "b"], ids[done], at[done], b[done].astype(np.int64))
-            rank, ids, at = batch.column(0).drop_null().to_numpy(), ids[~done], at[~done]
+            rank, second = (batch.column(k).filter(pa.array(~done)).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, at = ids[~done], at[~done]
             if not len(rank):
                 continue
-            again = np.r_[prev is not None and rank[0] == prev, rank[1:] == rank[:-1]]
-            prev = rank[-1]
+            again = np.r_[prev is not None and (rank[0], second[0]) == prev, (rank[1:] == rank[:-1]) & (second[1:] == second[:-1])]
+            prev = rank[-1], second[-1]
             yield _rows(["id", "a", "b"], *_joined(ids[again], at[again], length))
 
     return repeats
@@ -374,9 +429,11 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     doc_id sorts last and is returned as null. Rows that repeat a doc_id with another text are documents of their own,
     in an order fixed by their texts' hashes; rows that repeat both are one document, returned as often as it occurs.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if not GRAM < length <= 0x3FFF + GRAM - 1:  # a run's number of windows is kept in 14 bits
+        raise ValueError(f"length must be from {GRAM + 1} to {0x3FFF + GRAM - 1}")
     rows, shown, _ = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
+    if shown is not None:  # behind a join: in a repeatable order, for what a batch settles
+        rows = rows.sortWithinPartitions("id")
     sampled = rows.mapInArrow(_sampled(length), "owner long, run long, id long, place long")
     kind = F.col("place").bitwiseAND(3)
     dealt = F.when(kind == HOT_RUN, F.col("run")).when(kind == SETTLED, F.col("id")).otherwise(0)
@@ -392,9 +449,11 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     opened = rows.join(spans.filter(F.size("open") > 0).select("id", "open"), "id").select("id", "text", "open")
     opened = opened.mapInArrow(_opened(length), "owner long, id long, at long, n long, bytes binary, hot boolean")
     met = opened.repartition("owner", F.when(F.col("hot"), F.xxhash64("id", "at")).otherwise(0)).sortWithinPartitions("owner", "id", "at")
-    met = met.mapInArrow(_settled(length), "rank long, id long, a long, b long")
-    # positions and repeats are told apart after one exchange: a repeat goes by its id
-    far = met.repartition(F.coalesce("rank", "id"), F.col("rank").isNull()).sortWithinPartitions("rank", "id", "a")
+    met = met.mapInArrow(_settled(length), "owner long, first long, second long, id long, a long, b long")
+    # positions and repeats are told apart after an exchange: a repeat goes by its id
+    far = met.repartition(F.coalesce("owner", "id"), F.coalesce("first", F.lit(0)), F.col("owner").isNull()).sortWithinPartitions("owner", "first", "id", "a")
+    far = far.mapInArrow(_reranked, "rank long, second long, id long, a long, b long")
+    far = far.repartition(F.coalesce("rank", "id"), F.coalesce("second", F.lit(0)), F.col("rank").isNull()).sortWithinPartitions("rank", "second", "id", "a")
     late = far.mapInArrow(_repeats(length), "id long, a long, b long").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("late"))
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
     all_spans = spans.select("id", "done").join(late, "id", "left").select("id", F.concat(F.coalesce("done", none), F.coalesce("late", none)).alias("spans"))

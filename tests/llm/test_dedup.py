@@ -206,5 +206,29 @@ def test_spans_repeated_id(spark):
 
 def test_spans_empty(none):
     assert suffix_dedup.removed_spans(none).count() == 0
-    with pytest.raises(ValueError):
-        suffix_dedup.removed_spans(none, 10)
+    for length in (10, 25, 16408):
+        with pytest.raises(ValueError):
+            suffix_dedup.removed_spans(none, length)
+
+
+@pytest.mark.parametrize("length", [26, 60, 1000])
+def test_spans_lengths(spark, length):
+    """Thresholds that are no power of two times the gram, and runs of many windows."""
+    rng = random.Random(length)
+    line = "".join(rng.choices("abcdefgh", k=2 * length))
+    rows = [(k, "".join(rng.choices("abcd", k=rng.randrange(300))) + line[rng.randrange(length) :] + "".join(rng.choices("ab", k=50))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_spans(df, suffix_dedup.removed_spans(df, length), length)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_reranked_batches(size, monkeypatch):
+    """Pairs that occur once leave, wherever a batch ends."""
+    monkeypatch.setattr(suffix_dedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    rows = [(1, 1, 7, 10, 0), (1, 2, 7, 11, 0), (1, 2, 8, 12, 0), (1, 2, 9, 13, 0), (2, 2, 7, 14, 0), (3, 1, 7, 15, 0), (3, 1, 7, 16, 0), (4, 1, 1, 17, 0)]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)] + [pa.nulls(len(rows), pa.int64())]
+    whole = pa.RecordBatch.from_arrays(columns, suffix_dedup._POSITION)
+    got = [r for b in suffix_dedup._reranked(iter([whole.slice(k, size) for k in range(0, len(rows), size)])) for r in b.to_pylist()]
+    assert sorted(r["id"] for r in got) == [11, 12, 13, 15, 16]
+    ranks = {r["id"]: r["rank"] for r in got}
+    assert ranks[11] == ranks[12] == ranks[13] != ranks[15] == ranks[16]
