@@ -29,7 +29,7 @@ from boxtrail.llm.common import text_of
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 64
+    segments: int = 512
     loss: int = 2048
 
 
@@ -174,8 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
 
     A null or empty text is the end token alone; rows that repeat a doc_id are packed one by one; a null
     doc_id stays null. An empty table gives no rows. ``loss`` names a column with the number of loss-bearing tokens
-    of each row, spread evenly over its tokens; without one, or where it is null, all tokens bear loss, and a number
-    beyond the row's tokens counts as all.
+    of each row, or with the text that bears loss, whose tokens are counted; they are spread evenly over the row's tokens.
+    Without one, or where it is null, all tokens bear loss, and a number beyond the row's tokens counts as all.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +210,16 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
                 tokens += new
                 begun += [0] * len(new)
                 bears = part.column(2).to_pylist()
+                if of_text:
+                    bears = [None if t is None else len(x) - 1 for t, x in zip(bears, encode([t or "" for t in bears]), strict=True)]
                 rate += [1.0 if n is None else min(max(n / len(t), 0.0), 1.0) for n, t in zip(bears, new, strict=True)]
                 if len(ids) >= window:
                     yield rows(False)
         if ids:
             yield rows(True)
 
-    bears = F.col(loss).cast("long") if loss else F.lit(None).cast("long")
+    of_text = bool(loss) and dict(docs.dtypes)[loss] == "string"
+    bears = F.col(loss).cast("string" if of_text else "long") if loss else F.lit(None).cast("long")
     return docs.select(docs["doc_id"].cast("long"), text_of().alias("text"), bears.alias("loss")).mapInArrow(packed, ", ".join(f"{n} long" for n in NAMES))
 
 

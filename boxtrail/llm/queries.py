@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, ngram_trie, packing, suffix_dedup, toxicity, warc
 from boxtrail.llm.common import table
 
@@ -34,6 +36,14 @@ def op5_vector_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def instruction_packing(spark, sf_dir):
+    """All conversations as instruction data: formatted, with the assistant's text bearing loss, under three limits at once."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chats = chat.format_turns(chat.text_turns(rows))
+    texts = chats.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
+    return packing.pack(texts, tokenizer_path(), limits=packing.Limits(tokens=2048, segments=16, loss=1024), loss="loss_text")
+
+
 def op6_warc_revisits(spark, sf_dir):
     return warc.revisit_table(table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -58,7 +68,7 @@ def op10_counterfactual_toxicity(spark, sf_dir):
 
 def queries():
     every = (
-        op1_elias_fano_lm, op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
+        op1_elias_fano_lm, op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity, instruction_packing,
     )
     return {f.__name__: f for f in every}
 

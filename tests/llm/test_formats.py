@@ -19,10 +19,10 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_ids_equal_the_library():
+    """At the library's defaults."""
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     texts = ["", " ", "it's we'll I'd", "<|endoftext|> x", "  \n\n a\t b  ", "日本語 😀😀 é́ ½² ٣٤ İ", "\x00 a", "a" * 3000, "the cat " * 100]
-    for got, text in zip(packing.byte_bpe(PATH, 1)(texts), texts, strict=True):
+    for got, text in zip(packing.byte_bpe(PATH, 1, special=True)(texts), texts, strict=True):
         assert got.tolist() == [*model.encode(text, add_special_tokens=False).ids, 1]
 
 
@@ -57,7 +57,6 @@ def test_added_tokens(spark):
 
 def check_packed(df, rows):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in rows:
         pieces[r.sequence_id].append(r)
@@ -66,7 +65,7 @@ def check_packed(df, rows):
         for r in sorted(p, key=lambda r: r.offset):
             assert r.offset == at and r.length > 0
             at += r.length
-        assert at <= 2048 and len(p) <= 64
+        assert at <= 2048 and len(p) <= 512
     texts = defaultdict(list)
     for i, t in df.select("doc_id", "text").collect():
         texts[i].append([*model.encode(t or "", add_special_tokens=False).ids, 1])
@@ -111,6 +110,34 @@ def test_packing_loss(spark):
     assert max(sum(r.length for r in s) for s in sequences.values()) > 150
 
 
+def test_short_texts_fill(spark):
+    """Texts of three and ten tokens: the segment limit leaves little room."""
+    for words, least in ((2, 0.7), (9, 0.97)):
+        df = spark.createDataFrame([(k, " the" * words) for k in range(3000)], "doc_id long, text string").coalesce(1)
+        rows = packing.pack(df, PATH).collect()
+        assert sum(r.length for r in rows) >= least * 2048 * (len({r.sequence_id for r in rows}) - 1)
+
+
+def test_instruction_packing(spark):
+    """Conversations: every token once, and the assistant's tokens within their limit."""
+    from boxtrail.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.instruction_packing(spark, sf).collect()
+    chats = chat.format_turns(chat.text_turns(spark.read.parquet(f"{sf}/conversations.parquet"))).select("conv_id", "formatted", chat.loss_text(F.col("formatted"), F.col("loss")).alias("said")).collect()
+    encode = packing.byte_bpe(PATH, 1, special=True)
+    size = {r.conv_id: len(encode([r.formatted])[0]) for r in chats}
+    share = {r.conv_id: min(1.0, (len(encode([r.said])[0]) - 1) / size[r.conv_id]) for r in chats}
+    done, sequences = Counter(), defaultdict(list)
+    for r in rows:
+        done[r.doc_id] += r.length
+        sequences[r.sequence_id].append(r)
+    assert done == Counter(size)
+    for s in sequences.values():
+        assert sum(r.length for r in s) <= 2048 and len(s) <= 16 and sum(r.length * share[r.doc_id] for r in s) <= 1024 + 1e-6
+    assert any(0 < x < 1 for x in share.values())
+
+
 def test_packing_empty(none):
     assert packing.pack(none, PATH).count() == 0
 
