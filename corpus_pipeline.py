@@ -2,6 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
 return the columns of documents.
+
+What holds for every stage: other columns than those of documents, also such whose names operators use inside, are left
+out; an empty table gives no rows; texts of any length are taken whole; a null doc_id stays null, and rows without a
+doc_id, or with one that repeats, are decided each by itself. Stage by stage:
+
+language: a null, empty or letterless text goes; repeated rows have one fate. exact: a null text counts as empty; of
+equal texts, null ones too, one row stays. near: a null or blank text is like no other and stays; of rows equal in
+doc_id and text one stays. decontamination: a null or empty text holds no passage and stays; repeated rows have one
+fate. packing: a null text is the end token alone; repeated rows are packed one by one.
 """
 
 from __future__ import annotations
