@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ NULL_ID = 2**63 - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; set one only where the cluster names none (tests)."""
+    """The folder every executor can reach. Where none is named, one of the machine if that is all there is (tests), else it fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

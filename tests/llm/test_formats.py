@@ -273,3 +273,73 @@ def test_pipeline(spark):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == left
     odd = docs.withColumn("text", F.lit(None).cast("string"))
     assert corpus_pipeline.STAGES[0][1](spark, odd, sf).count() == 0
+
+
+def stage_input(odd):
+    return odd.withColumns({"source": F.lit("s"), "n_chars": F.length("text")})
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, ties, repeated rows, long texts, clashing columns and empty tables, stage by stage."""
+    sf = "/root/testdata/sf0.001"
+    df, stage = stage_input(odd), dict(corpus_pipeline.STAGES)
+    rows = lambda out: Counter((r.doc_id, r.text) for r in out.collect())
+    told = rows(df)
+    with_letters = Counter({k: n for k, n in told.items() if k[1] and any(c.isalpha() for c in k[1])})
+    language = stage["language_id"](spark, df, sf)
+    assert language.columns == list(corpus_pipeline.COLUMNS) and not rows(language) - with_letters
+    exact = rows(stage["exact_dedup"](spark, df, sf))
+    groups = defaultdict(list)
+    for i, t in told:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append((i is None, i))
+    assert sum(exact.values()) == len(exact) == len(groups) and all((i is None, i) == min(groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")]) for i, t in exact)
+    near = rows(stage["near_dedup"](spark, df, sf))
+    assert set(told) - set(near) == {(2, "The cat  sat\ton the mat and looked at the dog"), (7, odd.filter("doc_id = 7").first().text)} and max(near.values()) == 1
+    assert rows(stage["decontamination"](spark, df, sf)) == told
+    packed = Counter(r.doc_id for r in stage["packing"](spark, df, sf).filter("start = 0").collect())
+    assert packed == Counter(r.doc_id for r in df.collect())
+    for f in stage.values():
+        assert f(spark, stage_input(none), sf).count() == 0
+
+
+def test_near_and_benchmark_stages(spark):
+    """Both against brute force: five-word shingles at 0.8, and edits within the budget."""
+    from boxtrail.llm import decontamination
+
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        if i % 3 and rows:
+            w = rows[-1][1].split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"x{i}"
+        else:
+            w = text(80)
+        rows.append((i, " ".join(w)))
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 60").first().text
+    rows += [(100, f"before {item.upper()} after"), (101, "a " + item[:30] + "#" + item[31:] + " b"), (102, "a " + item[: len(item) // 2])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    stage = dict(corpus_pipeline.STAGES)
+    assert {r.doc_id for r in stage["near_dedup"](spark, df, sf).collect()} == {i for i in sets if find(i) == i}
+    bench = [decontamination.plain(r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def holds(t):
+        t = decontamination.plain(t)
+        return any(b and decontamination.myers(b, t, len(b) // decontamination.CHARS_PER_EDIT) is not None for b in bench)
+
+    assert {r.doc_id for r in stage["decontamination"](spark, df, sf).collect()} == {i for i, t in rows if not holds(t)}
