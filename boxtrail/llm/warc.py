@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import id_of, scratch, shown_id, text_of
+from boxtrail.llm.common import cut, id_of, scratch, shown_id, text_of
 
 #: RFC 4648 base32 alphabet, and the profile of a revisit.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -164,7 +164,8 @@ def revisit_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     index = write_archives(pages, scratch(pages.sparkSession, "warc"), least_bytes)
     fails = F.raise_error(F.concat(F.lit("payload and digest differ in record "), F.col("id"))).cast("string")
-    read = read_archives(index).withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(fails)).select("id", "type", "digest", "bytes", "refers")
+    read = read_archives(index).withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(fails))
+    read = cut(read.select("id", "type", "digest", "bytes", "refers"))  # archives are read once
     # one response stands for all with its id and digest; they have equal payloads
     told = read.filter("type = 'response'").groupBy("id", "digest").agg(F.first("bytes").alias("of_bytes")).withColumnsRenamed({"id": "of", "digest": "of_digest"})
     revisits = read.filter("type = 'revisit'")
