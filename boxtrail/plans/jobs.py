@@ -100,7 +100,7 @@ LITTER = """, fv AS (SELECT vec_id, vec_id % 10 AS video_id, (vec_id // 10) * 2
 ga AS (SELECT fv.*, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM fv SEMI JOIN (SELECT DISTINCT video_id, frame_idx FROM detections WHERE confidence >= 0.4) q USING (video_id, frame_idx)),
 lt AS (SELECT video_id, frame_idx, vec_id, rn, pos, logit, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, pos) AS INT) AS rank FROM (SELECT video_id, frame_idx, vec_id, rn, unnest(logits) AS logit, unnest(range(64)) AS pos FROM ga) q),
 lb AS (SELECT video_id, frame_idx, rank, pos // 4 AS query, CASE WHEN pos % 4 = 1 THEN 'cigarette' ELSE 'litter' END AS label, CASE WHEN pos % 4 = 1 THEN 1 ELSE 0 END AS class_id, 1 / (1 + exp(-logit)) AS score,
-  (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 - 0.05) * 1920 AS x1, (0.5 - 0.05) * 1920 - 420 AS y1, (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 + 0.05) * 1920 AS x2, (0.5 + 0.05) * 1920 - 420 AS y2
+  (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 - 0.05) * 1920 AS x1, CAST((0.5 - 0.05) * 1920 - 420 AS DOUBLE) AS y1, (CAST(vec_id % 10 AS DOUBLE) / 20 + (pos // 4) / 40.0 + 0.05) * 1920 AS x2, CAST((0.5 + 0.05) * 1920 - 420 AS DOUBLE) AS y2
   FROM lt WHERE rank <= 50 AND 1 / (1 + exp(-logit)) >= 0.5 AND (pos % 4 <> 1 OR CAST(ceil(rn / 8.0) AS BIGINT) % 2 = 0))"""
 
 
