@@ -110,13 +110,17 @@ def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of 64-bit numbers: low bits packed, high bits in unary, and counts of ones for each word."""
+    """A sorted sequence of 64-bit numbers: low bits packed, high bits in unary.
 
-    PARTS = ("low", "high", "ones")
+    Counts of ones and zeros before each word, an eighth of a value's bits, are not kept but made when it is opened.
+    """
+
+    PARTS = ("low", "high")
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
-        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray) -> None:
+        self.n, self.bits, self.low, self.high = n, bits, low, high
+        self.ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)]
+        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
 
     @staticmethod
     def of(values: np.ndarray) -> EliasFano:
@@ -133,9 +137,7 @@ class EliasFano:
         size = -(-(int(places[-1]) + 2 if n else 1) // 64) * 64
         flags = np.zeros(size, bool)
         flags[places] = True
-        high = np.packbits(flags, bitorder="little").view(U)
-        ones = np.r_[0, np.cumsum(np.bitwise_count(high))].astype(np.int64)
-        return EliasFano(n, bits, low, high, ones)
+        return EliasFano(n, bits, low, np.packbits(flags, bitorder="little").view(U))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.bits
@@ -247,22 +249,39 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets + np.arange(n + 1)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the least width that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(f"<u{next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)}")
+
+
 def _packed(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of unsigned numbers in one blob, each in the least width that holds it; 64-bit ones stay so."""
+    """Arrays of unsigned numbers in one compressed blob: rising ones as differences, the bytes of a number apart."""
     head, body = [len(arrays)], []
     for a in arrays:
-        top = int(a.max()) if len(a) else 0
-        width = 8 if a.dtype == U else next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-        head += [width, len(a)]
-        body.append(a.astype(f"<u{width}").tobytes())
-    return np.array(head, np.int64).tobytes() + b"".join(body)
+        hashes, a = a.dtype == U, a.astype(U)
+        rising = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        if rising:
+            a = np.diff(a, prepend=U(0))
+        width = -(-int(a.max()).bit_length() // 8) if len(a) else 0
+        head += [width, rising, hashes, len(a)]
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    blob = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
 
 
 def _parsed(blob: bytes) -> list[np.ndarray]:
+    """The arrays of a blob: 64-bit ones as such, others in the least width."""
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
     k = int(np.frombuffer(blob, np.int64, 1)[0])
-    head, at, out = np.frombuffer(blob, np.int64, 2 * k, 8), 8 + 16 * k, []
-    for width, n in head.reshape(k, 2).tolist():
-        out.append(np.frombuffer(blob, f"<u{width}", n, at))
+    head, at, out = np.frombuffer(blob, np.int64, 4 * k, 8), 8 + 32 * k, []
+    for width, rising, hashes, n in head.reshape(k, 4).tolist():
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T
+        a = a.view(U)[:, 0]
+        if rising:
+            a = np.cumsum(a, dtype=U)
+        out.append(a if hashes else _narrow(a))
         at += width * n
     return out
 
@@ -290,7 +309,7 @@ def _chunked(folder: str, limit: int):
             taught = scored & np.repeat([h[3] for h in held], size)
             counts = {"seen": np.bincount(ids[taught], minlength=len(word)), "load": np.bincount(ids[scored], minlength=len(word))}
             thin = {"low": (ids & 0xFFFF).astype("<u2"), "high": (ids >> 16).astype(np.uint8)}
-            arrays = {"words": word} | {k: np.frombuffer(_packed([x]), np.uint8) for k, x in counts.items()}
+            arrays = {k: np.frombuffer(_packed([x]), np.uint8) for k, x in {"words": word, **counts}.items()}
             arrays |= {k: np.frombuffer(pa.compress(x.tobytes(), "zstd", asbytes=True), np.uint8) for k, x in thin.items()}
             write_arrays(f"{folder}/{part | number}", arrays)
             out = {
@@ -364,7 +383,7 @@ class Layout:
 
     def __init__(self, folder: str, row: dict, hot: Hot, shards: int) -> None:
         file = map_arrays(f"{folder}/{row['chunk']}")
-        self.words = file["words"]
+        (self.words,) = _parsed(file["words"].tobytes())
         size, early = np.array(row["size"]), np.array(row["early"])
         wide = lambda name, kind: np.frombuffer(pa.decompress(file[name].tobytes(), int(size.sum()) * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
         self.t = wide("low", "<u2") | wide("high", np.uint8) << 16
@@ -441,7 +460,7 @@ def _counts(folder: str, shards: int):
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
                 file = map_arrays(f"{folder}/{chunk}")
-                w, (seen,), (load,) = file["words"], _parsed(file["seen"].tobytes()), _parsed(file["load"].tobytes())
+                (w,), (seen,), (load,) = (_parsed(file[k].tobytes()) for k in ("words", "seen", "load"))
                 shard = _shard(w, shards)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -503,7 +522,7 @@ class Trie:
             | _sequence("child2", f.astype(U) * n + s.astype(U))
             | _sequence("to3", np.r_[0, np.cumsum(np.bincount(owner, minlength=len(f)))])
             | _sequence("child3", owner.astype(U) * n + third.astype(U))
-            | {"count": c1.astype(np.int64)}
+            | {"count": _narrow(c1)}
             | {k: x for name, p, absent in shares for k, x in zip((name, f"{name}.book"), coded(quantised(p), absent), strict=True)},
         )
 
@@ -520,7 +539,7 @@ class Trie:
     def ask(self, words: np.ndarray, f: np.ndarray, s: np.ndarray, owner: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
         """(count of each word, codes of share2 and rest2 of each pair, codes of share3 of each trigram), 0 for unknown ones."""
         rank = self.word.find(words)
-        count = np.where(rank >= 0, self.count[np.maximum(rank, 0)] if self.word.n else 0, 0)
+        count = np.where(rank >= 0, self.count[np.maximum(rank, 0)].astype(np.int64) if self.word.n else 0, 0)
         pair = self._under(rank[f], self.to2, self.child2, rank[s], self.word.n)
         tri = self._under(pair[owner], self.to3, self.child3, rank[third], self.word.n)
 
