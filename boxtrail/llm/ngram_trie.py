@@ -2,14 +2,16 @@
 
 1. Texts become chunks of about CHUNK tokens, a file each: the chunk's distinct words (64-bit hashes) with their counts,
    and each token's place among them. The table of chunks tells whose texts they hold.
-2. One small job sums word counts: the number of tokens and types, and the words and word pairs that are so frequent
-   that their n-grams are dealt out further, by the next word. Both lists hold two entries for each shard at most.
-3. A chunk sends each shard the distinct n-grams it has for it, with their training counts. A shard holds the n-grams of
-   some first words, about SHARD tokens, whatever the size of the corpus. Its task sums the counts, writes the trie file
-   and answers, from the mapped file, what the chunks asked for.
+2. Words go to ranges of hashes, where they are counted and named: a word's id is its place among all words in order of
+   hashes. Chunks get back the ids and counts of their words. The driver learns the number of tokens and types, and the
+   words and word pairs that are so frequent that their n-grams are dealt out further, by the next word. Both lists hold
+   two entries for each shard at most.
+3. A chunk sends each shard the distinct n-grams it has for it, by ids, with their training counts. A shard holds the
+   n-grams of some first words, about SHARD tokens, whatever the size of the corpus. Its task sums the counts, writes the
+   trie file and answers, from the mapped file, what the chunks asked for.
 4. Answers return to their chunks, where tokens take their probabilities from them. No task opens another shard's file.
 
-In a file, words are one Elias-Fano sequence of 64-bit hashes, found by successor search. A node's children are ranks
+A range's file is one Elias-Fano sequence of 64-bit hashes, a shard's words one of ids, found by successor search. A node's children are ranks
 in that sequence, relative to their context: level k holds parent * words + rank, a monotone sequence in Elias-Fano form,
 and monotone pointers bound each context's range, in which a child is found by successor search. Probabilities are
 smoothed with a Dirichlet prior,
@@ -293,6 +295,17 @@ _CHUNK_SCHEMA = pa.schema(
 )
 
 
+def _by_load(load: np.ndarray) -> np.ndarray:
+    """A chunk's words, the frequent ones first: tokens are kept as places in this order, most of which are small."""
+    return np.argsort(-load.astype(np.int64), kind="stable")
+
+
+def _file(folder: str, chunk: int, *names: str) -> list[np.ndarray]:
+    """Arrays of a chunk's file."""
+    file = map_arrays(f"{folder}/{chunk}")
+    return [_parsed(file[n].tobytes())[0] for n in names]
+
+
 def _chunked(folder: str, limit: int):
     """From (doc_id, held_out, train, text): chunks of whole texts, or of parts of a text with the two tokens before them."""
 
@@ -307,11 +320,11 @@ def _chunked(folder: str, limit: int):
             early = np.array([h[5] for h in held])
             scored = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size) >= np.repeat(early, size)
             taught = scored & np.repeat([h[3] for h in held], size)
-            counts = {"seen": np.bincount(ids[taught], minlength=len(word)), "load": np.bincount(ids[scored], minlength=len(word))}
-            thin = {"low": (ids & 0xFFFF).astype("<u2"), "high": (ids >> 16).astype(np.uint8)}
-            arrays = {k: np.frombuffer(_packed([x]), np.uint8) for k, x in {"words": word, **counts}.items()}
-            arrays |= {k: np.frombuffer(pa.compress(x.tobytes(), "zstd", asbytes=True), np.uint8) for k, x in thin.items()}
-            write_arrays(f"{folder}/{part | number}", arrays)
+            seen, load = (np.bincount(ids[x], minlength=len(word)) for x in (taught, scored))
+            place = np.empty(len(word), np.int64)
+            place[_by_load(load)] = np.arange(len(word))
+            arrays = {"words": word, "seen": seen, "load": load, "tokens": place[ids]}
+            write_arrays(f"{folder}/{part | number}", {k: np.frombuffer(_packed([x]), np.uint8) for k, x in arrays.items()})
             out = {
                 "chunk": [part | number], "n": [int(scored.sum())], "row": [[h[0] for h in held]], "doc_id": [[h[1] for h in held]],
                 "held": [[h[2] for h in held]], "train": [[h[3] for h in held]], "size": [size.tolist()], "early": [early.tolist()],
@@ -339,7 +352,12 @@ def _chunked(folder: str, limit: int):
 
 
 class Chunks:
-    """The texts of a frame as chunk files in ``folder``, and ``table``, whose rows tell what is in each."""
+    """The texts of a frame as chunk files in ``folder``, and ``table``, whose rows tell what is in each.
+
+    ``names``, once words are counted: what each range of hashes tells a chunk of its words, and the driver of itself.
+    """
+
+    names: DataFrame
 
     def __init__(self, docs: DataFrame, train: F.Column) -> None:
         """``train`` says which rows teach the model."""
@@ -352,11 +370,19 @@ class Chunks:
 
 
 class Hot:
-    """Frequent words and word pairs (sorted hashes) with their training counts: their n-grams are dealt out by the next word."""
+    """Frequent words and word pairs, by hashes and by ids, with their training counts: their n-grams are dealt out by the next word."""
 
-    def __init__(self, words: list[tuple[int, int]] = (), pairs: list[tuple[int, int]] = ()) -> None:
-        self.words, self.word_seen = (np.array(x, t) for x, t in zip(zip(*sorted(words)) if words else ((), ()), (U, np.int64), strict=True))
-        self.pairs, self.pair_seen = (np.array(x, t) for x, t in zip(zip(*sorted(pairs)) if pairs else ((), ()), (U, np.int64), strict=True))
+    def __init__(self, words: list[tuple[int, int, int]] = (), pairs: list[tuple[int, int, int]] = ()) -> None:
+        """words: (hash, id, count); pairs: (hash, hash, count), both of such words."""
+        ids = {h: i for h, i, _ in words}
+        column = lambda rows, k: np.array([r[k] for r in rows], U)
+        self.words = np.sort(column(words, 0))
+        self.pairs = np.sort(_pair(column(pairs, 0), column(pairs, 1)))
+        by_id = sorted((i, c) for _, i, c in words)
+        self.ids, self.seen = column(by_id, 0), column(by_id, 1).astype(np.int64)
+        named = _pair(np.array([ids[f] for f, _, _ in pairs], U), np.array([ids[t] for _, t, _ in pairs], U))
+        order = np.argsort(named)
+        self.id_pairs, self.pair_seen = named[order], column(pairs, 2).astype(np.int64)[order]
 
 
 def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -375,6 +401,11 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return (mix(x) >> U(33)).astype(np.int64) % shards
 
 
+def _ranges(words: np.ndarray, shards: int) -> np.ndarray:
+    """Where each range of hashes begins among sorted words, and the end; a range is a shard's share of all hashes."""
+    return np.searchsorted((words >> U(32)) * U(shards) >> U(32), np.arange(shards + 1, dtype=U))
+
+
 class Layout:
     """A chunk's distinct n-grams, the shard of each, and where each token's are.
 
@@ -382,11 +413,9 @@ class Layout:
     """
 
     def __init__(self, folder: str, row: dict, hot: Hot, shards: int) -> None:
-        file = map_arrays(f"{folder}/{row['chunk']}")
-        (self.words,) = _parsed(file["words"].tobytes())
+        self.words, load, places = _file(folder, row["chunk"], "words", "load", "tokens")
+        self.t = _by_load(load)[places]
         size, early = np.array(row["size"]), np.array(row["early"])
-        wide = lambda name, kind: np.frombuffer(pa.decompress(file[name].tobytes(), int(size.sum()) * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
-        self.t = wide("low", "<u2") | wide("high", np.uint8) << 16
         place = np.arange(len(self.t)) - np.repeat(np.cumsum(size) - size, size)
         self.doc = np.repeat(np.arange(len(size)), size)
         self.scored = place >= early[self.doc]
@@ -415,88 +444,124 @@ class Layout:
         under = np.searchsorted(entries, key(to, self.owner))
         self.order3 = np.argsort(under, kind="stable")  # trigrams by entry, then third word
         self.degree = np.bincount(under, minlength=len(entries))
-        root = _shard(self.words, shards)
-        self.order1 = np.argsort(root, kind="stable")
-        every = np.arange(shards + 1)
-        self.cuts1, self.cuts2 = np.searchsorted(root[self.order1], every), np.searchsorted(self.entry_shard, every)
+        self.cuts2 = np.searchsorted(self.entry_shard, np.arange(shards + 1))
         self.cuts3 = np.r_[0, np.cumsum(self.degree)][self.cuts2]
 
-    def asked(self) -> list[int]:
-        return np.flatnonzero((np.diff(self.cuts1) > 0) | (np.diff(self.cuts2) > 0)).tolist()
-
-    def parts(self, shard: int) -> tuple[slice, slice, slice]:
-        return tuple(slice(c[shard], c[shard + 1]) for c in (self.cuts1, self.cuts2, self.cuts3))
+    def parts(self, shard: int) -> tuple[slice, slice]:
+        return tuple(slice(c[shard], c[shard + 1]) for c in (self.cuts2, self.cuts3))
 
-    def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, blob): words, then by their places roots with counts, entries with counts and degrees, third words with counts."""
-        n1 = np.bincount(self.t[self.taught], minlength=len(self.words))
+    def requests(self, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob): ids of words, then by their places entries with counts and degrees, third words with counts."""
         n2 = np.bincount(self.pair[self.two], self.taught[self.two], len(self.home)).astype(np.int64)
         n3 = np.bincount(self.at3, self.taught[self.three], len(self.tris)).astype(np.int64)
         at = np.zeros(len(self.words), np.int64)
-        for shard in self.asked():
-            one, two, three = self.parts(shard)
-            root, pair, tri = self.order1[one], self.entry_pair[two], self.order3[three]
+        for shard in np.flatnonzero(np.diff(self.cuts2)).tolist():
+            two, three = self.parts(shard)
+            pair, tri = self.entry_pair[two], self.order3[three]
             f, s, t = self.first[pair], self.second[pair], self.third[tri]
-            used = np.unique(np.concatenate([root, f, s, t]))
+            there = np.zeros(len(self.words), bool)
+            there[f] = there[s] = there[t] = True
+            used = np.flatnonzero(there)
             at[used] = np.arange(len(used))
             counted = np.where(self.home[pair] == shard, n2[pair], 0)
-            yield shard, _packed([self.words[used], at[root], n1[root], at[f], at[s], counted, self.degree[two], at[t], n3[tri]])
+            yield shard, _packed([ids[used], at[f], at[s], counted, self.degree[two], at[t], n3[tri]])
 
 
-def _asked(folder: str, hot: Hot, shards: int):
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for shard, blob in Layout(folder, row, hot, shards).requests():
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row["chunk"]]), pa.array([blob], pa.binary())], ["shard", "chunk", "blob"])
+_BLOBS = "shard int, chunk long, blob binary"
+
+
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["shard", "chunk", "blob"])
+
+
+def _names(words: np.ndarray, told: list[tuple[int, bytes]], firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, training count) of a chunk's words, from what the ranges told; 0 for words the model does not know."""
+    ids, count = np.zeros(len(words), U), np.zeros(len(words), np.int64)
+    cuts = _ranges(words, len(firsts))
+    for k, blob in told:
+        place, seen = _parsed(blob)
+        some = slice(cuts[k], cuts[k + 1])
+        ids[some] = np.where(place > 0, place.astype(U) + U(firsts[k]), U(0))
+        count[some] = seen
+    return ids, count
+
+
+def _asked(folder: str, hot: Hot, shards: int, firsts: list[int]):
+    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        layout = Layout(folder, row, hot, shards)
+        ids, _ = _names(layout.words, list(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True)), firsts)
+        return _blobs([(shard, row["chunk"], blob) for shard, blob in layout.requests(ids)])
 
     return asked
 
 
 def _counts(folder: str, shards: int):
-    """Words of a chunk with counts, a blob for each shard."""
+    """Words of a chunk with counts, a blob for each range of hashes."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
-                file = map_arrays(f"{folder}/{chunk}")
-                (w,), (seen,), (load,) = (_parsed(file[k].tobytes()) for k in ("words", "seen", "load"))
-                shard = _shard(w, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                w, seen, load = _file(folder, chunk, "words", "seen", "load")
+                cuts = _ranges(w, shards)
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    some = order[cuts[k] : cuts[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed([w[some], seen[some], load[some]])], pa.binary())], ["shard", "blob"])
+                    some = slice(cuts[k], cuts[k + 1])
+                    yield from _blobs([(k, chunk, _packed([w[some], seen[some], load[some]]))]).to_batches()
 
     return counts
 
 
-def _summed(least: int):
-    """Of a shard's words: tokens, types, and those that occur ``least`` times."""
+_TOLD = f"{_BLOBS}, tokens long, types long, words long, hot array<long>, place array<long>, seen array<long>"
 
-    def summed(blobs: pa.Table) -> pa.Table:
-        parts = [_parsed(b.as_py()) for b in blobs.column("blob")]
-        w, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        seen, load = (np.bincount(at, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
-        often = load >= least
-        lists = [pa.array([x.tolist()], _LONGS) for x in (w[often].view(np.int64), seen[often])]
-        return pa.table([pa.array([int(seen.sum())]), pa.array([int((seen > 0).sum())]), *lists], ["tokens", "types", "hot", "seen"])
 
-    return summed
+def _named(folder: str, least: int, build: bool):
+    """Of a range's words: for each chunk their places, from 1, and counts; and a row without chunk for the driver: tokens,
+    types, words, and the words that occur ``least`` times. Counts and words are those of the range's file, written if it is to be built.
+    """
+
+    def named(blobs: pa.Table) -> pa.Table:
+        shard = blobs.column("shard")[0].as_py()
+        parts = [_parsed(b.as_py()) for b in blobs.column("blob")]
+        w, at = ranked(np.concatenate([p[0] for p in parts]))
+        seen, load = (np.bincount(at, np.concatenate([p[k] for p in parts]), len(w)).astype(np.int64) for k in (1, 2))
+        place, uri = np.arange(1, len(w) + 1), f"{folder}/words-{shard}"
+        if build:
+            write_arrays(uri, _sequence("word", w) | _sequence("count", np.r_[0, np.cumsum(seen)]))
+        else:
+            try:
+                known = map_arrays(uri)
+                place = _mapped(known, "word").find(w) + 1
+                before, after = _mapped(known, "count").pair(np.maximum(place - 1, 0))
+                seen = np.where(place > 0, after - before, 0).astype(np.int64)
+            except FileNotFoundError:  # no word of this range was taught
+                place, seen = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        rows, a = [], 0
+        for chunk, p in zip(blobs.column("chunk").to_pylist(), parts, strict=True):
+            own = at[a : a + len(p[0])]
+            rows.append((shard, chunk, _packed([place[own], seen[own]])))
+            a += len(own)
+        often = np.flatnonzero(load >= least)
+        told = [int(seen.sum()), int((seen > 0).sum()), len(w), w[often].view(np.int64).tolist(), place[often].tolist(), seen[often].tolist()]
+        table = _blobs([*rows, (shard, None, None)])
+        for name, x in zip(("tokens", "types", "words", "hot", "place", "seen"), told, strict=True):
+            table = table.append_column(name, pa.array([None] * len(rows) + [x], _LONGS if isinstance(x, list) else pa.int64()))
+        return table
+
+    return named
 
 
 def _hot_pairs(folder: str, hot: Hot):
-    """Pairs of hot words with their counts in a chunk."""
+    """Pairs of hot words, by places among them, with their counts in a chunk."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 a = Layout(folder, row, Hot(), 0)
-                is_hot = (_in(a.words, hot.words) >= 0)[a.t]
-                k = a.two[is_hot[a.two] & is_hot[a.two - 1]]
-                named, at = np.unique(_pair(a.words[a.t[k - 1]], a.words[a.t[k]]), return_inverse=True)
-                seen, load = (np.bincount(at, x[k], len(named)).astype(np.int64) for x in (a.taught, a.scored))
-                yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(seen), pa.array(load)], ["pair", "seen", "load"])
+                place = _in(a.words, hot.words)[a.t]
+                k = a.two[(place[a.two] >= 0) & (place[a.two - 1] >= 0)]
+                pair, at = np.unique(place[k - 1] * len(hot.words) + place[k], return_inverse=True)
+                seen, load = (np.bincount(at, x[k], len(pair)).astype(np.int64) for x in (a.taught, a.scored))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(seen), pa.array(load)], ["pair", "seen", "load"])
 
     return pairs
 
@@ -507,12 +572,11 @@ class Trie:
     def __init__(self, uri: str) -> None:
         a = map_arrays(uri)
         self.word, self.to2, self.child2, self.to3, self.child3 = (_mapped(a, n) for n in ("word", "to2", "child2", "to3", "child3"))
-        self.count = a["count"]
         self.codes = {n: (a[n], a[f"{n}.book"]) for n in ("share2", "rest2", "share3")}
 
     @staticmethod
-    def write(uri: str, words: np.ndarray, c1: np.ndarray, f: np.ndarray, s: np.ndarray, total1: np.ndarray, c2: np.ndarray, owner: np.ndarray, third: np.ndarray, c3: np.ndarray) -> None:
-        """words are sorted; pairs (f, s) and trigrams (owner, third) are sorted places; total1 is each pair's first word's count."""
+    def write(uri: str, words: np.ndarray, f: np.ndarray, s: np.ndarray, total1: np.ndarray, c2: np.ndarray, owner: np.ndarray, third: np.ndarray, c3: np.ndarray) -> None:
+        """words are sorted ids; pairs (f, s) and trigrams (owner, third) are sorted places; total1 is each pair's first word's count."""
         n = U(max(1, len(words)))
         shares = (("share2", c2 / (total1 + PRIOR), NONE), ("rest2", PRIOR / (c2 + PRIOR), 0), ("share3", c3 / (c2[owner] + PRIOR), NONE))
         write_arrays(
@@ -522,7 +586,6 @@ class Trie:
             | _sequence("child2", f.astype(U) * n + s.astype(U))
             | _sequence("to3", np.r_[0, np.cumsum(np.bincount(owner, minlength=len(f)))])
             | _sequence("child3", owner.astype(U) * n + third.astype(U))
-            | {"count": _narrow(c1)}
             | {k: x for name, p, absent in shares for k, x in zip((name, f"{name}.book"), coded(quantised(p), absent), strict=True)},
         )
 
@@ -537,9 +600,8 @@ class Trie:
         return found
 
     def ask(self, words: np.ndarray, f: np.ndarray, s: np.ndarray, owner: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(count of each word, codes of share2 and rest2 of each pair, codes of share3 of each trigram), 0 for unknown ones."""
+        """(codes of share2 and rest2 of each pair, codes of share3 of each trigram), 0 for unknown ones."""
         rank = self.word.find(words)
-        count = np.where(rank >= 0, self.count[np.maximum(rank, 0)].astype(np.int64) if self.word.n else 0, 0)
         pair = self._under(rank[f], self.to2, self.child2, rank[s], self.word.n)
         tri = self._under(pair[owner], self.to3, self.child3, rank[third], self.word.n)
 
@@ -549,7 +611,7 @@ class Trie:
             out[there] = self.codes[name][0][at[there]]
             return out
 
-        return count, code("share2", pair), code("rest2", pair), code("share3", tri)
+        return code("share2", pair), code("rest2", pair), code("share3", tri)
 
     def books(self) -> list[np.ndarray]:
         return [self.codes[n][1] for n in ("share2", "rest2", "share3")]
@@ -566,36 +628,37 @@ def _answered(folder: str, hot: Hot, build: bool):
         own = np.split(at, np.cumsum(sizes)[:-1])  # each part's words among all
         put = lambda k: np.concatenate([o[p[k]] for o, p in zip(own, parts, strict=True)])
         put_n = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int64)
-        root, n1, n2, degree, n3 = put(1), put_n(2), put_n(5), put_n(6), put_n(8)
+        n2, degree, n3 = put_n(3), put_n(4), put_n(6)
         bits = U(len(words).bit_length())
         low = (U(1) << bits) - U(1)
-        pairs, at2 = ranked(put(3).astype(U) << bits | put(4).astype(U))
-        tris, at3 = ranked(np.repeat(at2, degree).astype(U) << bits | put(7).astype(U))
+        pairs, at2 = ranked(put(1).astype(U) << bits | put(2).astype(U))
+        tris, at3 = ranked(np.repeat(at2, degree).astype(U) << bits | put(5).astype(U))
         f, s, owner, third = (x.astype(np.int64) for x in (pairs >> bits, pairs & low, tris >> bits, tris & low))
         if build:
-            c1, c2, c3 = (np.bincount(a, n, m).astype(np.int64) for a, n, m in ((root, n1, len(words)), (at2, n2, len(pairs)), (at3, n3, len(tris))))
-            k = _in(_pair(words[f], words[s]), hot.pairs)
+            c2, c3 = (np.bincount(a, n, m).astype(np.int64) for a, n, m in ((at2, n2, len(pairs)), (at3, n3, len(tris))))
+            c1 = np.bincount(f, c2, len(words)).astype(np.int64)  # every word but END has a next one, here if it is not hot
+            k = _in(_pair(words[f], words[s]), hot.id_pairs)
             c2 = np.where(k >= 0, hot.pair_seen[k] if len(hot.pairs) else 0, c2)
-            k = _in(words[f], hot.words)
-            total1 = np.where(k >= 0, hot.word_seen[k] if len(hot.words) else 0, c1[f])
+            k = _in(words[f], hot.ids)
+            total1 = np.where(k >= 0, hot.seen[k] if len(hot.ids) else 0, c1[f])
             kept2, kept3 = np.flatnonzero(c2), np.flatnonzero(c3)
             there = np.zeros(len(words), bool)
-            for x in (np.flatnonzero(c1), f[kept2], s[kept2], third[kept3]):
+            for x in (f[kept2], s[kept2], third[kept3]):
                 there[x] = True
             rank, place = np.cumsum(there) - 1, np.zeros(len(pairs), np.int64)
             place[kept2] = np.arange(len(kept2))
-            Trie.write(uri, words[there], c1[there], rank[f[kept2]], rank[s[kept2]], total1[kept2], c2[kept2], place[owner[kept3]], rank[third[kept3]], c3[kept3])
+            Trie.write(uri, words[there], rank[f[kept2]], rank[s[kept2]], total1[kept2], c2[kept2], place[owner[kept3]], rank[third[kept3]], c3[kept3])
         try:
             trie = Trie(uri)
             told, books = trie.ask(words, f, s, owner, third), trie.books()
         except FileNotFoundError:  # nothing of this shard was taught
-            told, books = [np.zeros(n, np.int64) for n in (len(words), len(pairs), len(pairs), len(tris))], [np.array([x], np.uint16) for x in (NONE, 0, NONE)]
-        out, a, b, c = [], 0, 0, 0
+            told, books = [np.zeros(n, np.uint8) for n in (len(pairs), len(pairs), len(tris))], [np.array([x], np.uint16) for x in (NONE, 0, NONE)]
+        out, b, c = [], 0, 0
         for p in parts:
-            n_1, n_2, n_3 = len(p[1]), len(p[3]), len(p[7])
+            n_2, n_3 = len(p[1]), len(p[5])
             two = at2[b : b + n_2]
-            out.append(_packed([told[0][root[a : a + n_1]], told[1][two], told[2][two], told[3][at3[c : c + n_3]], *books]))
-            a, b, c = a + n_1, b + n_2, c + n_3
+            out.append(_packed([told[0][two], told[1][two], told[2][at3[c : c + n_3]], *books]))
+            b, c = b + n_2, c + n_3
         return pa.table([blobs.column("shard"), blobs.column("chunk"), pa.chunked_array([pa.array(out, pa.binary())])], ["shard", "chunk", "blob"])
 
     return answered
@@ -604,19 +667,21 @@ def _answered(folder: str, hot: Hot, build: bool):
 _SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _combined(folder: str, hot: Hot, shards: int, n: int, v: int):
-    """A chunk with its answers: what each of its texts, or parts of texts, adds to the scores."""
+def _combined(folder: str, hot: Hot, shards: int, n: int, v: int, firsts: list[int]):
+    """A chunk with its answers, and the names of its words under shards below 0: what each of its texts, or parts of texts, adds to the scores."""
 
     def combined(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         a = Layout(folder, row, hot, shards)
-        count = np.zeros(len(a.words), np.int64)
+        told = list(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        _, count = _names(a.words, [(-1 - k, blob) for k, blob in told if k < 0], firsts)
         share2, rest2, share3 = np.zeros(len(a.home)), np.ones(len(a.home)), np.zeros(len(a.tris))
-        for shard, blob in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True):
-            one, two, three = a.parts(shard)
-            c1, s2, r2, s3, *books = _parsed(blob)
+        for shard, blob in told:
+            if shard < 0:
+                continue
+            two, three = a.parts(shard)
+            s2, r2, s3, *books = _parsed(blob)
             s2, r2, s3 = (restored(book)[code] for book, code in zip(books, (s2, r2, s3), strict=True))
-            count[a.order1[one]] = c1
             pair = a.entry_pair[two]
             own = a.home[pair] == shard
             share2[pair[own]], rest2[pair[own]] = s2[own], r2[own]
@@ -637,36 +702,50 @@ def _combined(folder: str, hot: Hot, shards: int, n: int, v: int):
 
 
 class Model:
-    """Where the files are, how n-grams are dealt to them, and the corpus' tokens and types."""
+    """Where the files are, how n-grams are dealt to them, the id before each range's first, and the corpus' tokens and types."""
+
+    def __init__(self, folder: str, shards: int, firsts: list[int], n: int, v: int, hot: Hot) -> None:
+        self.folder, self.shards, self.firsts, self.n, self.v, self.hot = folder, shards, firsts, n, v, hot
+
 
-    def __init__(self, folder: str, shards: int, n: int, v: int, hot: Hot) -> None:
-        self.folder, self.shards, self.n, self.v, self.hot = folder, shards, n, v, hot
+def _told(chunks: Chunks, folder: str, shards: int, build: bool) -> DataFrame:
+    """What the ranges of hashes tell, as a written table."""
+    spark, path = chunks.table.sparkSession, scratch(chunks.table.sparkSession, "names")
+    seen = chunks.table.select("chunk").mapInArrow(_counts(chunks.folder, shards), _BLOBS)
+    seen.groupBy("shard").applyInArrow(_named(folder, max(1, SHARD // 2), build), _TOLD).write.parquet(path)
+    return spark.read.schema(_TOLD).parquet(path)
 
 
 def _planned(chunks: Chunks) -> Model:
-    """A model still without files: its size, and what is hot, from the word counts of the chunks."""
-    table, folder = chunks.table, chunks.folder
+    """A model still without tries: words counted and named, its size, and what is hot; the chunks learn their words' names."""
+    table, folder = chunks.table, scratch(chunks.table.sparkSession, "ngrams")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD))
-    seen = table.select("chunk").mapInArrow(_counts(folder, shards), "shard int, blob binary")
-    told = seen.groupBy("shard").applyInArrow(_summed(max(1, SHARD // 2)), "tokens long, types long, hot array<long>, seen array<long>").collect()
+    chunks.names = _told(chunks, folder, shards, True)
+    told = chunks.names.filter("chunk IS NULL").collect()
     n, v = sum(r.tokens for r in told), sum(r.types for r in told)
-    hot = Hot([(w & (1 << 64) - 1, c) for r in told for w, c in zip(r.hot, r.seen, strict=True)])
-    if len(hot.words):
-        pairs = table.mapInArrow(_hot_pairs(folder, hot), "pair long, seen long, load long").groupBy("pair").agg(F.sum("seen").alias("seen"), F.sum("load").alias("load"))
+    sizes = np.zeros(shards, np.int64)
+    sizes[[r.shard for r in told]] = [r.words for r in told]
+    firsts = (np.cumsum(sizes) - sizes).tolist()
+    words = sorted((w & (1 << 64) - 1, p + firsts[r.shard], c) for r in told for w, p, c in zip(r.hot, r.place, r.seen, strict=True))
+    hot = Hot(words)
+    if words:
+        pairs = table.mapInArrow(_hot_pairs(chunks.folder, hot), "pair long, seen long, load long").groupBy("pair").agg(F.sum("seen").alias("seen"), F.sum("load").alias("load"))
         often = pairs.filter(F.col("load") >= max(1, SHARD // 2)).collect()
-        hot = Hot(list(zip(hot.words.tolist(), hot.word_seen.tolist(), strict=True)), [(r.pair & (1 << 64) - 1, r.seen) for r in often])
-    return Model(scratch(table.sparkSession, "ngrams"), shards, n, v, hot)
+        hot = Hot(words, [(words[r.pair // len(words)][0], words[r.pair % len(words)][0], r.seen) for r in often])
+    return Model(folder, shards, firsts, n, v, hot)
 
 
 def _answers(chunks: Chunks, model: Model, build: bool) -> DataFrame:
-    requests = chunks.table.mapInArrow(_asked(chunks.folder, model.hot, model.shards), "shard int, chunk long, blob binary")
-    return requests.groupBy("shard").applyInArrow(_answered(model.folder, model.hot, build), "shard int, chunk long, blob binary")
+    named = chunks.names.filter("chunk IS NOT NULL").select("shard", "chunk", "blob")
+    requests = chunks.table.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(_asked(chunks.folder, model.hot, model.shards, model.firsts), _BLOBS)
+    return requests.groupBy("shard").applyInArrow(_answered(model.folder, model.hot, build), _BLOBS)
 
 
 def _scored(chunks: Chunks, model: Model, build: bool) -> DataFrame:
-    told = _answers(chunks, model, build).groupBy("chunk")
-    combined = _combined(chunks.folder, model.hot, model.shards, model.n, model.v)
+    named = chunks.names.filter("chunk IS NOT NULL").select((-1 - F.col("shard")).cast("int").alias("shard"), "chunk", "blob")
+    told = _answers(chunks, model, build).unionByName(named).groupBy("chunk")
+    combined = _combined(chunks.folder, model.hot, model.shards, model.n, model.v, model.firsts)
     parts = chunks.table.groupBy("chunk").cogroup(told).applyInArrow(combined, _SCORES)
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
@@ -689,7 +768,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text is its END token alone; a null doc_id stays null; rows that repeat a doc_id are scored one by
     one. Without training tokens every probability is that of an unknown word. An empty table gives no rows.
     """
-    return _scored(Chunks(docs, F.lit(False)), model, False)
+    chunks = Chunks(docs, F.lit(False))
+    chunks.names = _told(chunks, model.folder, model.shards, False)
+    return _scored(chunks, model, False)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
