@@ -11,7 +11,8 @@
    trie file and answers, from the mapped file, what the chunks asked for.
 4. Answers return to their chunks, where tokens take their probabilities from them. No task opens another shard's file.
 
-A range's file is one Elias-Fano sequence of 64-bit hashes, a shard's words one of ids, found by successor search. A node's children are ranks
+A range's file is one Elias-Fano sequence of 64-bit hashes, a shard's words one of ids, its first words one of places
+among them, all found by successor search. A node's children are ranks
 in that sequence, relative to their context: level k holds parent * words + rank, a monotone sequence in Elias-Fano form,
 and monotone pointers bound each context's range, in which a child is found by successor search. Probabilities are
 smoothed with a Dirichlet prior,
@@ -571,19 +572,22 @@ class Trie:
 
     def __init__(self, uri: str) -> None:
         a = map_arrays(uri)
-        self.word, self.to2, self.child2, self.to3, self.child3 = (_mapped(a, n) for n in ("word", "to2", "child2", "to3", "child3"))
+        self.word, self.root, self.to2, self.child2, self.to3, self.child3 = (_mapped(a, n) for n in ("word", "root", "to2", "child2", "to3", "child3"))
         self.codes = {n: (a[n], a[f"{n}.book"]) for n in ("share2", "rest2", "share3")}
 
     @staticmethod
     def write(uri: str, words: np.ndarray, f: np.ndarray, s: np.ndarray, total1: np.ndarray, c2: np.ndarray, owner: np.ndarray, third: np.ndarray, c3: np.ndarray) -> None:
         """words are sorted ids; pairs (f, s) and trigrams (owner, third) are sorted places; total1 is each pair's first word's count."""
         n = U(max(1, len(words)))
+        roots = np.flatnonzero(np.bincount(f, minlength=len(words)))
+        first = np.searchsorted(roots, f)
         shares = (("share2", c2 / (total1 + PRIOR), NONE), ("rest2", PRIOR / (c2 + PRIOR), 0), ("share3", c3 / (c2[owner] + PRIOR), NONE))
         write_arrays(
             uri,
             _sequence("word", words)
-            | _sequence("to2", np.r_[0, np.cumsum(np.bincount(f, minlength=len(words)))])
-            | _sequence("child2", f.astype(U) * n + s.astype(U))
+            | _sequence("root", roots)
+            | _sequence("to2", np.r_[0, np.cumsum(np.bincount(first, minlength=len(roots)))])
+            | _sequence("child2", first.astype(U) * n + s.astype(U))
             | _sequence("to3", np.r_[0, np.cumsum(np.bincount(owner, minlength=len(f)))])
             | _sequence("child3", owner.astype(U) * n + third.astype(U))
             | {k: x for name, p, absent in shares for k, x in zip((name, f"{name}.book"), coded(quantised(p), absent), strict=True)},
@@ -602,7 +606,8 @@ class Trie:
     def ask(self, words: np.ndarray, f: np.ndarray, s: np.ndarray, owner: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
         """(codes of share2 and rest2 of each pair, codes of share3 of each trigram), 0 for unknown ones."""
         rank = self.word.find(words)
-        pair = self._under(rank[f], self.to2, self.child2, rank[s], self.word.n)
+        root = np.where(rank >= 0, self.root.find(np.maximum(rank, 0)), -1)
+        pair = self._under(root[f], self.to2, self.child2, rank[s], self.word.n)
         tri = self._under(pair[owner], self.to3, self.child3, rank[third], self.word.n)
 
         def code(name: str, at: np.ndarray) -> np.ndarray:
