@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxtrail.llm import block_naming, chat, decontamination, language_id, near_dedup, ngram_trie, packing, suffix_dedup, toxicity, warc
+from boxtrail.llm import block_naming, chat, decontamination, language_id, line_dedup, merkle, near_dedup, ngram_trie, packing, spelling, suffix_dedup, toxicity, warc
 from boxtrail.llm.common import table
 
 
@@ -66,12 +66,25 @@ def op10_counterfactual_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_reduced_alphabet_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.verified(merkle.proofs(table(spark, sf_dir, "documents"), merkle.tampered()))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     every = (
-        op1_elias_fano_lm, op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity, instruction_packing,
+        op1_elias_fano_lm, op2_block_naming, op3_prefix_doubling, op4_setsketch_near_dedup, op5_vector_packing, op6_warc_revisits, op7_edit_decontamination, op8_rank_order_language, op9_chat_format, op10_counterfactual_toxicity,
+        op11_reduced_alphabet_spelling, op12_merkle_manifest, op13_line_dedup, instruction_packing,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql():
-    return {"op2_block_naming": block_naming.ORACLE, "op3_prefix_doubling": suffix_dedup.ORACLE, "op4_setsketch_near_dedup": near_dedup.ORACLE, "op6_warc_revisits": warc.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {"op2_block_naming": block_naming.ORACLE, "op3_prefix_doubling": suffix_dedup.ORACLE, "op4_setsketch_near_dedup": near_dedup.ORACLE, "op6_warc_revisits": warc.ORACLE, "op9_chat_format": chat.ORACLE, "op11_reduced_alphabet_spelling": spelling.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
