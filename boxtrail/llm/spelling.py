@@ -129,6 +129,22 @@ def _sought(symbols: int, bits: int):
     return sought
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced code point leads from a to b. Takes time in proportion to their length."""
+    if len(a) > len(b):
+        a, b = b, a
+    same = len(a) == len(b)
+    if a == b or not same and len(b) - len(a) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[k + same :] == b[k + 1 :]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(list(map(one_edit, batch.column(0).to_pylist(), batch.column(2).to_pylist())), pa.bool_()))
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS, bits: int = 64) -> DataFrame:
     """word, n, near, near_n: every two words of (word, n) at one inserted, deleted or replaced code point, both ways round.
 
@@ -140,7 +156,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, bits: int = 64) -> Data
     found = sought.join(named.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key")
     found = found.join(named.select(F.col("key").alias("seeker"), "word", "n"), "seeker")
     found = found.filter((F.col("seeker") != F.col("key")) | (F.col("word") < F.col("near")))
-    found = found.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    found = found.select("word", "n", "near", "near_n").mapInArrow(_verified, "word string, n long, near string, near_n long")
     clash = named.groupBy("key").agg((F.min(small) != F.max(small)).alias("clash")).filter("clash")
     there, back = F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     both = found.select(F.inline(F.array(there, back)))

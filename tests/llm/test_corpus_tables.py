@@ -75,11 +75,18 @@ def test_long_words(spark):
     assert got["a" * 100_000].n_near == 1 and {got["abcde" + "f" * k].root for k in range(6)} == {"abcdefffff"}
 
 
+def test_one_edit():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(6))) for _ in "ab")
+        assert spelling.one_edit(a, b) == near(a, b)
+
+
 def test_clash(spark):
-    """With keys of two bits, where many reduced words share one, every pair is still found once."""
+    """With keys of eight bits, where many reduced words share one, every pair is still found once."""
     stems = {"".join(random.Random(k).choices("abcdef", k=5 + k % 3)) for k in range(150)}
     words = {w: n for n, w in enumerate(sorted(stems | {w[:k] + w[k + 1 :] for w in stems for k in (0, 3)}), 3)}
-    got = spelling.near_words(spark.createDataFrame(list(words.items()), "word string, n long"), bits=2)
+    got = spelling.near_words(spark.createDataFrame(list(words.items()), "word string, n long"), bits=8)
     assert Counter((r.word, r.near) for r in got.collect()) == Counter((v, w) for v in words for w in words if near(v, w))
 
 
