@@ -1,6 +1,6 @@
 """The time rule on tracked person samples: stillness, counted hits, good seconds, streaks, incidents.
 
-Input rows are samples (video_id, track_id, frame_idx, box, hit) of one frame rate. Everything is a window
+Input rows are samples (video_id, track_id, frame_idx, fps, box, hit), each with the rate of its clip. Everything is a window
 over one track, so a clip's tracks spread over tasks; nothing is ordered across tracks until incidents are
 merged per video.
 """
@@ -28,19 +28,19 @@ def box_motion(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("moved", ~F.col("first") & ~F.coalesce(still, F.lit(False))).drop(*before)
 
 
-def still_time(moved: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
+def still_time(moved: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds run, still_frames and ready: a run starts at a first or moved sample and is ready after still_seconds."""
     breaks = (F.col("first") | F.col("moved")).cast("int")
     rows = moved.withColumn("run", F.sum(breaks).over(_by_frame()))
     start = F.max(F.when(F.col("first") | F.col("moved"), F.col("frame_idx"))).over(_by_frame())
     rows = rows.withColumn("still_frames", F.col("frame_idx") - start)
-    return rows.withColumn("ready", (breaks == 0) & (F.col("still_frames") >= s.still_seconds * fps))
+    return rows.withColumn("ready", (breaks == 0) & (F.col("still_frames") >= s.still_seconds * F.col("fps")))
 
 
-def gated_hits(ready: DataFrame, fps: float) -> DataFrame:
+def gated_hits(ready: DataFrame) -> DataFrame:
     """Adds sec, counted (a hit of a ready sample), next_frame and next_moved of the track."""
     return (
-        ready.withColumn("sec", F.floor(F.col("frame_idx") / fps + 1e-9))
+        ready.withColumn("sec", F.floor(F.col("frame_idx") / F.col("fps") + 1e-9))
         .withColumn("counted", F.col("hit") & F.col("ready"))
         .withColumn("next_frame", F.lead("frame_idx").over(_by_frame()))
         .withColumn("next_moved", F.lead("moved").over(_by_frame()))
@@ -90,9 +90,9 @@ def confirm_latch(streaks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return streaks.filter(F.col("streak") >= s.seconds_required).groupBy(*TRACK).agg(F.min("next_frame").alias("confirm_frame"))
 
 
-def track_expiry(samples: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
+def track_expiry(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Per track the first frame more than max_missed seconds after its last sample."""
-    ends = F.floor(F.max("frame_idx") + F.lit(s.max_missed * fps)).cast("long") + 1
+    ends = F.floor(F.max(F.col("frame_idx") + s.max_missed * F.col("fps"))).cast("long") + 1
     return samples.groupBy(*TRACK).agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), ends.alias("expiry_frame"))
 
 
@@ -190,11 +190,11 @@ def progress_score(state: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return state.groupBy("video_id", "frame_idx").agg(F.max(share).alias("score"))
 
 
-def time_rule(samples: DataFrame, fps: float, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def time_rule(samples: DataFrame, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits, streaks, ranges) of samples."""
-    hits = gated_hits(still_time(box_motion(samples, s), fps, s), fps)
+    hits = gated_hits(still_time(box_motion(samples, s), s))
     streaks = good_streak(hits_per_second(hits), s)
-    return hits, streaks, active_ranges(confirm_latch(streaks, s), track_expiry(samples, fps, s))
+    return hits, streaks, active_ranges(confirm_latch(streaks, s), track_expiry(samples, s))
 
 
 def count_reasons(seen: DataFrame, gated: DataFrame, hits: DataFrame, width: int, height: int, s: Settings = DEFAULT, cap: int | None = None) -> DataFrame:

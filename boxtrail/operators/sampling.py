@@ -26,6 +26,11 @@ def sample_frames(frames: DataFrame, clips: DataFrame, s: Settings = DEFAULT) ->
     return frames.join(strides, "video_id").filter("frame_idx % stride = 0")
 
 
+def with_rate(rows: DataFrame, clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Rows with fps and stride of their clip: the rate goes along with the key, so clips of any rates share a run."""
+    return rows.join(clips.select("video_id", "fps", stride(F.col("fps"), s).alias("stride")), "video_id")
+
+
 def frame_time(frame: Column, fps: Column) -> Column:
     return frame / fps
 
@@ -83,10 +88,10 @@ def rider_exclusion(persons: DataFrame, bikes: DataFrame, s: Settings = DEFAULT)
     return p.join(b.alias("b"), same & test, "left_anti")
 
 
-def overlap_pairs(samples: DataFrame, step: int, least: float) -> DataFrame:
-    """Boxes of consecutive samples of a video that overlap by ``least``: candidates of the same track."""
+def overlap_pairs(samples: DataFrame, least: float) -> DataFrame:
+    """Boxes of consecutive samples of a video (rows have its stride) that overlap by ``least``: candidates of the same track."""
     now = samples.select(*FRAME, "ord", *g.Box._fields)
-    before = samples.select("video_id", (F.col("frame_idx") + step).alias("frame_idx"), F.col("ord").alias("prev_ord"), *[F.col(c).alias(f"p_{c}") for c in g.Box._fields])
+    before = samples.select("video_id", (F.col("frame_idx") + F.col("stride")).alias("frame_idx"), F.col("ord").alias("prev_ord"), *[F.col(c).alias(f"p_{c}") for c in g.Box._fields])
     pairs = now.join(before, FRAME).withColumn("iou", g.iou(g.box("p_"), g.box()))
     return pairs.filter((F.col("iou") >= least) & (F.col("iou") > 0)).select(*FRAME, "prev_ord", "ord", "iou")
 

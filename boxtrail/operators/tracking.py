@@ -109,54 +109,54 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield held, np.zeros(1, np.int64)
 
 
-def _walked(least: float, missed: float):
+def _walked(least: float):
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tracks, last = Tracks(), None
         for batch, begins in whole_groups(batches, ["video_id", "segment", "frame_idx"]):
-            video, segment, frame = (batch.column(k).to_numpy() for k in ("video_id", "segment", "frame_idx"))
+            video, segment, frame, most = (batch.column(k).to_numpy() for k in ("video_id", "segment", "frame_idx", "most"))
             boxes = np.stack([batch.column(c).to_numpy() for c in BOX], 1)
             out = np.empty(batch.num_rows, np.int64)
             for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
                 if (now := (video[a], segment[a])) != last:
                     tracks, last = Tracks(), now
-                tracks.drop_before(frame[a] - missed)
+                tracks.drop_before(frame[a] - most[a])
                 out[a:b] = tracks.sample(boxes[a:b], frame[a], least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "track_id"])
 
     return walked
 
 
-def _associate(rows: DataFrame, order: list[Column | str], least: float, missed: float) -> DataFrame:
+def _associate(rows: DataFrame, order: list[Column | str], least: float) -> DataFrame:
     key = ["video_id", "segment"]
     met = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx", *order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return met.mapInArrow(_walked(least, missed), schema + ", track_id long")
+    return met.mapInArrow(_walked(least), schema + ", track_id long").drop("most")
 
 
-def _segments(rows: DataFrame, most: float) -> DataFrame:
-    """Adds segment: it grows where consecutive frames of a video are more than ``most`` apart."""
-    frames = previous_frame(rows.select("video_id", "frame_idx").distinct(), "_before")
-    gap = F.coalesce(F.col("frame_idx") - F.col("_before") > most, F.lit(False))
-    return rows.join(running_sum(frames, gap.cast("int"), "segment").drop("_before"), ["video_id", "frame_idx"])
+def _segments(rows: DataFrame) -> DataFrame:
+    """Adds segment: it grows where consecutive frames of a video are more than ``most`` apart, a column of its rate."""
+    frames = previous_frame(rows.select("video_id", "frame_idx", "most").distinct(), "_before")
+    gap = F.coalesce(F.col("frame_idx") - F.col("_before") > F.col("most"), F.lit(False))
+    return rows.join(running_sum(frames, gap.cast("int"), "segment").drop("_before", "most"), ["video_id", "frame_idx"])
 
 
-def person_segments(persons: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
-    """Adds segment: it grows where consecutive samples of a video are more than max_missed apart."""
-    return _segments(persons, s.max_missed * fps)
+def person_segments(persons: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Adds most (frames of max_missed at the clip's rate) and segment: it grows where consecutive samples are further apart."""
+    return _segments(persons.withColumn("most", s.max_missed * F.col("fps")))
 
 
-def associate_persons(persons: DataFrame, fps: float, s: Settings = DEFAULT) -> DataFrame:
-    """Person rows (video_id, frame_idx, ord, confidence, box) with segment and track_id."""
-    rows = person_segments(persons, fps, s).select("video_id", "segment", "frame_idx", "ord", "confidence", *BOX)
-    return _associate(rows, [F.desc("confidence"), "ord"], s.person_iou, s.max_missed * fps)
+def associate_persons(persons: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Person rows (video_id, frame_idx, fps, ord, confidence, box) with segment and track_id."""
+    rows = person_segments(persons, s).select("video_id", "segment", "frame_idx", "fps", "most", "ord", "confidence", *BOX)
+    return _associate(rows, [F.desc("confidence"), "ord"], s.person_iou)
 
 
-def vehicle_segments(vehicles: DataFrame, step: int) -> DataFrame:
-    """Adds segment: it grows after a sampled frame without vehicles."""
-    return _segments(vehicles, step)
+def vehicle_segments(vehicles: DataFrame) -> DataFrame:
+    """Adds most (the clip's stride) and segment: it grows after a sampled frame without vehicles."""
+    return _segments(vehicles.withColumn("most", F.col("stride").cast("double")))
 
 
-def associate_vehicles(vehicles: DataFrame, step: int, s: Settings = DEFAULT) -> DataFrame:
-    """Vehicle rows with segment and track_id; a track not seen in a sample is gone."""
-    rows = vehicle_segments(vehicles, step).select("video_id", "segment", "frame_idx", "ord", *BOX)
-    return _associate(rows, ["ord"], s.vehicle_iou, step)
+def associate_vehicles(vehicles: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Vehicle rows (video_id, frame_idx, stride, ord, box) with segment and track_id; a track not seen in a sample is gone."""
+    rows = vehicle_segments(vehicles).select("video_id", "segment", "frame_idx", "most", "ord", *BOX)
+    return _associate(rows, ["ord"], s.vehicle_iou)

@@ -19,54 +19,55 @@ from boxtrail.plans.timerule import CARRIED, INCIDENT_TABLE, MARKED, PLATE, RULE
 from boxtrail.settings import DEFAULT as S
 from boxtrail.settings import MOTORCYCLES, PERSON, VEHICLES
 from boxtrail.sources import clips as src
-from boxtrail.sources.fixtures import FPS
-
-STEP = 2
 
 
 def persons(d):
     det = d["detections"]
-    seen = sm.confidence_filter(det, ("person",), S.scene_confidence)
+    seen = sm.with_rate(sm.confidence_filter(det, ("person",), S.scene_confidence), d["clips"])
     return sm.rider_exclusion(seen, sm.confidence_filter(det, MOTORCYCLES, S.scene_confidence))
 
 
-def associated_sql(rows, order, least, missed):
-    """Greedy association in DuckDB, one sample after the other: tk has video_id, segment, frame_idx, ord, track_id."""
+def vehicles(d):
+    return sm.with_rate(sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence), d["clips"])
+
+
+def associated_sql(rows, order, least):
+    """Greedy association in DuckDB, one sample after the other: tk has video_id, segment, frame_idx, ord, track_id. Rows have most, the frames after which a track is gone."""
     box = "'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'f': f.frame_idx"
     same = "'x1': t.x1, 'y1': t.y1, 'x2': t.x2, 'y2': t.y2, 'f': t.f"
     said = "CAST([] AS STRUCT(ord INT, id BIGINT)[])"
-    return f""", fr AS MATERIALIZED (SELECT video_id, segment, frame_idx, row_number() OVER (PARTITION BY video_id, segment ORDER BY frame_idx) AS k, list({{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {order}) AS boxes FROM ({rows}) q GROUP BY video_id, segment, frame_idx),
+    return f""", fr AS MATERIALIZED (SELECT video_id, segment, frame_idx, row_number() OVER (PARTITION BY video_id, segment ORDER BY frame_idx) AS k, list({{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {order}) AS boxes, any_value(most) AS most FROM ({rows}) q GROUP BY video_id, segment, frame_idx),
 rec1 AS (SELECT video_id, segment, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS frame_idx, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, f BIGINT, u BOOLEAN)[]) AS tracks, {said} AS said FROM fr WHERE fr.k = 1
  UNION ALL SELECT r.video_id, r.segment, r.k, r.frame_idx, r.s.n, r.s.tracks, r.s.said FROM (SELECT p.video_id, p.segment, f.k, f.frame_idx, list_reduce(f.boxes, lambda acc, b:
    list_transform([list_max(list_filter(list_transform(acc.tracks, lambda t: {{'o': CASE WHEN t.u THEN -1.0 ELSE {overlap_sql('t.', 'b.')} END, 'neg': -t.id}}), lambda c: c.o >= {least}))], lambda m:
      CASE WHEN m IS NULL THEN {{'n': acc.n + 1, 'tracks': list_append(acc.tracks, {{'id': acc.n, {box}, 'u': false}}), 'said': list_append(acc.said, {{'ord': b.ord, 'id': acc.n}})}}
      ELSE {{'n': acc.n, 'tracks': list_transform(acc.tracks, lambda t: CASE WHEN t.id = -m.neg THEN {{'id': t.id, {box}, 'u': true}} ELSE t END), 'said': list_append(acc.said, {{'ord': b.ord, 'id': -m.neg}})}} END)[1],
-   {{'n': p.n, 'tracks': list_transform(list_filter(p.tracks, lambda t: f.frame_idx - t.f <= {missed}), lambda t: {{'id': t.id, {same}, 'u': false}}), 'said': {said}}}) AS s FROM rec1 p JOIN fr f ON f.video_id = p.video_id AND f.segment = p.segment AND f.k = p.k + 1) r),
+   {{'n': p.n, 'tracks': list_transform(list_filter(p.tracks, lambda t: f.frame_idx - t.f <= f.most), lambda t: {{'id': t.id, {same}, 'u': false}}), 'said': {said}}}) AS s FROM rec1 p JOIN fr f ON f.video_id = p.video_id AND f.segment = p.segment AND f.k = p.k + 1) r),
 tk AS MATERIALIZED (SELECT video_id, segment, frame_idx, u.ord AS ord, u.id AS track_id FROM (SELECT video_id, segment, frame_idx, unnest(said) AS u FROM rec1) z)
 """
 
 
-def segments_sql(rows, most):
-    """The rows with a segment that grows where consecutive frames are more than ``most`` apart."""
+def segments_sql(rows):
+    """The rows with a segment that grows where consecutive frames are more than their ``most`` apart."""
     return f"""SELECT q.*, segment FROM ({rows}) q JOIN (SELECT video_id, frame_idx, CAST(sum(g) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM
-  (SELECT video_id, frame_idx, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) > {most} THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT video_id, frame_idx FROM ({rows}) d1) d2) d3) d4 USING (video_id, frame_idx)"""
+  (SELECT video_id, frame_idx, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) > most THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT video_id, frame_idx, most FROM ({rows}) d1) d2) d3) d4 USING (video_id, frame_idx)"""
 
 
-BOXED = "SELECT video_id, frame_idx, ord, confidence, x1, y1, x2, y2 FROM detections"
+BOXED = "SELECT video_id, frame_idx, ord, confidence, x1, y1, x2, y2, {} AS most FROM detections JOIN rates USING (video_id)"
 GATED_PERSONS = f", gp AS MATERIALIZED ({RIDER})"
-PERSON_ROWS = f"{BOXED} SEMI JOIN gp USING (video_id, frame_idx, ord) WHERE confidence >= 0.4"
-PERSON_TRACKS = GATED_PERSONS + associated_sql(segments_sql(PERSON_ROWS, 24), "confidence DESC, ord", S.person_iou, 24)
-VEHICLE_TRACKS = associated_sql(segments_sql(f"{BOXED} WHERE label <> 'person' AND confidence >= 0.4", STEP), "ord", S.vehicle_iou, STEP)
+PERSON_ROWS = f"{BOXED.format('3 * fps')} SEMI JOIN gp USING (video_id, frame_idx, ord) WHERE confidence >= 0.4"
+PERSON_TRACKS = GATED_PERSONS + associated_sql(segments_sql(PERSON_ROWS), "confidence DESC, ord", S.person_iou)
+VEHICLE_TRACKS = associated_sql(segments_sql(f"{BOXED.format('stride')} WHERE label <> 'person' AND confidence >= 0.4"), "ord", S.vehicle_iou)
 
 
 @query("associate_persons", PERSON_TRACKS + "SELECT * FROM tk")
 def _(d):
-    return tr.associate_persons(persons(d), FPS).select(*KEY, "segment", "track_id")
+    return tr.associate_persons(persons(d)).select(*KEY, "segment", "track_id")
 
 
 @query("associate_vehicles", VEHICLE_TRACKS + "SELECT * FROM tk")
 def _(d):
-    return tr.associate_vehicles(sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence), STEP).select(*KEY, "segment", "track_id")
+    return tr.associate_vehicles(vehicles(d)).select(*KEY, "segment", "track_id")
 
 
 def keypoints(hit):
@@ -79,24 +80,24 @@ def keypoints(hit):
 
 def tracked_samples(d):
     """Associated persons as samples: track_id is segment and number in one; the posture cue comes from keypoints by key."""
-    rows = tr.associate_persons(persons(d), FPS)
+    rows = tr.associate_persons(persons(d))
     cue = d["detections"].filter("label = 'person'").select(*KEY, posture_cue(keypoints(F.col("pose_hit")), S.visibility, S.wrist_limit).alias("hit"))
     unique = F.col("segment") * 1000000000 + F.col("track_id")
-    return rows.join(cue, KEY).select("video_id", unique.alias("track_id"), "frame_idx", *g.Box._fields, "hit")
+    return rows.join(cue, KEY).select("video_id", unique.alias("track_id"), "frame_idx", "fps", *g.Box._fields, "hit")
 
 
-TRACKED = PERSON_TRACKS + RULE.replace("smp AS (SELECT video_id, actor_id AS track_id, frame_idx, x1, y1, x2, y2, confidence, pose_hit AS hit FROM detections WHERE label = 'person' AND confidence >= 0.4)", "smp AS MATERIALIZED (SELECT video_id, segment * 1000000000 + track_id AS track_id, frame_idx, x1, y1, x2, y2, confidence, pose_hit AS hit FROM tk JOIN detections USING (video_id, frame_idx, ord))")
+TRACKED = PERSON_TRACKS + RULE.replace("smp AS (SELECT video_id, actor_id AS track_id, frame_idx, fps, x1, y1, x2, y2, confidence, pose_hit AS hit FROM detections JOIN rates USING (video_id) WHERE label = 'person' AND confidence >= 0.4)", "smp AS MATERIALIZED (SELECT video_id, segment * 1000000000 + track_id AS track_id, frame_idx, fps, x1, y1, x2, y2, confidence, pose_hit AS hit FROM tk JOIN detections USING (video_id, frame_idx, ord) JOIN rates USING (video_id))")
 
 
 @query("incident_job_tracked", TRACKED + INCIDENT_TABLE)
 def _(d):
     """From raw boxes: gate, riders, association, posture from keypoints, the time rule, the interval table."""
     rows = tracked_samples(d)
-    return incident_table(d, rows, inc.time_rule(rows, FPS)[2])
+    return incident_table(d, rows, inc.time_rule(rows)[2])
 
 
 # Litter: frame numbers and videos of the score lists; only frames with activity count, the cigarette head runs on every second batch.
-LITTER = """, fv AS (SELECT vec_id, vec_id % 10 AS video_id, (vec_id // 10) * 2 + 40 AS frame_idx, logits FROM logits),
+LITTER = """, fv AS (SELECT vec_id, video_id, (vec_id // 10 + 20) * stride AS frame_idx, logits FROM (SELECT *, vec_id % 10 AS video_id FROM logits) q JOIN rates USING (video_id)),
 ga AS (SELECT fv.*, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM fv SEMI JOIN (SELECT DISTINCT video_id, frame_idx FROM detections WHERE confidence >= 0.4) q USING (video_id, frame_idx)),
 lt AS (SELECT video_id, frame_idx, vec_id, rn, pos, logit, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, pos) AS INT) AS rank FROM (SELECT video_id, frame_idx, vec_id, rn, unnest(logits) AS logit, unnest(range(64)) AS pos FROM ga) q),
 lb AS (SELECT video_id, frame_idx, rank, pos // 4 AS query, CASE WHEN pos % 4 = 1 THEN 'cigarette' ELSE 'litter' END AS label, CASE WHEN pos % 4 = 1 THEN 1 ELSE 0 END AS class_id, 1 / (1 + exp(-logit)) AS score,
@@ -106,8 +107,8 @@ lb AS (SELECT video_id, frame_idx, rank, pos // 4 AS query, CASE WHEN pos % 4 =
 
 def litter_boxes(d):
     """Heads of one flat list, decoded from a letterboxed input: class 1 is the cigarette head."""
-    lists = d["logits"].withColumns({"video_id": F.col("vec_id") % 10, "frame_idx": F.expr("(vec_id div 10) * 2 + 40")})
-    gated = sm.gate(lists, d["detections"], PERSON + VEHICLES, S.scene_confidence)
+    lists = sm.with_rate(d["logits"].withColumn("video_id", F.col("vec_id") % 10), d["clips"]).withColumn("frame_idx", F.expr("(vec_id div 10 + 20) * stride"))
+    gated = sm.gate(lists.drop("fps", "stride"), d["detections"], PERSON + VEHICLES, S.scene_confidence)
     runs_on = sm.every_nth_batch(gated.select("video_id", "frame_idx")).select("video_id", "frame_idx")
     top = sm.decode_topk(gated, 4, 300, 0.5, 50).join(gated.select("vec_id", "video_id", "frame_idx"), "vec_id")
     is_cigarette = F.col("class_id") == 1
@@ -133,7 +134,7 @@ PLATE_ROWS = f"SELECT f.video_id, segment, track_id, frame_idx, {TEXT}, score, g
 @query("plate_job", FRAMED + VEHICLE_TRACKS + cadence_sql(PLATE_ROWS, ("video_id", "segment", "track_id")) + "SELECT * FROM cd")
 def _(d):
     """Vehicle tracks by association, plates in frame pixels, cadence, lock and reuse: the text after every sample."""
-    tracks = tr.associate_vehicles(sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence), STEP).select(*KEY, "segment", "track_id")
+    tracks = tr.associate_vehicles(vehicles(d)).select(*KEY, "segment", "track_id")
     rows = framed_plates(d).filter(F.col("plate_confidence") >= S.plate_confidence).join(tracks, KEY)
     return pl.read_cadence(rows, key=("video_id", "segment", "track_id"))
 
@@ -151,8 +152,8 @@ def sweep_streaks(d):
     """Streaks per threshold. Samples are passed once: a second's hits are an array with a count for each threshold, and only
     seconds are multiplied by the grid.
     """
-    base = inc.still_time(inc.box_motion(samples(d).withColumn("distance", _distance())), FPS)
-    hits = inc.gated_hits(base, FPS)
+    base = inc.still_time(inc.box_motion(samples(d).withColumn("distance", _distance())))
+    hits = inc.gated_hits(base)
     counts = F.array(*[F.count_if(F.col("ready") & (F.col("distance") < t)) for t in GRID])
     grid = F.array(*[F.lit(t) for t in GRID])
     per = inc.hits_per_second(hits, counts)
@@ -164,7 +165,7 @@ def sweep_streaks(d):
 def sweep_events(d):
     seconds = d.spark.createDataFrame([(x,) for x in SECONDS], "seconds int")
     confirmed = ev.streaks_for_grid(sweep_streaks(d), seconds)
-    found = ev.event_counts(confirmed.join(inc.track_expiry(samples(d), FPS), ["video_id", "track_id"]))
+    found = ev.event_counts(confirmed.join(inc.track_expiry(samples(d)), ["video_id", "track_id"]))
     points = d["clips"].crossJoin(F.broadcast(ev.grid(d.spark, GRID, SECONDS)))
     return points.join(found, ["video_id", "threshold", "seconds"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
@@ -177,7 +178,7 @@ def sweep_rows(d):
 
 
 SWEEP = (
-    RULE.replace("confidence, pose_hit AS hit FROM", "confidence, 0 AS hit, (actor_id * 31 + frame_idx // 2 * 7) % 25 / 100.0 AS distance FROM").replace("mv AS (SELECT video_id, track_id, frame_idx, hit,", "mv AS (SELECT video_id, track_id, frame_idx, hit, distance,").replace("hit AND still_frames >= 8 AS counted", "false AS counted").split("lr AS (")[0].rstrip().rstrip(",")
+    RULE.replace("confidence, pose_hit AS hit FROM", "confidence, 0 AS hit, (actor_id * 31 + frame_idx // 2 * 7) % 25 / 100.0 AS distance FROM").replace("mv AS (SELECT video_id, track_id, frame_idx, fps, hit,", "mv AS (SELECT video_id, track_id, frame_idx, fps, hit, distance,").replace("hit AND still_frames >= fps AS counted", "false AS counted").split("lr AS (")[0].rstrip().rstrip(",")
     + """, gr AS (SELECT unnest(CAST([0.05, 0.08, 0.11, 0.14, 0.17, 0.20] AS DOUBLE[])) AS threshold), dr AS (SELECT unnest([3, 5, 8, 10]) AS seconds),
 tl AS (SELECT *, max(run) OVER (PARTITION BY video_id, track_id, sec) AS last_run, max(frame_idx) OVER (PARTITION BY video_id, track_id, sec) AS last_frame FROM ht),
 tp AS (SELECT threshold, video_id, track_id, sec, count(*) FILTER (ready AND distance < threshold AND run = last_run) AS hits, bool_or(moved) AS has_motion, max(next_frame) FILTER (frame_idx = last_frame) AS next_frame,
@@ -186,7 +187,7 @@ tb AS (SELECT *, CASE WHEN lag(sec) OVER w IS NULL OR lag(sec) OVER w <> sec - 1
 ti AS (SELECT *, sum(b) OVER (PARTITION BY threshold, video_id, track_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS island FROM tb),
 ts AS (SELECT *, row_number() OVER (PARTITION BY threshold, video_id, track_id, island ORDER BY sec) AS streak FROM ti),
 tc AS (SELECT threshold, seconds, video_id, track_id, min(next_frame) AS confirm_frame FROM ts JOIN dr ON streak >= seconds GROUP BY ALL),
-tx AS (SELECT video_id, track_id, max(frame_idx) + 25 AS expiry_frame FROM smp GROUP BY ALL),
+tx AS (SELECT video_id, track_id, max(frame_idx) + CAST(floor(3 * any_value(fps)) AS BIGINT) + 1 AS expiry_frame FROM smp GROUP BY ALL),
 tm AS (SELECT *, max(expiry_frame) OVER (PARTITION BY threshold, seconds, video_id ORDER BY confirm_frame, expiry_frame, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tc JOIN tx USING (video_id, track_id)),
 te AS (SELECT threshold, seconds, video_id, count(*) FILTER (reach IS NULL OR confirm_frame > reach) AS events FROM tm GROUP BY ALL),
 tg AS (SELECT c.video_id, c.path, g.threshold, d.seconds, coalesce(te.events, 0) AS events, CASE WHEN regexp_extract(path, '([^/]*)$', 1) LIKE 'cam%' THEN 'FP' ELSE '' END || regexp_extract(path, '([^/]*)$', 1) AS video,
@@ -286,8 +287,8 @@ def _(d):
     return annotation_layers(d).unionByName(marks(d))
 
 
-@query("annotation_job", ANNOTATION + POSES + """, ah AS (SELECT f.video_id, f.frame_idx, layer, said, class_id, x1, y1, x2, y2 FROM frames f JOIN an ON an.video_id = f.video_id AND an.frame_idx = f.frame_idx - f.frame_idx % 2
-  UNION ALL SELECT f.video_id, f.frame_idx, 4, CAST(pose AS VARCHAR), 0, NULL, NULL, NULL, NULL FROM frames f JOIN ps1 p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx - f.frame_idx % 2 WHERE pose IS NOT NULL
+@query("annotation_job", ANNOTATION + POSES + """, ah AS (SELECT f.video_id, f.frame_idx, layer, said, class_id, x1, y1, x2, y2 FROM frames f JOIN rates r ON r.video_id = f.video_id JOIN an ON an.video_id = f.video_id AND an.frame_idx = f.frame_idx - f.frame_idx % stride
+  UNION ALL SELECT f.video_id, f.frame_idx, 4, CAST(pose AS VARCHAR), 0, NULL, NULL, NULL, NULL FROM frames f JOIN rates r ON r.video_id = f.video_id JOIN ps1 p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx - f.frame_idx % stride WHERE pose IS NOT NULL
   UNION ALL """ + MARKS + ") SELECT * FROM ah")
 def _(d):
     """Every decoded frame: the layers and the held pose of its last sampled frame, and the boxes of confirmed tracks."""
@@ -298,11 +299,11 @@ def _(d):
 
 
 @query("event_log", RULE + LITTER + PLATE + f"""SELECT video_id, start_sec AS ts, 'urination' AS event_type, NULL AS x1, NULL AS y1, NULL AS x2, NULL AS y2, 1.0 AS confidence, NULL AS extra FROM incidents
-UNION ALL SELECT v.video_id, ts, 'vehicle', x1, y1, x2, y2, v.confidence, text FROM (SELECT video_id, actor_id AS track_id, min(frame_idx) / 8.0 AS ts, arg_min(x1, frame_idx) AS x1, arg_min(y1, frame_idx) AS y1, arg_min(x2, frame_idx) AS x2, arg_min(y2, frame_idx) AS y2, max(confidence) AS confidence
-   FROM detections WHERE label <> 'person' AND confidence >= 0.4 GROUP BY ALL) v LEFT JOIN (SELECT video_id, track_id, arg_max(best_text, frame_idx) AS text FROM rb GROUP BY ALL HAVING arg_max(best_text, frame_idx) <> '') t USING (video_id, track_id)
-UNION ALL SELECT video_id, frame_idx / 8.0, 'litter', round(x1, 6), round(y1, 6), round(x2, 6), round(y2, 6), round(score, 9), label FROM lb""")
+UNION ALL SELECT v.video_id, ts, 'vehicle', x1, y1, x2, y2, v.confidence, text FROM (SELECT video_id, actor_id AS track_id, min(frame_idx) / any_value(fps) AS ts, arg_min(x1, frame_idx) AS x1, arg_min(y1, frame_idx) AS y1, arg_min(x2, frame_idx) AS x2, arg_min(y2, frame_idx) AS y2, max(confidence) AS confidence
+   FROM detections JOIN rates USING (video_id) WHERE label <> 'person' AND confidence >= 0.4 GROUP BY ALL) v LEFT JOIN (SELECT video_id, track_id, arg_max(best_text, frame_idx) AS text FROM rb GROUP BY ALL HAVING arg_max(best_text, frame_idx) <> '') t USING (video_id, track_id)
+UNION ALL SELECT video_id, frame_idx / fps, 'litter', round(x1, 6), round(y1, 6), round(x2, 6), round(y2, 6), round(score, 9), label FROM lb JOIN rates USING (video_id)""")
 def _(d):
-    seen = sm.confidence_filter(d["detections"], VEHICLES, S.scene_confidence).withColumns({"track_id": F.col("actor_id"), "ts": F.col("frame_idx") / FPS})
+    seen = vehicles(d).withColumns({"track_id": F.col("actor_id"), "ts": F.col("frame_idx") / F.col("fps")})
     last = pl.running_best_text(readings(d)).groupBy("video_id", "track_id").agg(F.max_by("best_text", "frame_idx").alias("text")).filter("text <> ''")
-    rounded = {c: F.round(c, 6) for c in g.Box._fields} | {"ts": F.col("frame_idx") / FPS, "confidence": F.round("score", 9)}
-    return rt.event_log(inc.incident_intervals(ranges(d), d["clips"]), seen, last, litter_boxes(d).withColumns(rounded))
+    rounded = {c: F.round(c, 6) for c in g.Box._fields} | {"ts": F.col("frame_idx") / F.col("fps"), "confidence": F.round("score", 9)}
+    return rt.event_log(inc.incident_intervals(ranges(d), d["clips"]), seen, last, sm.with_rate(litter_boxes(d), d["clips"]).withColumns(rounded))

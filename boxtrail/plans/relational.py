@@ -107,16 +107,16 @@ def _(d):
     return d["clips"].select("video_id", sm.stride((F.col("video_id") % 80).cast("double")).alias("stride"))
 
 
-@query("sample_frames", "SELECT video_id, frame_idx, ord FROM detections WHERE frame_idx // 2 % 2 = 0")
+@query("sample_frames", "SELECT video_id, frame_idx, ord FROM detections JOIN rates USING (video_id) WHERE frame_idx // stride % stride = 0")
 def _(d):
-    halved = d["detections"].select("video_id", (F.col("frame_idx") / 2).cast("long").alias("frame_idx"), "ord")
-    return sm.sample_frames(halved, d["clips"]).select("video_id", (F.col("frame_idx") * 2).alias("frame_idx"), "ord")
+    numbered = sm.with_rate(d["detections"], d["clips"]).select("video_id", F.expr("frame_idx div stride").alias("frame_idx"), "ord")
+    return sm.sample_frames(numbered, d["clips"]).select("video_id", (F.col("frame_idx") * F.col("stride")).alias("frame_idx"), "ord")
 
 
-@query("frame_time", "SELECT video_id, frame_idx, ord, frame_idx / 8.0 AS ts, CAST(floor(frame_idx / 8.0 + 1e-9) AS BIGINT) AS sec FROM detections")
+@query("frame_time", "SELECT video_id, frame_idx, ord, frame_idx / fps AS ts, CAST(floor(frame_idx / fps + 1e-9) AS BIGINT) AS sec FROM detections JOIN rates USING (video_id)")
 def _(d):
-    fps = F.lit(8.0)
-    return d["detections"].select(*KEY, sm.frame_time(F.col("frame_idx"), fps).alias("ts"), sm.calendar_second(F.col("frame_idx"), fps).alias("sec"))
+    fps = F.col("fps")
+    return sm.with_rate(d["detections"], d["clips"]).select(*KEY, sm.frame_time(F.col("frame_idx"), fps).alias("ts"), sm.calendar_second(F.col("frame_idx"), fps).alias("sec"))
 
 
 @query("scene_filter", f"SELECT {DETS} FROM detections WHERE label IN ('person', 'car', 'motorcycle')")
@@ -189,7 +189,7 @@ def all_frames(d):
 FRAMES = ", frames AS (SELECT video_id, unnest(range(0, total_frames)) AS frame_idx FROM clips)"
 
 
-@query("carry_forward", FRAMES + "SELECT f.video_id, f.frame_idx, d.ord, d.actor_id FROM frames f JOIN detections d ON d.video_id = f.video_id AND d.frame_idx = f.frame_idx - f.frame_idx % 2")
+@query("carry_forward", FRAMES + "SELECT f.video_id, f.frame_idx, d.ord, d.actor_id FROM frames f JOIN detections d ON d.video_id = f.video_id JOIN rates r ON r.video_id = f.video_id WHERE d.frame_idx = f.frame_idx - f.frame_idx % r.stride")
 def _(d):
     return sm.carry_forward(all_frames(d), d["detections"].select(*KEY, "actor_id"), d["clips"]).select(*KEY, "actor_id")
 
@@ -208,9 +208,9 @@ def _(d):
 OVER = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
 
-@query("overlap_pairs", f", boxes AS MATERIALIZED (SELECT video_id, frame_idx, ord, x1, y1, x2, y2 FROM detections) SELECT * FROM (SELECT b.video_id, b.frame_idx, a.ord AS prev_ord, b.ord, round({OVER} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {OVER}), 9) AS iou FROM boxes a JOIN boxes b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx + 2 AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) q WHERE iou >= 0.35")
+@query("overlap_pairs", f", boxes AS MATERIALIZED (SELECT video_id, frame_idx, frame_idx // stride AS k, ord, x1, y1, x2, y2 FROM detections JOIN rates USING (video_id)) SELECT * FROM (SELECT b.video_id, b.frame_idx, a.ord AS prev_ord, b.ord, round({OVER} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {OVER}), 9) AS iou FROM boxes a JOIN boxes b ON a.video_id = b.video_id AND b.k = a.k + 1 AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) q WHERE iou >= 0.35")
 def _(d):
-    return sm.overlap_pairs(d["detections"], 2, S.person_iou).withColumn("iou", F.round("iou", 9))
+    return sm.overlap_pairs(sm.with_rate(d["detections"], d["clips"]), S.person_iou).withColumn("iou", F.round("iou", 9))
 
 
 def framed_plates(d):

@@ -15,18 +15,17 @@ from boxtrail.plans.relational import FRAMED, RIDER, all_frames, framed_plates
 from boxtrail.settings import DEFAULT as S
 from boxtrail.settings import MOTORCYCLES
 from boxtrail.sources import clips as src
-from boxtrail.sources.fixtures import FPS
 
 # The same rule in DuckDB SQL, step by step.
-RULE = """, smp AS (SELECT video_id, actor_id AS track_id, frame_idx, x1, y1, x2, y2, confidence, pose_hit AS hit FROM detections WHERE label = 'person' AND confidence >= 0.4),
+RULE = """, smp AS (SELECT video_id, actor_id AS track_id, frame_idx, fps, x1, y1, x2, y2, confidence, pose_hit AS hit FROM detections JOIN rates USING (video_id) WHERE label = 'person' AND confidence >= 0.4),
 lg AS (SELECT *, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM smp WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx)),
 ov AS (SELECT *, greatest(0.0, least(x2, a2) - greatest(x1, a1)) * greatest(0.0, least(y2, b2) - greatest(y1, b1)) AS o FROM lg),
-mv AS (SELECT video_id, track_id, frame_idx, hit, x1, y1, x2, y2, a1 IS NULL AS first, a1 IS NOT NULL AND NOT (
+mv AS (SELECT video_id, track_id, frame_idx, fps, hit, x1, y1, x2, y2, a1 IS NULL AS first, a1 IS NOT NULL AND NOT (
    o / ((a2 - a1) * (b2 - b1) + (x2 - x1) * (y2 - y1) - o) >= 0.65 AND sqrt(power((x1 + x2) * 0.5 - (a1 + a2) * 0.5, 2) + power((y1 + y2) * 0.5 - (b1 + b2) * 0.5, 2)) / (b2 - b1) <= 0.08
    AND abs((x2 - x1) * (y2 - y1) - (a2 - a1) * (b2 - b1)) / ((a2 - a1) * (b2 - b1)) <= 0.2) AS moved FROM ov),
 rn AS (SELECT *, sum(CASE WHEN first OR moved THEN 1 ELSE 0 END) OVER w AS run FROM mv WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)),
 rd AS (SELECT *, frame_idx - min(frame_idx) OVER (PARTITION BY video_id, track_id, run) AS still_frames FROM rn),
-ht AS (SELECT *, CAST(floor(frame_idx / 8.0 + 1e-9) AS BIGINT) AS sec, still_frames >= 8 AS ready, hit AND still_frames >= 8 AS counted, lead(frame_idx) OVER w AS next_frame, lead(moved) OVER w AS next_moved
+ht AS (SELECT *, CAST(floor(frame_idx / fps + 1e-9) AS BIGINT) AS sec, still_frames >= fps AS ready, hit AND still_frames >= fps AS counted, lead(frame_idx) OVER w AS next_frame, lead(moved) OVER w AS next_moved
    FROM rd WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx)),
 lr AS (SELECT *, max(run) OVER (PARTITION BY video_id, track_id, sec) AS last_run, max(frame_idx) OVER (PARTITION BY video_id, track_id, sec) AS last_frame FROM ht),
 ps AS (SELECT video_id, track_id, sec, count(*) AS samples, count(*) FILTER (counted AND run = last_run) AS hits, bool_or(moved) AS has_motion,
@@ -36,7 +35,7 @@ br AS (SELECT *, CASE WHEN lag(sec) OVER w IS NULL OR lag(sec) OVER w <> sec - 1
 il AS (SELECT *, sum(b) OVER (PARTITION BY video_id, track_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS island FROM br),
 st AS (SELECT video_id, track_id, sec, next_frame, CAST(row_number() OVER (PARTITION BY video_id, track_id, island ORDER BY sec) AS INT) AS streak FROM il),
 cf AS (SELECT video_id, track_id, min(next_frame) AS confirm_frame FROM st WHERE streak >= 10 GROUP BY ALL),
-ex AS (SELECT video_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, max(frame_idx) + 25 AS expiry_frame FROM smp GROUP BY ALL),
+ex AS (SELECT video_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, max(frame_idx) + CAST(floor(3 * any_value(fps)) AS BIGINT) + 1 AS expiry_frame FROM smp GROUP BY ALL),
 rg AS (SELECT video_id, track_id, confirm_frame, last_frame, expiry_frame FROM cf JOIN ex USING (video_id, track_id)),
 mx AS (SELECT *, max(expiry_frame) OVER (PARTITION BY video_id ORDER BY confirm_frame, expiry_frame, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rg),
 ev AS (SELECT *, sum(CASE WHEN reach IS NULL OR confirm_frame > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY confirm_frame, expiry_frame, track_id ROWS UNBOUNDED PRECEDING) AS event FROM mx),
@@ -53,16 +52,17 @@ ss AS (SELECT h.video_id, h.track_id, h.frame_idx, h.ready, coalesce(h.frame_idx
 
 def samples(d):
     rows = sm.confidence_filter(d["detections"], ("person",), S.scene_confidence)
-    return rows.select("video_id", F.col("actor_id").alias("track_id"), "frame_idx", "x1", "y1", "x2", "y2", F.col("pose_hit").alias("hit"))
+    rows = sm.with_rate(rows, d["clips"])
+    return rows.select("video_id", F.col("actor_id").alias("track_id"), "frame_idx", "fps", "x1", "y1", "x2", "y2", F.col("pose_hit").alias("hit"))
 
 
 def per_second(d):
-    hits, _, _ = inc.time_rule(samples(d), FPS)
+    hits, _, _ = inc.time_rule(samples(d))
     return inc.hits_per_second(hits)
 
 
 def ranges(d):
-    return inc.time_rule(samples(d), FPS)[2]
+    return inc.time_rule(samples(d))[2]
 
 
 def intervals(d):
@@ -79,7 +79,7 @@ def _(d):
 
 @query("still_time", RULE + "SELECT video_id, track_id, frame_idx, still_frames, ready FROM ht")
 def _(d):
-    return inc.still_time(inc.box_motion(samples(d)), FPS).select(*SAMPLE, "still_frames", "ready")
+    return inc.still_time(inc.box_motion(samples(d))).select(*SAMPLE, "still_frames", "ready")
 
 
 @query("gated_hits", RULE + "SELECT video_id, track_id, sec, hits FROM ps WHERE NOT next_moved")
@@ -109,7 +109,7 @@ def _(d):
 
 @query("track_expiry", RULE + "SELECT * FROM ex")
 def _(d):
-    return inc.track_expiry(samples(d), FPS)
+    return inc.track_expiry(samples(d))
 
 
 @query("incident_intervals", RULE + "SELECT * FROM incidents")
@@ -143,7 +143,7 @@ def _(d):
 
 
 def states(d):
-    hits, streaks, rg = inc.time_rule(samples(d), FPS)
+    hits, streaks, rg = inc.time_rule(samples(d))
     return inc.sample_state(hits, streaks, rg)
 
 
@@ -166,7 +166,7 @@ m AS (SELECT video_id, count(*) FILTER (moved) AS motion_resets, count(*) FILTER
 SELECT video_id, seen - coalesce(n, 0) AS rider, coalesce(over_cap, 0) AS over_cap, coalesce(small_crop, 0) AS small_crop, coalesce(motion_resets, 0) AS motion_resets, coalesce(not_still, 0) AS not_still, coalesce(hits_ignored, 0) AS hits_ignored, coalesce(hits_before_motion, 0) AS hits_before_motion
 FROM a LEFT JOIN b USING (video_id) LEFT JOIN o USING (video_id) LEFT JOIN m USING (video_id)""")
 def _(d):
-    hits, _, _ = inc.time_rule(samples(d), FPS)
+    hits, _, _ = inc.time_rule(samples(d))
     seen = d["detections"].filter("label = 'person'")
     gated = sm.rider_exclusion(seen, d["detections"].filter(F.col("label").isin(*MOTORCYCLES)))
     return inc.count_reasons(seen, gated, hits, 1500, 700, cap=3)
@@ -293,7 +293,7 @@ def _(d):
     return pl.text_lock(readings(d)).select(*SAMPLE, "locked")
 
 
-# every third sample is read, and its label stays for the samples after it
+# samples whose frame number six divides are read, and their label stays for the samples after them
 CARRIED = PLATE + """, p6 AS (SELECT *, max(CASE WHEN t <> '' AND score >= 0.5 THEN struct_pack(s := score, f := frame_idx, t := t) END) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS b FROM pr WHERE frame_idx % 6 = 0),
 r6 AS (SELECT *, coalesce(b.t, '') AS best_text, coalesce(b.s, 0.0) AS best_score FROM p6),
 l6 AS (SELECT video_id, track_id, frame_idx, CASE WHEN best_text <> '' THEN format('{} {:.2f}', best_text, best_score) WHEN score >= 0.5 THEN format('{:.2f}', score) ELSE format('LP {:.2f}', plate_confidence) END AS label FROM r6),
@@ -303,7 +303,7 @@ lc AS (SELECT v.video_id, v.track_id, v.frame_idx, last_value(label IGNORE NULLS
 
 @query("label_carry", CARRIED + "SELECT * FROM lc")
 def _(d):
-    rows = readings(d)  # every third sample is read
+    rows = readings(d)
     return pl.label_carry(rows.filter("frame_idx % 6 = 0"), rows.select(*SAMPLE)).select(*SAMPLE, "label")
 
 

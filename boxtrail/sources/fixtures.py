@@ -1,7 +1,8 @@
 """Detection tables derived from orders and embeddings, for tests and benchmarks.
 
 Both engines evaluate the same integer arithmetic; ``duck`` gives the same tables as DuckDB common table
-expressions. Video of 8 frames a second is read with stride 2; ``actor_id`` is a given track id.
+expressions. Clips have one of five frame rates, by number, and are read with the stride of their rate; ``actor_id`` is a
+given track id.
 """
 
 from __future__ import annotations
@@ -9,27 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FPS = 8.0
+#: Frames a second and frames between samples, by video_id % 5.
+RATES = ((5.0, 1), (8.0, 2), (12.5, 3), (25.0, 6), (30.0, 8))
+_RATE, _STRIDE = (f"CASE CAST(video_id % 5 AS INT) {' '.join(f'WHEN {k} THEN {r[at]}' for k, r in enumerate(RATES))} END" for at in (0, 1))
 
 _ACTORS = """
 SELECT o_orderkey AS k, CAST(floor(o_orderkey / 150) AS BIGINT) AS video_id, (o_orderkey * 7) % 120 AS start_s,
        CASE CAST(o_orderkey % 10 AS INT) WHEN 7 THEN 'motorcycle' WHEN 8 THEN 'car' WHEN 9 THEN 'truck' ELSE 'person' END AS label,
        (o_orderkey * 131) % 1700 AS bx, (o_orderkey * 71) % 700 AS byy, 8 + o_orderkey % 57 AS n
 FROM orders"""
-_ROWS = """
-SELECT k AS actor_id, i, video_id, label, (start_s + i) * 2 AS frame_idx,
+_ROWS = f"""
+SELECT k AS actor_id, i, video_id, label, (start_s + i) * ({_STRIDE}) AS frame_idx,
        CAST(bx + ((k * 31 + i * 17) % 5) - 2 + (CASE WHEN k % 3 = 0 THEN i * 9 ELSE 0 END) AS DOUBLE) AS x1,
        CAST(byy + ((k * 13 + i * 7) % 3) - 1 AS DOUBLE) AS y1, CAST(60 + k % 50 AS DOUBLE) AS w, CAST(140 + k % 90 AS DOUBLE) AS h,
        CAST(((k * 37 + i * 11) % 61) + 40 AS DOUBLE) / 100.0 AS confidence, (k + i) % 9 <> 0 AS pose_hit
-FROM (SELECT *, {unnest} AS i FROM actors) q"""
+FROM (SELECT *, {{unnest}} AS i FROM actors) q"""
 _DETECTIONS = """
 SELECT video_id, frame_idx, CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY actor_id) - 1 AS INT) AS ord, label,
        confidence, x1, y1, x1 + w AS x2, y1 + h AS y2, actor_id, i, pose_hit
 FROM rows_"""
-_CLIPS = """
+_CLIPS = f"""
 SELECT video_id, concat('/clips/cam', CAST(video_id % 4 AS VARCHAR(9)), '/', CASE CAST(video_id % 4 AS INT) WHEN 0 THEN 'FN' WHEN 1 THEN 'fp' WHEN 2 THEN 'TP' ELSE 'cam' END,
               CAST(video_id AS VARCHAR(20)), CASE CAST(video_id % 3 AS INT) WHEN 0 THEN '.mp4' WHEN 1 THEN '.AVI' ELSE '.mov' END) AS path,
-       CAST(8.0 AS DOUBLE) AS fps, 1920 AS width, 1080 AS height, max(frame_idx) + 1 + video_id % 40 AS total_frames
+       CAST({_RATE} AS DOUBLE) AS fps, 1920 AS width, 1080 AS height, max(frame_idx) + 1 + video_id % 40 AS total_frames
 FROM rows_ GROUP BY video_id"""
 _PLATES = """
 SELECT video_id, frame_idx, actor_id, i, x1, y1, x2, y2, ord,
@@ -47,10 +50,14 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q(_DETECTIONS.replace("rows_", "{rows}"), rows=made)
 
 
-def tables(spark: SparkSession, sf_dir: str, detections: DataFrame) -> dict[str, DataFrame]:
-    """clips, detections, plates, poses, logits; lazily, each a plan over the detection rows or the given tables."""
+def clips(spark: SparkSession, detections: DataFrame) -> DataFrame:
+    """A row for each clip of the detection rows."""
+    return spark.sql(_CLIPS.replace("rows_", "{rows}"), rows=detections)
+
+
+def tables(spark: SparkSession, sf_dir: str, detections: DataFrame, clips: DataFrame) -> dict[str, DataFrame]:
+    """clips, detections, plates, poses, logits; lazily, each a plan over the detection rows and clips or the given tables."""
     q = lambda sql, **views: spark.sql(sql, **views)
-    clips = q(_CLIPS.replace("rows_", "{rows}"), rows=detections)
     plates = q(_PLATES.replace("FROM detections", "FROM {d}"), d=detections)
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     at = lambda j, k: F.element_at("embedding", j * 3 + k).cast("double")
@@ -61,10 +68,11 @@ def tables(spark: SparkSession, sf_dir: str, detections: DataFrame) -> dict[str,
 
 
 def duck(select: str) -> str:
-    """A DuckDB query over actors, rows_, detections, clips, plates, poses, logits."""
+    """A DuckDB query over actors, rows_, detections, clips, rates, plates, poses, logits."""
     recursive = "RECURSIVE " if " UNION ALL SELECT r." in select else ""
     return f"""
-WITH {recursive}actors AS ({_ACTORS}), rows_ AS ({_ROWS.replace("{unnest}", "unnest(range(0, n))")}), detections AS ({_DETECTIONS}), clips AS ({_CLIPS}), plates AS ({_PLATES}),
+WITH {recursive}actors AS ({_ACTORS}), rows_ AS ({_ROWS.replace("{unnest}", "unnest(range(0, n))")}), detections AS ({_DETECTIONS}), clips AS ({_CLIPS}),
+rates AS (SELECT video_id, fps, CAST(greatest(1, round_even(least(greatest(fps, 5), 60) / 4, 0)) AS BIGINT) AS stride FROM clips), plates AS ({_PLATES}),
 poses AS (SELECT vec_id, list_transform(range(17), lambda j: {{'x': abs(CAST(embedding[CAST(3 * j + 1 AS INT)] AS DOUBLE)) * 4, 'y': abs(CAST(embedding[CAST(3 * j + 2 AS INT)] AS DOUBLE)) * 4, 'c': abs(CAST(embedding[CAST(3 * j + 3 AS INT)] AS DOUBLE)) * 8}}) AS kp,
           abs(CAST(embedding[64] AS DOUBLE)) AS box_conf FROM embeddings),
 logits AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS logits FROM embeddings)

@@ -13,9 +13,9 @@ from boxtrail.operators import evaluation, incidents, machines, plates, runs, sa
 from boxtrail.plans import catalog
 from boxtrail.settings import DEFAULT, Settings
 from boxtrail.sources import clips as src
+from boxtrail.sources.fixtures import RATES
 
 SF = "/root/testdata/sf0.001"
-FPS = 8.0
 
 
 def box_rows(spark, rows, columns="a_x1 double, a_y1 double, a_x2 double, a_y2 double, b_x1 double, b_y1 double, b_x2 double, b_y2 double"):
@@ -65,15 +65,17 @@ def test_pose_cases(spark):
 
 def random_clip(rng, video):
     rows = []
+    fps, stride = RATES[video % len(RATES)]
+    long = int(3 * fps) // stride * stride  # the last sample at which a track still lives
     for track in range(rng.randrange(1, 4)):
-        x, y, frame = rng.uniform(0, 800), rng.uniform(0, 400), rng.randrange(0, 60) * 2
+        x, y, frame = rng.uniform(0, 800), rng.uniform(0, 400), rng.randrange(0, 60) * stride
         for _ in range(rng.randrange(1, 200)):
             if rng.random() < 0.03:
                 x += rng.uniform(-80, 80)
             if rng.random() < 0.02:
-                frame += rng.choice([2, 4, 24, 26, 40])
-            rows.append((video, track, frame, x, y, x + 60, y + 150, rng.random() < 0.9))
-            frame += 2
+                frame += rng.choice([stride, 2 * stride, long - stride, long, long + stride])
+            rows.append((video, track, frame, fps, x, y, x + 60, y + 150, rng.random() < 0.9))
+            frame += stride
     return rows
 
 
@@ -83,19 +85,19 @@ def test_time_rule_restated(spark, s):
     rng = random.Random(11)
     clips = {v: random_clip(rng, v) for v in range(60)}
     total = {v: max(r[2] for r in rows) + 1 + rng.randrange(40) for v, rows in clips.items()}
-    df = spark.createDataFrame([r for rows in clips.values() for r in rows], "video_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, hit boolean")
-    info = spark.createDataFrame([(v, FPS, n) for v, n in total.items()], "video_id long, fps double, total_frames long")
+    df = spark.createDataFrame([r for rows in clips.values() for r in rows], "video_id long, track_id long, frame_idx long, fps double, x1 double, y1 double, x2 double, y2 double, hit boolean")
+    info = spark.createDataFrame([(v, RATES[v % 5][0], n) for v, n in total.items()], "video_id long, fps double, total_frames long")
     got = {}
     # tracks end after 3 s unseen; a later sample of the number is another track
-    df = df.withColumn("gap", F.expr("coalesce(frame_idx - lag(frame_idx) over (partition by video_id, track_id order by frame_idx) > 24, false)"))
+    df = df.withColumn("gap", F.expr("coalesce(frame_idx - lag(frame_idx) over (partition by video_id, track_id order by frame_idx) > 3 * fps, false)"))
     df = df.withColumn("track_id", F.expr("track_id * 1000 + sum(cast(gap as int)) over (partition by video_id, track_id order by frame_idx)")).drop("gap")
-    for r in incidents.incident_intervals(incidents.time_rule(df, FPS, s)[2], info).collect():
+    for r in incidents.incident_intervals(incidents.time_rule(df, s)[2], info).collect():
         got.setdefault(r.video_id, []).append((r.start_frame, r.end_frame, r.open_interval))
     found = 0
     for v, rows in clips.items():
-        state, events = machines.IncidentState(FPS), []
+        state, events = machines.IncidentState(RATES[v % 5][0]), []
         for frame in sorted({r[2] for r in rows}):
-            events += state.frame(frame, [(r[1], r[3:7], r[7]) for r in rows if r[2] == frame], s)
+            events += state.frame(frame, [(r[1], r[4:8], r[8]) for r in rows if r[2] == frame], s)
         events += state.end(total[v])
         want, start = [], None
         for kind, frame in events:
@@ -113,14 +115,14 @@ def shared(a, b):
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
 
 
-def one_pass(rows, vehicles):
+def one_pass(rows, vehicles, most=24):
     """Association without segments, restated box by box: tracks are [number, box, frame], oldest first."""
     tracks, number, out = [], 0, {}
     for frame in sorted({r[1] for r in rows}):
         now = [r for r in rows if r[1] == frame]
         now.sort(key=(lambda r: r[2]) if vehicles else (lambda r: (-r[3], r[2])))
         if not vehicles:
-            tracks = [t for t in tracks if frame - t[2] <= 24]
+            tracks = [t for t in tracks if frame - t[2] <= most]
         used, seen = set(), set()
         for r in now:
             best = None
@@ -147,14 +149,16 @@ def test_association_segments(spark, vehicles):
     rng = random.Random(7)
     rows = []
     for v in range(40):
-        for frame in range(0, 200, 2):
-            if rng.random() < 0.25 or 60 < frame < 60 + 12 * (v % 5):
+        fps, stride = RATES[v % 5]
+        for at in range(100):
+            frame = at * stride
+            if rng.random() < 0.25 or 30 < at < 30 + 6 * (v // 5):
                 continue
             for k in range(rng.randrange(1, 5)):
                 x, y = rng.randrange(6) * 40 + rng.uniform(-9, 9), rng.randrange(3) * 60 + rng.uniform(-9, 9)
-                rows.append((v, frame, k, round(rng.random(), 1), x, y, x + 70, y + 90))
-    df = spark.createDataFrame(rows, "video_id long, frame_idx long, ord int, confidence double, x1 double, y1 double, x2 double, y2 double")
-    got = tracking.associate_vehicles(df, 2) if vehicles else tracking.associate_persons(df, FPS)
+                rows.append((v, frame, k, round(rng.random(), 1), x, y, x + 70, y + 90, fps, stride))
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, ord int, confidence double, x1 double, y1 double, x2 double, y2 double, fps double, stride int")
+    got = tracking.associate_vehicles(df) if vehicles else tracking.associate_persons(df)
     pairs, back = {}, {}
     seq = {}
     for v in range(40):
@@ -164,13 +168,13 @@ def test_association_segments(spark, vehicles):
             frames = sorted({r[1] for r in own})
             for a, b in zip(frames, [*frames[1:], None], strict=True):
                 part.append(a)
-                if b is None or b - a > 2:
+                if b is None or b - a > RATES[v % 5][1]:
                     cut.append(part)
                     part = []
             for n, part in enumerate(cut):
                 seq.update({k: (v, n, i) for k, i in one_pass([r for r in own if r[1] in part], True).items()})
         else:
-            seq.update({k: (v, i) for k, i in one_pass(own, False).items()})
+            seq.update({k: (v, i) for k, i in one_pass(own, False, 3 * RATES[v % 5][0]).items()})
     for r in got.collect():
         a, b = (r.video_id, r.segment, r.track_id), seq[r.video_id, r.frame_idx, r.ord]
         assert pairs.setdefault(a, b) == b and back.setdefault(b, a) == a
@@ -183,7 +187,7 @@ def test_stream_tracks_equal_batch(spark):
     from boxtrail.plans.registry import Tables
 
     d = Tables(spark, SF)
-    batch = {(r.video_id, r.frame_idx, r.ord): (r.video_id, r.segment, r.track_id) for r in tracking.associate_persons(streams.persons(d), FPS).collect()}
+    batch = {(r.video_id, r.frame_idx, r.ord): (r.video_id, r.segment, r.track_id) for r in tracking.associate_persons(streams.persons(d)).collect()}
     seen, back = {}, {}
     rows = catalog.queries()["stream_tracks"](spark, SF).collect()
     assert len(rows) == len(batch)
@@ -199,33 +203,41 @@ def test_stream_plates_equal_batch(spark):
     assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
 
 
+SAMPLES = "video_id long, track_id long, frame_idx long, fps double, x1 double, y1 double, x2 double, y2 double, hit boolean, label string"
+
+
 def test_exit_without_a_following_row(spark):
-    """A camera that goes quiet gets its exit from the timer, once other cameras move the watermark on; a row past frame 511 counts."""
+    """A camera that goes quiet gets its exit from the timer, once other cameras of other rates move the watermark on; a row past frame 511 counts."""
     from boxtrail.streaming import detections as st
 
-    rows = [(1, 7, f, 0.0, 0.0, 60.0, 150.0, True, "person") for f in range(0, 240, 2)] + [(2, 1, f, 9.0, 9.0, 69.0, 159.0, False, "person") for f in range(0, 900, 2)]
-    df = spark.createDataFrame(rows, "video_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, hit boolean, label string")
+    rows = [(1, 7, f, 8.0, 0.0, 0.0, 60.0, 150.0, True, "person") for f in range(0, 240, 2)] + [(2, 1, f, 25.0, 9.0, 9.0, 69.0, 159.0, False, "person") for f in range(0, 2800, 6)]
+    df = spark.createDataFrame(rows, SAMPLES)
     path = src.scratch(spark, "quiet")
-    st.write_windows(df, path, 128)
+    st.write_windows(df, path, 16)
     assert spark.read.parquet(path).count() == len(rows)
-    got = st.run_to_end(st.stream_alerts(st.stream_rows(spark, path, df.schema, FPS), FPS)).collect()
+    got = st.run_to_end(st.stream_alerts(st.stream_rows(spark, path, df.schema))).collect()
     assert sorted((r.video_id, r.event, r.frame_idx) for r in got) == [(1, "enter", 88), (1, "exit", 238 + 25)]
 
 
-def test_state_is_forgotten():
-    """What a processor keeps of a quiet key: nothing, or a video's count of tracks."""
-    import pandas as pd
-
+def test_state_by_track_and_restart(spark):
+    """A batch that touches one track writes that one's entry, and a restart from the checkpoint goes on as if there had been none."""
     from boxtrail.streaming import detections as st
 
-    plates, persons, alerts = st.Plates(FPS), st.TrackPersons(FPS), st.Alerts(FPS)
-    assert plates.expire((1, 2), {"seen": 0, "plate": {}}, 10**9) == ([], None)
-    row = pd.DataFrame([(4, 0.9, 0, "person", 0.0, 0.0, 9.0, 9.0)], columns=["frame_idx", "confidence", "ord", "label", "x1", "y1", "x2", "y2"])
-    out, state = persons.step((1,), row, None)
-    assert out == [(1, 4, 0, 0)] and persons.due(state) == st.ORIGIN + 3501
-    assert persons.expire((1,), state, persons.due(state)) == ([], {"number": 1, "ids": [], "boxes": [], "frames": []})
-    _, state = alerts.step((1,), row.assign(track_id=3, hit=True), None)
-    assert alerts.expire((1,), state, alerts.due(state)) == ([], None)
+    person = lambda k, f: (1, f, 8.0, k, "person", 0.9 - k / 100, 200.0 * k, 0.0, 200.0 * k + 60, 150.0)
+    parts = [[person(k, f) for f in range(0, 16, 2) for k in range(20)], [person(3, f) for f in range(16, 24, 2)], [person(k, 24) for k in range(4, 20)]]
+    columns = "video_id long, frame_idx long, fps double, ord int, label string, confidence double, x1 double, y1 double, x2 double, y2 double"
+    path, log = src.scratch(spark, "parts"), src.scratch(spark, "log")
+    updated = []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.STATE_STORE)
+    for k, part in enumerate(parts):  # a query of its own for each, on one checkpoint
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(path)
+        stream = st.stream_tracks(st.stream_rows(spark, path, spark.createDataFrame(part, columns).schema))
+        q = stream.writeStream.format("parquet").option("path", f"{log}/out").option("checkpointLocation", f"{log}/log").trigger(availableNow=True).start()
+        q.awaitTermination()
+        updated.append(sum(o["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"] for o in p["stateOperators"]))
+    got = {(r.frame_idx, r.ord): r.track_id for r in spark.read.parquet(f"{log}/out").collect()}
+    assert got == {(f, k): k for part in parts for _, f, _, k, *_ in part}  # each keeps its track through both restarts
+    assert updated[0] >= 20 and updated[2] >= 16 and updated[1] <= 4, updated
 
 
 def test_long_clip(spark):
@@ -354,7 +366,7 @@ def test_sweep_equals_single_runs(spark):
     swept = {(r.video_id, r.threshold, r.seconds): r.events for r in jobs.sweep_events(d).collect()}
     for threshold, seconds in ((0.11, 3), (0.20, 5)):
         rows = samples(d).withColumn("hit", jobs._distance() < threshold)
-        ranges = incidents.time_rule(rows, FPS, Settings(seconds_required=seconds))[2]
+        ranges = incidents.time_rule(rows, Settings(seconds_required=seconds))[2]
         alone = {r.video_id: r["count"] for r in incidents.incident_intervals(ranges, d["clips"]).groupBy("video_id").count().collect()}
         assert {v: n for (v, x, s), n in swept.items() if (x, s) == (threshold, seconds) and n} == alone
 
