@@ -4,6 +4,12 @@ Wherever a tracker must be empty a video splits into segments that are associate
 are unseen for longer than max_missed, or at a sampled frame without vehicles. A segment's rows meet in one
 partition in frame order and are walked there frame by frame; the state is the boxes of the live tracks, and
 it starts anew with the next segment. Track ids are unique within a segment.
+
+A camera that is never quiet is one segment, so long segments are split once more: a box only competes for tracks with
+boxes it overlaps enough within the time that a track lives, so the connected components of that graph are walked
+apart. Boxes are linked within buckets of frames, each with the frames after it that its tracks can reach; boxes seen
+by two buckets tie their pieces together, and only those ties are a graph that Spark has to solve. Tracks then
+are those of one walk up to their numbers.
 """
 
 from __future__ import annotations
@@ -12,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxtrail.operators.components import components
 from boxtrail.operators.spread import previous_frame, running_sum
 from boxtrail.settings import DEFAULT, Settings
+from boxtrail.sources.clips import scratch
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Frames from which on a segment is long, and frames of the buckets in which its boxes are linked.
+LONG, BUCKET = 1 << 14, 1 << 12
 
 
 def overlap(a: tuple, b: tuple) -> float:
@@ -112,12 +122,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 def _walked(least: float):
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tracks, last = Tracks(), None
-        for batch, begins in whole_groups(batches, ["video_id", "segment", "frame_idx"]):
-            video, segment, frame, most = (batch.column(k).to_numpy() for k in ("video_id", "segment", "frame_idx", "most"))
+        for batch, begins in whole_groups(batches, ["video_id", "segment", *PART, "frame_idx"]):
+            video, segment, pf, po, frame, most = (batch.column(k).to_numpy() for k in ("video_id", "segment", *PART, "frame_idx", "most"))
             boxes = np.stack([batch.column(c).to_numpy() for c in BOX], 1)
             out = np.empty(batch.num_rows, np.int64)
             for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
-                if (now := (video[a], segment[a])) != last:
+                if (now := (video[a], segment[a], pf[a], po[a])) != last:
                     tracks, last = Tracks(), now
                 tracks.drop_before(frame[a] - most[a])
                 out[a:b] = tracks.sample(boxes[a:b], frame[a], least)
@@ -126,11 +136,95 @@ def _walked(least: float):
     return walked
 
 
-def _associate(rows: DataFrame, order: list[Column | str], least: float) -> DataFrame:
-    key = ["video_id", "segment"]
+#: The first box, by frame and ord, of the component that a row is walked with.
+PART = ["part_frame", "part_ord"]
+
+
+def _walk(rows: DataFrame, order: list[Column | str], least: float) -> DataFrame:
+    key = ["video_id", "segment", *PART]
     met = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx", *order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return met.mapInArrow(_walked(least), schema + ", track_id long").drop("most")
+    return met.mapInArrow(_walked(least), schema + ", track_id long")
+
+
+def linked(boxes: np.ndarray, frames: np.ndarray, most: np.ndarray, least: float) -> np.ndarray:
+    """For each box, in frame order, the first box that it is connected with; boxes are linked if they overlap by ``least`` within ``most`` frames."""
+    first = np.arange(len(boxes))
+
+    def root(i: int) -> int:
+        while first[i] != i:
+            first[i] = i = first[first[i]]
+        return i
+
+    starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(boxes)], strict=True):
+        w = int(np.searchsorted(frames, frames[a] - most[a]))
+        now, then = np.nonzero(overlaps(boxes[a:b], boxes[w:b]) >= max(least, 1e-300))
+        pairs = np.unique(np.stack([now + a, first[then + w]], 1), axis=0)  # many boxes of one track are one link
+        for i, j in pairs.tolist():
+            i, j = root(i), root(j)
+            first[max(i, j)] = min(i, j)
+    return np.array([root(i) for i in range(len(boxes))], np.int64)
+
+
+def _linked(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begins in whole_groups(batches, ["video_id", "segment", "bucket"]):
+            frame, ord_, most = (batch.column(k).to_numpy() for k in ("frame_idx", "ord", "most"))
+            boxes = np.stack([batch.column(c).to_numpy() for c in BOX], 1)
+            ends = [*begins[1:].tolist(), batch.num_rows]
+            root = np.concatenate([a + linked(boxes[a:b], frame[a:b], most[a:b], least) for a, b in zip(begins.tolist(), ends, strict=True)])
+            kept = [batch.column(k) for k in ("video_id", "segment", "bucket", "frame_idx", "ord")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(frame[root]), pa.array(ord_[root].astype(np.int64))], ["video_id", "segment", "bucket", "frame_idx", "ord", *PART])
+
+    return run
+
+
+def _parts(rows: DataFrame, least: float) -> DataFrame:
+    """Adds PART to the rows of long segments: boxes of different parts never compete for a track."""
+    box = ["video_id", "frame_idx", "ord"]
+    own = F.expr(f"frame_idx div {BUCKET}")
+    reached = F.when((F.col("frame_idx") % BUCKET <= F.col("most")) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    near = rows.select(*box, "segment", "most", *BOX, F.explode(reached).alias("bucket"))
+    group = ["video_id", "segment", "bucket"]
+    met = near.repartition(*group).sortWithinPartitions(*group, "frame_idx", "ord")
+    told = _kept(met.mapInArrow(_linked(least), "video_id long, segment long, bucket long, frame_idx long, ord int, part_frame long, part_ord long"))
+    node = lambda *c: F.struct("video_id", *c)
+    part = node(*PART)
+    ties = told.groupBy(*box).agg(F.min(part).alias("a"), F.max(part).alias("b")).filter("a <> b").select("a", "b")
+    solved = components(ties).select(F.col("node").alias("part"), "root")
+    mine = told.filter(F.col("bucket") == own).withColumn("part", part).join(solved, "part", "left")
+    mine = mine.select(*box, *[F.coalesce(f"root.{c}", c).alias(c) for c in PART])
+    return rows.join(mine, box)
+
+
+def _numbered(walked: DataFrame) -> DataFrame:
+    """Track ids of parts made unique within their video: each part's come after those of the parts that began before."""
+    part = ["video_id", *PART]
+    counts = walked.groupBy(*part).agg((F.max("track_id") + 1).alias("_n"))
+    frames = counts.groupBy("video_id", F.col("part_frame").alias("frame_idx")).agg(F.sum("_n").alias("_all"))
+    before = running_sum(frames, F.col("_all"), "_upto").select("video_id", F.col("frame_idx").alias("part_frame"), (F.col("_upto") - F.col("_all")).alias("_before"))
+    inside = Window.partitionBy("video_id", "part_frame").orderBy("part_ord").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before, ["video_id", "part_frame"])
+    return walked.join(shift.select(*part, (F.col("_inside") + F.col("_before")).alias("_shift")), part).withColumn("track_id", F.col("track_id") + F.col("_shift")).drop("_shift")
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    path = scratch(rows.sparkSession, "boxes")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _associate(rows: DataFrame, order: list[Column | str], least: float) -> DataFrame:
+    none = {c: F.lit(-1).cast("long") for c in PART}
+    if rows.filter(F.col("frame_idx") >= LONG).isEmpty():  # so no segment is long
+        return _walk(rows.withColumns(none), order, least).drop("most", *PART)
+    rows = _kept(rows)
+    length = F.max("frame_idx") - F.min("frame_idx")
+    long = rows.groupBy("video_id", "segment").agg((length >= LONG).alias("_long")).filter("_long").select("video_id", "segment")
+    short = _walk(rows.join(long, ["video_id", "segment"], "left_anti").withColumns(none), order, least)
+    parts = _parts(rows.join(long, ["video_id", "segment"], "left_semi"), least)
+    return short.unionByName(_numbered(_kept(_walk(parts, order, least)))).drop("most", *PART)
 
 
 def _segments(rows: DataFrame) -> DataFrame:

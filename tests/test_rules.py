@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from boxtrail.functions import geometry as g
 from boxtrail.functions import pose
 from boxtrail.functions import text as t
-from boxtrail.operators import evaluation, incidents, machines, plates, runs, sampling, scoring, tracking
+from boxtrail.operators import components, evaluation, incidents, machines, plates, runs, sampling, scoring, tracking
 from boxtrail.plans import catalog
 from boxtrail.settings import DEFAULT, Settings
 from boxtrail.sources import clips as src
@@ -181,6 +181,47 @@ def test_association_segments(spark, vehicles):
     assert len(pairs) > 100
 
 
+def test_components(spark):
+    rng = random.Random(4)
+    for n, m in ((30, 20), (60, 80), (200, 199)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if m != 199 else [(k, k + 1) for k in range(m)]
+        first = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                first[a] = first[b] = min(first[a], first[b])
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: first[k] for a, b in edges if a != b for k in (a, b)}
+
+
+@pytest.mark.parametrize("vehicles", [False, True])
+def test_long_segments_by_components(spark, monkeypatch, vehicles):
+    """A camera that is never quiet, walked by components: the tracks of one pass, in many parts."""
+    monkeypatch.setattr(tracking, "LONG", 150)
+    monkeypatch.setattr(tracking, "BUCKET", 100)
+    rng, rows = random.Random(5), []
+    for v in range(5):
+        fps, stride = RATES[v]
+        for at in range(150):
+            for k, (x, y) in enumerate(rng.sample([(x * 90, y * 100) for x in range(6) for y in range(4)], 7)):
+                x, y = x + rng.uniform(-30, 30), y + rng.uniform(-30, 30)
+                rows.append((v, at * stride, k, round(rng.random(), 1), x, y, x + 70, y + 90, fps, stride))
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, ord int, confidence double, x1 double, y1 double, x2 double, y2 double, fps double, stride int")
+    got = (tracking.associate_vehicles(df) if vehicles else tracking.associate_persons(df)).collect()
+    assert len(got) == len(rows)
+    pairs, back = {}, {}
+    for v in range(5):
+        own = one_pass([r for r in rows if r[0] == v], vehicles, 3 * RATES[v][0])
+        for r in got:
+            if r.video_id == v:
+                a, b = (v, r.segment, r.track_id), (v, own[v, r.frame_idx, r.ord])
+                assert pairs.setdefault(a, b) == b and back.setdefault(b, a) == a
+    least = DEFAULT.vehicle_iou if vehicles else DEFAULT.person_iou
+    most = F.col("stride").cast("double") if vehicles else F.col("fps") * 3
+    parts = tracking._parts(df.filter("video_id = 4").withColumns({"segment": F.lit(0).cast("long"), "most": most}), least)
+    assert parts.select(*tracking.PART).distinct().count() > 10
+    assert parts.select((F.col("frame_idx") - F.col("part_frame")).alias("d")).agg(F.max("d")).first()[0] > 100 or vehicles  # over buckets
+
+
 def test_stream_tracks_equal_batch(spark):
     """Tracks of the stream are those of the batch up to their numbers; riders are not excluded in the stream's input."""
     from boxtrail.plans import streams
