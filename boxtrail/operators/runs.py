@@ -48,6 +48,20 @@ def run_totals(stages: DataFrame) -> DataFrame:
     )
 
 
+def batch_totals(runs: DataFrame, times: DataFrame, *levels: str) -> DataFrame:
+    """Clips that went well and that failed, and their seconds, for every level of ``levels`` and over all, in one pass.
+
+    ``runs`` has video_id, success, duration, wall_sec and the levels, ``times`` inference_sec and encode_io_sec by video. A failed
+    clip counts with its wall time only. Levels summed over are null.
+    """
+    rows = runs.join(times.select("video_id", "inference_sec", "encode_io_sec"), "video_id", "left")
+    good = lambda c: F.sum(F.when(F.col("success"), F.col(c)))
+    return rows.rollup(*levels).agg(
+        F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), good("duration").alias("duration_sec"), F.sum("wall_sec").alias("wall_sec"),
+        good("inference_sec").alias("inference_sec"), good("encode_io_sec").alias("encode_io_sec"),
+    )
+
+
 def incidents_per_clip(clips: DataFrame, incidents: DataFrame) -> DataFrame:
     """Event count and detected flag, clips without events included."""
     n = incidents.groupBy("video_id").agg(F.count("*").alias("n"))

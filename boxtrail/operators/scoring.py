@@ -25,6 +25,79 @@ def score_batches(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], p
     return rows.mapInPandas(run, schema)
 
 
+def _exploded(pdf: pd.DataFrame, lists: list, names: list[str]) -> pd.DataFrame:
+    """The inputs with each entry of their lists, in order, and its place ``ord``."""
+    if len(lists) != len(pdf):
+        raise ValueError(f"a model gave {len(lists)} lists for {len(pdf)} inputs")
+    sizes = [len(x) for x in lists]
+    out = pdf.iloc[np.repeat(np.arange(len(pdf)), sizes)].reset_index(drop=True)
+    out["ord"] = np.concatenate([np.arange(n) for n in sizes] or [[]]).astype("int32")
+    values = list(zip(*(row for x in lists for row in x), strict=True)) or [()] * len(names)
+    for name, column in zip(names, values, strict=True):
+        out[name] = list(column)
+    return out
+
+
+def _with(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in drop), "ord int", more])
+
+
+def detect_batches(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], list]], fields: str) -> DataFrame:
+    """A row for each result of a model that gives a list for every input: boxes of a frame, plates or texts of a crop.
+
+    ``load`` makes the model once per task. It gets batches of rows and gives, in their order, a list of tuples
+    (``fields``, "name type, ...") for each; another number of lists fails. Results carry their input's columns and their
+    place ``ord``; an input with an empty list has no row.
+    """
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            yield _exploded(pdf, model(pdf), names)
+
+    return rows.mapInPandas(run, _with(rows, fields))
+
+
+BOXES = "label string, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
+def callback_boxes(frames: DataFrame, callback: Callable, batched: bool = False, window: int = DEFAULT.batch) -> DataFrame:
+    """Boxes that a user's callback sees in sampled frames (video_id, frame_idx, fps, stride, image): detections with ord.
+
+    ``callback(frame_idx, image, ts)`` gives a list of (label, confidence, box) for one frame. A batched one gets
+    a list of such triples, all sampled frames of a video's read window of ``window`` samples in order, and gives as many
+    lists. A window's frames meet in one partition and are never split over calls. Frames without boxes have no row.
+    """
+    names = [f.split(" ")[0] for f in BOXES.split(", ")]
+    flat = lambda seen: [(label, confidence, *box) for label, confidence, box in seen]
+    items = lambda pdf: list(zip(pdf["frame_idx"].tolist(), pdf["image"], (pdf["frame_idx"] / pdf["fps"]).tolist(), strict=True))
+
+    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _exploded(pdf, [flat(callback(*item)) for item in items(pdf)], names).drop(columns="image")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            groups = [g for _, g in pdf.groupby(["video_id", "_window"], sort=False)]
+            held = groups.pop() if groups else None
+            for g in groups:
+                yield called(g)
+        if held is not None:
+            yield called(held)
+
+    def called(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _exploded(pdf, [flat(x) for x in callback(items(pdf))], names).drop(columns=["image", "_window"])
+
+    if not batched:
+        return frames.mapInPandas(single, _with(frames, BOXES, ("image",)))
+    rows = frames.withColumn("_window", F.expr(f"frame_idx div (stride * {window})"))
+    met = rows.repartition("video_id", "_window").sortWithinPartitions("video_id", "_window", "frame_idx")
+    return met.mapInPandas(windows, _with(rows, BOXES, ("image", "_window")))
+
+
 def laplacian_variance(gray: np.ndarray) -> float:
     """Variance of the 4-neighbour Laplacian; borders mirror without repeating the edge."""
     p = np.pad(gray, 1, mode="reflect") if min(gray.shape) > 1 else np.pad(gray, 1, mode="edge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as g
-from boxtrail.functions.pose import HIP, KNEE, WRIST, posture_cue
+from boxtrail.functions.pose import HIP, KNEE, WRIST, posture_cue, standing_sides, wrist_groin
 from boxtrail.functions.text import head_label, litter_class
 from boxtrail.operators import evaluation as ev
 from boxtrail.operators import incidents as inc
@@ -139,20 +139,37 @@ def _(d):
     return pl.read_cadence(rows, key=("video_id", "segment", "track_id"))
 
 
-# The sweep: the hit threshold acts on a distance per sample, the duration on the streak.
+# The sweep: the hit threshold acts on the way from wrist to groin in a sample's pose, the duration on the streak.
 SECONDS = [3, 5, 8, 10]
 GRID = [0.05, 0.08, 0.11, 0.14, 0.17, 0.20]
 
 
-def _distance():
-    return (F.col("track_id") * 31 + F.expr("frame_idx div 2") * 7) % 25 / 100.0
+def pose_rows(d):
+    """A pose for each person's box (video_id, frame_idx, ord, kp): hips, knees, and one or two hands at some way from the groin."""
+    at = lambda y, c=0.9: F.struct(F.lit(0.5).alias("x"), y.cast("double").alias("y"), F.lit(c).cast("double").alias("c") if isinstance(c, float) else c.alias("c"))
+    seen = lambda c: F.when(c, 0.9).otherwise(0.1)
+    left, right = (F.lit(0.513) + (F.col("actor_id") * a + F.col("i") * b) % n / 100.0 for a, b, n in ((31, 7, 25), (17, 3, 40)))
+    joints = {WRIST["L"]: at(left), WRIST["R"]: at(right, seen(F.col("i") % 2 == 0)), HIP["L"]: at(F.lit(0.5)), HIP["R"]: at(F.lit(0.52)), KNEE["L"]: at(F.lit(0.8), seen(F.col("i") % 11 != 0)), KNEE["R"]: at(F.lit(0.4))}
+    rest = at(F.lit(0.5), 0.0)
+    return d["detections"].filter("label = 'person'").select(*KEY, F.array(*[joints.get(k, rest) for k in range(1, 18)]).alias("kp"))
 
 
-def sweep_streaks(d):
-    """Streaks per threshold. Samples are passed once: a second's hits are an array with a count for each threshold, and only
-    seconds are multiplied by the grid.
+def posed(rows, poses):
+    """Samples (with ord) with distance: the way of the best hand to the groin in the pose of their box; null for one who does not stand or has no pose."""
+    stands = standing_sides(F.col("kp"), S.visibility) != ""
+    return rows.join(poses.select(*KEY, F.when(stands, wrist_groin(F.col("kp"), S.visibility)).alias("distance")), KEY, "left").drop("ord")
+
+
+def given_samples(d):
+    rows = sm.with_rate(sm.confidence_filter(d["detections"], ("person",), S.scene_confidence), d["clips"])
+    return rows.select(*KEY, F.col("actor_id").alias("track_id"), "fps", *g.Box._fields)
+
+
+def sweep_streaks(samples):
+    """Streaks per threshold of samples with distance. Samples are passed once: a second's hits are an array with a count for each
+    threshold, and only seconds are multiplied by the grid.
     """
-    base = inc.still_time(inc.box_motion(samples(d).withColumn("distance", _distance())))
+    base = inc.still_time(inc.box_motion(samples.withColumn("hit", F.col("distance").isNotNull())))
     hits = inc.gated_hits(base)
     counts = F.array(*[F.count_if(F.col("ready") & (F.col("distance") < t)) for t in GRID])
     grid = F.array(*[F.lit(t) for t in GRID])
@@ -162,23 +179,25 @@ def sweep_streaks(d):
     return streaks.select("video_id", F.col("track_id.track_id").alias("track_id"), F.col("track_id.threshold").alias("threshold"), "sec", "streak", "next_frame")
 
 
-def sweep_events(d):
+def sweep_events(d, rows=None):
+    rows = posed(given_samples(d), pose_rows(d)) if rows is None else rows
     seconds = d.spark.createDataFrame([(x,) for x in SECONDS], "seconds int")
-    confirmed = ev.streaks_for_grid(sweep_streaks(d), seconds)
-    found = ev.event_counts(confirmed.join(inc.track_expiry(samples(d)), ["video_id", "track_id"]))
+    confirmed = ev.streaks_for_grid(sweep_streaks(rows), seconds)
+    found = ev.event_counts(confirmed.join(inc.track_expiry(rows), ["video_id", "track_id"]))
     points = d["clips"].crossJoin(F.broadcast(ev.grid(d.spark, GRID, SECONDS)))
     return points.join(found, ["video_id", "threshold", "seconds"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
-def sweep_rows(d):
-    named = sweep_events(d).withColumn("video", F.regexp_extract("path", r"([^/]*)$", 1))
+def sweep_rows(d, rows=None):
+    named = sweep_events(d, rows).withColumn("video", F.regexp_extract("path", r"([^/]*)$", 1))
     manifest = d["clips"].filter("video_id % 2 = 0").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("video"), (F.col("video_id") % 3 == 0).alias("truth"))
     listed = named.withColumn("video", F.when(F.col("video").rlike("^cam"), F.concat(F.lit("FP"), F.col("video"))).otherwise(F.col("video")))
     return ev.eval_rows(ev.truth_join(listed, manifest))
 
 
+WAY = "CASE WHEN i % 11 <> 0 THEN CASE WHEN i % 2 = 0 THEN least(abs(CAST(0.513 AS DOUBLE) + (actor_id * 31 + i * 7) % 25 / 100.0 - 0.51), abs(CAST(0.513 AS DOUBLE) + (actor_id * 17 + i * 3) % 40 / 100.0 - 0.51)) ELSE abs(CAST(0.513 AS DOUBLE) + (actor_id * 31 + i * 7) % 25 / 100.0 - 0.51) END END"
 SWEEP = (
-    RULE.replace("confidence, pose_hit AS hit FROM", "confidence, 0 AS hit, (actor_id * 31 + frame_idx // 2 * 7) % 25 / 100.0 AS distance FROM").replace("mv AS (SELECT video_id, track_id, frame_idx, fps, hit,", "mv AS (SELECT video_id, track_id, frame_idx, fps, hit, distance,").replace("hit AND still_frames >= fps AS counted", "false AS counted").split("lr AS (")[0].rstrip().rstrip(",")
+    RULE.replace("confidence, pose_hit AS hit FROM", f"confidence, 0 AS hit, {WAY} AS distance FROM").replace("mv AS (SELECT video_id, track_id, frame_idx, fps, hit,", "mv AS (SELECT video_id, track_id, frame_idx, fps, hit, distance,").replace("hit AND still_frames >= fps AS counted", "false AS counted").split("lr AS (")[0].rstrip().rstrip(",")
     + """, gr AS (SELECT unnest(CAST([0.05, 0.08, 0.11, 0.14, 0.17, 0.20] AS DOUBLE[])) AS threshold), dr AS (SELECT unnest([3, 5, 8, 10]) AS seconds),
 tl AS (SELECT *, max(run) OVER (PARTITION BY video_id, track_id, sec) AS last_run, max(frame_idx) OVER (PARTITION BY video_id, track_id, sec) AS last_frame FROM ht),
 tp AS (SELECT threshold, video_id, track_id, sec, count(*) FILTER (ready AND distance < threshold AND run = last_run) AS hits, bool_or(moved) AS has_motion, max(next_frame) FILTER (frame_idx = last_frame) AS next_frame,
@@ -215,6 +234,16 @@ def _(d):
     return sweep_rows(d).select("video", "path", "threshold", "seconds", "truth", "predicted", "result", "clip_tag", "events")
 
 
+SWEEP_TRACKED = PERSON_TRACKS + SWEEP.replace(f"actor_id AS track_id, frame_idx, fps, x1, y1, x2, y2, confidence, 0 AS hit, {WAY} AS distance FROM detections JOIN rates USING (video_id) WHERE label = 'person' AND confidence >= 0.4", f"segment * 1000000000 + track_id AS track_id, frame_idx, fps, x1, y1, x2, y2, confidence, 0 AS hit, {WAY} AS distance FROM tk JOIN detections USING (video_id, frame_idx, ord) JOIN rates USING (video_id)")
+
+
+@query("sweep_job_tracked", SWEEP_TRACKED + "SELECT video, path, threshold, seconds, result, clip_tag, events FROM tr")
+def _(d):
+    """The sweep from raw boxes and poses: gate, riders, association once for all grid points."""
+    rows = tr.associate_persons(persons(d)).withColumn("track_id", F.col("segment") * 1000000000 + F.col("track_id"))
+    return sweep_rows(d, posed(rows.select(*KEY, "track_id", "fps", *g.Box._fields), pose_rows(d))).select("video", "path", "threshold", "seconds", "result", "clip_tag", "events")
+
+
 NOTED = "CASE WHEN truth THEN 'should detect peeing' ELSE 'should NOT detect peeing' END"
 EVALUATION = SWEEP + f"""SELECT video, clip_tag, path AS video_path, threshold AS hand_groin_y_threshold, seconds AS seconds_required, CASE WHEN truth THEN 'yes' ELSE 'no' END AS should_detect_peeing, CASE WHEN truth THEN 'yes' ELSE 'no' END AS ground_truth_peeing,
   CASE WHEN events > 0 THEN 'yes' ELSE 'no' END AS predicted_peeing, result, CASE WHEN result IN ('TP', 'TN') THEN 'yes' ELSE 'no' END AS is_correct, CASE WHEN result = 'TP' THEN 'yes' ELSE 'no' END AS is_tp, events AS peeing_event_count, video_id / 4.0 AS wall_sec,

@@ -10,7 +10,7 @@ from boxtrail.functions import geometry as g
 from boxtrail.operators import plates as pl
 from boxtrail.operators import runs
 from boxtrail.operators import sampling as sm
-from boxtrail.operators.scoring import score_batches, sharp_crops
+from boxtrail.operators.scoring import callback_boxes, detect_batches, score_batches, sharp_crops
 from boxtrail.plans.registry import query
 from boxtrail.settings import DEFAULT as S
 from boxtrail.settings import MOTORCYCLES, PERSON, VEHICLES
@@ -343,6 +343,51 @@ def _(d):
     return sm.normalise_scene(called.withColumn("label", F.col("said")), 0.6).select(*DET)
 
 
+@query("model_lists", "SELECT video_id, frame_idx, box, CAST(k AS INT) AS ord, format('{}-{}', label, k) AS text, round(confidence / (k + 1), 9) AS score FROM (SELECT video_id, frame_idx, ord AS box, label, confidence, unnest(range(0, ord % 3)) AS k FROM detections) q")
+def _(d):
+    """A model that reads none, one or two texts from each box."""
+
+    def model():
+        return lambda rows: [[(f"{label}-{k}", c / (k + 1)) for k in range(n % 3)] for label, c, n in zip(rows["label"], rows["confidence"], rows["box"], strict=True)]
+
+    out = detect_batches(d["detections"].select("video_id", "frame_idx", F.col("ord").alias("box"), "label", "confidence"), model, "text string, score double")
+    return out.select("video_id", "frame_idx", "box", "ord", "text", F.round("score", 9).alias("score"))
+
+
+def images(d):
+    """Frames whose image is the list of what can be seen in it."""
+    seen = F.array_sort(F.collect_list(F.struct("ord", "label", "confidence", *g.Box._fields)))
+    frames = d["detections"].groupBy("video_id", "frame_idx").agg(seen.alias("image"))
+    return sm.with_rate(frames, d["clips"]).filter("frame_idx % stride = 0")
+
+
+def normalised(boxes):
+    """What is kept of a callback's boxes, in its order."""
+    kept = sm.normalise_scene(boxes, 0.6)
+    return kept.select(*DET)
+
+
+@query("frame_callback", f"SELECT video_id, frame_idx, ord, label, round(confidence * CASE WHEN frame_idx / fps < 20 THEN 1 ELSE 0.9 END, 9) AS confidence, x1, y1, x2, y2 FROM detections JOIN rates USING (video_id) WHERE label IN ('person', 'motorcycle') AND confidence * CASE WHEN frame_idx / fps < 20 THEN 1 ELSE 0.9 END >= 0.6")
+def _(d):
+    """A callback for one frame, less sure from its 20th second on."""
+
+    def callback(frame_idx, image, ts):
+        return [(x["label"], x["confidence"] * (1 if ts < 20 else 0.9), (x["x1"], x["y1"], x["x2"], x["y2"])) for x in image]
+
+    return normalised(callback_boxes(images(d), callback)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("window_callback", """, wf AS (SELECT DISTINCT video_id, frame_idx, frame_idx // (stride * 8) AS w FROM detections JOIN rates USING (video_id)), wn AS (SELECT video_id, frame_idx, count(*) OVER (PARTITION BY video_id, w) AS n FROM wf)
+  SELECT video_id, frame_idx, ord, label, round(confidence * n / 8, 9) AS confidence, x1, y1, x2, y2 FROM detections JOIN wn USING (video_id, frame_idx) WHERE label IN ('person', 'motorcycle') AND confidence * n / 8 >= 0.6""")
+def _(d):
+    """A callback for a read window, as sure as its window is full."""
+
+    def callback(items):
+        return [[(x["label"], x["confidence"] * len(items) / 8, (x["x1"], x["y1"], x["x2"], x["y2"])) for x in image] for _, image, _ in items]
+
+    return normalised(callback_boxes(images(d), callback, batched=True)).withColumn("confidence", F.round("confidence", 9))
+
+
 POSE_CARRY = """WITH q AS (SELECT video_id, frame_idx, count(*) FILTER (label = 'person') AS persons, count(*) FILTER (label = 'person' AND pose_hit) AS posed, max(ord) FILTER (label = 'person' AND pose_hit) AS last FROM detections GROUP BY video_id, frame_idx),
   c AS (SELECT *, CASE WHEN posed > 0 THEN last WHEN persons > 0 THEN -1 END AS v FROM q)
   SELECT video_id, frame_idx, nullif(last_value(v IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), -1) AS pose FROM c"""

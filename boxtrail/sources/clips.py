@@ -57,8 +57,9 @@ def numbered_clips(paths: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(video, truth) of a CSV with a header."""
-    return parse_manifest(spark.read.csv(path, header=True).withColumn("line_no", F.monotonically_increasing_id()))
+    """(video, truth) of a CSV with a header, or of several in the order of their names; the last line of a name wins."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return parse_manifest(spark.read.csv(path, header=True).withColumn("line_no", at))
 
 
 def read_detections(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -66,10 +67,23 @@ def read_detections(spark: SparkSession, path: str, kind: str = "parquet") -> Da
     return reader.csv(path, header=True) if kind == "csv" else reader.format(kind).load(path)
 
 
-def append_csv(rows: DataFrame, path: str) -> None:
-    """Result rows with a header; doubles as text with 6 decimals."""
+def append_csv(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Result rows with a header; doubles as text with 6 decimals.
+
+    Rows of a named ``run`` go to a folder of its own and take the place of what an earlier try of that run has left, so a
+    job that failed and is repeated leaves its rows once. Other runs' rows stay.
+    """
     fixed = [F.format_string("%.6f", c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
-    rows.select(*fixed).write.mode("append").csv(path, header=True)
+    out = rows.select(*fixed)
+    if run is None:
+        out.write.mode("append").csv(path, header=True)
+    else:
+        out.withColumn("run", F.lit(run)).write.partitionBy("run").mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(path, header=True)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that ``append_csv`` wrote for named runs, with their run."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).csv(path, header=True)
 
 
 def overwrite_csv(rows: DataFrame, path: str) -> None:

@@ -361,6 +361,46 @@ def test_manifest(spark, tmp_path):
         evaluation.truth_join(spark.createDataFrame([("zz.mp4",)], "video string"), known).collect()
 
 
+def test_manifest_of_several_files(spark, tmp_path):
+    """Lines count in the order of files and blocks, whatever their sizes."""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/part-0.csv").write_text("video,label\na.mp4,yes\nb.mp4,no\n")
+    (tmp_path / "m/part-1.csv").write_text("video,label\na.mp4,no\n" + "".join(f"c{k}.mp4,yes\n" for k in range(20_000)) + "b.mp4,yes\n")
+    for size in ("64m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = {r.video: r.truth for r in src.read_manifest(spark, f"file://{tmp_path}/m").filter("video in ('a.mp4', 'b.mp4')").collect()}
+        assert got == {"a.mp4": False, "b.mp4": True}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_repeated_run(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    rows = spark.createDataFrame([(k, k / 3) for k in range(9)], "clip int, sec double")
+    src.append_csv(rows.filter("clip < 5"), path, "one")
+    failing = rows.withColumn("sec", F.when(F.col("clip") == 8, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("sec")))
+    with pytest.raises(Exception, match="lost"):
+        src.append_csv(failing, path, "one")
+    src.append_csv(rows, path, "one")
+    src.append_csv(rows.filter("clip = 3"), path, "two")
+    got = sorted((r.run, r.clip) for r in src.read_runs(spark, path, rows.schema).collect())
+    assert got == [("one", k) for k in range(9)] + [("two", 3)]
+
+
+def test_models_with_lists(spark):
+    rows = spark.range(40).select(F.col("id").alias("video_id"))
+    ok = scoring.detect_batches(rows, lambda: lambda pdf: [[(float(v), "x")] * (v % 3) for v in pdf["video_id"]], "score double, text string")
+    assert sorted((r.video_id, r.ord, r.score) for r in ok.collect()) == [(v, k, float(v)) for v in range(40) for k in range(v % 3)]
+    assert scoring.detect_batches(rows, lambda: lambda pdf: [[] for _ in pdf["video_id"]], "score double").count() == 0
+    with pytest.raises(Exception, match="lists for"):
+        scoring.detect_batches(rows, lambda: lambda pdf: [[]], "score double").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    frames = spark.createDataFrame([(v, k * 2, 8.0, 2, "img") for v in range(3) for k in range(50)], "video_id long, frame_idx long, fps double, stride int, image string")
+    seen = lambda items: [[("person", float(len(items)), (i[2], 0.0, 1.0, 1.0))] for i in items]
+    got = scoring.callback_boxes(frames, seen, batched=True).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.video_id, r.frame_idx, r.confidence, r.x1) for r in got) == [(v, k * 2, 8.0 if k < 48 else 2.0, k / 4) for v in range(3) for k in range(50)]
+
+
 def test_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     rows = spark.createDataFrame([(1, 0.1)], "a int, b double")
@@ -401,12 +441,11 @@ def test_sweep_equals_single_runs(spark):
     """Every grid point alone gives what the sweep gives."""
     from boxtrail.plans import jobs
     from boxtrail.plans.registry import Tables
-    from boxtrail.plans.timerule import samples
 
     d = Tables(spark, SF)
     swept = {(r.video_id, r.threshold, r.seconds): r.events for r in jobs.sweep_events(d).collect()}
     for threshold, seconds in ((0.11, 3), (0.20, 5)):
-        rows = samples(d).withColumn("hit", jobs._distance() < threshold)
+        rows = jobs.posed(jobs.given_samples(d), jobs.pose_rows(d)).withColumn("hit", F.coalesce(F.col("distance") < threshold, F.lit(False)))
         ranges = incidents.time_rule(rows, Settings(seconds_required=seconds))[2]
         alone = {r.video_id: r["count"] for r in incidents.incident_intervals(ranges, d["clips"]).groupBy("video_id").count().collect()}
         assert {v: n for (v, x, s), n in swept.items() if (x, s) == (threshold, seconds) and n} == alone
