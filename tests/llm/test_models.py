@@ -215,6 +215,49 @@ def test_toxicity(spark):
     assert sum(r.predicted for r in good) <= 0.01 * len(good)
 
 
+def test_penalty_acts(spark):
+    """On the query's own tables no text names a group, yet the penalty changes the model: terms added to clean texts move scores less."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    taught = labels.filter(toxicity.remainder(5) != 0)
+    fair, plain = (toxicity.fit(docs, taught, penalty=p) for p in (1.0, 0.0))
+    assert fair[0].keys() == plain[0].keys() and max(abs(fair[0][f] - plain[0][f]) for f in fair[0]) > 0.01
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").filter(toxicity.remainder(5) == 0).select("text").collect()]
+    terms = [w for g in toxicity.IDENTITY for w in g]
+
+    def moved(model):
+        known = toxicity.Features(model[0])
+        z = lambda words: sum(model[0][f] for f in known(words))
+        return [z(words | {w}) - z(words) for words in map(toxicity.words_of, clean[:60]) for w in terms]
+
+    size = lambda x: float(np.mean(np.square(x)))
+    assert size(moved(plain)) > 0 and size(moved(fair)) < 0.5 * size(moved(plain)), (size(moved(plain)), size(moved(fair)))
+    score = lambda p: {(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(docs, labels, p).collect()}
+    assert score(0.0) != score(1.0)
+
+
+def test_solve_against_newton():
+    """The same objective, minimised by Newton steps on dense matrices."""
+    rng = np.random.default_rng(3)
+    terms = (("muslim", "christian"), ("old", "young"))
+    names = ["muslim", "christian", "old", "young", "a", "b", "c", "#old", "#d$"]
+    rows = [(int(rng.random() < (0.8 if k % 3 == 0 else 0.2)), {n for n in ["muslim", "old", "a", "b", "c", "gold"] if rng.random() < 0.4} | ({"muslim"} if k % 3 == 0 else set())) for k in range(80)]
+    w, b = toxicity.solve(rows, names, 0.7, terms, ridge=1e-2)
+    known = toxicity.Features(names)
+    line = lambda ws: np.array([float(f in known(ws)) for f in names] + [1.0])
+    x, y = np.array([line(r[1]) for r in rows]), np.array([r[0] for r in rows], float)
+    d = np.array([line(q) - line(p) for p, q in toxicity.counterfactuals(rows, terms)])
+    keep = np.diag([1e-2] * len(names) + [0.0])
+    loss = lambda v: np.mean(np.log1p(np.exp(x @ v)) - y * (x @ v)) + v @ keep @ v + 0.7 * np.mean((d @ v) ** 2)
+    v = np.zeros(len(names) + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ v))
+        grad = x.T @ (p - y) / len(y) + 2 * keep @ v + 1.4 * d.T @ (d @ v) / len(d)
+        v -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + 2 * keep + 1.4 * d.T @ d / len(d), grad)
+    got = np.append(w, b)
+    assert loss(got) - loss(v) < 1e-5 and np.abs(got - v).max() < 0.02
+
+
 def test_neutral_mentions(spark):
     """A group named in toxic training texts more than in others: unseen neutral mentions stay neutral, toxicity is caught."""
     rng = random.Random(13)
