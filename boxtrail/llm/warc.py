@@ -126,6 +126,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, name = None, None
     for batch in batches:
         rows: dict[str, list] = {f.name: [] for f in _SCHEMA}
+        size = 0
         for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
             if file != name:
                 fs, path = pa.fs.FileSystem.from_uri(file)
@@ -141,9 +142,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = number("WARC-Record-ID"), head["WARC-Type"], head["WARC-Target-URI"], digest, None if is_revisit else len(payload), number("WARC-Refers-To"), payload.decode(), digest == said
             for column, v in zip(rows.values(), values, strict=True):
                 column.append(v)
-            if sum(map(len, rows["payload"])) > 1 << 22:
+            size += len(payload)
+            if size > 1 << 22:
                 yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
-                rows = {f.name: [] for f in _SCHEMA}
+                rows, size = {f.name: [] for f in _SCHEMA}, 0
         yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
 
@@ -160,16 +162,23 @@ def revisit_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes archives of ``pages`` to the shared folder, reads them back and returns a row per record.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to; an empty table gives no rows. A revisit takes bytes and
-    digest from the response it refers to, as read; a record whose payload is not what its header says fails the job.
+    digest from the response it refers to, as read; a record whose payload is not what its header says fails the job, and so
+    does a revisit whose response is not among the records.
     """
-    index = write_archives(pages, scratch(pages.sparkSession, "warc"), least_bytes)
+    return resolved(write_archives(pages, scratch(pages.sparkSession, "warc"), least_bytes))
+
+
+def resolved(index: DataFrame) -> DataFrame:
+    """The rows of ``revisit_table`` of the records that an index names."""
     fails = F.raise_error(F.concat(F.lit("payload and digest differ in record "), F.col("id"))).cast("string")
     read = read_archives(index).withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(fails))
     read = cut(read.select("id", "type", "digest", "bytes", "refers"))  # archives are read once
     # one response stands for all with its id and digest; they have equal payloads
     told = read.filter("type = 'response'").groupBy("id", "digest").agg(F.first("bytes").alias("of_bytes")).withColumnsRenamed({"id": "of", "digest": "of_digest"})
     revisits = read.filter("type = 'revisit'")
-    joined = revisits.join(told, (F.col("refers") == F.col("of")) & (F.col("digest") == F.col("of_digest"))).select("id", "type", F.col("of_digest").alias("digest"), F.col("of_bytes").alias("bytes"), "refers")
+    joined = revisits.join(told, (F.col("refers") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit in record "), F.col("id"))).cast("string")
+    joined = joined.select("id", "type", F.when(F.col("of").isNotNull(), F.col("of_digest")).otherwise(lost).alias("digest"), F.col("of_bytes").alias("bytes"), "refers")
     out = read.filter("type = 'response'").unionByName(joined)
     return out.select(
         shown_id("id").alias("page_id"),
