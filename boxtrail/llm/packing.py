@@ -39,37 +39,49 @@ WINDOW = 2048
 TASK_IDS = 1 << 32
 
 
-def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
+def fill(tokens: np.ndarray, loss: list[np.ndarray | None], limits: Limits, cut: bool, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
     """Sequences as lists of (piece, start, length), and what is left over as (piece, start).
 
-    ``loss`` is each piece's number of loss-bearing tokens, spread evenly over it where a piece is cut. A
-    piece over a limit by itself is cut at the limits. Unless ``last``, pieces that leave a sequence short
-    are left over for the next call.
+    ``loss`` has for each piece the number of loss-bearing tokens before each of its tokens and at its end, None if all bear
+    loss. A piece is cut where these numbers reach the limit. A piece over a limit by itself is cut at the limits.
+    Unless ``last``, pieces that leave a sequence short are left over for the next call.
     """
     cap = np.array([limits.tokens, limits.segments, limits.loss], float)
-    rate = loss / np.maximum(tokens, 1)
     start, done = np.zeros(len(tokens), np.int64), []
-    whole = np.minimum(limits.tokens, np.where(rate > 0, np.floor(limits.loss / np.where(rate > 0, rate, 1)), limits.tokens)).astype(np.int64)
-    for k in np.flatnonzero(tokens > whole):
-        while tokens[k] - start[k] > whole[k]:
-            done.append([(int(k), int(start[k]), int(whole[k]))])
-            start[k] += whole[k]
+
+    def bears(k: int, at: int, n: int) -> int:
+        return n if loss[k] is None else int(loss[k][at + n] - loss[k][at])
+
+    def most(k: int, at: int, room: int, bearing: int) -> int:
+        """Tokens of piece k from ``at`` on, of which at most ``bearing`` bear loss."""
+        if loss[k] is None:
+            return min(room, bearing)
+        return min(room, int(np.searchsorted(loss[k], loss[k][at] + bearing, "right")) - 1 - at)
+
+    if limits.loss < 1:
+        raise ValueError("a sequence must have room for a loss-bearing token")
+    total = np.array([bears(k, 0, int(n)) for k, n in enumerate(tokens)], np.int64).reshape(len(tokens))
+    for k in np.flatnonzero((tokens > limits.tokens) | (total > limits.loss)).tolist():
+        while (n := most(k, int(start[k]), min(limits.tokens, int(tokens[k] - start[k])), limits.loss)) < tokens[k] - start[k]:
+            done.append([(k, int(start[k]), n)])
+            start[k] += n
+            total[k] -= bears(k, int(start[k]) - n, n)
     left = tokens - start
     alive = left > 0
-    need = np.stack([left, np.ones(len(left)), left * rate], 1)
+    need = np.stack([left, np.ones(len(left)), total], 1).astype(float)
     need[~alive] = np.inf
     share = np.where(alive[:, None], need / cap, 0.0)
 
     def take(k: int, n: int) -> None:
         start[k], left[k] = start[k] + n, left[k] - n
         alive[k] = left[k] > 0
-        need[k] = (left[k], 1, left[k] * rate[k]) if alive[k] else np.inf
+        need[k] = (left[k], 1, bears(k, int(start[k]), int(left[k]))) if alive[k] else np.inf
         share[k] = need[k] / cap if alive[k] else 0.0
 
     while alive.any():
         room, row = cap.copy(), []
         while True:
-            fits = (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2] + 1e-9)
+            fits = (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
             worth = share @ (room / cap)
             worth[~fits] = -1.0
             k = int(worth.argmax())
@@ -77,13 +89,13 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool, last:
                 n = int(left[k])
             elif cut and alive.any() and room[1] >= 1 and room[0] >= 1:
                 k = int(np.argmax(np.where(alive, left, -1)))
-                n = int(min(room[0], left[k], np.floor((room[2] + 1e-9) / rate[k]) if rate[k] > 0 else room[0]))
+                n = most(k, int(start[k]), int(min(room[0], left[k])), int(room[2]))
                 if n < 1:
                     break
             else:
                 break
             row.append((k, int(start[k]), n))
-            room -= (n, 1, n * rate[k])
+            room -= (n, 1, bears(k, int(start[k]), n))
             take(k, n)
         if not alive.any() and room[0] > 0 and not last:  # short: let the next window fill it up
             for k, at, n in row:
@@ -169,27 +181,59 @@ def byte_bpe(path: str, end: int, special: bool = False) -> Callable[[list[str]]
     return lambda texts: [np.array([*e.ids, end], np.uint32) for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level tokenizers file stands for."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens", ())}
+    sizes = {i: len(t) for t, i in spec["model"]["vocab"].items()} | added  # a letter for each byte
+    out = np.zeros(max(sizes) + 1, np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+def bearing(text: str, ids: np.ndarray, spans: list[dict], sizes: np.ndarray) -> np.ndarray:
+    """Loss-bearing tokens before each token of a text and at its end; ``spans`` are in code points."""
+    ends = np.cumsum(sizes[ids[:-1]])
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    wide = len(text) != ends[-1] if len(ends) else False
+    at = np.r_[0, np.cumsum([len(c.encode()) for c in text])] if wide else np.arange(len(text) + 1)
+    mask = np.zeros(len(ids), np.int64)
+    for s in spans:
+        if s and s["length"] > 0:
+            a, b = at[min(s["start"], len(text))], at[min(s["start"] + s["length"], len(text))]
+            mask[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = 1
+    return np.r_[0, np.cumsum(mask)]
+
+
+def spread(tokens: int, n: int) -> np.ndarray:
+    """``n`` loss-bearing tokens lying evenly over a number of tokens, counted before each and at the end."""
+    return np.arange(tokens + 1) * min(max(n, 0), tokens) // max(tokens, 1)
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(), cut: bool = True, window: int = WINDOW, loss: str | None = None) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end token alone; rows that repeat a doc_id are packed one by one; a null
-    doc_id stays null. An empty table gives no rows. ``loss`` names a column with the number of loss-bearing tokens
-    of each row, or with the text that bears loss, whose tokens are counted; they are spread evenly over the row's tokens.
-    Without one, or where it is null, all tokens bear loss, and a number beyond the row's tokens counts as all.
+    doc_id stays null. An empty table gives no rows. ``loss`` names a column with the spans of the text that bear loss (an array
+    of start and length in code points): a token bears loss if one of its bytes is in a span, the end token does not. Or it
+    names one with the number of loss-bearing tokens, which then lie evenly over the row's tokens; a number beyond them counts
+    as all. Without one, or where it is null, all tokens bear loss.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer, end, special=True)
+        sizes_of = token_bytes(tokenizer) if spans else None
         ids: list = []
         tokens: list[np.ndarray] = []
         begun: list[int] = []  # tokens of each document that are packed already
-        rate: list[float] = []  # loss-bearing share of each document's tokens
+        before: list[np.ndarray | None] = []  # loss-bearing tokens before each token
         number = TaskContext.get().partitionId() * TASK_IDS
 
         def rows(last: bool) -> pa.RecordBatch:
-            nonlocal ids, tokens, begun, rate, number
+            nonlocal ids, tokens, begun, before, number
             sizes = np.array([len(t) - b for t, b in zip(tokens, begun, strict=True)], np.int64)
-            done, rest = fill(sizes, sizes * np.array(rate), limits, cut, last)
+            done, rest = fill(sizes, [None if x is None else x[b:] for x, b in zip(before, begun, strict=True)], limits, cut, last)
             out = []
             for row in done:
                 offset = 0
@@ -198,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
                     out.append((ids[k], at, n, zlib.crc32(tokens[k][at : at + n].astype("<u4").tobytes()), len(tokens[k]), number, offset))
                     offset += n
                 number += 1
-            ids, tokens, begun, rate = [ids[k] for k, _ in rest], [tokens[k] for k, _ in rest], [begun[k] + s for k, s in rest], [rate[k] for k, _ in rest]
+            ids, tokens, begun, before = [ids[k] for k, _ in rest], [tokens[k] for k, _ in rest], [begun[k] + s for k, s in rest], [before[k] for k, _ in rest]
             columns = zip(*out, strict=True) if out else [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
@@ -206,20 +250,19 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, limits: Limits = Limits(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids += part.column(0).to_pylist()
-                new = encode(part.column(1).to_pylist())
+                texts = part.column(1).to_pylist()
+                new = encode(texts)
                 tokens += new
                 begun += [0] * len(new)
                 bears = part.column(2).to_pylist()
-                if of_text:
-                    bears = [None if t is None else len(x) - 1 for t, x in zip(bears, encode([t or "" for t in bears]), strict=True)]
-                rate += [1.0 if n is None else min(max(n / len(t), 0.0), 1.0) for n, t in zip(bears, new, strict=True)]
+                before += [None if x is None else bearing(text, t, x, sizes_of) if spans else spread(len(t), x) for text, t, x in zip(texts, new, bears, strict=True)]
                 if len(ids) >= window:
                     yield rows(False)
         if ids:
             yield rows(True)
 
-    of_text = bool(loss) and dict(docs.dtypes)[loss] == "string"
-    bears = F.col(loss).cast("string" if of_text else "long") if loss else F.lit(None).cast("long")
+    spans = bool(loss) and dict(docs.dtypes)[loss].startswith("array")
+    bears = F.lit(None).cast("long") if not loss else F.transform(loss, lambda s: F.struct(s["start"].cast("long").alias("start"), s["length"].cast("long").alias("length"))) if spans else F.col(loss).cast("long")
     return docs.select(docs["doc_id"].cast("long"), text_of().alias("text"), bears.alias("loss")).mapInArrow(packed, ", ".join(f"{n} long" for n in NAMES))
 
 

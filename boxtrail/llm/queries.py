@@ -40,8 +40,8 @@ def instruction_packing(spark, sf_dir):
     """All conversations as instruction data: formatted, with the assistant's text bearing loss, under three limits at once."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = chat.format_turns(chat.text_turns(rows))
-    texts = chats.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
-    return packing.pack(texts, tokenizer_path(), limits=packing.Limits(tokens=2048, segments=16, loss=1024), loss="loss_text")
+    texts = chats.select(F.col("conv_id").alias("doc_id"), F.col("formatted").alias("text"), "loss")
+    return packing.pack(texts, tokenizer_path(), limits=packing.Limits(tokens=2048, segments=16, loss=1024), loss="loss")
 
 
 def op6_warc_revisits(spark, sf_dir):

@@ -106,7 +106,8 @@ def test_packing_loss(spark):
     assert done == Counter(size)
     for s in sequences.values():
         assert sum(r.length for r in s) <= 400 and len(s) <= 8
-        assert sum(r.length * (size[r.doc_id] if bears[r.doc_id] is None else bears[r.doc_id]) / size[r.doc_id] for r in s) <= 150 + 1e-6
+        bearing = lambda r, n: n if bears[r.doc_id] is None else n * bears[r.doc_id] // size[r.doc_id]
+        assert sum(bearing(r, r.start + r.length) - bearing(r, r.start) for r in s) <= 150
     assert max(sum(r.length for r in s) for s in sequences.values()) > 150
 
 
@@ -119,23 +120,44 @@ def test_short_texts_fill(spark):
 
 
 def test_instruction_packing(spark):
-    """Conversations: every token once, and the assistant's tokens within their limit."""
+    """Conversations: every token once, and the assistant's tokens, counted where they stand, within their limit."""
+    from tokenizers import Tokenizer
+
     from boxtrail.llm import queries
 
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     rows = queries.instruction_packing(spark, sf).collect()
-    chats = chat.format_turns(chat.text_turns(spark.read.parquet(f"{sf}/conversations.parquet"))).select("conv_id", "formatted", chat.loss_text(F.col("formatted"), F.col("loss")).alias("said")).collect()
-    encode = packing.byte_bpe(PATH, 1, special=True)
-    size = {r.conv_id: len(encode([r.formatted])[0]) for r in chats}
-    share = {r.conv_id: min(1.0, (len(encode([r.said])[0]) - 1) / size[r.conv_id]) for r in chats}
+    chats = chat.format_turns(chat.text_turns(spark.read.parquet(f"{sf}/conversations.parquet"))).select("conv_id", "formatted", "loss").collect()
+    library, bears = Tokenizer.from_file(PATH), {}
+    for r in chats:  # offsets of the library, in code points
+        offsets = library.encode(r.formatted, add_special_tokens=False).offsets
+        bears[r.conv_id] = [any(a < s.start + s.length and b > s.start for s in r.loss) for a, b in offsets] + [False]
     done, sequences = Counter(), defaultdict(list)
     for r in rows:
         done[r.doc_id] += r.length
         sequences[r.sequence_id].append(r)
-    assert done == Counter(size)
+    assert done == Counter({k: len(x) for k, x in bears.items()})
     for s in sequences.values():
-        assert sum(r.length for r in s) <= 2048 and len(s) <= 16 and sum(r.length * share[r.doc_id] for r in s) <= 1024 + 1e-6
-    assert any(0 < x < 1 for x in share.values())
+        assert sum(r.length for r in s) <= 2048 and len(s) <= 16 and sum(sum(bears[r.doc_id][r.start : r.start + r.length]) for r in s) <= 1024
+    assert sum(map(sum, bears.values())) > 0 and sum(done.values()) > 0.6 * 2048 * (len(sequences) - 8)
+
+
+def test_bearing():
+    """Tokens that touch a span, in texts with letters of several bytes and with added tokens."""
+    encode, sizes = packing.byte_bpe(PATH, 1, special=True), packing.token_bytes(PATH)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(["the ", "é", "日本", "😀", "x", " ", "\n", "assistant"], k=rng.randrange(30)))
+        ids = encode([text])[0]
+        assert sizes[ids[:-1]].sum() == len(text.encode())
+        a = rng.randrange(len(text) + 1)
+        spans = [{"start": a, "length": rng.randrange(len(text) - a + 1)}, {"start": 0, "length": rng.randrange(2)}]
+        edges = [(len(text[: s["start"]].encode()), len(text[: s["start"] + s["length"]].encode())) for s in spans]
+        at, want = 0, [0]
+        for i in ids[:-1]:
+            want.append(want[-1] + any(at < y and at + sizes[i] > x for x, y in edges if y > x))
+            at += sizes[i]
+        assert packing.bearing(text, ids, spans, sizes).tolist() == [*want, want[-1]]
 
 
 def test_packing_empty(none):
@@ -147,13 +169,14 @@ def test_fill_limits(cut):
     rng = np.random.default_rng(0)
     limits = packing.Limits(tokens=100, segments=4, loss=60)
     tokens = rng.integers(1, 250, 300)
-    loss = (tokens * rng.choice([0, 0.3, 1.0], 300)).astype(int)
+    masks = [rng.random(n) < p for n, p in zip(tokens, rng.choice([0, 0.3, 1.0], 300))]
+    loss = [None if m.all() else np.r_[0, np.cumsum(m)] for m in masks]
     done, rest = packing.fill(tokens, loss, limits, cut, True)
     assert not rest
     seen = defaultdict(list)
     for row in done:
         assert len(row) <= 4 and sum(n for *_, n in row) <= 100
-        assert sum(n * loss[k] / tokens[k] for k, _, n in row) <= 60 + 1e-6
+        assert sum(masks[k][at : at + n].sum() for k, at, n in row) <= 60
         for k, start, n in row:
             seen[k].append((start, n))
     for k, size in enumerate(tokens):
@@ -209,6 +232,15 @@ def test_warc_changed_payload_fails(spark, tmp_path):
     assert [r.whole for r in warc.read_archives(other).collect()] == [False]
 
 
+def test_warc_lost_response_fails(spark, tmp_path):
+    """A revisit whose response can't be read does not vanish."""
+    pages = spark.createDataFrame([(1, "u", "<a>"), (2, "v", "<a>"), (3, "w", "<b>")], "page_id long, url string, html string")
+    index = warc.write_archives(pages, f"file://{tmp_path}/w")
+    assert warc.resolved(index).count() == 3
+    with pytest.raises(Exception, match="no response for the revisit in record 2"):
+        warc.resolved(index.filter("id <> 1")).collect()
+
+
 def test_warc_empty(spark):
     assert warc.revisit_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
