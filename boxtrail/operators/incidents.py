@@ -155,12 +155,25 @@ def edges(active: DataFrame) -> DataFrame:
     return rows.withColumn("enter", F.col("active") & ~F.col("_before")).withColumn("exit", ~F.col("active") & F.col("_before")).drop("_before")
 
 
-def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The box of every confirmed track on every frame while it is active: that of its last sample by then."""
-    last = samples.select(*TRACK, "frame_idx", *g.Box._fields).withColumn("until", F.lead("frame_idx").over(_by_frame()))
-    held = last.join(ranges, TRACK).select(
+def held_boxes(samples: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Boxes of confirmed tracks with the frames [from, to) on which they are the last ones of their track while it is active."""
+    last = samples.select(*TRACK, "frame_idx", *g.Box._fields).join(ranges, TRACK).withColumn("until", F.lead("frame_idx").over(_by_frame()))
+    rows = last.select(
         *TRACK, F.greatest("frame_idx", "confirm_frame").alias("from"), F.least(F.coalesce("until", "expiry_frame"), "expiry_frame").alias("to"), *g.Box._fields
     )
+    return rows.filter(F.col("from") < F.col("to"))
+
+
+def marked_frames(samples: DataFrame, ranges: DataFrame, clips: DataFrame) -> DataFrame:
+    """The box of every confirmed track on every frame of its clip while it is active, from the boxes alone."""
+    held = held_boxes(samples, ranges).join(clips.select("video_id", "total_frames"), "video_id").filter(F.col("from") < F.col("total_frames"))
+    at = F.explode(F.sequence("from", F.least("to", "total_frames") - 1))
+    return held.select("video_id", at.alias("frame_idx"), "track_id", *g.Box._fields)
+
+
+def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The box of every confirmed track on those of ``frames`` in which it is active: that of its last sample by then."""
+    held = held_boxes(samples, ranges)
     return in_ranges(frames.select("video_id", "frame_idx"), held, "from", "to").select("video_id", "frame_idx", "track_id", *g.Box._fields)
 
 

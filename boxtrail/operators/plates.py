@@ -62,6 +62,14 @@ def label_carry(readings: DataFrame, frames: DataFrame, s: Settings = DEFAULT) -
     return rows.withColumn("label", F.last("label", ignorenulls=True).over(by))
 
 
+def labels_read(readings: DataFrame, read: Column, s: Settings = DEFAULT) -> DataFrame:
+    """Adds label to rows of tracks: the last plate label at or before each, of the rows that are ``read``; one pass over a track."""
+    by = Window.partitionBy(*TRACK).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    best = running_best_text(readings.withColumn("score", F.when(read, F.col("score"))), s)
+    label = plate_label(F.col("best_text"), F.col("best_score"), F.col("score"), F.col("plate_confidence"), s.text_confidence)
+    return best.withColumn("label", F.last(F.when(read, label), ignorenulls=True).over(by)).drop("best_text", "best_score")
+
+
 def _cadence(key: list[str], s: Settings):
     def cadence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = PlateState(), None

@@ -79,6 +79,13 @@ def carry_forward(frames: DataFrame, samples: DataFrame, clips: DataFrame, s: Se
     return at.join(samples.withColumnRenamed("frame_idx", "sample_frame"), ["video_id", "sample_frame"])
 
 
+def until_next(samples: DataFrame, clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Rows of sampled frames on every decoded frame up to the next sampled one; no frame table is needed."""
+    rows = with_rate(samples, clips, s).join(clips.select("video_id", "total_frames"), "video_id").filter("frame_idx % stride = 0 and frame_idx < total_frames")
+    shown = F.explode(F.sequence("frame_idx", F.least(F.col("frame_idx") + F.col("stride"), "total_frames") - 1))
+    return rows.withColumn("frame_idx", shown).drop("fps", "stride", "total_frames")
+
+
 def rider_exclusion(persons: DataFrame, bikes: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Persons who do not sit on a motorcycle of their frame."""
     b = bikes.select(*FRAME, *[F.col(c).alias(f"m_{c}") for c in g.Box._fields])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from boxtrail.operators.components import components
 from boxtrail.operators.spread import previous_frame, running_sum
 from boxtrail.settings import DEFAULT, Settings
-from boxtrail.sources.clips import scratch
+from boxtrail.sources.clips import kept
 
 BOX = ["x1", "y1", "x2", "y2"]
 #: Frames from which on a segment is long, and frames of the buckets in which its boxes are linked.
@@ -188,7 +188,7 @@ def _parts(rows: DataFrame, least: float) -> DataFrame:
     near = rows.select(*box, "segment", "most", *BOX, F.explode(reached).alias("bucket"))
     group = ["video_id", "segment", "bucket"]
     met = near.repartition(*group).sortWithinPartitions(*group, "frame_idx", "ord")
-    told = _kept(met.mapInArrow(_linked(least), "video_id long, segment long, bucket long, frame_idx long, ord int, part_frame long, part_ord long"))
+    told = kept(met.mapInArrow(_linked(least), "video_id long, segment long, bucket long, frame_idx long, ord int, part_frame long, part_ord long"), "linked")
     node = lambda *c: F.struct("video_id", *c)
     part = node(*PART)
     ties = told.groupBy(*box).agg(F.min(part).alias("a"), F.max(part).alias("b")).filter("a <> b").select("a", "b")
@@ -209,22 +209,16 @@ def _numbered(walked: DataFrame) -> DataFrame:
     return walked.join(shift.select(*part, (F.col("_inside") + F.col("_before")).alias("_shift")), part).withColumn("track_id", F.col("track_id") + F.col("_shift")).drop("_shift")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    path = scratch(rows.sparkSession, "boxes")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _associate(rows: DataFrame, order: list[Column | str], least: float) -> DataFrame:
     none = {c: F.lit(-1).cast("long") for c in PART}
     if rows.filter(F.col("frame_idx") >= LONG).isEmpty():  # so no segment is long
         return _walk(rows.withColumns(none), order, least).drop("most", *PART)
-    rows = _kept(rows)
+    rows = kept(rows, "boxes")
     length = F.max("frame_idx") - F.min("frame_idx")
     long = rows.groupBy("video_id", "segment").agg((length >= LONG).alias("_long")).filter("_long").select("video_id", "segment")
     short = _walk(rows.join(long, ["video_id", "segment"], "left_anti").withColumns(none), order, least)
     parts = _parts(rows.join(long, ["video_id", "segment"], "left_semi"), least)
-    return short.unionByName(_numbered(_kept(_walk(parts, order, least)))).drop("most", *PART)
+    return short.unionByName(_numbered(kept(_walk(parts, order, least), "walked"))).drop("most", *PART)
 
 
 def _segments(rows: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from boxtrail.operators import results as rt
 from boxtrail.operators import sampling as sm
 from boxtrail.operators import tracking as tr
 from boxtrail.plans.registry import query
-from boxtrail.plans.relational import FRAMED, KEY, POSE_CARRY, RIDER, all_frames, framed_plates, held_poses
-from boxtrail.plans.timerule import CARRIED, INCIDENT_TABLE, MARKED, PLATE, RULE, SAMPLE, TEXT, cadence_sql, incident_table, overlap_sql, ranges, readings, samples
+from boxtrail.plans.relational import FRAMED, KEY, POSE_CARRY, RIDER, framed_plates, held_poses
+from boxtrail.plans.timerule import CARRIED, INCIDENT_TABLE, MARKED, PLATE, RULE, TEXT, cadence_sql, incident_table, overlap_sql, ranges, readings, samples
 from boxtrail.settings import DEFAULT as S
 from boxtrail.settings import MOTORCYCLES, PERSON, VEHICLES
 from boxtrail.sources import clips as src
@@ -92,7 +92,7 @@ TRACKED = PERSON_TRACKS + RULE.replace("smp AS (SELECT video_id, actor_id AS tra
 @query("incident_job_tracked", TRACKED + INCIDENT_TABLE)
 def _(d):
     """From raw boxes: gate, riders, association, posture from keypoints, the time rule, the interval table."""
-    rows = tracked_samples(d)
+    rows = src.kept(tracked_samples(d), "tracked")
     return incident_table(d, rows, inc.time_rule(rows)[2])
 
 
@@ -298,16 +298,14 @@ def annotation_layers(d):
     cut = lambda rows, layer, said, kind: sm.with_box(rows.select("video_id", "frame_idx", F.lit(layer).alias("layer"), said.alias("said"), kind.cast("int").alias("class_id"), *g.Box._fields), g.clamp_box(g.box(), F.lit(1920), F.lit(1080)))
     litter = cut(litter_boxes(d), 0, F.format_string("%s %.2f", "label", F.bround("score", 2)), F.col("class_id"))
     scene = cut(sm.scene_filter(d["detections"]), 1, F.format_string("%s %.2f", "label", F.bround("confidence", 2)), F.lit(0))
-    rows = readings(d)
-    labels = pl.label_carry(rows.filter("frame_idx % 6 = 0"), rows.select(*SAMPLE)).filter("label is not null").select(*SAMPLE, "label")
-    plates = framed_plates(d).withColumnRenamed("actor_id", "track_id").join(labels, SAMPLE)
+    plates = framed_plates(d, pl.labels_read(readings(d), F.col("frame_idx") % 6 == 0).filter("label is not null"))
     plates = plates.select("video_id", "frame_idx", F.lit(2).alias("layer"), F.col("label").alias("said"), F.lit(0).alias("class_id"), *[F.col(f"g_{c}").alias(c) for c in g.Box._fields])
     return litter.select(*whole).unionByName(scene.select(*whole)).unionByName(plates)
 
 
 def marks(d):
     whole = [F.bround(c).cast("int").alias(c) for c in g.Box._fields]
-    rows = inc.marked_boxes(all_frames(d), samples(d), ranges(d))
+    rows = inc.marked_frames(samples(d), ranges(d), d["clips"])
     return rows.select("video_id", "frame_idx", F.lit(3).alias("layer"), F.lit("CONFIRMED").alias("said"), F.lit(0).alias("class_id"), *whole)
 
 
@@ -323,7 +321,7 @@ def _(d):
     """Every decoded frame: the layers and the held pose of its last sampled frame, and the boxes of confirmed tracks."""
     none = {c: F.lit(None).cast("int") for c in g.Box._fields}
     poses = held_poses(d).filter("pose is not null").select("video_id", "frame_idx", F.lit(4).alias("layer"), F.col("pose").cast("string").alias("said"), F.lit(0).alias("class_id")).withColumns(none)
-    held = sm.carry_forward(all_frames(d), annotation_layers(d).unionByName(poses), d["clips"]).drop("sample_frame")
+    held = sm.until_next(annotation_layers(d).unionByName(poses), d["clips"])
     return held.unionByName(marks(d))
 
 

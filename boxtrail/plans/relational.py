@@ -213,10 +213,10 @@ def _(d):
     return sm.overlap_pairs(sm.with_rate(d["detections"], d["clips"]), S.person_iou).withColumn("iou", F.round("iou", 9))
 
 
-def framed_plates(d):
+def framed_plates(d, plates=None):
     """Plates of 40 x 14 pixels inside their vehicles, in frame pixels."""
     b = g.Box(F.col("px"), F.col("py"), F.col("px") + 40, F.col("py") + 14)
-    rows = d["plates"].withColumns({f"p_{c}": e for c, e in zip(g.Box._fields, b, strict=True)})
+    rows = (d["plates"] if plates is None else plates).withColumns({f"p_{c}": e for c, e in zip(g.Box._fields, b, strict=True)})
     return sm.plate_to_frame(rows, d["clips"])
 
 

@@ -139,7 +139,7 @@ mk AS (SELECT f.video_id, f.frame_idx, h.track_id, h.x1, h.y1, h.x2, h.y2 FROM f
 
 @query("interval_frames", RULE + MARKED + "SELECT * FROM mk")
 def _(d):
-    return inc.marked_boxes(all_frames(d), samples(d), ranges(d))
+    return inc.marked_frames(samples(d), ranges(d), d["clips"])
 
 
 def states(d):
@@ -190,6 +190,13 @@ rs AS (SELECT c.video_id, path AS input_path, regexp_replace(regexp_replace(path
    width, height, CASE WHEN video_id % 7 = 3 THEN 0.0 ELSE fps END AS fps, total_frames, CASE WHEN video_id % 7 = 3 THEN 0.0 ELSE total_frames / fps END AS duration, (f + 8) / 4.0 AS wall_sec, 16.5 AS models_init_sec FROM clips c JOIN cn USING (video_id))"""
 
 
+def run_clips(d):
+    """A row for each clip: paths, size, whether it can be read."""
+    meta = runs.clip_metadata(d["clips"].withColumn("fps", F.when(F.col("video_id") % 7 == 3, 0.0).otherwise(F.col("fps"))))
+    told = runs.error_rows(meta).drop("path").join(meta.select("video_id", "path", "fps", "width", "height", "total_frames"), "video_id")
+    return told.withColumn("output_path", output_path(F.col("path"), "/clips", "/out", "_marked")).withColumnRenamed("path", "input_path")
+
+
 def run_tables(d):
     """(runs, times) of all clips."""
     n = d["detections"].groupBy("video_id").agg(F.count_distinct("frame_idx").alias("f"), F.count_if(F.col("label") == "person").alias("p"))
@@ -200,9 +207,7 @@ def run_tables(d):
         p.alias("peeing_pose_input_crops"), F.ceil(p / 16).alias("peeing_pose_batch_launches"), F.lit(0).alias("peeing_pose_padded_slots"), (F.ceil(p / 16) * 16 - p).alias("peeing_pose_max_batch_slack"),
         F.ceil(f / 8).alias("peeing_pose_prefetch_windows"), f.alias("peeing_pose_prefetch_frames"), p.alias("peeing_pose_prefetch_crops"), (p % 7).alias("peeing_pose_prefetch_unused_hits"),
     )
-    meta = runs.clip_metadata(d["clips"].withColumn("fps", F.when(F.col("video_id") % 7 == 3, 0.0).otherwise(F.col("fps"))))
-    told = runs.error_rows(meta).drop("path").join(meta.select("video_id", "path", "fps", "width", "height", "total_frames"), "video_id").join(n.select("video_id", ((f + 8) / 4).alias("wall_sec")), "video_id")
-    told = told.withColumns({"output_path": output_path(F.col("path"), "/clips", "/out", "_marked"), "models_init_sec": F.lit(16.5)}).withColumnRenamed("path", "input_path")
+    told = run_clips(d).join(n.select("video_id", ((f + 8) / 4).alias("wall_sec")), "video_id").withColumn("models_init_sec", F.lit(16.5))
     return told, times
 
 
@@ -257,10 +262,11 @@ def _(d):
 
 
 def incident_table(d, rows, rg):
-    """The interval table in full of tracked samples and their confirmed ranges."""
+    """The interval table in full of tracked samples and their confirmed ranges, which are few and worked out once."""
+    rg = src.kept(rg, "ranges")
     iv = inc.incident_intervals(rg, d["clips"])
     last = F.when(F.col("open_interval"), F.col("end_frame")).otherwise(F.col("end_frame") - 1)
-    return rt.interval_table(iv, inc.marked_boxes(iv.select("video_id", last.alias("frame_idx")), rows, rg), run_tables(d)[0])
+    return rt.interval_table(iv, inc.marked_boxes(iv.select("video_id", last.alias("frame_idx")), rows, rg), run_clips(d))
 
 
 INCIDENT_TABLE = MARKED + RUNS + f""", bx AS (SELECT video_id, frame_idx, count(*) AS n, CAST(to_json(list([x1, y1, x2, y2] ORDER BY track_id)) AS VARCHAR) AS j FROM mk GROUP BY ALL)

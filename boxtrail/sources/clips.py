@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, what: str) -> DataFrame:
+    """The same rows, written once below the shared folder: what several steps read is worked out once, and a lost executor costs nothing."""
+    path = scratch(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def scan_clips(spark: SparkSession, root: str, extensions: tuple[str, ...] = CLIP_EXTENSIONS) -> DataFrame:
     """Files below ``root`` with a clip's extension in any case: path, length, modificationTime; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
