@@ -58,8 +58,8 @@ class IncidentState:
     until: int = -1
 
     def frame(self, frame: int, rows: list[tuple[int, tuple, bool]], s: Settings = DEFAULT) -> list[tuple[str, int]]:
-        """Events up to a sampled frame with its (track, box, hit) rows."""
-        out = self.settle(frame)
+        """Events up to a sampled frame with its (track, box, hit) rows. One that confirms again in the frame that ends an interval goes on with it."""
+        out = self.settle(frame - 1)
         self.tracks = {k: t for k, t in self.tracks.items() if frame - t.frame <= s.max_missed * self.fps}
         for track, box, hit in rows:
             t = self.tracks.get(track)
@@ -72,7 +72,7 @@ class IncidentState:
                     self.since = frame
                     out.append(("enter", frame))
                 self.until = max(self.until, frame + int(s.max_missed * self.fps) + 1)
-        return out
+        return out + self.settle(frame)
 
     def settle(self, frame: int) -> list[tuple[str, int]]:
         """An exit that a frame at or past the end of all confirmed tracks brings."""

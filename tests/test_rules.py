@@ -110,6 +110,22 @@ def test_time_rule_restated(spark, s):
     assert found > 5
 
 
+def test_touching_intervals(spark):
+    """A track that is confirmed in the very frame in which another's time ends: one interval, in sets and frame by frame."""
+    s, box = Settings(seconds_required=2), (0.0, 0.0, 60.0, 150.0)
+    first = [(1, 1, f, 5.0, *box, True) for f in range(0, 25)]  # ends with frame 24 + 16
+    second = [(1, 2, f, 5.0, 300.0, 0.0, 360.0, 150.0, f < 41) for f in range(25, 60)]
+    df = spark.createDataFrame(first + second, "video_id long, track_id long, frame_idx long, fps double, x1 double, y1 double, x2 double, y2 double, hit boolean")
+    info = spark.createDataFrame([(1, 5.0, 100)], "video_id long, fps double, total_frames long")
+    ranges = incidents.time_rule(df, s)[2].orderBy("track_id").collect()
+    assert [r.expiry_frame for r in ranges][:1] == [40] and ranges[1].confirm_frame == 40
+    assert [(r.start_frame, r.end_frame) for r in incidents.incident_intervals(incidents.time_rule(df, s)[2], info).collect()] == [(15, 75)]
+    state, events = machines.IncidentState(5.0), []
+    for f in range(60):
+        events += state.frame(f, [(r[1], r[4:8], r[8]) for r in first + second if r[2] == f], s)
+    assert events + state.end(100) == [("enter", 15), ("exit", 75)]
+
+
 def shared(a, b):
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
