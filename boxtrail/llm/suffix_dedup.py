@@ -44,6 +44,8 @@ PIECE = 1 << 18
 HOT = 64
 #: Open runs of one owner that are settled in one place.
 GROUP = 2048
+#: Windows of one run or stretch at most: 14 bits.
+WINDOWS = 0x3FFF
 _POW, _INV = powers(BASE, PIECE + 1), powers(INVERSE, PIECE + 1)
 
 
@@ -83,9 +85,8 @@ def _batches_of(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np
         k = n
 
 
-def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first window, number of windows, owner's rank, run's rank) of all runs of all texts."""
-    out: list[tuple[np.ndarray, ...]] = []
+def _pieces_of_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, first window, number of windows, owner's rank, run's rank) of the runs of each piece."""
     for begin, end, text, shift, starts in _batches_of(offsets, length):
         size = end - begin
         if size < length:
@@ -104,10 +105,41 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) ->
         stop = valid & np.r_[(owner[1:] != owner[:-1]) | ~valid[1:], True]
         a, b = np.flatnonzero(new), np.flatnonzero(stop)
         where = np.searchsorted(starts, a, "right") - 1
-        out.append((text[where], a - starts[where] + shift[where], b - a + 1, ranks[owner[a]], _span(total, a, b + length)))
-    if not out:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield text[where], a - starts[where] + shift[where], b - a + 1, ranks[owner[a]], _span(total, a, b + length)
+
+
+def _settle(ids: np.ndarray, at: np.ndarray, n: np.ndarray, owner: np.ndarray, run: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Runs sorted by (owner, run, id, at), the first of equal ones, and the others as (id, at, n, owner), joined where their bytes meet.
+
+    A joined stretch is cut so that its number of windows fits in 14 bits.
+    """
+    order = np.lexsort((at, ids, run, owner))
+    ids, at, n, owner, run = (x[order] for x in (ids, at, n, owner, run))
+    first = np.r_[True, (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])][: len(owner)]
+    lead = [x[first] for x in (ids, at, n, owner, run)]
+    ids, at, n, owner = (x[~first] for x in (ids, at, n, owner))
+    order = np.lexsort((at, ids))
+    ids, at, n, owner = (x[order] for x in (ids, at, n, owner))
+    end = at + n  # windows of one document follow each other, so ends do not fall
+    begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] > end[:-1] + length - 1)][: len(ids)])
+    size = end[np.r_[begins[1:], len(ids)][: len(begins)] - 1] - at[begins]
+    parts = -(-size // WINDOWS)
+    k = np.repeat(np.arange(len(begins)), parts)
+    off = (np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOWS
+    return lead, [ids[begins][k], at[begins][k] + off, np.minimum(WINDOWS, size[k] - off), owner[begins][k]]
+
+
+def first_runs(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What _settle() gives for the runs of all texts. Each piece is settled by itself first, so what is held of a text that
+    repeats itself is its first runs and a few stretches, not a run for each byte."""
+    leads, spans = [], []
+    for text, at, n, owner, run in _pieces_of_runs(raw, offsets, length):
+        lead, span = _settle(ids[text], at, n, owner, run, length)
+        leads.append(lead)
+        spans.append(span)
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U)] * 2
+    lead, span = _settle(*(np.concatenate(x) for x in zip(none, *leads, strict=True)), length)
+    return lead, [np.concatenate(x) for x in zip(span, *spans, strict=True)]
 
 
 def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -118,29 +150,26 @@ def _packed(at: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return at << 16 | n << 2 | kind
 
 
-#: Kinds of sampled rows: a first run, a run under a hot owner, a repeat that its batch has settled, a mark of a hot owner.
+#: Kinds of sampled rows: a first run, a run under a hot owner, repeats that their batch has settled, a mark of a hot owner.
 RUN, HOT_RUN, SETTLED, MARK = range(4)
 _RUN = ["owner", "run", "id", "place"]
 
 
 def _sampled(length: int):
-    """Runs (owner, run, id, place) that are first in their batch, repeats that the batch settles, marks of hot owners."""
+    """Runs (owner, run, id, place) that are first in their batch, stretches of repeats that the batch settles, marks of hot owners."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, at, n, owner, run = runs(*text_bytes(batch.column(1)), length)
-            ids = batch.column(0).to_numpy()[text]
-            order = np.lexsort((at, ids, run, owner))
-            ids, at, n, owner, run = (x[order] for x in (ids, at, n, owner, run))
+            (ids, at, n, owner, run), spans = first_runs(*text_bytes(batch.column(1)), batch.column(0).to_numpy(), length)
             begins = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
-            first = begins | np.r_[True, run[1:] != run[:-1]][: len(owner)]
             group = np.cumsum(begins) - 1
-            many = np.bincount(group, first)[group] > HOT if len(owner) else begins
-            kind = np.where(first, np.where(many, HOT_RUN, RUN), SETTLED)
+            many = np.bincount(group)[group] > HOT if len(owner) else begins
             mark = np.flatnonzero(begins & many)
             take = np.r_[np.arange(len(owner)), mark]
-            place = np.r_[_packed(at, n, kind), _packed(at[mark], n[mark], np.full(len(mark), MARK))]
+            place = np.r_[_packed(at, n, np.where(many, HOT_RUN, RUN)), _packed(at[mark], n[mark], np.full(len(mark), MARK))]
             yield _rows(_RUN, owner[take].view(np.int64), run[take].view(np.int64), ids[take], place)
+            ids, at, n, owner = spans
+            yield _rows(_RUN, owner.view(np.int64), np.zeros(len(ids), np.int64), ids, _packed(at, n, np.full(len(ids), SETTLED)))
 
     return sampled
 
@@ -215,7 +244,7 @@ def _pieces(starts: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[in
     """(first run, run after the last, end) of stretches of at most PIECE bytes of runs laid out one after the other."""
     k = 0
     while k < len(starts):
-        m = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE - 0x3FFF - length, "right")))
+        m = max(k + 1, int(np.searchsorted(starts, starts[k] + PIECE - WINDOWS - length, "right")))
         yield k, m, starts[m - 1] + n[m - 1] + length - 1
         k = m
 
@@ -429,11 +458,13 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     doc_id sorts last and is returned as null. Rows that repeat a doc_id with another text are documents of their own,
     in an order fixed by their texts' hashes; rows that repeat both are one document, returned as often as it occurs.
     """
-    if not GRAM < length <= 0x3FFF + GRAM - 1:  # a run's number of windows is kept in 14 bits
-        raise ValueError(f"length must be from {GRAM + 1} to {0x3FFF + GRAM - 1}")
-    rows, shown, _ = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
-    if shown is not None:  # behind a join: in a repeatable order, for what a batch settles
-        rows = rows.sortWithinPartitions("id")
+    if not GRAM < length <= WINDOWS + GRAM - 1:  # a run has length - GRAM + 1 windows at most
+        raise ValueError(f"length must be from {GRAM + 1} to {WINDOWS + GRAM - 1}")
+    rows, shown, repeated = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
+    copies = None
+    if repeated:  # an id stands for one text now; a row that comes twice must not repeat itself
+        copies = rows.groupBy("id").agg(F.count("*").alias("copies"))
+        rows = rows.dropDuplicates(["id"]).sortWithinPartitions("id")  # behind a shuffle: in a repeatable order, for what a batch settles
     sampled = rows.mapInArrow(_sampled(length), "owner long, run long, id long, place long")
     kind = F.col("place").bitwiseAND(3)
     dealt = F.when(kind == HOT_RUN, F.col("run")).when(kind == SETTLED, F.col("id")).otherwise(0)
@@ -460,6 +491,8 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     out = rows.join(all_spans, "id", "left").select("id", "text", "spans").mapInArrow(
         _trimmed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:bigint,b:bigint>>"
     )
+    if copies is not None:
+        out = out.join(copies, "id").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
     if shown is not None:
         out = out.join(shown, "id").drop("id").withColumnRenamed("shown", "id")
     return out.select(shown_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")

@@ -204,6 +204,26 @@ def test_spans_repeated_id(spark):
     assert sorted(r.n_removed for r in suffix_dedup.removed_spans(df).collect()) == [0, 150]
 
 
+def test_spans_repeated_row(spark):
+    """A row that comes twice is one document, which doesn't repeat itself."""
+    text = "".join(random.Random(4).choices("abcdefg", k=500))
+    for parts in (1, 3):
+        df = spark.createDataFrame([(1, text), (1, text), (2, text[:200]), (None, text), (None, text)], "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id or 9, r.n_removed) for r in suffix_dedup.removed_spans(df).collect())
+        assert got == [(1, 0), (1, 0), (2, 200), (9, 500), (9, 500)]
+
+
+def test_spans_periodic(spark):
+    """A long text of one letter, or of a short period, sends a few rows, not one for each byte."""
+    lead = "".join(random.Random(5).choices("bcdefg", k=500))
+    rows = [(1, lead + "a" * 3_000_000), (2, "a" * 1_000_000 + lead), (3, "xyz" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = df.selectExpr("doc_id AS id", "text").mapInArrow(suffix_dedup._sampled(100), "owner long, run long, id long, place long")
+    assert sent.count() < 1000
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removed_spans(df).collect()}
+    assert got == {1: (2_999_999, 1), 2: (1_000_500, 1), 3: (1_199_997, 1)}
+
+
 def test_spans_empty(none):
     assert suffix_dedup.removed_spans(none).count() == 0
     for length in (10, 25, 16408):
