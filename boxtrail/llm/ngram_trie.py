@@ -21,7 +21,7 @@ smoothed with a Dirichlet prior,
 
 down to (c(w) + 1) / (N + V + 1); both shares are kept as 16-bit logarithms. All n-grams are kept, so the probabilities
 of a context sum to 1 over the known words and one unknown. A file keeps a share in 8 bits: one of 255 values chosen for
-that file, the frequent ones exactly.
+that file, closer for large shares.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ END = U(0xE5D0F7EE7D0C5EED)
 #: 16-bit logarithms cover 10^-12 to 1; the last one stands for 0.
 STEPS = 65534 / 12.0
 NONE = 65535
+#: How much finer large shares are coded than small ones; 0 would be evenly in logarithms, 1 evenly in shares.
+BEND = 0.15
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -61,22 +63,24 @@ def restored(q: np.ndarray) -> np.ndarray:
 def coded(q: np.ndarray, absent: int) -> tuple[np.ndarray, np.ndarray]:
     """(a code of 8 bits for each 16-bit value, the values of the codes); code 0 is ``absent``.
 
-    The 127 most frequent values are kept; the others, in order, share 128 codes of about equally many, by their mean.
+    Values share a code where their shares, to the power of BEND, fall into one cell of a grid as fine as 255 codes allow,
+    and are kept as their mean. Cells are narrower for large shares than for small ones, whatever the number of values:
+    with shares from 10^-6 to 1, in log10 at most 0.08 wide at 10^-6 and 0.01 near 1.
     """
     seen = np.bincount(q, minlength=1 << 16)
     values = np.flatnonzero(seen)
     to = np.zeros(1 << 16, np.uint8)
-    if len(values) <= 255:
-        book = values
-        to[values] = np.arange(1, len(values) + 1)
-    else:
-        often = np.sort(values[np.argsort(-seen[values], kind="stable")[:127]])
-        rest = np.setdiff1d(values, often)
-        before = np.cumsum(seen[rest]) - seen[rest]
-        group = np.unique(before * 128 // max(1, seen[rest].sum()), return_inverse=True)[1]
-        mean = np.round(np.bincount(group, rest * seen[rest]) / np.bincount(group, seen[rest])).astype(np.int64)
-        book = np.r_[often, mean]
-        to[often], to[rest] = np.arange(1, 128), 128 + group
+    if not len(values):
+        return to[q], np.array([absent], np.uint16)
+    bent = restored(values) ** BEND
+    cells = lambda grid: np.unique(np.floor(bent[0] * grid - bent * grid), return_inverse=True)[1]
+    low, high = 1, 1 << 24
+    while high - low > 1:  # the finest grid whose cells in use have a code each
+        mid = (low + high) // 2
+        low, high = (mid, high) if cells(mid).max() < 255 else (low, mid)
+    group = cells(low)
+    book = np.round(np.bincount(group, values * seen[values]) / np.bincount(group, seen[values])).astype(np.int64)
+    to[values] = 1 + group
     return to[q], np.r_[absent, book].astype(np.uint16)
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,15 +38,37 @@ def test_ranked(values, shift):
 
 
 def test_codes():
-    """Frequent values are kept, the others stay near."""
-    rng = np.random.default_rng(0)
-    q = np.concatenate([np.full(5000, 77), rng.integers(0, 65000, 20000)]).astype(np.uint16)
+    """Few values are kept, many stay near: cells are at most 0.08 wide in log10 at 10^-6, and 0.01 at 1."""
+    few = np.repeat(np.arange(255) * 100, 3).astype(np.uint16)
+    code, book = ngram_trie.coded(few, 9)
+    assert book[0] == 9 and (code > 0).all() and (book[code] == few).all()
+    share = 10.0 ** -np.random.default_rng(0).uniform(0, 6, 200_000)
+    share[:150_000] = 0.2  # a frequent value takes no codes from the others
+    q = ngram_trie.quantised(share)
     code, book = ngram_trie.coded(q, 9)
-    assert book[0] == 9 and len(book) <= 256 and (code > 0).all() and (book[code[:5000]] == 77).all()
-    assert np.abs(book[code].astype(int) - q).max() < 65000 / 128 * 2
+    assert len(book) <= 256 and (code > 0).all()
+    away = np.abs(book[code].astype(int) - q) / ngram_trie.STEPS
+    assert away.max() < 0.08 and away[share > 0.5].max() < 0.0115
     assert ngram_trie.coded(q[:0], 3)[1].tolist() == [3]
 
 
+def test_codes_sum():
+    """In as many tokens as a shard gets, the coded shares of every context sum to what the exact ones do, within 0.02."""
+    ids, t = {}, []
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist():
+        t += [ids.setdefault(w, len(ids)) for w in words(text)]
+        if len(t) > ngram_trie.SHARD:
+            break
+    t = np.array(t, np.int64)
+    pair, at, n = np.unique(t[:-1] * len(ids) + t[1:], return_inverse=True, return_counts=True)
+    tri, m = np.unique(at[:-1] * len(ids) + t[2:], return_counts=True)
+    for context, count in ((pair // len(ids), n), (tri // len(ids), m)):
+        share = count / (np.bincount(context, count)[context] + ngram_trie.PRIOR)
+        code, book = ngram_trie.coded(ngram_trie.quantised(share), ngram_trie.NONE)
+        assert len(np.unique(share)) > 1000
+        assert np.abs(np.bincount(context, ngram_trie.restored(book[code]) - share)).max() < 0.02
+
+
 def words(t):
     return [*(x for x in "".join(c if c not in "\t\n\v\f\r" else " " for c in (t or "")).translate({c: c + 32 for c in range(65, 91)}).split(" ") if x), None]
 
