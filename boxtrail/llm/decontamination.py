@@ -2,7 +2,7 @@
 
 Texts and items are compared as lower-cased words joined by single spaces. An item may differ from a
 passage by at most ``budget`` edits, so of budget + 1 pieces of the item at least one stands in the
-passage unchanged. Tasks look up the first GRAM bytes of every piece at every offset of a text, check
+passage unchanged. Tasks look up the rarest GRAM bytes of every piece at every offset of a text, check
 the whole piece, and verify the neighbourhood of each hit with Myers' bit-parallel edit distance.
 The items are the query set: they are sent out in blocks of at most BLOCK_CHARS characters, each
 against all texts, so what is broadcast has a fixed bound.
@@ -11,10 +11,12 @@ against all texts, so what is broadcast has a fixed bound.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,18 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (grams * np.uint64(BASE)) >> np.uint64(64 - SLOT_BITS)
 
 
+#: The last block of items that this worker made ready, by run, number of the block, and characters for an edit.
+_ready: dict[tuple[str, int, int], Items] = {}
+
+
+def made_ready(key: tuple[str, int, int], items: Broadcast) -> Items:
+    """The items of a broadcast block, made ready once in a worker and not in each of its tasks; one block is held."""
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = Items(items.value, key[2])
+    return _ready[key]
+
+
 class Items:
     """A block of items, ready to be found in texts."""
 
@@ -80,15 +94,19 @@ class Items:
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, plain(t)) for i, t in items) if t]
         found: dict[int, list] = {}
         self.short = []  # items with a piece too short for a gram are looked for as they are, as whole words
+        whole = []
         for k, (_, text, budget) in enumerate(self.items):
-            cut = pieces(text, budget)
-            if min(len(p.encode()) for _, p in cut) < GRAM:
+            cut = [(start, piece.encode()) for start, piece in pieces(text, budget)]
+            if min(len(raw) for _, raw in cut) < GRAM:
                 self.short.append(k)
-                continue
-            for start, piece in cut:
-                raw = piece.encode()
-                key = int(_grams(raw[:GRAM])[0])
-                found.setdefault(key, []).append((k, start, raw))
+            else:
+                whole += [(k, start, raw) for start, raw in cut]
+        # a piece is found by the gram in it that fewest pieces hold, so a common phrase is not what items are tried at
+        grams = [_grams(raw) for _, _, raw in whole]
+        often = np.bincount(_slots(np.concatenate(grams)), minlength=1 << SLOT_BITS) if grams else None
+        for (k, start, raw), g in zip(whole, grams, strict=True):
+            at = int(often[_slots(g)].argmin())
+            found.setdefault(int(g[at]), []).append((k, start, raw, at))
         self.found = found
         self.keys = np.array(sorted(found), np.uint64)
         self.filter = np.zeros(1 << SLOT_BITS, bool)
@@ -99,15 +117,14 @@ class Items:
         body = plain(text)
         raw = body.encode()
         spots: dict[int, set[int]] = {}  # item -> where it would begin, in characters
-        ascii_only = len(raw) == len(body)
+        char = None if len(raw) == len(body) else np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
         for at in range(0, len(raw), 1 << 18):
             h = _grams(raw[at : at + (1 << 18) + GRAM - 1])
             near = np.flatnonzero(self.filter[_slots(h)])
             for p, key in zip((near + at).tolist(), h[near].tolist(), strict=True):
-                for k, start, piece in self.found.get(key, ()):
-                    if raw.startswith(piece, p):
-                        char = p if ascii_only else len(raw[:p].decode())
-                        spots.setdefault(k, set()).add(char - start)
+                for k, start, piece, before in self.found.get(key, ()):
+                    if p >= before and raw.startswith(piece, p - before):
+                        spots.setdefault(k, set()).add((p - before if char is None else int(char[p - before])) - start)
         hits = [(self.items[k][0], 0) for k in self.short if f" {self.items[k][1]} " in f" {body} "]
         for k, begins in spots.items():
             item_id, item, budget = self.items[k]
@@ -161,15 +178,16 @@ def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_E
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_text string", "hits array<struct<item_id:bigint,edits:bigint>>"])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     out = docs.select(*[f"`{f.name}`" for f in kept], text_of().alias("_text"), F.expr("cast(array() as array<struct<item_id:bigint,edits:bigint>>)").alias("hits"))
-    sent = None
-    for block in blocks(items):
+    sent, run = None, uuid.uuid4().hex
+    for number, block in enumerate(blocks(items)):
         if sent is not None:
             out = cut(out)
             sent.unpersist()
         sent = spark.sparkContext.broadcast(block)
+        key = (run, number, chars_per_edit)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found = Items(sent.value, chars_per_edit)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            found = made_ready(key, sent)
             for batch in batches:
                 at = batch.schema.get_field_index("hits")
                 rows = [

@@ -386,6 +386,16 @@ def test_decontamination_short_and_repeated(odd, spark, monkeypatch):
     assert rows[1] == [3] and len(rows[None]) == 1
 
 
+def test_decontamination_common_begins():
+    """Pieces that begin alike are found by what sets them apart; hits stand right behind letters of several bytes."""
+    rng = random.Random(7)
+    items = [(k, "question: " + "".join(rng.choices("abcdefghijkl", k=90))) for k in range(500)]
+    found = decontamination.Items(items, 20)
+    assert max(map(len, found.found.values())) < 5 and sum(map(len, found.found.values())) == 500 * 6
+    text = "é question: ü " * 2000 + items[3][1] + " 語語 " + items[77][1][:60] + "Z" + items[77][1][61:] + " question: " + items[9][1][:50]
+    assert found.search(text) == [(3, 0), (77, 1)]
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "sat on the mat and looked at the dog")], "item_id long, text string")
     got = {(r.doc_id): r.contaminated for r in decontamination.decontaminate(odd, bench).collect()}
