@@ -3,16 +3,17 @@
 Texts and items are compared as lower-cased words joined by single spaces. An item may differ from a
 passage by at most ``budget`` edits, so of budget + 1 pieces of the item at least one stands in the
 passage unchanged. Tasks look up the rarest GRAM bytes of every piece at every offset of a text, check
-the whole piece, and verify the neighbourhood of each hit with Myers' bit-parallel edit distance.
+the whole piece, and verify the neighbourhoods of the hits of a batch with Myers' bit-parallel edit distance, side by side.
 The items are the query set: they are sent out in blocks of at most BLOCK_CHARS characters, each
 against all texts, so what is broadcast has a fixed bound.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.llm.common import SPACE, cut, id_of, text_of
-from boxtrail.llm.kernels import BASE
+from boxtrail.llm.kernels import BASE, U
 
 #: One edit for so many characters of an item.
 CHARS_PER_EDIT = 20
 GRAM = 8
 SLOT_BITS = 20
 BLOCK_CHARS = 8 << 20
+#: Characters of windows that wait to be verified together; windows side by side at most, and at least.
+WAITING, SIDE, LEAST_SIDE = 1 << 22, 1024, 16
 _RUNS = re.compile(SPACE)
 
 
@@ -61,6 +64,84 @@ def myers(item: str, text: str, budget: int) -> int | None:
     return best if best <= budget else None
 
 
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _side_by_side(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Least edit distance of each item to any substring of its window: the steps of ``myers`` for all pairs at once.
+
+    The items take equally many 64-bit words, and a step walks one character of every window. A window that has ended
+    goes on with a character that no item holds, which can't come nearer.
+    """
+    words = -(-len(pairs[0][0]) // 64)
+    letters, first, masks = {}, {}, []  # of each item: its characters in order; the row of the mask of all others
+    rows = 0
+    for item in dict.fromkeys(item for item, _ in pairs):
+        letters[item], at = np.unique(_chars(item), return_inverse=True)
+        place = np.arange(len(item))
+        mask = np.zeros((words, len(letters[item]) + 1), U)
+        np.bitwise_or.at(mask, (place >> 6, at + 1), U(1) << (place & 63).astype(U))
+        first[item], rows = rows, rows + mask.shape[1]
+        masks.append(mask)
+    mask = np.concatenate(masks, axis=1)
+    steps = np.empty((max(len(w) for _, w in pairs), len(pairs)), np.int64)
+    for k, (item, window) in enumerate(pairs):
+        known, x = letters[item], _chars(window)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        steps[:, k] = first[item]
+        steps[: len(x), k] += np.where(known[at] == x, at + 1, 0)
+    size = np.array([len(item) for item, _ in pairs])
+    top = U(1) << (size - 1 & 63).astype(U)
+    score, best = size.copy(), size.copy()
+    pv, mv = np.full((words, len(pairs)), ~U(0)), np.zeros((words, len(pairs)), U)
+    for step in steps:
+        carry = ph_in = mh_in = U(0)
+        for w in range(words):
+            eq, p = mask[w].take(step), pv[w]
+            xv = eq | mv[w]
+            part = (eq & p) + p
+            total = part + carry
+            carry = ((part < p) | (total < part)).astype(U)
+            xh = (total ^ p) | eq
+            ph, mh = mv[w] | ~(xh | p), p & xh
+            if w == words - 1:
+                score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+            ph, ph_in = ph << U(1) | ph_in, ph >> U(63)
+            mh, mh_in = mh << U(1) | mh_in, mh >> U(63)
+            pv[w], mv[w] = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best
+
+
+def least_edits(pairs: list[tuple[str, str]], budgets: list[int]) -> list[int | None]:
+    """``myers`` for each (item, window). Pairs of like sizes go side by side; a few of a size are sooner done one by one."""
+    out: list[int | None] = [None] * len(pairs)
+    like: dict[tuple[int, int], list[int]] = {}
+    for k, (item, window) in enumerate(pairs):
+        like.setdefault((-(-len(item) // 64), int(4 * math.log2(len(window) + 1))), []).append(k)
+    for group in like.values():
+        for at in range(0, len(group), SIDE):
+            some = group[at : at + SIDE]
+            if len(some) < LEAST_SIDE:
+                for k in some:
+                    out[k] = myers(*pairs[k], budgets[k])
+                continue
+            for k, d in zip(some, _side_by_side([pairs[k] for k in some]).tolist(), strict=True):
+                out[k] = d if d <= budgets[k] else None
+    return out
+
+
+def _windows(body: str, begins: list[int], size: int, budget: int) -> Iterator[str]:
+    """The parts of a text around places where an item of ``size`` characters may begin; places that lie close share one."""
+    while begins:
+        n = 1
+        while n < len(begins) and begins[n] - begins[n - 1] <= size:
+            n += 1
+        yield body[max(0, begins[0] - budget) : begins[n - 1] + size + budget]
+        begins = begins[n:]
+
+
 def _grams(data: bytes) -> np.ndarray:
     """The GRAM = 8 bytes from every offset on, as one number."""
     n = len(data) - GRAM + 1
@@ -112,11 +193,10 @@ class Items:
         self.filter = np.zeros(1 << SLOT_BITS, bool)
         self.filter[_slots(self.keys)] = True
 
-    def search(self, text: str) -> list[tuple[int, int]]:
-        """(item_id, edits) of each item that ``text`` holds; of items that share an id the one with least edits counts."""
-        body = plain(text)
+    def _spots(self, body: str) -> dict[int, set[int]]:
+        """Items that have a piece in the text, with where they would begin, in characters."""
         raw = body.encode()
-        spots: dict[int, set[int]] = {}  # item -> where it would begin, in characters
+        spots: dict[int, set[int]] = {}
         char = None if len(raw) == len(body) else np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
         for at in range(0, len(raw), 1 << 18):
             h = _grams(raw[at : at + (1 << 18) + GRAM - 1])
@@ -125,23 +205,46 @@ class Items:
                 for k, start, piece, before in self.found.get(key, ()):
                     if p >= before and raw.startswith(piece, p - before):
                         spots.setdefault(k, set()).add((p - before if char is None else int(char[p - before])) - start)
-        hits = [(self.items[k][0], 0) for k in self.short if f" {self.items[k][1]} " in f" {body} "]
-        for k, begins in spots.items():
-            item_id, item, budget = self.items[k]
-            best, order = None, sorted(begins)
-            while order and best != 0:  # begins that lie close share a window
-                n = 1
-                while n < len(order) and order[n] - order[n - 1] <= len(item):
-                    n += 1
-                got = myers(item, body[max(0, order[0] - budget) : order[n - 1] + len(item) + budget], budget)
-                best = got if best is None or (got is not None and got < best) else best
-                order = order[n:]
-            if best is not None:
-                hits.append((item_id, best))
-        least: dict[int, int] = {}
-        for item_id, edits in hits:
-            least[item_id] = min(edits, least.get(item_id, edits))
-        return sorted(least.items())
+        return spots
+
+    def search_all(self, texts: Iterable[str]) -> list[list[tuple[int, int]]]:
+        """For each text the (item_id, edits) of the items it holds; of items that share an id the one with least edits counts.
+
+        Windows of several texts are verified together, whenever WAITING characters of them have come.
+        """
+        out: list[dict[int, int]] = []
+        waiting: list[tuple[dict[int, int], int, str]] = []
+        size = 0
+
+        def settle() -> None:
+            pairs = [(self.items[k][1], window) for _, k, window in waiting]
+            for (least, k, _), d in zip(waiting, least_edits(pairs, [self.items[k][2] for _, k, _ in waiting]), strict=True):
+                if d is not None:
+                    merged(least, [(self.items[k][0], d)])
+            waiting.clear()
+
+        for text in texts:
+            body = plain(text)
+            least = {self.items[k][0]: 0 for k in self.short if f" {self.items[k][1]} " in f" {body} "}
+            out.append(least)
+            for k, begins in self._spots(body).items():
+                item_id, item, budget = self.items[k]
+                for window in _windows(body, sorted(begins), len(item), budget):
+                    if least.get(item_id) == 0:
+                        break
+                    if item in window:
+                        least[item_id] = 0
+                    else:
+                        waiting.append((least, k, window))
+                        size += len(window)
+            if size > WAITING:
+                settle()
+                size = 0
+        settle()
+        return [sorted(least.items()) for least in out]
+
+    def search(self, text: str) -> list[tuple[int, int]]:
+        return self.search_all([text])[0]
 
 
 def merged(had: dict[int, int], new: list[tuple[int, int]]) -> dict[int, int]:
@@ -190,10 +293,8 @@ def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_E
             found = made_ready(key, sent)
             for batch in batches:
                 at = batch.schema.get_field_index("hits")
-                rows = [
-                    sorted(merged({h["item_id"]: h["edits"] for h in had.as_py()}, found.search(t.as_py())).items())
-                    for t, had in zip(batch.column("_text"), batch.column(at), strict=True)
-                ]
+                new = found.search_all(t.as_py() for t in batch.column("_text"))
+                rows = [sorted(merged({h["item_id"]: h["edits"] for h in had.as_py()}, n).items()) for had, n in zip(batch.column(at), new, strict=True)]
                 hits = pa.array([[{"item_id": i, "edits": e} for i, e in r] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], hits], batch.schema.names)
 

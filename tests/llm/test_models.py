@@ -345,6 +345,24 @@ def test_myers(a, b, budget):
     assert decontamination.myers(a, b, budget) == (d if d <= budget else None)
 
 
+def test_edits_side_by_side():
+    """Windows of a batch, verified together, against the table of distances: items of one to four words of 64 bits, any letters."""
+    rng = random.Random(11)
+    pairs = []
+    for size in (1, 5, 63, 64, 65, 127, 128, 129, 200) * 5:
+        for _ in range(6):
+            item = "".join(rng.choices("abcé語 ", k=size))
+            near = [c for c in item for c in ([c] if rng.random() > 0.06 else rng.choice(([], [c, "x"], ["b"])))]
+            pairs.append((item, "".join(rng.choices("abcé語 z", k=rng.randrange(6))) + "".join(near) + "".join(rng.choices("abz", k=rng.randrange(6)))))
+    pairs.append(("abc", ""))
+    want = [distance(a, b) for a, b in pairs]
+    for size in (1, 64, 65, 128, 129):
+        like = [k for k, (a, _) in enumerate(pairs) if -(-len(a) // 64) == -(-size // 64)]
+        assert decontamination._side_by_side([pairs[k] for k in like]).tolist() == [want[k] for k in like]
+    budgets = [rng.randrange(12) for _ in pairs]
+    assert decontamination.least_edits(pairs, budgets) == [d if d <= b else None for d, b in zip(want, budgets)]
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
