@@ -59,15 +59,14 @@ def text_of(name: str = "text") -> Column:
 
 def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
     """Rows (id, text, others) with ids that stand for one text each, (id, shown) where ids had to be replaced, and
-    whether any id occurs more than once. New ids keep the order of the old ones, and of one id's texts by their hashes.
+    whether any id occurs more than once. New ids, with gaps, keep the order of the old ones, and of one id's texts by their hashes.
     """
     marks = rows.select("id", F.xxhash64("text").alias("mark"))
     often = marks.groupBy("id").agg(F.count("*").alias("n"), F.min("mark").alias("x"), F.max("mark").alias("y")).filter("n > 1")
     n, apart = often.agg(F.count("*"), F.max(F.col("x") != F.col("y"))).first()
     if not apart:
         return rows, None, n > 0
-    pairs = marks.distinct().orderBy("id", "mark").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1]))
-    pairs = cut(rows.sparkSession.createDataFrame(pairs, "new long, id long, mark long"))
+    pairs = cut(marks.distinct().orderBy("id", "mark").withColumn("new", F.monotonically_increasing_id()))  # ranges in order, so numbers rise
     told = rows.withColumn("mark", F.xxhash64("text")).join(pairs, ["id", "mark"]).select(F.col("new").alias("id"), *(c for c in rows.columns if c != "id"))
     return told, pairs.select(F.col("new").alias("id"), F.col("id").alias("shown")), True
 
