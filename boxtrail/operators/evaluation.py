@@ -66,17 +66,19 @@ def sweep_matrix(rows: DataFrame, seconds: list[int]) -> DataFrame:
     return table.select("threshold", *[F.col(str(x)).alias(f"s{x}") for x in seconds])
 
 
-def clip_matrix(rows: DataFrame) -> DataFrame:
-    """Results of all clips per threshold and duration as a map from clip to result, and the counts."""
-    return rows.groupBy("threshold", "seconds").agg(
-        F.array_sort(F.collect_list(F.concat_ws("=", "video", "result"))).alias("results"), F.count_if(F.col("result").isin("TP", "TN")).alias("correct")
-    )
+def clip_matrix(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """A row for each clip and duration, with its result at every given threshold (t0_05 for 0.05) and how many are correct.
+
+    The grid is in the columns, so rows grow with the clips and no cell holds more than one result.
+    """
+    cells = [F.max(F.when(F.col("threshold") == t, F.col("result"))).alias(f"t{t:.2f}".replace(".", "_")) for t in thresholds]
+    return rows.groupBy("path", "video", "seconds").agg(*cells, F.count_if(F.col("result").isin("TP", "TN")).alias("correct"))
 
 
 def by_tag(rows: DataFrame) -> DataFrame:
-    """Clip results listed per tag in row order."""
-    said = F.array_sort(F.collect_list(F.struct("video", "result")))
-    return rows.groupBy("threshold", "seconds", "clip_tag").agg(F.transform(said, lambda x: F.concat_ws(": ", x["video"], x["result"])).alias("clips"))
+    """A line 'clip: result' for each clip of each tag, by grid point, tag and clip: sorted in ranges, so a tag's lines may fill many tasks."""
+    lines = rows.select("threshold", "seconds", "clip_tag", "video", "path", F.concat_ws(": ", "video", "result").alias("line"))
+    return lines.orderBy("threshold", "seconds", "clip_tag", "video", "path")
 
 
 def streaks_for_grid(streaks: DataFrame, seconds: DataFrame) -> DataFrame:

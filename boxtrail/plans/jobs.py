@@ -273,12 +273,12 @@ def _(d):
     return ev.sweep_matrix(sweep_rows(d), SECONDS)
 
 
-@query("clip_matrix", SWEEP + "SELECT threshold, seconds, list_sort(list(video || '=' || result)) AS results, count(*) FILTER (result IN ('TP', 'TN')) AS correct FROM tr GROUP BY ALL")
+@query("clip_matrix", SWEEP + "SELECT path, video, seconds, " + ", ".join(f"max(result) FILTER (threshold = {t}) AS t{t:.2f}".replace("t0.", "t0_") for t in GRID) + ", count(*) FILTER (result IN ('TP', 'TN')) AS correct FROM tr GROUP BY ALL")
 def _(d):
-    return ev.clip_matrix(sweep_rows(d))
+    return ev.clip_matrix(sweep_rows(d), GRID)
 
 
-@query("by_tag", SWEEP + "SELECT threshold, seconds, clip_tag, list(video || ': ' || result ORDER BY video, result) AS clips FROM tr GROUP BY ALL")
+@query("by_tag", SWEEP + "SELECT threshold, seconds, clip_tag, video, path, video || ': ' || result AS line FROM tr")
 def _(d):
     return ev.by_tag(sweep_rows(d))
 

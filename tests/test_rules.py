@@ -389,6 +389,19 @@ def test_manifest_of_several_files(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_clip_matrix_and_tags(spark):
+    """Two clips of one name stay apart; a grid point that a clip lacks is null; a tag's lines come sorted."""
+    grid = [(0.05, "TP"), (0.08, "FN")]
+    rows = [("x/TPa.mp4", "TPa.mp4", t, 3, r, "TP") for t, r in grid] + [("y/TPa.mp4", "TPa.mp4", 0.05, 3, "FN", "TP"), ("x/FPb.mp4", "FPb.mp4", 0.08, 5, "TN", "FP")]
+    df = spark.createDataFrame(rows, "path string, video string, threshold double, seconds int, result string, clip_tag string")
+    got = {(r.path, r.seconds): (r.t0_05, r.t0_08, r.correct) for r in evaluation.clip_matrix(df, [0.05, 0.08]).collect()}
+    assert got == {("x/TPa.mp4", 3): ("TP", "FN", 1), ("y/TPa.mp4", 3): ("FN", None, 0), ("x/FPb.mp4", 5): (None, "TN", 1)}
+    said = [tuple(r) for r in evaluation.by_tag(df).collect()]
+    assert said == sorted(said) and len(said) == 4
+    assert said[0] == (0.05, 3, "TP", "TPa.mp4", "x/TPa.mp4", "TPa.mp4: TP") and said[1][-1] == "TPa.mp4: FN"
+    assert evaluation.clip_matrix(df.limit(0), [0.05]).count() == 0
+
+
 def test_repeated_run(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     rows = spark.createDataFrame([(k, k / 3) for k in range(9)], "clip int, sec double")
