@@ -253,6 +253,24 @@ def test_stream_tracks_equal_batch(spark):
         assert seen.setdefault(a, b) == b and back.setdefault(b, a) == a
 
 
+def test_windows_of_many_files_come_whole(spark, tmp_path):
+    """A window of several files is one trigger, so none of its rows is late; windows with less rows have empty files."""
+    from boxtrail.streaming import detections as st
+
+    rows = [(v, f, 4.0) for v in range(40) for f in range(128)] + [(-1, 4000, 4.0)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, fps double").repartition(8)
+    path = f"file://{tmp_path}/windows"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        files = st.write_windows(df, path, 16, 500) or 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = st.run_to_end(st.session_gaps(st.stream_rows(spark, path, df.schema, files=files))).collect()
+    assert sorted(map(tuple, got)) == [(v, 0, 127, 128) for v in range(40)]
+    assert files == 6 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) == 3 * files
+
+
 def test_stream_plates_equal_batch(spark):
     key = ["video_id", "track_id", "frame_idx", "action"]
     one = catalog.queries()["stream_plates"](spark, SF).select(*key)
