@@ -508,3 +508,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_are_made_where_they_lie(spark, monkeypatch):
+    """Actors are dealt out by video; their rows, many more, go through tracks, frames and joins by frame without another exchange."""
+    import re
+
+    from boxtrail.plans import timerule
+    from boxtrail.plans.registry import Tables
+    from boxtrail.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "PER_PARTITION", 200)
+    d = Tables(spark, SF)
+    rows = d["detections"].select("video_id", "frame_idx", "ord", "pose_hit").join(d["detections"].select("video_id", "frame_idx", "ord", "label"), ["video_id", "frame_idx", "ord"])
+    for plan in (timerule.per_second(d), sampling.gate(d["detections"], d["detections"], ("person",), 0.4), rows):
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan._jdf.queryExecution().executedPlan().toString())
+        assert dealt and all(re.match(r"video_id#\d+L?, \d+$", x) for x in dealt), dealt
