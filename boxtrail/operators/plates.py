@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxtrail.functions.text import inner_dash, plate_label, plate_text
 from boxtrail.operators.machines import PlateState
+from boxtrail.operators.spread import placed
 from boxtrail.settings import DEFAULT, Settings
 
 TRACK = ["video_id", "track_id"]
@@ -106,5 +107,4 @@ def read_cadence(readings: DataFrame, s: Settings = DEFAULT, key: tuple[str, ...
     rows = rows.select(*key, "frame_idx", "score", "norm", "dashed", *[F.col(c).cast("double").alias(c) for c in PLATE_BOX])
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in (*key, "frame_idx")) + ", action string, text string, text_confidence double, locked boolean"
-    met = rows.repartition(*key).sortWithinPartitions(*key, "frame_idx")
-    return met.mapInArrow(_cadence(list(key), s), schema)
+    return placed(rows, list(key), ["frame_idx"]).mapInArrow(_cadence(list(key), s), schema)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxtrail.operators.spread import placed
 from boxtrail.settings import DEFAULT
 
 
@@ -89,12 +90,12 @@ def callback_boxes(frames: DataFrame, callback: Callable, batched: bool = False,
             yield called(held)
 
     def called(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _exploded(pdf, [flat(x) for x in callback(items(pdf))], names).drop(columns=["image", "_window"])
+        return _exploded(pdf, [flat(x) for x in callback(items(pdf))], names).drop(columns=["image", "_window", "_place"])
 
     if not batched:
         return frames.mapInPandas(single, _with(frames, BOXES, ("image",)))
     rows = frames.withColumn("_window", F.expr(f"frame_idx div (stride * {window})"))
-    met = rows.repartition("video_id", "_window").sortWithinPartitions("video_id", "_window", "frame_idx")
+    met = placed(rows, ["video_id", "_window"], ["frame_idx"])
     return met.mapInPandas(windows, _with(rows, BOXES, ("image", "_window")))
 
 
