@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -524,3 +525,22 @@ def test_rows_are_made_where_they_lie(spark, monkeypatch):
     for plan in (timerule.per_second(d), sampling.gate(d["detections"], d["detections"], ("person",), 0.4), rows):
         dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan._jdf.queryExecution().executedPlan().toString())
         assert dealt and all(re.match(r"video_id#\d+L?, \d+$", x) for x in dealt), dealt
+
+
+def test_overlap_pairs_across_buckets_and_crowds(spark, monkeypatch):
+    """Pairs equal a plain double loop, over the edge of a bucket and where a sample is compared in pieces; a sample that is missing has no pairs."""
+    edge = tracking.BUCKET
+    box = lambda v, f, k: (float(k * 13 % 40), float(k * 7 % 30 + v), float(k * 13 % 40 + 30), float(k * 7 % 30 + v + 40))
+    frames = [0, 2, 3, 4, 8, edge - 2, edge - 1, edge, edge + 2]
+    rows = [(v, f, k, 2, *box(v, f, k + f)) for v in (0, 1) for f in frames for k in range(5)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, ord int, stride int, x1 double, y1 double, x2 double, y2 double")
+    want = {(b[0], b[1], a[2], b[2]): tracking.overlap(a[4:], b[4:]) for a in rows for b in rows if a[0] == b[0] and b[1] == a[1] + 2}
+    want = pytest.approx({k: x for k, x in want.items() if x >= 0.35})
+    got = {(r.video_id, r.frame_idx, r.prev_ord, r.ord): r.iou for r in tracking.overlap_pairs(df, 0.35).collect()}
+    assert got == want and {k[1] for k in got} == {2, 4, edge, edge + 2}
+    monkeypatch.setattr(tracking, "PAIRS", 8)
+    near = [(*r, b, r[1] // edge) for b in (0, 1) for r in rows if b in (r[1] // edge, (r[1] + 2) // edge)]
+    columns = ["video_id", "frame_idx", "ord", "stride", "x1", "y1", "x2", "y2", "bucket", "own"]
+    table = pa.Table.from_pydict({c: list(x) for c, x in zip(columns, zip(*sorted(near, key=lambda r: (r[0], r[8], *r[1:3])), strict=True), strict=True)})
+    pieces = [tuple(r.values()) for b in tracking._paired(0.35)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert {r[:4]: r[4] for r in pieces} == want and len(pieces) == len(got)
