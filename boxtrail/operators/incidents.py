@@ -7,7 +7,7 @@ merged per video.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as g
@@ -20,31 +20,35 @@ def _by_frame():
     return Window.partitionBy(*TRACK).orderBy("frame_idx")
 
 
-def box_motion(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Adds first and moved: a sample moved when it is not the first and fails the stillness test against the one before."""
-    before = {f"b_{c}": F.lag(c).over(_by_frame()) for c in g.Box._fields}
+def _second() -> Column:
+    return F.floor(F.col("frame_idx") / F.col("fps") + 1e-9)
+
+
+def box_motion(samples: DataFrame, s: Settings = DEFAULT, by: WindowSpec | None = None) -> DataFrame:
+    """Adds first and moved: a sample moved when it is not the first and fails the stillness test against the one before.
+
+    Here and below ``by`` is a track's order, where the rows already lie in one that comes to the same as that of frames.
+    """
+    before = {f"b_{c}": F.lag(c).over(by or _by_frame()) for c in g.Box._fields}
     rows = samples.withColumns(before).withColumn("first", F.col("b_x1").isNull())
     still = g.is_still(g.box("b_"), g.box(), s.still_iou, s.still_motion, s.still_size)
     return rows.withColumn("moved", ~F.col("first") & ~F.coalesce(still, F.lit(False))).drop(*before)
 
 
-def still_time(moved: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def still_time(moved: DataFrame, s: Settings = DEFAULT, by: WindowSpec | None = None) -> DataFrame:
     """Adds run, still_frames and ready: a run starts at a first or moved sample and is ready after still_seconds."""
     breaks = (F.col("first") | F.col("moved")).cast("int")
-    rows = moved.withColumn("run", F.sum(breaks).over(_by_frame()))
-    start = F.max(F.when(F.col("first") | F.col("moved"), F.col("frame_idx"))).over(_by_frame())
+    rows = moved.withColumn("run", F.sum(breaks).over(by or _by_frame()))
+    start = F.max(F.when(F.col("first") | F.col("moved"), F.col("frame_idx"))).over(by or _by_frame())
     rows = rows.withColumn("still_frames", F.col("frame_idx") - start)
     return rows.withColumn("ready", (breaks == 0) & (F.col("still_frames") >= s.still_seconds * F.col("fps")))
 
 
-def gated_hits(ready: DataFrame) -> DataFrame:
-    """Adds sec, counted (a hit of a ready sample), next_frame and next_moved of the track."""
-    return (
-        ready.withColumn("sec", F.floor(F.col("frame_idx") / F.col("fps") + 1e-9))
-        .withColumn("counted", F.col("hit") & F.col("ready"))
-        .withColumn("next_frame", F.lead("frame_idx").over(_by_frame()))
-        .withColumn("next_moved", F.lead("moved").over(_by_frame()))
-    )
+def gated_hits(ready: DataFrame, by: WindowSpec | None = None) -> DataFrame:
+    """Adds sec (where ``by`` is given the rows have it), counted (a hit of a ready sample), next_frame and next_moved of the track."""
+    rows = ready if by else ready.withColumn("sec", _second())
+    by = by or _by_frame()
+    return rows.withColumn("counted", F.col("hit") & F.col("ready")).withColumns({"next_frame": F.lead("frame_idx").over(by), "next_moved": F.lead("moved").over(by)})
 
 
 def hits_per_second(hits: DataFrame, count: Column | None = None) -> DataFrame:
@@ -164,9 +168,13 @@ def held_boxes(samples: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.filter(F.col("from") < F.col("to"))
 
 
-def marked_frames(samples: DataFrame, ranges: DataFrame, clips: DataFrame) -> DataFrame:
-    """The box of every confirmed track on every frame of its clip while it is active, from the boxes alone."""
-    held = held_boxes(samples, ranges).join(clips.select("video_id", "total_frames"), "video_id").filter(F.col("from") < F.col("total_frames"))
+def marked_frames(samples: DataFrame, clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The box of every confirmed track on every frame of its clip while it is active, from the boxes alone. The samples are passed once."""
+    ends = F.floor(F.max(F.col("frame_idx") + s.max_missed * F.col("fps")).over(Window.partitionBy(*TRACK))).cast("long") + 1
+    rows = sample_state(samples, s).withColumn("expiry_frame", ends).filter("confirm_frame is not null")
+    upto = F.least(F.coalesce("next_frame", "expiry_frame"), "expiry_frame")
+    held = rows.select(*TRACK, F.greatest("frame_idx", "confirm_frame").alias("from"), upto.alias("to"), *g.Box._fields).filter(F.col("from") < F.col("to"))
+    held = held.join(clips.select("video_id", "total_frames"), "video_id").filter(F.col("from") < F.col("total_frames"))
     at = F.explode(F.sequence("from", F.least("to", "total_frames") - 1))
     return held.select("video_id", at.alias("frame_idx"), "track_id", *g.Box._fields)
 
@@ -177,24 +185,37 @@ def marked_boxes(frames: DataFrame, samples: DataFrame, ranges: DataFrame) -> Da
     return in_ranges(frames.select("video_id", "frame_idx"), held, "from", "to").select("video_id", "frame_idx", "track_id", *g.Box._fields)
 
 
-def sample_state(hits: DataFrame, streaks: DataFrame, ranges: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Per sample: good_seconds so far (of the streak that reaches the second before), confirmed, suspected.
+def sample_state(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Per sample: good_seconds so far (of the streak that reaches the second before), confirm_frame of its track, confirmed, suspected.
 
-    A streak shows from the sample after its second on, and is gone when the second before is not in it.
+    A streak shows from the sample after its second on, and is gone when the second before is not in it. The samples are
+    passed once: all windows go by track in the order of seconds and frames, so one sort serves them, and what is known by
+    second or by track stands on each sample.
     """
-    prev = Window.partitionBy(*TRACK).orderBy("sec").rangeBetween(Window.unboundedPreceding, -1)
-    secs = hits.groupBy(*TRACK, "sec").agg(F.max(F.col("moved").cast("int")).alias("m"))
-    shown = secs.join(streaks.select(*TRACK, "sec", "streak"), [*TRACK, "sec"], "left")
-    last = F.max(F.struct("sec", F.coalesce("streak", F.lit(0)).alias("streak"))).over(prev)
-    shown = shown.withColumn("last", last).select(
-        *TRACK, "sec", F.when(F.col("last.sec") == F.col("sec") - 1, F.col("last.streak")).otherwise(0).alias("before")
-    )
-    moved_yet = F.max(F.col("moved").cast("int")).over(Window.partitionBy(*TRACK, "sec").orderBy("frame_idx"))
-    rows = hits.withColumn("moved_yet", moved_yet).join(shown, [*TRACK, "sec"])
-    rows = rows.withColumn("good_seconds", F.when(F.col("moved_yet") == 1, 0).otherwise(F.col("before")))
-    rows = rows.join(ranges.select(*TRACK, "confirm_frame"), TRACK, "left")
+    track = Window.partitionBy(*TRACK)
+    by_frame = track.orderBy("sec", "frame_idx")
+    second = Window.partitionBy(*TRACK, "sec").orderBy("frame_idx")
+    whole = second.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = by_frame.rowsBetween(Window.unboundedPreceding, 0)
+    rows = samples.withColumn("sec", _second())
+    hits = gated_hits(still_time(box_motion(rows, s, by_frame), s, by_frame), by_frame)
+    of_second = {
+        "last_run": F.last("run").over(whole), "has_motion": F.max("moved").over(whole), "then": F.last("next_frame").over(whole),
+        "then_moved": F.coalesce(F.last("next_moved").over(whole), F.lit(False)), "moved_yet": F.max("moved").over(second.rowsBetween(Window.unboundedPreceding, 0)),
+    }
+    rows = hits.withColumns(of_second).withColumn("hits", F.count_if(F.col("counted") & (F.col("run") == F.col("last_run"))).over(whole))
+    rows = rows.withColumn("good", (F.col("hits") >= s.hits_per_second) & F.col("then").isNotNull() & ~F.col("then_moved"))
+    rows = rows.withColumns({"p_sec": F.lag("sec").over(by_frame), "p_good": F.lag("good").over(by_frame)})
+    apart = F.col("p_sec").isNull() | (F.col("p_sec") < F.col("sec") - 1) | ~F.col("p_good") | F.col("has_motion")
+    begins = F.col("good") & (F.col("p_sec").isNull() | (F.col("p_sec") < F.col("sec"))) & apart
+    rows = rows.withColumn("began", F.max(F.when(begins, F.col("sec"))).over(so_far))
+    rows = rows.withColumn("streak", F.when(F.col("good"), F.col("sec") - F.col("began") + 1))
+    before = F.coalesce(F.max("streak").over(track.orderBy("sec").rangeBetween(-1, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumn("before", before).withColumn("confirm_frame", F.min(F.when(F.col("streak") >= s.seconds_required, F.col("then"))).over(track))
+    rows = rows.withColumn("good_seconds", F.when(F.col("moved_yet"), 0).otherwise(F.col("before")))
     rows = rows.withColumn("confirmed", F.coalesce(F.col("frame_idx") >= F.col("confirm_frame"), F.lit(False)))
-    return rows.withColumn("suspected", ~F.col("confirmed") & F.col("ready") & (F.col("good_seconds") > 0)).drop("before", "moved_yet")
+    rows = rows.withColumn("suspected", ~F.col("confirmed") & F.col("ready") & (F.col("good_seconds") > 0))
+    return rows.drop("last_run", "has_motion", "then", "then_moved", "moved_yet", "hits", "good", "p_sec", "p_good", "began", "streak", "before")
 
 
 def progress_score(state: DataFrame, s: Settings = DEFAULT) -> DataFrame:

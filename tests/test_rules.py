@@ -544,3 +544,17 @@ def test_overlap_pairs_across_buckets_and_crowds(spark, monkeypatch):
     table = pa.Table.from_pydict({c: list(x) for c, x in zip(columns, zip(*sorted(near, key=lambda r: (r[0], r[8], *r[1:3])), strict=True), strict=True)})
     pieces = [tuple(r.values()) for b in tracking._paired(0.35)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
     assert {r[:4]: r[4] for r in pieces} == want and len(pieces) == len(got)
+
+
+def test_sample_state_and_marked_frames_pass_samples_once(spark, tmp_path):
+    """Each reads its samples once: no join with another pass over them, and one sort by track serves all windows."""
+    rows = [(0, 0, f, 8.0, 0.0, 0.0, 60.0, 140.0, True) for f in range(0, 200, 2)]
+    schema = "video_id long, track_id long, frame_idx long, fps double, x1 double, y1 double, x2 double, y2 double, hit boolean"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/s")
+    samples, clips = spark.read.parquet(f"{tmp_path}/s"), spark.createDataFrame([(0, 210)], "video_id long, total_frames long")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    state, marked = incidents.sample_state(samples), incidents.marked_frames(samples, clips)
+    assert plan(state).count("FileScan parquet") == plan(marked).count("FileScan parquet") == 1
+    assert state._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert state.filter("confirmed").agg({"frame_idx": "min"}).first()[0] == 88  # still from second 1 on, ten good seconds
+    assert marked.count() == 210 - 88
