@@ -1,5 +1,6 @@
 """Unit cases, sequential restatements on random clips, and sources and sinks."""
 
+import os
 import random
 
 import numpy as np
@@ -295,6 +296,20 @@ def test_exit_without_a_following_row(spark):
     assert sorted((r.video_id, r.event, r.frame_idx) for r in got) == [(1, "enter", 88), (1, "exit", 238 + 25)]
 
 
+def test_state_partitions_grow_with_rows(spark):
+    """A replay has state for its rows, not for the session's number of partitions, which stays as it was; commits write changes."""
+    from boxtrail.streaming import detections as st
+
+    assert st.state_partitions(spark, 10) == 4 and st.state_partitions(spark, 50 * st.STATE_ROWS + 1) == 51
+    df = spark.createDataFrame([(v, f, 4.0) for v in range(9) for f in range(64)], "video_id long, frame_idx long, fps double")
+    path, log = src.scratch(spark, "few"), src.scratch(spark, "few-log")
+    st.write_windows(df, path, 16)
+    st.run_to_end(st.session_gaps(st.stream_rows(spark, path, df.schema)), path=log, partitions=3)
+    assert len([k for k in os.listdir(f"{log.removeprefix('file:').replace('///', '/')}/log/state/0") if k.isdigit()]) == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled") == "true"
+
+
 def test_state_by_track_and_restart(spark):
     """A batch that touches one track writes that one's entry, and a restart from the checkpoint goes on as if there had been none."""
     from boxtrail.streaming import detections as st
