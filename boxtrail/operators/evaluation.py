@@ -81,10 +81,10 @@ def by_tag(rows: DataFrame) -> DataFrame:
     return lines.orderBy("threshold", "seconds", "clip_tag", "video", "path")
 
 
-def streaks_for_grid(streaks: DataFrame, seconds: DataFrame) -> DataFrame:
-    """Confirming frame per track and grid point from streaks (threshold, sec, streak, next_frame), without a rerun."""
+def streaks_for_grid(streaks: DataFrame, seconds: DataFrame, of_track: tuple[str, ...] = ()) -> DataFrame:
+    """Confirming frame per track and grid point from streaks (threshold, sec, streak, next_frame), without a rerun; ``of_track`` are a track's columns to keep."""
     joined = streaks.join(F.broadcast(seconds), F.col("streak") >= F.col("seconds"))
-    return joined.groupBy("video_id", "track_id", "threshold", "seconds").agg(F.min("next_frame").alias("confirm_frame"))
+    return joined.groupBy("video_id", "track_id", *of_track, "threshold", "seconds").agg(F.min("next_frame").alias("confirm_frame"))
 
 
 def event_counts(ranges: DataFrame) -> DataFrame:

@@ -51,18 +51,18 @@ def gated_hits(ready: DataFrame, by: WindowSpec | None = None) -> DataFrame:
     return rows.withColumn("counted", F.col("hit") & F.col("ready")).withColumns({"next_frame": F.lead("frame_idx").over(by), "next_moved": F.lead("moved").over(by)})
 
 
-def hits_per_second(hits: DataFrame, count: Column | None = None) -> DataFrame:
+def hits_per_second(hits: DataFrame, count: Column | None = None, of_track: tuple[str, ...] = ()) -> DataFrame:
     """Per track and second: samples, hits of the last run in it, any motion, and what the next sample does.
 
-    ``count`` is what hits aggregates, by default the counted samples.
+    ``count`` is what hits aggregates, by default the counted samples; ``of_track`` are columns to keep that a track has one value of.
     """
-    by_run = hits.groupBy(*TRACK, "sec", "run").agg(
+    by_run = hits.groupBy(*TRACK, *of_track, "sec", "run").agg(
         F.count("*").alias("n"),
         (F.count_if("counted") if count is None else count).alias("hits"),
         F.max(F.col("moved").cast("int")).alias("m"),
         F.max(F.struct("frame_idx", "next_frame", "next_moved")).alias("last"),
     )
-    return by_run.groupBy(*TRACK, "sec").agg(
+    return by_run.groupBy(*TRACK, *of_track, "sec").agg(
         F.sum("n").alias("samples"),
         F.max_by("hits", "run").alias("hits"),
         (F.max("m") == 1).alias("has_motion"),
@@ -94,6 +94,12 @@ def confirm_latch(streaks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return streaks.filter(F.col("streak") >= s.seconds_required).groupBy(*TRACK).agg(F.min("next_frame").alias("confirm_frame"))
 
 
+def with_expiry(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Adds expiry_frame to a track's samples: the first frame more than max_missed seconds after its last sample."""
+    last = F.max(F.col("frame_idx") + s.max_missed * F.col("fps")).over(Window.partitionBy(*TRACK))
+    return samples.withColumn("expiry_frame", F.floor(last).cast("long") + 1)
+
+
 def track_expiry(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Per track the first frame more than max_missed seconds after its last sample."""
     ends = F.floor(F.max(F.col("frame_idx") + s.max_missed * F.col("fps"))).cast("long") + 1
@@ -170,8 +176,7 @@ def held_boxes(samples: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def marked_frames(samples: DataFrame, clips: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The box of every confirmed track on every frame of its clip while it is active, from the boxes alone. The samples are passed once."""
-    ends = F.floor(F.max(F.col("frame_idx") + s.max_missed * F.col("fps")).over(Window.partitionBy(*TRACK))).cast("long") + 1
-    rows = sample_state(samples, s).withColumn("expiry_frame", ends).filter("confirm_frame is not null")
+    rows = with_expiry(sample_state(samples, s), s).filter("confirm_frame is not null")
     upto = F.least(F.coalesce("next_frame", "expiry_frame"), "expiry_frame")
     held = rows.select(*TRACK, F.greatest("frame_idx", "confirm_frame").alias("from"), upto.alias("to"), *g.Box._fields).filter(F.col("from") < F.col("to"))
     held = held.join(clips.select("video_id", "total_frames"), "video_id").filter(F.col("from") < F.col("total_frames"))

@@ -296,6 +296,12 @@ def test_exit_without_a_following_row(spark):
     assert sorted((r.video_id, r.event, r.frame_idx) for r in got) == [(1, "enter", 88), (1, "exit", 238 + 25)]
 
 
+def test_sweep_walks_boxes_once(spark):
+    """Boxes are associated once for all grid points and for the ends of tracks."""
+    plan = catalog.queries()["sweep_job_tracked"](spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_state_partitions_grow_with_rows(spark):
     """A replay has state for its rows, not for the session's number of partitions, which stays as it was; commits write changes."""
     from boxtrail.streaming import detections as st
