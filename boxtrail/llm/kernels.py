@@ -6,8 +6,11 @@ are then hashed together, without a loop over texts or words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,3 +94,27 @@ def shingles(word: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         there = at + k < offsets[1:][text]
         h = np.where(there, mix(h * U(3) + word[np.minimum(at + k, max(0, len(word) - 1))] if len(word) else h), h)
     return h, out
+
+
+#: Rows and bytes of the texts that are hashed at once: arrays of words and shingles take some 25 times the bytes.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 1 << 20
+
+
+def stretches(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in consecutive slices of at most ROWS_AT_ONCE rows and BYTES_AT_ONCE bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))), at + ROWS_AT_ONCE)
+        yield column.slice(at, to - at)
+        at = to
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text of a column without nulls."""
+    sets = []
+    for some in stretches(column):
+        h, begins = shingles(*words(some), size)
+        sets += [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    return sets

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import cut, id_of, shown_id, text_of, told_apart
-from boxtrail.llm.kernels import U, mix, shingles, words
+from boxtrail.llm.common import cut, id_of, shown_id, small_batches, text_of, told_apart
+from boxtrail.llm.kernels import U, mix, shingle_sets, shingles, stretches, words
 from boxtrail.operators.tracking import whole_groups
 
 #: Sketch parameters of the published scheme: base, rate, largest level.
@@ -118,8 +118,10 @@ def could_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
 def _described(size: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            at = 0
+            for some in stretches(whole.column(1)):
+                batch = whole.slice(at, len(some))
+                at += len(some)
                 w, offsets = words(batch.column(1))
                 h, begins = shingles(w, offsets, size)
                 text = np.repeat(np.arange(batch.num_rows), np.diff(begins))
@@ -173,9 +175,7 @@ def links(left: list[tuple], right: list[tuple] | None, size: int, percent: int)
     ids = [m[0] for m in both]
     n = np.array([m[1] for m in both], np.float64)
     reg = np.frombuffer(b"".join(m[2] for m in both), np.uint16).reshape(-1, REGISTERS)
-    w, offsets = words(pa.array([m[3] for m in both], pa.string()))
-    h, begins = shingles(w, offsets, size)
-    sets = [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    sets = shingle_sets(pa.array([m[3] for m in both], pa.string()), size)
     # members by postings of each shingle, to count all intersections of one member at once
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(both)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
@@ -251,9 +251,7 @@ def _starred(size: int, percent: int):
 
     def starred(members: pa.Table) -> pa.Table:
         t = members.sort_by([("side", "ascending"), ("id", "ascending")])
-        w, offsets = words(t.column("text").combine_chunks())
-        h, begins = shingles(w, offsets, size)
-        sets = [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        sets = shingle_sets(t.column("text").combine_chunks(), size)
         ids = t.column("id").to_numpy()
         shared = np.array([len(np.intersect1d(sets[0], x, assume_unique=True)) for x in sets[1:]], np.int64)
         both = len(sets[0]) + np.array([len(x) for x in sets[1:]], np.int64) - shared
@@ -283,8 +281,8 @@ def _apart(batch: pa.RecordBatch, begins: np.ndarray, percent: int) -> tuple[np.
     n = batch.column("n").to_numpy().astype(np.float64)
     reg = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     close = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
         close[at : at + len(x)] = could_reach(reg[x], reg[y], n[x], n[y], percent)
     large = [(int(x), int(x + k)) for x, k in zip(begins[~small], sizes[~small], strict=True)]
     return a[close], b[close], large
@@ -326,9 +324,7 @@ def _compared(size: int, percent: int):
             ids, of = batch.column("id").to_numpy(), batch.column("component").to_numpy()
             out: list[tuple[int, int]] = []
             need = np.unique(np.r_[a, b])
-            w, offsets = words(batch.column("text").take(pa.array(need)))
-            h, cuts = shingles(w, offsets, size)
-            sets = {r: np.unique(h[x:y]) for r, x, y in zip(need.tolist(), cuts[:-1], cuts[1:], strict=True)}
+            sets = dict(zip(need.tolist(), shingle_sets(batch.column("text").take(pa.array(need)), size), strict=True))
             names, name = np.unique(of, return_inverse=True)
             forest = Forest(len(names))  # of components; a link found in one group holds for all
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -362,6 +358,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     too, with another text are documents of their own, in an order fixed by their texts' hashes, of which a component
     keeps one; rows that repeat both are one document, returned as often as it occurs.
     """
+    small_batches(docs.sparkSession)
     rows, shown, again = told_apart(docs.select(id_of().alias("id"), text_of().alias("text")))
     base = cut(rows.mapInArrow(_described(size), "id long, n long, bytes long, twin_a long, twin_b long, sketch binary"))
     full = base.filter("n > 0")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtrail.llm import block_naming, decontamination, language_id, near_dedup, packing
-from boxtrail.llm.common import id_of, remainder, scratch, table, told_apart
+from boxtrail.llm.common import id_of, remainder, scratch, small_batches, table, told_apart
 from boxtrail.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,6 +32,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that resemble a language profile; und and far texts go."""
+    small_batches(spark)
     profiles = language_id.learn(docs.filter(remainder(5) != 0))
     told = language_id.predict(docs.select(*COLUMNS), profiles)
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -41,6 +42,7 @@ def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFram
     """Rows of ``docs`` that ``decide`` keeps (doc_id, kept). It sees an id for each (doc_id, text), so rows without a
     doc_id or with a repeated one are decided each by itself; of rows that repeat both, one stays.
     """
+    small_batches(docs.sparkSession)
     rows, _, again = told_apart(docs.select(*COLUMNS).withColumn("id", id_of()))
     ids = decide(rows.select(F.col("id").alias("doc_id"), "text")).filter("kept").select(id_of().alias("id")).distinct()
     kept = rows.join(ids, "id", "left_semi")
@@ -59,12 +61,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a passage of the benchmark."""
+    small_batches(spark)
     found = decontamination.matches(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("hits") == 0).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of training sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

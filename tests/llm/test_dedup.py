@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from boxtrail.llm import block_naming, kernels, near_dedup, suffix_dedup
@@ -252,3 +254,40 @@ def test_reranked_batches(size, monkeypatch):
     assert sorted(r["id"] for r in got) == [11, 12, 13, 15, 16]
     ranks = {r["id"]: r["rank"] for r in got}
     assert ranks[11] == ranks[12] == ranks[13] != ranks[15] == ranks[16]
+
+
+def test_near_dedup_takes_texts_by_bytes(spark):
+    """What a task holds follows the bytes of a few texts, not the rows of a batch: in Python, and in batches sent there."""
+    texts = pa.array([" ".join(f"w{k}x{i}" for i in range(1800)) for k in range(512)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(512), pa.int64()), texts], ["id", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in near_dedup._described(4)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 512 and texts.nbytes > 6 << 20 and peak < 64 << 20
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 800), F.col("id")).alias("text"))
+    near_dedup.near_duplicates(rows.limit(10))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 4.1 * 2**20
+    spark.conf.set(limit, "1MB")
+    near_dedup.near_duplicates(rows.limit(10))
+    assert spark.conf.get(limit) == "1MB"
+    spark.conf.unset(limit)
+
+
+def test_shingle_sets_in_stretches():
+    texts = ["", "a b c d e", "x y", "long " * 300_000, " \n", *["the cat sat on the mat"] * 1100, "q r s t u v " * 90_000]
+    column = pa.array(["left out", *texts]).slice(1)
+    parts = list(kernels.stretches(column))
+    assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) <= 512
+    h, begins = kernels.shingles(*kernels.words(column), 4)
+    for got, a, b in zip(kernels.shingle_sets(column, 4), begins[:-1], begins[1:], strict=True):
+        assert got.tolist() == sorted(set(h[a:b].tolist()))
+    assert kernels.shingle_sets(pa.array([], pa.string()), 4) == []
