@@ -548,6 +548,23 @@ def test_rows_are_made_where_they_lie(spark, monkeypatch):
         assert dealt and all(re.match(r"video_id#\d+L?, \d+$", x) for x in dealt), dealt
 
 
+@pytest.mark.parametrize("name", ["litter_class", "clock_text", "frame_join", "output_path", "sweep_grid", "carry_forward", "gated_hits"])
+def test_only_actors_are_exchanged(spark, monkeypatch, name):
+    """Nothing is written first, and no exchange but that of the actors: what is shuffled grows with the orders, not with their rows."""
+    import re
+
+    from boxtrail.plans import catalog
+    from boxtrail.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "PER_PARTITION", 200)
+    got = catalog.queries()[name](spark, SF)
+    assert {f.rsplit("/", 1)[-1] for f in got.inputFiles()} == {"orders.parquet"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"(?<!Broadcast)Exchange (\w+)(?:\((\w+))?", plan)
+    assert dealt and all(x == ("hashpartitioning", "video_id") for x in dealt), dealt
+    assert all(re.match(r"Exchange hashpartitioning\(video_id#\d+L?, \d+\)", x) for x in re.findall(r"Exchange hashpartitioning\([^)]*\)", plan))
+
+
 def test_overlap_pairs_across_buckets_and_crowds(spark, monkeypatch):
     """Pairs equal a plain double loop, over the edge of a bucket and where a sample is compared in pieces; a sample that is missing has no pairs."""
     edge = tracking.BUCKET
