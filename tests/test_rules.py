@@ -619,3 +619,16 @@ def test_stream_steps_make_no_table_for_each_frame(kind, monkeypatch):
     if kind == "TrackPersons":
         assert out["track_id"].tolist() == [0, 1] * n
     assert list(st.frames_of(pdf.iloc[:0])) == [] and list(st.frames_of(pdf))[-1] == (2 * n - 2, 2 * n - 2, 2 * n)
+
+
+@pytest.mark.parametrize("name", ["litter_job", "annotation_rows", "annotation_job", "event_log"])
+def test_made_rows_are_not_broadcast(spark, name):
+    """Rows made by a generator, which the planner takes for as small as their actors, reach no driver, however small the tables look."""
+    lines = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "- BroadcastExchange" in line:
+            for below in lines[at + 1 :]:
+                if depth(below) <= depth(line) or "Join" in below or "HashAggregate" in below:
+                    break
+                assert "explode(sequence(0" not in below, "\n".join(lines[at : at + 6])
