@@ -621,7 +621,7 @@ def test_stream_steps_make_no_table_for_each_frame(kind, monkeypatch):
     assert list(st.frames_of(pdf.iloc[:0])) == [] and list(st.frames_of(pdf))[-1] == (2 * n - 2, 2 * n - 2, 2 * n)
 
 
-@pytest.mark.parametrize("name", ["litter_job", "annotation_rows", "annotation_job", "event_log"])
+@pytest.mark.parametrize("name", ["litter_job", "annotation_rows", "annotation_job", "event_log", "incident_job_tracked"])
 def test_made_rows_are_not_broadcast(spark, name):
     """Rows made by a generator, which the planner takes for as small as their actors, reach no driver, however small the tables look."""
     lines = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
