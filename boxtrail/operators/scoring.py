@@ -35,7 +35,7 @@ def _exploded(pdf: pd.DataFrame, lists: list, names: list[str]) -> pd.DataFrame:
     out["ord"] = np.concatenate([np.arange(n) for n in sizes] or [[]]).astype("int32")
     values = list(zip(*(row for x in lists for row in x), strict=True)) or [()] * len(names)
     for name, column in zip(names, values, strict=True):
-        out[name] = list(column)
+        out[name] = list(column) if column else pd.Series(dtype=object)  # an empty list would be floats, which Arrow turns into text in chunks
     return out
 
 

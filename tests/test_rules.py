@@ -632,3 +632,17 @@ def test_made_rows_are_not_broadcast(spark, name):
                 if depth(below) <= depth(line) or "Join" in below or "HashAggregate" in below:
                     break
                 assert "explode(sequence(0" not in below, "\n".join(lines[at : at + 6])
+
+
+def test_model_without_results_in_a_batch(spark):
+    """A batch all of whose inputs have empty lists keeps its column types: a column of text stays one that Arrow takes."""
+    from boxtrail.operators.scoring import detect_batches
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = spark.createDataFrame([(k,) for k in range(6)], "n long").coalesce(1)
+        seen = detect_batches(rows, lambda: lambda pdf: [[("a", 0.5)] * (n // 4) for n in pdf["n"]], "text string, score double").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, seen)) == [(4, 0, "a", 0.5), (5, 0, "a", 0.5)]
