@@ -215,9 +215,14 @@ tr AS (SELECT *, CASE WHEN truth AND events > 0 THEN 'TP' WHEN truth THEN 'FN' W
 )
 
 
-@query("sweep_grid", "SELECT video_id, threshold, seconds FROM clips, (SELECT unnest(CAST([0.05, 0.08, 0.11, 0.14, 0.17, 0.20] AS DOUBLE[])) AS threshold) g, (SELECT unnest([3, 5, 8, 10]) AS seconds) d")
+#: Durations of the whole grid: those of the sweep and every one that the reference names, from 5 to 10.
+DURATIONS = [3, 5, 6, 7, 8, 9, 10]
+
+
+@query("sweep_grid", f"SELECT video_id, threshold, seconds FROM clips, (SELECT unnest(CAST({ev.THRESHOLDS} AS DOUBLE[])) AS threshold) g, (SELECT unnest({DURATIONS}) AS seconds) d")
 def _(d):
-    return d["clips"].select("video_id").crossJoin(F.broadcast(ev.grid(d.spark, GRID, SECONDS)))
+    """The whole grid of the reference: every threshold from 0.05 to 0.20 in steps of 0.01, at every duration."""
+    return d["clips"].select("video_id").crossJoin(F.broadcast(ev.grid(d.spark, ev.THRESHOLDS, DURATIONS)))
 
 
 @query("truth_join", SWEEP + "SELECT DISTINCT video, truth FROM tr")

@@ -646,3 +646,10 @@ def test_model_without_results_in_a_batch(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(map(tuple, seen)) == [(4, 0, "a", 0.5), (5, 0, "a", 0.5)]
+
+
+def test_sweep_grid_is_whole(spark):
+    """Every threshold of the reference's range and every duration it names, for each clip."""
+    rows = catalog.queries()["sweep_grid"](spark, SF).filter("video_id = 0").collect()
+    assert {r.threshold for r in rows} == {round(0.05 + 0.01 * k, 2) for k in range(16)} and {5, 6, 7, 8, 9, 10} < {r.seconds for r in rows}
+    assert len(rows) == 16 * len({r.seconds for r in rows})
