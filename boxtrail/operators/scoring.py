@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxtrail.operators.spread import placed
+from boxtrail.operators.tracking import whole_groups
 from boxtrail.settings import DEFAULT
 
 
@@ -70,33 +72,43 @@ def callback_boxes(frames: DataFrame, callback: Callable, batched: bool = False,
     a list of such triples, all sampled frames of a video's read window of ``window`` samples in order, and gives as many
     lists. A window's frames meet in one partition and are never split over calls. Frames without boxes have no row.
     """
-    names = [f.split(" ")[0] for f in BOXES.split(", ")]
-    flat = lambda seen: [(label, confidence, *box) for label, confidence, box in seen]
-    items = lambda pdf: list(zip(pdf["frame_idx"].tolist(), pdf["image"], (pdf["frame_idx"] / pdf["fps"]).tolist(), strict=True))
-
-    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _exploded(pdf, [flat(callback(*item)) for item in items(pdf)], names).drop(columns="image")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            groups = [g for _, g in pdf.groupby(["video_id", "_window"], sort=False)]
-            held = groups.pop() if groups else None
-            for g in groups:
-                yield called(g)
-        if held is not None:
-            yield called(held)
-
-    def called(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _exploded(pdf, [flat(x) for x in callback(items(pdf))], names).drop(columns=["image", "_window", "_place"])
+    def items(batch: pa.RecordBatch) -> list[tuple]:
+        frame, fps = (batch.column(c).to_numpy() for c in ("frame_idx", "fps"))
+        return list(zip(frame.tolist(), batch.column("image").to_pandas(), (frame / fps).tolist(), strict=True))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _boxed(batch, [callback(*item) for item in items(batch)], ["image"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begins in whole_groups(batches, ["video_id", "_window"]):
+            rows, seen = items(batch), []
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
+                lists = callback(rows[a:b])
+                if len(lists) != b - a:
+                    raise ValueError(f"a model gave {len(lists)} lists for {b - a} inputs")
+                seen.extend(lists)
+            yield _boxed(batch, seen, ["image", "_window", "_place"])
 
     if not batched:
-        return frames.mapInPandas(single, _with(frames, BOXES, ("image",)))
+        return frames.mapInArrow(single, _with(frames, BOXES, ("image",)))
     rows = frames.withColumn("_window", F.expr(f"frame_idx div (stride * {window})"))
     met = placed(rows, ["video_id", "_window"], ["frame_idx"])
-    return met.mapInPandas(windows, _with(rows, BOXES, ("image", "_window")))
+    return met.mapInArrow(windows, _with(rows, BOXES, ("image", "_window")))
+
+
+def _boxed(batch: pa.RecordBatch, lists: list, drop: list[str]) -> pa.RecordBatch:
+    """A row for each (label, confidence, box) of the lists, one for each row of the batch, with its place ``ord``; Arrow columns throughout."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    seen = [x for row in lists for x in row]
+    boxes = np.array([x[2] for x in seen], float) if seen else np.empty((0, 4))
+    if boxes.ndim != 2 or boxes.shape[1] != 4:
+        raise ValueError("a box must have 4 numbers")
+    of = batch.drop_columns(drop).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    ord_ = (np.arange(len(seen)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    more = [pa.array(ord_), pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.float64()), *(pa.array(c) for c in boxes.T.copy())]
+    names = ["ord", *(f.split(" ")[0] for f in BOXES.split(", "))]
+    return pa.RecordBatch.from_arrays([*of.columns, *more], [*of.schema.names, *names])
 
 
 def laplacian_variance(gray: np.ndarray) -> float:

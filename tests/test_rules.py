@@ -653,3 +653,24 @@ def test_sweep_grid_is_whole(spark):
     rows = catalog.queries()["sweep_grid"](spark, SF).filter("video_id = 0").collect()
     assert {r.threshold for r in rows} == {round(0.05 + 0.01 * k, 2) for k in range(16)} and {5, 6, 7, 8, 9, 10} < {r.seconds for r in rows}
     assert len(rows) == 16 * len({r.seconds for r in rows})
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_callbacks_get_arrow_columns(spark, batched):
+    """Images and boxes go in and out as columns, no table for a window; a frame's boxes keep their order, none give no row."""
+    see = lambda image: [(x["label"], x["sure"], (1.0, 2, 3, float(k))) for k, x in enumerate(image)]
+    callback = (lambda items: [see(image) for _, image, _ in items]) if batched else (lambda frame, image, ts: see(image))
+    rows = [(v, k * 2, 8.0, 2, [("person", 0.5), ("car", 0.25)][: k % 3]) for v in range(2) for k in range(20)]
+    frames = spark.createDataFrame(rows, "video_id long, frame_idx long, fps double, stride int, image array<struct<label string, sure double>>")
+    got = scoring.callback_boxes(frames, callback, batched)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    want = [(v, f, r, s, k, *x, 1.0, 2.0, 3.0, float(k)) for v, f, r, s, image in rows for k, x in enumerate(image)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert scoring.callback_boxes(frames.filter("size(image) = 0"), callback, batched).count() == 0
+    short = (lambda items: [[("person", 1.0, (1.0, 2.0))] for _ in items]) if batched else (lambda *item: [("person", 1.0, (1.0, 2.0))])
+    with pytest.raises(Exception, match="4 numbers"):
+        scoring.callback_boxes(frames, short, batched).collect()
+    if batched:
+        with pytest.raises(Exception, match="lists for"):
+            scoring.callback_boxes(frames, lambda items: [], batched).collect()
