@@ -674,3 +674,75 @@ def test_callbacks_get_arrow_columns(spark, batched):
     if batched:
         with pytest.raises(Exception, match="lists for"):
             scoring.callback_boxes(frames, lambda items: [], batched).collect()
+
+
+def test_packs_hold_the_rows_of_a_frame(spark):
+    """A frame's rows reach a processor as one row, in order, nulls too; a late frame is dropped as its rows would be."""
+    import pandas as pd
+
+    from boxtrail.streaming import detections as st
+
+    t = pa.array([2000, 1000, 2000, 1000, 1000], pa.timestamp("us", "UTC"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2, 1]), pa.array([4, 2, 4, 2, 2]), pa.array(["a", None, "b", "c", "d"]), pa.array([0.5, None, 1.5, 2.5, 3.5]), t], ["video_id", "frame_idx", "norm", "score", "event_time"])
+    (got,) = st._packs(iter([batch, batch.slice(0, 0)]))
+    assert got.column("video_id").to_pylist() == [1, 1, 2] and got.column("norm").to_pylist() == [[None, "d"], ["a", "b"], ["c"]]
+    rows = st.unpacked(got.to_pandas())
+    assert rows["frame_idx"].tolist() == [2, 2, 4, 4, 2] and rows["norm"].tolist() == [None, "d", "a", "b", "c"] and rows["video_id"].tolist() == [1, 1, 1, 1, 2]
+    assert pd.isna(rows["score"][0]) and rows["score"].tolist()[1:] == [3.5, 0.5, 1.5, 2.5] and len(rows["event_time"].unique()) == 2
+    columns = "video_id long, frame_idx long, fps double, ord int, label string, confidence double, x1 double, y1 double, x2 double, y2 double"
+    row = lambda v, f: (v, f, 4.0, 0, "person", 0.9, 0.0, 0.0, 60.0, 150.0)
+    path = src.scratch(spark, "late")
+    for part in ([row(1, 400)], [row(1, 404)], [row(1, 408), row(2, 0)]):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(path)
+    out = st.run_to_end(st.stream_tracks(st.stream_rows(spark, path, spark.createDataFrame([row(0, 0)], columns).schema))).collect()
+    assert sorted((r.video_id, r.frame_idx, r.track_id) for r in out) == [(1, 400, 0), (1, 404, 0), (1, 408, 0)]
+
+
+def test_state_of_gone_tracks_takes_one_call():
+    """Where most tracks are gone their entries are cleared at once and those that stay are written again."""
+    from boxtrail.streaming import detections as st
+
+    class Calls:
+        def __init__(self, entries):
+            self.entries, self.calls = dict(entries), []
+
+        def exists(self):
+            return bool(self.entries)
+
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.entries.items()])
+
+        def clear(self):
+            self.calls.append("clear")
+            self.entries.clear()
+
+        def removeKey(self, k):  # noqa: N802
+            self.calls.append("remove")
+            del self.entries[k[0]]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.calls.append("update")
+            self.entries[k[0]] = v
+
+    from types import SimpleNamespace
+
+    def state(entries):
+        by = st.TrackPersons()
+        by.tracks, by.clip = Calls(entries), SimpleNamespace(exists=lambda: False, clear=lambda: None)
+        by.handle = SimpleNamespace(listTimers=lambda: iter(()), registerTimer=lambda x: None)
+        return by
+
+    by = state({})
+    by._read()
+    by.live, by.now = {k: (0.0, 0.0, 1.0, 1.0, k) for k in range(20)}, None
+    by.due = lambda: None
+    by._write()
+    assert by.tracks.calls == ["update"] * 20
+    for stay, calls in ((2, ["clear", "update", "update"]), (18, ["remove", "remove"])):
+        one = state(by.tracks.entries)
+        one.due = lambda: None
+        one._read()
+        assert one.live == {k: (0.0, 0.0, 1.0, 1.0, k) for k in range(20)}
+        one.live = {k: one.live[k] for k in range(stay)}
+        one._write()
+        assert one.tracks.calls == calls and set(one.tracks.entries) == set(range(stay))
